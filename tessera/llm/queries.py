@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid
+from . import decontaminate, langid, repair
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _fold(n: int):
     """True where crc32(doc_id as text) mod n is 2."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == 2
@@ -34,3 +40,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
+
+
+@_register
+def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
