@@ -107,13 +107,13 @@ def numbered(df: DataFrame, order: list[str], group: str, name: str, partitions:
     dealt = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     kept = stored(dealt.sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
-    firsts = kept.groupBy(F.col(group).alias("__group"), part.alias("__part")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n")).collect()
+    firsts = kept.groupBy(F.col(group).alias("__nb_group"), part.alias("__part")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n")).collect()
     before: dict = {}
     rows = []
     for r in sorted(firsts, key=lambda r: r["__part"]):
-        rows.append((r["__group"], r["__part"], r["__first"] - before.get(r["__group"], 0)))
-        before[r["__group"]] = before.get(r["__group"], 0) + r["__n"]
+        rows.append((r["__nb_group"], r["__part"], r["__first"] - before.get(r["__nb_group"], 0)))
+        before[r["__nb_group"]] = before.get(r["__nb_group"], 0) + r["__n"]
     kind = dict(df.dtypes)[group]
-    offsets = df.sparkSession.createDataFrame(rows, f"__group {kind}, __part bigint, __shift bigint")
-    out = kept.join(F.broadcast(offsets), F.col(group).eqNullSafe(F.col("__group")) & (part == F.col("__part")))
-    return out.withColumn(name, F.col("__at") - F.col("__shift")).drop("__at", "__group", "__part", "__shift")
+    offsets = df.sparkSession.createDataFrame(rows, f"__nb_group {kind}, __part bigint, __shift bigint")
+    out = kept.join(F.broadcast(offsets), F.col(group).eqNullSafe(F.col("__nb_group")) & (part == F.col("__part")))
+    return out.withColumn(name, F.col("__at") - F.col("__shift")).drop("__at", "__nb_group", "__part", "__shift")

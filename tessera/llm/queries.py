@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, repair
+from . import decontaminate, langid, repair, sharding
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.round_trip(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+
+
+@_register
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shards(documents(spark, sf_dir), 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_split")
