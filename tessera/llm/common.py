@@ -61,6 +61,26 @@ def texts(column: pa.Array) -> Iterator[bytes | None]:
         yield None if nulls[i] else whole[at[i] : at[i + 1]]
 
 
+class Numbered(dict):
+    """Numbers keys as they are first looked up; `new` lists those not yet encoded."""
+
+    def __init__(self, entries=()):
+        super().__init__(entries)
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
+def gathered(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The rows `which` of a ragged array, one after another."""
+    sizes = at[which + 1] - at[which]
+    total = int(sizes.sum())
+    return flat[np.repeat(at[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's name in the folder that driver and executors share; set here only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -87,15 +107,6 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def sha256_of(parts: list[bytes]) -> str:
-    import hashlib
-
-    h = hashlib.sha256()
-    for p in parts:
-        h.update(p)
-    return h.hexdigest()
-
-
 def numbered(df: DataFrame, order: list[str], group: str, name: str, partitions: int | None = None) -> DataFrame:
     """Adds `name`: a gapless number from 0 within each value of `group`, in the order of `order`.
 

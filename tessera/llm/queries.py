@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, repair, sharding
+from . import decontaminate, langid, repair, sharding, wfst
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shards(documents(spark, sf_dir), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_split")
+
+
+@_register
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wfst.encode(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
