@@ -128,3 +128,61 @@ def numbered(df: DataFrame, order: list[str], group: str, name: str, partitions:
     offsets = df.sparkSession.createDataFrame(rows, f"__nb_group {kind}, __part bigint, __shift bigint")
     out = kept.join(F.broadcast(offsets), F.col(group).eqNullSafe(F.col("__nb_group")) & (part == F.col("__part")))
     return out.withColumn(name, F.col("__at") - F.col("__shift")).drop("__at", "__nb_group", "__part", "__shift")
+
+
+def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links as a forest: each node that is not the smallest of its component, and that smallest."""
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    child = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[child], nodes[root[child]]
+
+
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root): every linked node but the smallest of each component, and that smallest node.
+
+    Each task turns its links into a forest; large-star and small-star steps then alternate until nothing changes, a
+    logarithmic number of rounds. Minima are aggregated before they are joined, so a hub is no single task's work.
+    """
+    spark = links.sparkSession
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        size = 0
+        for batch in batches:
+            for side, column in zip(held, batch.columns, strict=True):
+                side.append(column.to_numpy().astype(np.int64))
+            size += batch.num_rows
+            if size > 1 << 20:
+                held = tuple([x] for x in local_forest(*map(np.concatenate, held)))
+                size = len(held[0][0])
+        u, v = local_forest(*map(np.concatenate, held))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    pairs = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
+    now = stored(pairs.mapInArrow(forest, "u long, v long").distinct())
+    mark = None
+    while True:
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if state == mark or not state[0]:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        mark = state
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = stored(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
+        discard(spark, now)
+        now = new

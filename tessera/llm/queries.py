@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, repair, sharding, wfst
+from . import decontaminate, jaccard_join, langid, repair, sharding, suffix_dedup, wfst
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wfst.encode(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+
+
+@_register
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.clusters(documents(spark, sf_dir))
+
+
+@_register
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(documents(spark, sf_dir))
