@@ -448,7 +448,7 @@ def _apply(docs: DataFrame, text: str, key: str, size: int, schema: T.StructType
         from pyspark.sql.pandas.types import to_arrow_schema
 
         nonlocal arrow
-        arrow = arrow or to_arrow_schema(schema, timezone="UTC")
+        arrow = arrow or to_arrow_schema(schema)
         return pa.Table.from_batches(batches) if batches else arrow.empty_table()
 
     in_order = dealt.sortWithinPartitions("__part")
