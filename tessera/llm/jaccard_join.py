@@ -89,7 +89,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         np.add.at(low, part, _mixed(s + _MIX))
         np.bitwise_xor.at(high, part, _mixed(s * _MIX))
         count = np.bincount(part, minlength=k)
-        sig = _mixed(low ^ _mixed(high + np.arange(k, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(band) * _MIX))
+        sig = _mixed(low ^ _mixed(high + np.arange(k, dtype=np.uint64) * np.uint64(1_000_003) + np.full(k, band, np.uint64) * _MIX))
         out.append(sig if (count == 0).sum() >= k - d else sig[count > 0])
     return np.concatenate(out)
 
