@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -186,3 +187,32 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         new = stored(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
         discard(spark, now)
         now = new
+
+
+#: Lower-cases A-Z and makes every white space a blank.
+_PLAIN = bytes(32 if c in SPACES else LOWER[c] for c in range(256))
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: spreads nearby values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class WordHashes:
+    """64-bit hashes of a text's words, lower-cased in A-Z; each distinct word is hashed once and remembered."""
+
+    def __init__(self):
+        self.seen: dict[bytes, int] = {}
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        words = text.translate(_PLAIN).split(b" ") if text else []
+        words = [w for w in words if w]
+        seen = self.seen
+        if len(seen) > 500_000:
+            seen.clear()
+        for w in set(words).difference(seen):
+            seen[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))

@@ -32,42 +32,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, bounded_batches, components, stored, texts
+from .common import MIX, WordHashes, bounded_batches, components, mixed, stored, texts
 
 PERCENT, WIDTH = 85, 4
 #: Classes that one task of the matrix compares.
 CHUNK = 1024
-_SPLIT = bytes(32 if c in SPACES else LOWER[c] for c in range(256))
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 class Shingler:
-    """Shingle sets of texts; words are hashed once and remembered."""
+    """Shingle sets of texts."""
 
     def __init__(self, width: int = WIDTH):
-        self.width, self.seen = width, {}
+        self.width, self.words = width, WordHashes()
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        words = text.translate(_SPLIT).split() if text else []
-        if not words:
+        h = self.words(text)
+        if not len(h):
             return np.zeros(0, np.uint64)
-        if len(self.seen) > 500_000:
-            self.seen.clear()
-        seen = self.seen
-        for w in set(words).difference(seen):
-            seen[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
         w = min(self.width, len(h))
         n = len(h) - w + 1
         out = np.full(n, w, np.uint64)
         for i in range(w):
-            out = _mixed(out * _MIX + h[i : i + n])
+            out = mixed(out * MIX + h[i : i + n])
         return np.unique(out)
 
 
@@ -86,10 +72,10 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         k = d + 3 + d // 10
         part = ((s >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
         low, high = np.zeros(k, np.uint64), np.zeros(k, np.uint64)
-        np.add.at(low, part, _mixed(s + _MIX))
-        np.bitwise_xor.at(high, part, _mixed(s * _MIX))
+        np.add.at(low, part, mixed(s + MIX))
+        np.bitwise_xor.at(high, part, mixed(s * MIX))
         count = np.bincount(part, minlength=k)
-        sig = _mixed(low ^ _mixed(high + np.arange(k, dtype=np.uint64) * np.uint64(1_000_003) + np.full(k, band, np.uint64) * _MIX))
+        sig = mixed(low ^ mixed(high + np.arange(k, dtype=np.uint64) * np.uint64(1_000_003) + np.full(k, band, np.uint64) * MIX))
         out.append(sig if (count == 0).sum() >= k - d else sig[count > 0])
     return np.concatenate(out)
 
