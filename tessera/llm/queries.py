@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, langid, repair, sharding, suffix_dedup, wfst
+from . import cross_polytope, decontaminate, edit_counts, jaccard_join, langid, lm_score, repair, sharding, suffix_dedup, wfst
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,22 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(documents(spark, sf_dir))
+
+
+@_register
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir), ~_fold(7))
+
+
+@_register
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@_register
+def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with an insertion, a deletion and a replacement that its length alone decides."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edit = lambda a, b, t: F.struct(F.floor(a).cast("int").alias("start"), F.floor(b).cast("int").alias("end"), F.lit(t).alias("text"))
+    edits = F.array(edit(n / 2, n / 2, " a revised passage "), edit(n / 4, F.least(n, n / 4 + 20), ""), edit(n * 3 / 4, F.least(n, n * 3 / 4 + 1), "\n"))
+    return edit_counts.recount(documents(spark, sf_dir).withColumn("edits", edits), _tokenizer("word_bpe_49k.json"))
