@@ -1,0 +1,78 @@
+"""Confidence of pages from their ledger: sources, verifications, contradictions, decay, status."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions.text import clamp01, days_between, js_round
+
+#: Base, penalties and their cap, boosts' cap, source scale, half-life and ceiling of a note.
+START, MAJOR, MINOR, MOST_PENALTY, MOST_BOOST, SCALE, HALF_LIFE, CEILING = 0.25, 0.35, 0.10, 0.6, 0.25, 1.5, 120.0, 0.30
+#: Boost and days between resets of a human and of a CI verification; days a boost lasts.
+HUMAN_BOOST, CI_BOOST, CI_DAYS, BOOST_DAYS = 0.05, 0.02, 14, 30
+_DAY = 86_400_000_000
+
+
+def state(ledger: DataFrame, now: Column) -> DataFrame:
+    """Per page: score, its parts, counts, last_verified_at and the anchor of decay, as seconds."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    verified, ci = F.col("kind") == "verified", F.col("actor_id").startswith("ci:")
+    # sources: the last weight of each, then their sum
+    weights = (
+        ledger.where("kind = 'source_added'").groupBy("page_id", "source_id").agg(F.max_by("source_weight", F.struct("ts", "seq")).alias("w"))
+        .groupBy("page_id").agg(F.sum("w").alias("weight"), F.count("*").alias("source_count"))
+    )
+    # a CI verification resets the anchor only when the last one that did is old enough; one time per value is enough
+    times = ledger.where(verified & ci).select("page_id", at.alias("at")).distinct().groupBy("page_id").agg(F.array_sort(F.collect_list("at")).alias("times"))
+    last_ci = times.select("page_id", F.aggregate("times", F.lit(None).cast("long"), lambda a, x: F.when(a.isNull() | (x - a >= CI_DAYS * _DAY), x).otherwise(a)).alias("last_ci"))
+    fresh = verified & (days_between(F.col("ts"), now) <= BOOST_DAYS)
+    sums = ledger.groupBy("page_id").agg(
+        F.max(F.when(verified & ~ci, at)).alias("last_human"),
+        F.max(F.when(F.col("kind").isin("contradicted_by", "decay_checkpoint"), at)).alias("last_other"),
+        F.max(at).alias("last_event"),
+        F.count_if(F.col("severity") == "major").alias("majors"),
+        F.count_if(F.col("severity") == "minor").alias("minors"),
+        F.count_if(fresh & ~ci).alias("humans"),
+        F.count_if(fresh & ci).alias("machines"),
+    )
+    all_of = sums.join(weights, "page_id", "left").join(last_ci, "page_id", "left")
+    anchor = F.coalesce(F.greatest("last_human", "last_ci", "last_other"), F.col("last_event"))
+    age = F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - anchor) / F.lit(float(_DAY)))
+    strength = 1 - F.exp(-F.coalesce("weight", F.lit(0.0)) / SCALE)
+    penalty = F.least(F.lit(MOST_PENALTY), F.col("majors") * MAJOR + F.col("minors") * MINOR)
+    boost = F.least(F.lit(MOST_BOOST), F.col("humans") * HUMAN_BOOST + F.col("machines") * CI_BOOST)
+    decay = (1 - F.pow(F.lit(2.0), -age / HALF_LIFE)) * CEILING
+    seconds = lambda c: F.floor(c / 1_000_000).cast("long")
+    return all_of.select(
+        "page_id",
+        js_round(clamp01(START + strength - penalty - decay + boost), 4).alias("score"),
+        js_round(strength, 4).alias("source_strength"),
+        js_round(penalty, 4).alias("contradiction_penalty"),
+        js_round(decay, 4).alias("time_decay"),
+        js_round(boost, 4).alias("verification_boost"),
+        F.coalesce("source_count", F.lit(0)).cast("long").alias("source_count"),
+        (F.col("majors") + F.col("minors")).alias("contradiction_count"),
+        seconds(F.greatest("last_human", "last_ci")).alias("last_verified_at"),
+        seconds(anchor).alias("anchor"),
+    )
+
+
+def freshness(ledger: DataFrame, now: Column) -> DataFrame:
+    """Per page: freshness and access recency, which halve in their own times, from its last event."""
+    days = days_between(F.max("ts"), now)
+    return ledger.groupBy("page_id").agg(js_round(F.exp(-days / 180), 4).alias("freshness"), js_round(F.exp(-days / 30), 4).alias("access_recency"))
+
+
+def status(states: DataFrame) -> DataFrame:
+    """Per page: the flag of the lowest confidence, and the risk level's order."""
+    flag = F.when(F.col("score") < 0.3, "NEEDS_REVIEW").when(F.col("contradiction_count") > 0, "RECENTLY_CONTRADICTED").otherwise("ok")
+    return states.select("page_id", "score", flag.alias("flag"))
+
+
+def contradictions(ledger: DataFrame) -> DataFrame:
+    """Contradictions of a page after its last human verification, and the last major one, in seconds."""
+    verified = ledger.where("kind = 'verified' and actor_id like 'human:%'").groupBy("page_id").agg(F.max(F.struct("ts", "seq")).alias("v"))
+    rows = ledger.where("kind = 'contradicted_by'").join(verified, "page_id", "left").where(F.col("v").isNull() | (F.struct("ts", "seq") > F.col("v")))
+    seconds = F.floor(F.unix_micros(F.max(F.when(F.col("severity") == "major", F.col("ts"))).cast("timestamp")) / 1_000_000).cast("long")
+    return rows.groupBy("page_id").agg(F.count("*").alias("active"), seconds.alias("latest_major"))

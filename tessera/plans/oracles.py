@@ -1,0 +1,86 @@
+"""DuckDB SQL of the registered queries."""
+
+_TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
+
+
+def _bm25(words: int) -> str:
+    return f"""
+q0 AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM benchmark),
+q1 AS (SELECT item_id, u.term, min(u.k) AS k FROM q0, unnest(t) WITH ORDINALITY AS u(term, k) GROUP BY item_id, u.term),
+q2 AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY k) AS r FROM q1),
+q AS (SELECT item_id, term, count(*) OVER (PARTITION BY item_id) AS wanted FROM q2 WHERE r <= {words}),
+tok AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+size AS (SELECT doc_id, len(t) AS dl FROM tok),
+stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM size),
+post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY doc_id, term),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+hits AS (
+  SELECT q.item_id, p.doc_id, q.wanted, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5) / (df + 0.5)) END
+    * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, sum(tf)::BIGINT AS dot, count(*) AS got
+  FROM q JOIN post p USING (term) JOIN dfs USING (term) JOIN size s ON s.doc_id = p.doc_id CROSS JOIN stats GROUP BY q.item_id, p.doc_id, q.wanted),
+bm AS (SELECT * FROM hits WHERE got = wanted)"""
+
+
+_SEARCH = """
+found AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, floor(score * 1e6 + 0.5) / 1e6 AS score FROM bm))"""
+
+_HYBRID = """
+best AS (SELECT item_id, max(score) AS best FROM bm GROUP BY item_id),
+norm AS (SELECT doc_id, sqrt(sum(tf * tf)) AS norm FROM post GROUP BY doc_id),
+both_of AS (SELECT item_id, doc_id, floor(least(1, greatest(0, score / best)) * 1e3 + 0.5) / 1e3 AS bm25,
+  floor(least(1, greatest(0, dot / (norm * sqrt(wanted)))) * 1e3 + 0.5) / 1e3 AS cosine FROM bm JOIN best USING (item_id) JOIN norm USING (doc_id)),
+mix AS (SELECT *, floor((0.65::DOUBLE * bm25 + 0.35::DOUBLE * cosine) * 1e3 + 0.5) / 1e3 AS score FROM both_of),
+hybrid AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM mix)"""
+
+_LEDGER = """
+led AS (SELECT 'page_' || lpad(user_id::VARCHAR, 12, '0') AS page_id, event_id AS seq, ts, epoch_us(ts) AS us, event_type AS e, value FROM events),
+w AS (SELECT page_id, sum(w) AS weight, count(*) AS source_count FROM (
+  SELECT page_id, seq % 5 AS s, max_by(least(1.0, greatest(0.0, value / 500)), (ts, seq)) AS w FROM led WHERE e = 'signup' GROUP BY page_id, s) GROUP BY page_id),
+ci AS (SELECT page_id, list_reduce(list(DISTINCT us ORDER BY us), lambda a, x: CASE WHEN x - a >= 14 * 86400000000 THEN x ELSE a END) AS last_ci FROM led WHERE e = 'view' GROUP BY page_id),
+s AS (SELECT page_id, max(us) FILTER (e = 'purchase') AS last_human, max(us) FILTER (e NOT IN ('signup', 'view', 'purchase')) AS last_other, max(us) AS last_event,
+  count(*) FILTER (e = 'error' AND value > 100) AS majors, count(*) FILTER (e = 'error' AND NOT value > 100) AS minors,
+  count(*) FILTER (e = 'purchase' AND ts >= TIMESTAMP '2024-01-02') AS humans, count(*) FILTER (e = 'view' AND ts >= TIMESTAMP '2024-01-02') AS machines FROM led GROUP BY page_id),
+j AS (SELECT *, coalesce(greatest(last_human, last_ci, last_other), last_event) AS anchor_us FROM s LEFT JOIN w USING (page_id) LEFT JOIN ci USING (page_id)),
+k AS (SELECT *, 1 - exp(-coalesce(weight, 0) / 1.5) AS st, least(0.6, majors * 0.35::DOUBLE + minors * 0.10::DOUBLE) AS pe, least(0.25, humans * 0.05::DOUBLE + machines * 0.02::DOUBLE) AS bo,
+  (1 - pow(2.0, -greatest(0, (epoch_us(TIMESTAMP '2024-02-01') - anchor_us) / 86400000000.0) / 120.0)) * 0.30 AS de FROM j),
+state AS (SELECT page_id, floor(least(1, greatest(0, 0.25 + st - pe - de + bo)) * 1e4 + 0.5) / 1e4 AS score, floor(st * 1e4 + 0.5) / 1e4 AS source_strength,
+  floor(pe * 1e4 + 0.5) / 1e4 AS contradiction_penalty, floor(de * 1e4 + 0.5) / 1e4 AS time_decay, floor(bo * 1e4 + 0.5) / 1e4 AS verification_boost,
+  coalesce(source_count, 0)::BIGINT AS source_count, (majors + minors)::BIGINT AS contradiction_count,
+  greatest(last_human, last_ci) // 1000000 AS last_verified_at, anchor_us // 1000000 AS anchor FROM k),
+fresh AS (SELECT page_id, floor(exp(-d / 180) * 1e4 + 0.5) / 1e4 AS freshness, floor(exp(-d / 30) * 1e4 + 0.5) / 1e4 AS access_recency
+  FROM (SELECT page_id, greatest(0, (epoch_us(TIMESTAMP '2024-02-01') - max(us)) / 86400000000.0) AS d FROM led GROUP BY page_id))"""
+
+ORACLES = {
+    "bm25_search": f"WITH {_bm25(2)}, {_SEARCH} SELECT item_id, doc_id, score, rank FROM found WHERE rank <= 10",
+    "hybrid_search": f"WITH {_bm25(2)}, {_HYBRID} SELECT item_id, doc_id, bm25, cosine, score, rank FROM hybrid WHERE rank <= 10",
+    "ranked_search": f"""WITH {_bm25(2)}, {_HYBRID}, {_LEDGER},
+fin AS (SELECT item_id, doc_id, floor((0.55::DOUBLE * h.score + 0.25::DOUBLE * coalesce(st.score, 0.7) + 0.10::DOUBLE * coalesce(freshness, 0.5) + 0.10::DOUBLE * coalesce(access_recency, 0.5)) * 1e4 + 0.5) / 1e4 AS final_score
+  FROM hybrid h LEFT JOIN state st ON st.page_id = 'page_' || lpad(h.doc_id::VARCHAR, 12, '0') LEFT JOIN fresh f ON f.page_id = st.page_id WHERE h.rank <= 30)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final_score DESC, doc_id) AS rank FROM fin) WHERE rank <= 10""",
+    "retrieval_eval": f"""WITH rel AS (WITH {_bm25(6)} SELECT item_id, doc_id FROM bm), {_bm25(2)}, {_SEARCH},
+h AS (SELECT item_id, count(*) AS hits FROM found JOIN rel USING (item_id, doc_id) WHERE rank <= 10 GROUP BY item_id),
+n AS (SELECT item_id, count(*) AS relevant FROM rel GROUP BY item_id)
+SELECT item_id, relevant, coalesce(hits, 0) AS hits, floor(coalesce(hits, 0) / 10 * 1e4 + 0.5) / 1e4 AS precision, floor(coalesce(hits, 0) / relevant * 1e4 + 0.5) / 1e4 AS recall FROM n LEFT JOIN h USING (item_id)""",
+    "term_norms": f"""WITH post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY doc_id, term)
+SELECT doc_id, count(*) AS n_terms, floor(sqrt(sum(tf * tf)) * 1e4 + 0.5) / 1e4 AS norm FROM post GROUP BY doc_id""",
+    "content_hash": """SELECT 'page_' || lpad(doc_id::VARCHAR, 12, '0') AS page_id, sha256(coalesce(text, '')) AS content_hash,
+ceil((length(coalesce(text, '')) + length(regexp_replace(coalesce(text, ''), '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 4.0)::BIGINT AS tokens FROM documents""",
+    "duplicate_pages": """SELECT sha256(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'))) AS fingerprint, min(doc_id) AS first_doc, count(*) AS copies
+FROM documents GROUP BY 1 HAVING count(*) > 1""",
+    "source_rollup": """SELECT source, count(*) AS pages, count(quality) AS labelled, floor(avg(quality) * 1e4 + 0.5) / 1e4 AS quality, coalesce(sum(toxic), 0)::BIGINT AS toxic
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""",
+    "confidence_state": f"WITH {_LEDGER} SELECT * FROM state",
+    "confidence_status": f"WITH {_LEDGER} SELECT page_id, score, CASE WHEN score < 0.3 THEN 'NEEDS_REVIEW' WHEN contradiction_count > 0 THEN 'RECENTLY_CONTRADICTED' ELSE 'ok' END AS flag FROM state",
+    "page_freshness": f"WITH {_LEDGER} SELECT * FROM fresh",
+    "active_contradictions": f"""WITH {_LEDGER}, v AS (SELECT page_id, max((ts, seq)) AS v FROM led WHERE e = 'purchase' GROUP BY page_id)
+SELECT page_id, count(*) AS active, max(CASE WHEN value > 100 THEN us END) // 1000000 AS latest_major FROM led LEFT JOIN v USING (page_id) WHERE e = 'error' AND (v IS NULL OR (ts, seq) > v) GROUP BY page_id""",
+    "conversation_sections": """WITH n AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
+l AS (SELECT *, length(t) - length(replace(t, chr(10), '')) + 2 AS n FROM n),
+o AS (SELECT *, row_number() OVER w AS section, (sum(n) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS line_end FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role))
+SELECT conv_id, turn, role, section, line_end - n + 1 AS line_start, line_end, ceil((length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 4.0)::BIGINT AS tokens FROM o""",
+    "link_degrees": """WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+SELECT href, count(*) AS in_links, href IN (SELECT url FROM pages WHERE url IS NOT NULL) AS resolved FROM l GROUP BY href""",
+    "page_titles": """SELECT page_id, title, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug
+FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages)""",
+    "streamed_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+}

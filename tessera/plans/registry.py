@@ -5,11 +5,120 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.text import estimated_tokens, js_round
+from tessera.operators import confidence, graph, retrieval
+from tessera.sources import tables
+from tessera.streaming import ledger as stream
+
+from . import oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
+
+#: The time that reports are made for.
+NOW = "2024-02-01 00:00:00"
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+def _register(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@_register
+def bm25_search(spark, d):
+    return retrieval.search(tables.pages(spark, d), tables.queries(spark, d))
+
+
+@_register
+def hybrid_search(spark, d):
+    return retrieval.hybrid(tables.pages(spark, d), tables.queries(spark, d))
+
+
+@_register
+def ranked_search(spark, d):
+    """Hybrid scores with the confidence of the page's ledger: .55, .25, .10, .10; unknown pages have .7, .5 and .5."""
+    found = retrieval.hybrid(tables.pages(spark, d), tables.queries(spark, d), 30).drop("rank")
+    led = tables.ledger(spark, d)
+    known = confidence.state(led, _now()).select("page_id", F.col("score").alias("confidence")).join(confidence.freshness(led, _now()), "page_id")
+    rows = found.withColumn("page_id", tables.page_id(F.col("doc_id"))).join(known, "page_id", "left")
+    final = 0.55 * F.col("score") + 0.25 * F.coalesce("confidence", F.lit(0.7)) + 0.10 * F.coalesce("freshness", F.lit(0.5)) + 0.10 * F.coalesce("access_recency", F.lit(0.5))
+    rows = rows.select("item_id", "doc_id", js_round(final, 4).alias("final_score"))
+    return retrieval.top(rows, 10, "final_score")
+
+
+@_register
+def retrieval_eval(spark, d):
+    """Precision and recall at 10 against the documents that hold every term of the benchmark text."""
+    p = tables.pages(spark, d)
+    relevant = retrieval.bm25(p, tables.queries(spark, d, 6)).select("item_id", "doc_id")
+    return retrieval.evaluate(retrieval.search(p, tables.queries(spark, d)), relevant, 10)
+
+
+@_register
+def term_norms(spark, d):
+    return retrieval.norms(tables.pages(spark, d))
+
+
+@_register
+def content_hash(spark, d):
+    return tables.pages(spark, d).select("page_id", F.sha2("body", 256).alias("content_hash"), estimated_tokens(F.col("body")).cast("long").alias("tokens"))
+
+
+@_register
+def duplicate_pages(spark, d):
+    return graph.duplicates(tables.pages(spark, d))
+
+
+@_register
+def source_rollup(spark, d):
+    return graph.by_source(tables.pages(spark, d), tables.table(spark, d, "labels"))
+
+
+@_register
+def confidence_state(spark, d):
+    return confidence.state(tables.ledger(spark, d), _now())
+
+
+@_register
+def confidence_status(spark, d):
+    return confidence.status(confidence.state(tables.ledger(spark, d), _now()))
+
+
+@_register
+def page_freshness(spark, d):
+    return confidence.freshness(tables.ledger(spark, d), _now())
+
+
+@_register
+def active_contradictions(spark, d):
+    return confidence.contradictions(tables.ledger(spark, d))
+
+
+@_register
+def conversation_sections(spark, d):
+    return graph.section_lines(tables.sections(spark, d))
+
+
+@_register
+def link_degrees(spark, d):
+    return graph.degrees(tables.table(spark, d, "pages"))
+
+
+@_register
+def page_titles(spark, d):
+    return graph.titles(tables.table(spark, d, "pages"))
+
+
+@_register
+def streamed_daily_counts(spark, d):
+    return stream.daily_counts(spark, d)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the first registered query, until retrieval is registered."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    return ranked_search(spark, sf_dir)

@@ -1,0 +1,54 @@
+"""Readers: the tables as knowledge pages, ledger events, queries and sections."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def page_id(number: Column) -> Column:
+    return F.concat(F.lit("page_"), F.lpad(number.cast("string"), 12, "0"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages: page_id, doc_id, body, lang, source."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(page_id(F.col("doc_id")).alias("page_id"), "doc_id", F.coalesce("text", F.lit("")).alias("body"), "lang", "source")
+
+
+def queries(spark: SparkSession, sf_dir: str, words: int = 2) -> DataFrame:
+    """Benchmark texts as queries: item_id and the first distinct terms of each."""
+    from tessera.functions.text import terms
+
+    found = F.slice(F.array_distinct(terms(F.col("text"))), 1, words)
+    return table(spark, sf_dir, "benchmark").select("item_id", found.alias("terms"))
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as ledger lines of a page each: sources, human and machine verifications, contradictions, checkpoints."""
+    kind = F.col("event_type")
+    named = (
+        F.when(kind == "signup", "source_added")
+        .when(kind.isin("view", "purchase"), "verified")
+        .when(kind == "error", "contradicted_by")
+        .otherwise("decay_checkpoint")
+    )
+    return table(spark, sf_dir, "events").select(
+        page_id(F.col("user_id")).alias("page_id"),
+        F.col("event_id").alias("seq"),
+        "ts",
+        named.alias("kind"),
+        F.when(kind == "view", "ci:build").when(kind == "purchase", "human:reader").alias("actor_id"),
+        F.when(kind == "error", F.when(F.col("value") > 100, "major").otherwise("minor")).alias("severity"),
+        F.when(kind == "signup", F.concat(F.lit("src_"), (F.col("event_id") % 5).cast("string"))).alias("source_id"),
+        F.when(kind == "signup", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 500))).alias("source_weight"),
+    )
+
+
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation as a page with one headed section per turn."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
