@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows an Arrow batch holds: whole texts pass through Python, so a batch of very long ones must stay small.
 BATCH_ROWS = 1000
 
+#: Tasks that a hub of the links graph is dealt over.
+SALTS = 16
+
 #: Lower-cases A-Z, and nothing else.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -181,7 +184,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         mark = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # a hub's links are dealt over several tasks
+        salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        large = both.where("v > u").withColumn("salt", F.pmod("v", F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stored(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
