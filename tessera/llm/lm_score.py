@@ -28,7 +28,7 @@ from .common import MIX, WordHashes, bounded_batches, mixed, stored, texts
 #: Base of the counts' logarithm; bits and probes of a filter entry; weight of the base in a bigram's probability.
 BASE, BITS, PROBES, MU = 1.3, 12, 6, 4.0
 #: Bytes of the filter that are broadcast at a time; bytes of text in a part.
-FILTER_BYTES, PART_BYTES = 64 << 20, 8 << 20
+FILTER_BYTES, PART_BYTES = 64 << 20, 4 << 20
 BEGIN, STOP = np.uint64(0x5BE0CD19137E2179), np.uint64(0x1F83D9ABFB41BD6B)
 
 LEVELS = 150
