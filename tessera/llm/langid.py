@@ -28,7 +28,9 @@ FILTERS = 16
 EMBED = 8
 #: Bound of the training sample: rows, and windows of WINDOW characters taken from each.
 TRAIN_ROWS, TRAIN_WINDOWS = 4000, 3
-EPOCHS, BATCH, RATE = 6, 128, 0.01
+BATCH, RATE = 128, 0.01
+#: Training steps, whatever the sample's size: a small sample is gone through more often.
+STEPS = 564
 #: Windows that one matrix product scores.
 BLOCK = 512
 UNKNOWN = "und"
@@ -140,7 +142,7 @@ def train(samples: list[tuple[str, bytes]], seed: int = 7) -> ByteCNN | None:
     y = np.array([index[lang] for lang, _ in samples])
     model, r = ByteCNN.start(langs, seed), np.random.default_rng(seed)
     mean, square, step = [np.zeros_like(p) for p in model.params()], [np.zeros_like(p) for p in model.params()], 0
-    for _ in range(EPOCHS if len(langs) > 1 else 0):
+    while step < STEPS and len(langs) > 1:
         order = r.permutation(len(y))
         for k in range(0, len(order), BATCH):
             pick = order[k : k + BATCH]
