@@ -28,6 +28,8 @@ FILTERS = 16
 EMBED = 8
 #: Bound of the training sample: rows, and windows of WINDOW characters taken from each.
 TRAIN_ROWS, TRAIN_WINDOWS = 4000, 3
+#: Rows considered for the sample per row taken.
+OVER = 2
 BATCH, RATE = 128, 0.01
 #: Training steps, whatever the sample's size: a small sample is gone through more often.
 STEPS = 564
@@ -163,8 +165,15 @@ def training_sample(labelled: DataFrame, text: str, lang: str, key: str) -> list
     room = F.greatest(F.length(text) - WINDOW, F.lit(1))
     cut = [F.substring(F.col(text), (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(i)), room) + 1).cast("int"), F.lit(WINDOW)) for i in range(TRAIN_WINDOWS)]
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(h.alias("h"), F.col(lang).cast("string").alias("lang"), *[c.alias(f"w{i}") for i, c in enumerate(cut)])
-    rows = rows.orderBy("h", "lang", *[f"w{i}" for i in range(TRAIN_WINDOWS)]).limit(TRAIN_ROWS)
-    return [(r["lang"], r[f"w{i}"].encode()) for r in rows.collect() for i in range(TRAIN_WINDOWS)]
+    by = ["h", "lang", *[f"w{i}" for i in range(TRAIN_WINDOWS)]]
+    # a top-k sends k rows of each partition to the driver: only hashes below a bound take part, about OVER * TRAIN_ROWS rows in all
+    below = OVER * TRAIN_ROWS / max(1, labelled.where(F.col(lang).isNotNull()).count())
+    while True:
+        part = rows.where(F.col("h") < F.lit(int(below * 2**64) - 2**63)) if below < 1 else rows
+        found = part.orderBy(*by).limit(TRAIN_ROWS).collect()
+        if len(found) == TRAIN_ROWS or below >= 1:
+            return [(r["lang"], r[f"w{i}"].encode()) for r in found for i in range(TRAIN_WINDOWS)]
+        below *= 8
 
 
 def predict_texts(model: ByteCNN | None, column: pa.Array) -> tuple[list[str], np.ndarray]:

@@ -67,3 +67,12 @@ def test_gradients_equal_finite_differences():
         low = loss()
         p[spot] = old
         assert abs((high - low) / (2 * step) - g[spot]) < 0.05 * max(abs(g[spot]), 0.02)
+
+
+def test_sample_is_the_rows_of_smallest_hash(spark, monkeypatch):
+    rows = [(k % 40, f"text number {k} of many", "en" if k % 3 else None) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 100)
+    found = langid.training_sample(docs, "text", "lang", "doc_id")
+    monkeypatch.setattr(langid, "OVER", 10**9)
+    assert found == langid.training_sample(docs, "text", "lang", "doc_id") and len(found) == 300
