@@ -273,6 +273,10 @@ class _Part:
         a, d = anchor[order], doc[order]
         several = np.unique(a[1:][(a[1:] == a[:-1]) & (d[1:] != d[:-1])])  # in two documents of this part
         picked = np.flatnonzero(np.isin(anchor, np.union1d(flagged, several)))
+        # numbers must not depend on the order of rows, which may differ when a part is read again: one row has each digest here
+        rank = np.zeros(len(self.keys), np.int64)
+        rank[sorted(self.same.values(), key=lambda i: self.digest[i])] = np.arange(len(self.same))
+        picked = picked[np.argsort(rank[doc[picked]], kind="stable")]
         whole = self.raw.tobytes()
         number: dict[bytes, int] = {}
         stop = (end[picked] + self.size).tolist()
