@@ -21,6 +21,33 @@ hits AS (
 bm AS (SELECT * FROM hits WHERE got = wanted)"""
 
 
+def _any_term(words: int | None) -> str:
+    """All pages that share a term with the query: of its first distinct terms, or of all its terms as often as they occur."""
+    pick = f"SELECT item_id, term, 1 AS qtf FROM q2 WHERE r <= {words}" if words else "SELECT item_id, term, qtf FROM q2"
+    return f"""
+q0 AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM benchmark),
+q1 AS (SELECT item_id, u.term, min(u.k) AS k, count(*) AS qtf FROM q0, unnest(t) WITH ORDINALITY AS u(term, k) GROUP BY item_id, u.term),
+q2 AS (SELECT item_id, term, qtf, row_number() OVER (PARTITION BY item_id ORDER BY k) AS r FROM q1),
+q3 AS ({pick}),
+q AS (SELECT item_id, term, qtf, count(*) OVER (PARTITION BY item_id) AS wanted, sqrt(sum(qtf * qtf) OVER (PARTITION BY item_id)) AS qnorm FROM q3),
+tok AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+size AS (SELECT doc_id, len(t) AS dl FROM tok),
+stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM size),
+post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY doc_id, term),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+hits AS (
+  SELECT q.item_id, p.doc_id, q.wanted, q.qnorm, sum(qtf * CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5) / (df + 0.5)) END
+    * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, sum(qtf * tf)::BIGINT AS dot, count(*) AS got
+  FROM q JOIN post p USING (term) JOIN dfs USING (term) JOIN size s ON s.doc_id = p.doc_id CROSS JOIN stats GROUP BY q.item_id, p.doc_id, q.wanted, q.qnorm),
+bm AS (SELECT * FROM hits WHERE got = wanted),
+best AS (SELECT item_id, max(score) AS best FROM bm GROUP BY item_id),
+norm AS (SELECT doc_id, sqrt(sum(tf * tf)) AS norm FROM post GROUP BY doc_id),
+both_of AS (SELECT item_id, doc_id, CASE WHEN got = wanted THEN floor(least(1, greatest(0, score / best)) * 1e3 + 0.5) / 1e3 ELSE 0::DOUBLE END AS bm25,
+  floor(least(1, greatest(0, dot / (norm * qnorm))) * 1e3 + 0.5) / 1e3 AS cosine FROM hits LEFT JOIN best USING (item_id) JOIN norm USING (doc_id)),
+mix AS (SELECT * FROM (SELECT *, floor((0.65::DOUBLE * bm25 + 0.35::DOUBLE * cosine) * 1e3 + 0.5) / 1e3 AS score FROM both_of) WHERE score > 0),
+hybrid AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM mix)"""
+
+
 _SEARCH = """
 found AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, floor(score * 1e6 + 0.5) / 1e6 AS score FROM bm))"""
 
@@ -53,6 +80,7 @@ fresh AS (SELECT page_id, floor(exp(-d / 180) * 1e4 + 0.5) / 1e4 AS freshness, f
 ORACLES = {
     "bm25_search": f"WITH {_bm25(2)}, {_SEARCH} SELECT item_id, doc_id, score, rank FROM found WHERE rank <= 10",
     "hybrid_search": f"WITH {_bm25(2)}, {_HYBRID} SELECT item_id, doc_id, bm25, cosine, score, rank FROM hybrid WHERE rank <= 10",
+    "hybrid_any_term": f"WITH {_any_term(2)} SELECT item_id, doc_id, bm25, cosine, score, rank FROM hybrid WHERE rank <= 10",
     "ranked_search": f"""WITH {_bm25(2)}, {_HYBRID}, {_LEDGER},
 fin AS (SELECT item_id, doc_id, floor((0.55::DOUBLE * h.score + 0.25::DOUBLE * coalesce(st.score, 0.7) + 0.10::DOUBLE * coalesce(freshness, 0.5) + 0.10::DOUBLE * coalesce(access_recency, 0.5)) * 1e4 + 0.5) / 1e4 AS final_score
   FROM hybrid h LEFT JOIN state st ON st.page_id = 'page_' || lpad(h.doc_id::VARCHAR, 12, '0') LEFT JOIN fresh f ON f.page_id = st.page_id WHERE h.rank <= 30)

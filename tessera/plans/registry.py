@@ -40,6 +40,13 @@ def hybrid_search(spark, d):
     return retrieval.hybrid(tables.pages(spark, d), tables.queries(spark, d))
 
 
+@_register
+def hybrid_any_term(spark, d):
+    """hybrid_search with the pages that hold only some of the terms."""
+    found = retrieval.hybrid_all(tables.pages(spark, d), tables.queries(spark, d))
+    return retrieval.top(found, 10).select("item_id", "doc_id", "bm25", "cosine", "score", "rank")
+
+
 @_register
 def ranked_search(spark, d):
     """Hybrid scores with the confidence of the page's ledger: .55, .25, .10, .10; unknown pages have .7, .5 and .5."""
