@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clamp01, js_round, terms
@@ -67,11 +67,8 @@ def hybrid(pages: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return top(both.withColumn("score", js_round(0.65 * F.col("bm25") + 0.35 * F.col("cosine"), 3)), k).select("item_id", "doc_id", "bm25", "cosine", "score", "rank")
 
 
-def matches(pages: DataFrame, queries: DataFrame) -> DataFrame:
-    """(item_id, doc_id, bm25, cosine) of every page that shares a term with the query; terms that repeat in a query count as often.
-
-    bm25 is relative to the query's best, and 0 without all of its terms.
-    """
+def _asked(pages: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item_id, term, qtf, wanted, qnorm, idf, avgdl, rarest) of the queries' terms that a page has; the terms asked for."""
     counted = queries.select("item_id", F.explode("terms").alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
     sizes = counted.groupBy("item_id").agg(F.count("*").alias("wanted"), F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
     known = F.broadcast(counted.select("term", F.lit(True).alias("known")).distinct())
@@ -80,20 +77,46 @@ def matches(pages: DataFrame, queries: DataFrame) -> DataFrame:
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
     rarest = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "term")) == 1
-    asked = counted.join(df, "term").join(sizes, "item_id").crossJoin(F.broadcast(stats)).select("item_id", "term", "qtf", "wanted", "qnorm", idf.alias("idf"), "avgdl", rarest.alias("rarest"))
-    # a page's terms are counted where the page is: its text alone is shuffled, and the scores of a page need no other exchange
+    asked = counted.join(df, "term").join(sizes, "item_id").crossJoin(F.broadcast(stats))
+    return asked.select("item_id", "term", "qtf", "wanted", "qnorm", idf.alias("idf"), "avgdl", rarest.alias("rarest")), known
+
+
+def _page_hits(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, norm, dl, hits): a page's terms are counted where the page is, so its text alone is shuffled."""
     counts = pages.select("doc_id", "body").repartition("doc_id").select("doc_id", F.explode(terms(F.col("body"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    page = counts.join(known, "term", "left").groupBy("doc_id").agg(
+    return counts.join(known, "term", "left").groupBy("doc_id").agg(
         F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"), F.sum("tf").alias("dl"), F.collect_list(F.when(F.col("known"), F.struct("term", "tf"))).alias("hits")
     )
+
+
+def _score() -> Column:
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    score = F.when(F.count("*") == F.max("wanted"), F.sum(part))
-    # only a page with the query's rarest term can have all of them, so the best score needs few pages
+    return F.when(F.count("*") == F.max("wanted"), F.sum(part))
+
+
+def _full(page: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item_id, doc_id, score) of pages with every term; only those with the query's rarest term are looked at."""
     likely = page.select("doc_id", "dl", "hits", F.explode("hits.term").alias("term")).join(F.broadcast(asked.where("rarest").select("item_id", "term")), "term").drop("term")
-    full = likely.select("item_id", "doc_id", "dl", F.inline("hits")).join(F.broadcast(asked), ["item_id", "term"]).groupBy("item_id", "doc_id").agg(score.alias("score"))
-    best = full.groupBy("item_id").agg(F.max("score").alias("best"))
+    rows = likely.select("item_id", "doc_id", "dl", F.inline("hits")).join(F.broadcast(asked), ["item_id", "term"])
+    return rows.groupBy("item_id", "doc_id").agg(_score().alias("score")).where("score is not null")
+
+
+def bm25_all(pages: DataFrame, queries: DataFrame) -> DataFrame:
+    """(item_id, doc_id, score) of pages with every term; a term that repeats in the query counts as often."""
+    asked, known = _asked(pages, queries)
+    return _full(_page_hits(pages, known), asked)
+
+
+def matches(pages: DataFrame, queries: DataFrame) -> DataFrame:
+    """(item_id, doc_id, bm25, cosine) of every page that shares a term with the query; terms that repeat in a query count as often.
+
+    bm25 is relative to the query's best, and 0 without all of its terms.
+    """
+    asked, known = _asked(pages, queries)
+    page = _page_hits(pages, known)
+    best = _full(page, asked).groupBy("item_id").agg(F.max("score").alias("best"))
     rows = page.select("doc_id", "norm", "dl", F.inline("hits")).join(F.broadcast(asked), "term").groupBy("item_id", "doc_id")
-    found = rows.agg(score.alias("score"), F.sum(F.col("qtf") * F.col("tf")).alias("dot"), F.max("norm").alias("norm"), F.max("qnorm").alias("qnorm")).join(F.broadcast(best), "item_id", "left")
+    found = rows.agg(_score().alias("score"), F.sum(F.col("qtf") * F.col("tf")).alias("dot"), F.max("norm").alias("norm"), F.max("qnorm").alias("qnorm")).join(F.broadcast(best), "item_id", "left")
     relative = js_round(clamp01(F.coalesce(F.col("score") / F.col("best"), F.lit(0.0))), 3)
     return found.select("item_id", "doc_id", relative.alias("bm25"), js_round(clamp01(F.col("dot") / (F.col("norm") * F.col("qnorm"))), 3).alias("cosine"))
 

@@ -88,6 +88,12 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final_
     "retrieval_eval": f"""WITH rel AS (WITH {_bm25(6)} SELECT item_id, doc_id FROM bm), {_bm25(2)}, {_SEARCH},
 h AS (SELECT item_id, count(*) AS hits FROM found JOIN rel USING (item_id, doc_id) WHERE rank <= 10 GROUP BY item_id),
 n AS (SELECT item_id, count(*) AS relevant FROM rel GROUP BY item_id)
+SELECT item_id, relevant, coalesce(hits, 0) AS hits, floor(coalesce(hits, 0) / 10 * 1e4 + 0.5) / 1e4 AS precision, floor(coalesce(hits, 0) / relevant * 1e4 + 0.5) / 1e4 AS recall FROM n LEFT JOIN h USING (item_id)""",
+    "bm25_whole_text": f"WITH {_any_term(None)}, {_SEARCH} SELECT item_id, doc_id, score, rank FROM found WHERE rank <= 10",
+    "hybrid_whole_text": f"WITH {_any_term(None)} SELECT item_id, doc_id, bm25, cosine, score, rank FROM hybrid WHERE rank <= 10",
+    "retrieval_eval_whole_text": f"""WITH rel AS (WITH {_any_term(None)} SELECT item_id, doc_id FROM bm), {_bm25(2)}, {_SEARCH},
+h AS (SELECT item_id, count(*) AS hits FROM found JOIN rel USING (item_id, doc_id) WHERE rank <= 10 GROUP BY item_id),
+n AS (SELECT item_id, count(*) AS relevant FROM rel GROUP BY item_id)
 SELECT item_id, relevant, coalesce(hits, 0) AS hits, floor(coalesce(hits, 0) / 10 * 1e4 + 0.5) / 1e4 AS precision, floor(coalesce(hits, 0) / relevant * 1e4 + 0.5) / 1e4 AS recall FROM n LEFT JOIN h USING (item_id)""",
     "term_norms": f"""WITH post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY doc_id, term)
 SELECT doc_id, count(*) AS n_terms, floor(sqrt(sum(tf * tf)) * 1e4 + 0.5) / 1e4 AS norm FROM post GROUP BY doc_id""",

@@ -61,12 +61,34 @@ def ranked_search(spark, d):
 
 @_register
 def retrieval_eval(spark, d):
-    """Precision and recall at 10 against the documents that hold every term of the benchmark text."""
+    """Precision and recall at 10 against the documents that hold the first six distinct terms of the benchmark text."""
     p = tables.pages(spark, d)
     relevant = retrieval.bm25(p, tables.queries(spark, d, 6)).select("item_id", "doc_id")
     return retrieval.evaluate(retrieval.search(p, tables.queries(spark, d)), relevant, 10)
 
 
+@_register
+def bm25_whole_text(spark, d):
+    """bm25_search with every term of the benchmark text."""
+    found = retrieval.bm25_all(tables.pages(spark, d), tables.query_texts(spark, d)).withColumn("score", js_round(F.col("score"), 6))
+    return retrieval.top(found, 10).select("item_id", "doc_id", "score", "rank")
+
+
+@_register
+def hybrid_whole_text(spark, d):
+    """hybrid_any_term with every term of the benchmark text."""
+    found = retrieval.hybrid_all(tables.pages(spark, d), tables.query_texts(spark, d))
+    return retrieval.top(found, 10).select("item_id", "doc_id", "bm25", "cosine", "score", "rank")
+
+
+@_register
+def retrieval_eval_whole_text(spark, d):
+    """Precision and recall at 10 of the two-term queries against the documents that hold every term of the benchmark text."""
+    p = tables.pages(spark, d)
+    relevant = retrieval.bm25_all(p, tables.query_texts(spark, d)).select("item_id", "doc_id")
+    return retrieval.evaluate(retrieval.search(p, tables.queries(spark, d)), relevant, 10)
+
+
 @_register
 def term_norms(spark, d):
     return retrieval.norms(tables.pages(spark, d))

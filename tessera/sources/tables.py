@@ -28,6 +28,13 @@ def queries(spark: SparkSession, sf_dir: str, words: int = 2) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", found.alias("terms"))
 
 
+def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole benchmark texts as queries: item_id and all terms, as often as they occur."""
+    from tessera.functions.text import terms
+
+    return table(spark, sf_dir, "benchmark").select("item_id", terms(F.col("text")).alias("terms"))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as ledger lines of a page each: sources, human and machine verifications, contradictions, checkpoints."""
     kind = F.col("event_type")
