@@ -84,6 +84,10 @@ ORACLES = {
     "ranked_search": f"""WITH {_bm25(2)}, {_HYBRID}, {_LEDGER},
 fin AS (SELECT item_id, doc_id, floor((0.55::DOUBLE * h.score + 0.25::DOUBLE * coalesce(st.score, 0.7) + 0.10::DOUBLE * coalesce(freshness, 0.5) + 0.10::DOUBLE * coalesce(access_recency, 0.5)) * 1e4 + 0.5) / 1e4 AS final_score
   FROM hybrid h LEFT JOIN state st ON st.page_id = 'page_' || lpad(h.doc_id::VARCHAR, 12, '0') LEFT JOIN fresh f ON f.page_id = st.page_id WHERE h.rank <= 30)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final_score DESC, doc_id) AS rank FROM fin) WHERE rank <= 10""",
+    "ranked_whole_text": f"""WITH {_any_term(None)}, {_LEDGER},
+fin AS (SELECT item_id, doc_id, floor((0.55::DOUBLE * h.score + 0.25::DOUBLE * coalesce(st.score, 0.7) + 0.10::DOUBLE * coalesce(freshness, 0.5) + 0.10::DOUBLE * coalesce(access_recency, 0.5)) * 1e4 + 0.5) / 1e4 AS final_score
+  FROM hybrid h LEFT JOIN state st ON st.page_id = 'page_' || lpad(h.doc_id::VARCHAR, 12, '0') LEFT JOIN fresh f ON f.page_id = st.page_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final_score DESC, doc_id) AS rank FROM fin) WHERE rank <= 10""",
     "retrieval_eval": f"""WITH rel AS (WITH {_bm25(6)} SELECT item_id, doc_id FROM bm), {_bm25(2)}, {_SEARCH},
 h AS (SELECT item_id, count(*) AS hits FROM found JOIN rel USING (item_id, doc_id) WHERE rank <= 10 GROUP BY item_id),
