@@ -11,42 +11,62 @@ from tessera.functions.text import clamp01, days_between, js_round
 START, MAJOR, MINOR, MOST_PENALTY, MOST_BOOST, SCALE, HALF_LIFE, CEILING = 0.25, 0.35, 0.10, 0.6, 0.25, 1.5, 120.0, 0.30
 #: Boost and days between resets of a human and of a CI verification; days a boost lasts.
 HUMAN_BOOST, CI_BOOST, CI_DAYS, BOOST_DAYS = 0.05, 0.02, 14, 30
+#: Penalty of a superseded page and the most that its score can be.
+SUPERSEDED, SUPERSEDED_MOST = 0.6, 0.3
+#: Half-life in days and ceiling of decay by type of page; other types decay as a note.
+PROFILES = {"decision": (365.0, 0.15), "architecture": (180.0, 0.20), "module": (90.0, 0.30), "concept": (730.0, 0.10), "runbook": (60.0, 0.40), "api": (60.0, 0.40), "meeting": (30.0, 0.50)}
 _DAY = 86_400_000_000
 
 
-def state(ledger: DataFrame, now: Column) -> DataFrame:
-    """Per page: score, its parts, counts, last_verified_at and the anchor of decay, as seconds."""
+def state(ledger: DataFrame, now: Column, page_types: DataFrame | None = None) -> DataFrame:
+    """Per page: score, its parts, counts, last_verified_at and the anchor of decay, as seconds.
+
+    A ledger with overrides has a column new_base. page_types has (page_id, page_type); without it all pages are notes.
+    """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     verified, ci = F.col("kind") == "verified", F.col("actor_id").startswith("ci:")
-    # sources: the last weight of each, then their sum
+    # sources: the last weight of each that was not removed since, then their sum
+    last = F.max_by(F.struct((F.col("kind") == "source_added").alias("there"), F.col("source_weight").alias("w")), F.struct("ts", "seq"))
     weights = (
-        ledger.where("kind = 'source_added'").groupBy("page_id", "source_id").agg(F.max_by("source_weight", F.struct("ts", "seq")).alias("w"))
+        ledger.where("kind in ('source_added', 'source_removed')").groupBy("page_id", "source_id").agg(last.alias("last")).where("last.there").select("page_id", "last.w")
         .groupBy("page_id").agg(F.sum("w").alias("weight"), F.count("*").alias("source_count"))
     )
     # a CI verification resets the anchor only when the last one that did is old enough; one time per value is enough
     times = ledger.where(verified & ci).select("page_id", at.alias("at")).distinct().groupBy("page_id").agg(F.array_sort(F.collect_list("at")).alias("times"))
     last_ci = times.select("page_id", F.aggregate("times", F.lit(None).cast("long"), lambda a, x: F.when(a.isNull() | (x - a >= CI_DAYS * _DAY), x).otherwise(a)).alias("last_ci"))
     fresh = verified & (days_between(F.col("ts"), now) <= BOOST_DAYS)
+    overrides = F.col("kind") == "manual_override"
+    base = F.max_by("new_base", F.when(overrides, F.struct("ts", "seq"))) if "new_base" in ledger.columns else F.lit(None).cast("double")
     sums = ledger.groupBy("page_id").agg(
         F.max(F.when(verified & ~ci, at)).alias("last_human"),
-        F.max(F.when(F.col("kind").isin("contradicted_by", "decay_checkpoint"), at)).alias("last_other"),
+        F.max(F.when(~F.col("kind").isin("source_added", "source_removed", "verified"), at)).alias("last_other"),
         F.max(at).alias("last_event"),
         F.count_if(F.col("severity") == "major").alias("majors"),
         F.count_if(F.col("severity") == "minor").alias("minors"),
         F.count_if(fresh & ~ci).alias("humans"),
         F.count_if(fresh & ci).alias("machines"),
+        F.count_if(F.col("kind") == "superseded_by").alias("superseded"),
+        base.alias("base"),
     )
     all_of = sums.join(weights, "page_id", "left").join(last_ci, "page_id", "left")
+    half_life, ceiling = F.lit(HALF_LIFE), F.lit(CEILING)
+    if page_types is not None:
+        all_of = all_of.join(page_types.select("page_id", "page_type"), "page_id", "left")
+        for name, (days, most) in PROFILES.items():
+            half_life = F.when(F.col("page_type") == name, days).otherwise(half_life)
+            ceiling = F.when(F.col("page_type") == name, most).otherwise(ceiling)
     anchor = F.coalesce(F.greatest("last_human", "last_ci", "last_other"), F.col("last_event"))
     age = F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - anchor) / F.lit(float(_DAY)))
     strength = 1 - F.exp(-F.coalesce("weight", F.lit(0.0)) / SCALE)
-    penalty = F.least(F.lit(MOST_PENALTY), F.col("majors") * MAJOR + F.col("minors") * MINOR)
+    penalty = F.least(F.lit(MOST_PENALTY), F.col("majors") * MAJOR + F.col("minors") * MINOR + F.col("superseded") * SUPERSEDED)
     boost = F.least(F.lit(MOST_BOOST), F.col("humans") * HUMAN_BOOST + F.col("machines") * CI_BOOST)
-    decay = (1 - F.pow(F.lit(2.0), -age / HALF_LIFE)) * CEILING
+    decay = (1 - F.pow(F.lit(2.0), -age / half_life)) * ceiling
     seconds = lambda c: F.floor(c / 1_000_000).cast("long")
+    score = clamp01(F.coalesce("base", F.lit(START)) + strength - penalty - decay + boost)
+    score = F.when(F.col("superseded") > 0, F.least(score, F.lit(SUPERSEDED_MOST))).otherwise(score)
     return all_of.select(
         "page_id",
-        js_round(clamp01(START + strength - penalty - decay + boost), 4).alias("score"),
+        js_round(score, 4).alias("score"),
         js_round(strength, 4).alias("source_strength"),
         js_round(penalty, 4).alias("contradiction_penalty"),
         js_round(decay, 4).alias("time_decay"),

@@ -1,0 +1,36 @@
+"""The ledger's fold on kinds of events that the tables never make."""
+
+import datetime
+
+from pyspark.sql import functions as F
+
+from tessera.operators import confidence
+
+COLUMNS = "page_id string, seq long, ts timestamp_ntz, kind string, actor_id string, severity string, source_id string, source_weight double, new_base double"
+NOW = datetime.datetime(2024, 2, 1)
+
+
+def line(page, seq, kind, source=None, weight=None, base=None):
+    return (page, seq, NOW, kind, None, None, source, weight, base)
+
+
+def states(spark, rows, types=None):
+    found = confidence.state(spark.createDataFrame(rows, COLUMNS), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), types)
+    return {r["page_id"]: r for r in found.collect()}
+
+
+def test_removed_sources_overrides_and_superseded_pages(spark):
+    rows = [line("gone", 1, "source_added", "a", 1.0), line("gone", 2, "source_removed", "a")]
+    rows += [line("back", 1, "source_added", "a", 1.0), line("back", 2, "source_removed", "a"), line("back", 3, "source_added", "a", 0.0)]
+    rows += [line("set", 1, "manual_override", base=0.9), line("set", 2, "manual_override", base=0.4)]
+    rows += [line("old", 1, "manual_override", base=1.0), line("old", 2, "source_added", "a", 1.5), line("old", 3, "superseded_by")]
+    found = states(spark, rows)
+    assert {p: (r["score"], r["source_count"], r["contradiction_penalty"]) for p, r in found.items()} == {
+        "gone": (0.25, 0, 0.0), "back": (0.25, 1, 0.0), "set": (0.4, 0, 0.0), "old": (0.3, 1, 0.6),
+    }
+
+
+def test_decay_by_type_of_page(spark):
+    rows = [(p, 1, NOW - datetime.timedelta(days=60), "decay_checkpoint", None, None, None, None, None) for p in ("run", "note")]
+    found = states(spark, rows, spark.createDataFrame([("run", "runbook"), ("note", "note")], "page_id string, page_type string"))
+    assert (found["run"]["time_decay"], found["note"]["time_decay"]) == (0.2, 0.0879)
