@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -14,9 +13,6 @@ from pyspark.sql import functions as F
 #: Rows an Arrow batch holds: whole texts pass through Python, so a batch of very long ones must stay small.
 BATCH_ROWS = 1000
 
-#: Tasks that a hub of the links graph is dealt over.
-SALTS = 16
-
 #: Lower-cases A-Z, and nothing else.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -184,9 +180,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         mark = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # a hub's links are dealt over several tasks
-        salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        large = both.where("v > u").withColumn("salt", F.pmod("v", F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # a hub's links may fill a task: the join's large partitions are split at run time (adaptive skew join)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stored(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
@@ -194,8 +189,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         now = new
 
 
-#: Lower-cases A-Z and makes every white space a blank.
-_PLAIN = bytes(32 if c in SPACES else LOWER[c] for c in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -206,18 +199,64 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of a text's words, lower-cased in A-Z; each distinct word is hashed once and remembered."""
+#: An odd factor and its inverse modulo 2**64; a random 64-bit value for each byte, the same for a letter of A-Z and its lower case.
+_FACTOR = 0xD1342543DE82EF95
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * MIX)[np.frombuffer(LOWER, np.uint8)]
+_SPACE = np.isin(np.arange(256), list(SPACES))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the factor and of its inverse, at least n of each."""
+    if len(_POWERS[0]) < n:
+        for k, x in enumerate((_FACTOR, _INVERSE)):
+            steps = np.full(max(n, 1 << 20), x, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps)
+    return _POWERS
 
-    def __init__(self):
-        self.seen: dict[bytes, int] = {}
 
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = text.translate(_PLAIN).split(b" ") if text else []
-        words = [w for w in words if w]
-        seen = self.seen
-        if len(seen) > 500_000:
-            seen.clear()
-        for w in set(words).difference(seen):
-            seen[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+def hash_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+`, lower-cased in A-Z, of texts that lie one after another; each text's first word.
+
+    A word's hash is the sum of its bytes' values times powers of the factor, from sums over the whole block.
+    """
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    up, down = _powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUE[raw] * up[:n], out=sums[1:])
+    space = _SPACE[raw]
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    before = np.concatenate([[True], space[:-1]]) | edge[:-1]
+    after = np.concatenate([space[1:], [True]]) | edge[1:]
+    start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * MIX), np.searchsorted(start, at)
+
+
+def word_blocks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Word hashes of texts, in blocks of about `limit` bytes: (first text, text after the last, hashes, each text's first word)."""
+    raw, at, _ = utf8(column)
+    k, n = 0, len(at) - 1
+    while k < n:
+        j = max(k + 1, int(np.searchsorted(at, at[k] + limit, side="right")) - 1)
+        yield k, j, *hash_words(raw[at[k] : at[j]], at[k : j + 1] - at[k])
+        k = j
+
+
+def tasks_for(df: DataFrame, each: int) -> int:
+    """Tasks of about `each` bytes by the plan's estimate of the table, and no fewer than the session's shuffle partitions."""
+    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if size >= 1 << 56 else max(least, -(-size // each))  # a plan without an estimate says 2**63
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,23 +1,32 @@
 """Exact Jaccard join of word-shingle sets over a token-group matrix.
 
 A document's set holds its distinct shingles of `width` words, as 64-bit hashes; fewer words are one shingle. Two
-documents link when PERCENT * |union| <= 100 * |intersection|. Documents with equal sets are one class.
-
-1. Sets are cut by hash into k parts, more than the number of elements in which linked sets of that size may differ,
-   so linked sets agree on a part. Each class sends its parts' hashes, packed, to where equal ones meet; what meets
-   is joined to the smallest class there (no pairs are made), and connected classes are one candidate group of
-   similar documents. A part without elements is sent only where so many are empty that they could be all the
-   agreement there is.
-2. A candidate group is cut into chunks of CHUNK classes. In a chunk documents are taken one by one; each partition
-   of similar documents found so far has its token union as a row of the matrix. How much of a document's set lies in
-   that union bounds its overlap with every member, so only partitions that reach the bound are opened, and their
-   members are compared exactly until one links.
-3. A group of several chunks then compares one document per partition over the whole group, and, where that has not
-   made the group one component, all pairs of its chunks.
+documents link when PERCENT * |union| <= 100 * |intersection|. Documents with equal sets are one class, numbered by 64
+bits of the set's digest; a table with two sets of one number (their other 64 bits tell) is numbered anew.
+
+1. Partitions of similar documents: sets are cut by hash into k parts, more than the number of elements in which linked
+   sets of that size may differ, so linked sets agree on a part. Each class sends its parts' hashes, packed, to where
+   equal ones meet; what meets is joined to the smallest class there (no pairs are made), and connected classes are one
+   group, outside which no set reaches the bound. A part without elements is sent only where so many are empty that
+   they could be all the agreement there is.
+2. A group is cut into chunks of about CHUNK shingles. In a chunk documents are taken one by one; each partition found
+   so far has its token union as a row of the matrix. Of a set that reaches the bound on a row, one of any
+   |set| - need + 1 tokens lies in that row, so the rarest tokens name the rows to look at; how much of the set lies in
+   a row's union bounds its overlap with every member, and only partitions that reach the bound are opened, their
+   members compared exactly until one links.
+3. In a group of several chunks one document per partition is compared with the others of its group in rounds, while
+   that at least halves their number. A link that is still missing joins two partitions, one end lies outside the
+   largest partition, and that end overlaps with the unions of its group's other partitions by what a link needs: only
+   documents that reach this bound are compared, in chunks, with each chunk of their group.
+
+Texts are shingled in one pass that gives set sizes, numbers and parts together, and travel once more for those in a
+group. The number of tasks follows the table's size.
 
 Cases: null, empty and word-free texts have an empty set and link with nothing; repeated rows and equal texts share a
-class; ties and very long texts are nothing special; an empty table gives no rows; extra columns are ignored by
-clusters() and kept by drop_near_duplicates(). Rows with a null key are clustered under no key and dropped from pairs.
+class; rows that share a key with different texts are compared each, and may be of different components; ties and very
+long texts are nothing special; an empty table gives no rows; extra columns, also of clashing names, are ignored by
+clusters() and kept by drop_near_duplicates(). A row with a null key has the component of equal sets with a key, else
+null, and is never compared or dropped.
 """
 
 from __future__ import annotations
@@ -27,57 +36,66 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHashes, bounded_batches, components, mixed, stored, texts
+from .common import MIX, bounded_batches, components, discard, local_forest, mixed, stored, tasks_for, unused, word_blocks
 
 PERCENT, WIDTH = 85, 4
-#: Classes that one task of the matrix compares.
-CHUNK = 1024
-
-
-class Shingler:
-    """Shingle sets of texts."""
-
-    def __init__(self, width: int = WIDTH):
-        self.width, self.words = width, WordHashes()
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        h = self.words(text)
-        if not len(h):
-            return np.zeros(0, np.uint64)
-        w = min(self.width, len(h))
-        n = len(h) - w + 1
-        out = np.full(n, w, np.uint64)
-        for i in range(w):
-            out = mixed(out * MIX + h[i : i + n])
-        return np.unique(out)
-
-
-def bands_of(n: int, percent: int) -> list[int]:
-    """The size band of a set and the next one: of two sets that may link, one's own band is one of both."""
-    own = int(math.floor(math.log(n) / math.log(100 / percent) + 1e-9))
-    return [own, own + 1]
-
-
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the parts that any linked set shares one of."""
-    out = []
-    for band in bands_of(len(s), percent):
+#: Shingles that one task of the matrix holds of a group, but for a larger single set.
+CHUNK = 1 << 17
+#: Bytes of the table for a task; part hashes that a task packs at a time.
+TASK_BYTES, PACKED = 8 << 20, 1 << 21
+
+
+def shingle_sets(column: pa.Array | pa.ChunkedArray, width: int = WIDTH) -> Iterator[list[np.ndarray]]:
+    """The sorted distinct shingles of each text, some texts at a time."""
+    for _, _, words, at in word_blocks(column):
+        m = max(0, len(words) - width + 1)
+        whole = np.full(m, width, np.uint64)
+        for i in range(width):
+            whole = mixed(whole * MIX + words[i : i + m])
+        out = []
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if y - x >= width:
+                out.append(np.unique(whole[x : y - width + 1]))
+            else:
+                h = np.full(min(1, y - x), y - x, np.uint64)
+                for i in range(x, y):
+                    h = mixed(h * MIX + words[i])
+                out.append(h)
+        yield out
+
+
+def number(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """A set's class, and as many bits more."""
+    return tuple(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16, key=b"%d" % seed).digest(), np.int64).tolist())
+
+
+def part_hashes(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the parts that any linked set shares one of, and whose they are; the sets have elements."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    high, element = flat >> np.uint64(32), mixed(flat + MIX)
+    own = np.floor(np.log(np.maximum(sizes, 1)) / math.log(100 / percent) + 1e-9).astype(np.int64)
+    found, whose = [], []
+    for band in (own, own + 1):  # of two sets that may link, one's own band is one of both
         most = (100 / percent) ** (band + 1) + 1
-        d = int((100 - percent) / (100 + percent) * 2 * most)
+        d = ((100 - percent) / (100 + percent) * 2 * most).astype(np.int64)
         k = d + 3 + d // 10
-        part = ((s >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
-        low, high = np.zeros(k, np.uint64), np.zeros(k, np.uint64)
-        np.add.at(low, part, mixed(s + MIX))
-        np.bitwise_xor.at(high, part, mixed(s * MIX))
-        count = np.bincount(part, minlength=k)
-        sig = mixed(low ^ mixed(high + np.arange(k, dtype=np.uint64) * np.uint64(1_000_003) + np.full(k, band, np.uint64) * MIX))
-        out.append(sig if (count == 0).sum() >= k - d else sig[count > 0])
-    return np.concatenate(out)
+        first = np.cumsum(k) - k
+        part = (high % np.repeat(k, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(first, sizes)
+        total, count = np.zeros(int(k.sum()), np.uint64), np.bincount(part, minlength=int(k.sum()))
+        np.add.at(total, part, element)
+        of = np.repeat(np.arange(len(sets)), k)
+        place = (np.arange(len(of)) - first[of]).astype(np.uint64)
+        sig = mixed(mixed(total) + place * np.uint64(1_000_003) + band[of].astype(np.uint64) * MIX)
+        empty = np.bincount(of[count == 0], minlength=len(sets))
+        sent = (count > 0) | (empty >= k - d)[of]
+        found.append(sig[sent])
+        whose.append(of[sent])
+    return np.concatenate(found), np.concatenate(whose)
 
 
 def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -86,196 +104,358 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
         return False
     both = np.concatenate([a, b])
     both.sort(kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
     return 100 * common >= percent * (len(both) - common)
 
 
 class TokenGroups:
-    """Partitions of similar documents; each keeps its token union, its members and their sizes."""
+    """Partitions of similar documents; each keeps its token union and its members."""
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.unions: list[set] = []
-        self.members: list[list[int]] = []
         self.sets: list[np.ndarray] = []
-        self.matrix: dict[int, set] = {}
+        self.unions: list[np.ndarray] = []
+        self.members: list[list[int]] = []
+        self.into: list[int] = []
+        self.matrix: dict[int, list[int]] = {}
+
+    def _home(self, g: int) -> int:
+        while self.into[g] != g:
+            self.into[g] = g = self.into[self.into[g]]
+        return g
+
+    def _candidates(self, s: np.ndarray, need: int) -> set[int]:
+        """Partitions that may hold `need` tokens: those in the rows of the rarest |s| - need + 1 tokens."""
+        held = [g for g in map(self.matrix.get, s.tolist()) if g is not None]
+        look = len(held) - need + 1  # tokens that no row has come first
+        if look <= 0:
+            return set()
+        held.sort(key=len)
+        return {self._home(g) for groups in held[:look] for g in groups}
 
     def add(self, s: np.ndarray) -> None:
         """Puts a document where it links; partitions that it connects become one."""
         i = len(self.sets)
         self.sets.append(s)
-        tokens = s.tolist()
-        overlap: dict[int, int] = {}
-        for t in tokens:
-            for g in self.matrix.get(t, ()):
-                overlap[g] = overlap.get(g, 0) + 1
         need = -(-self.percent * len(s) // 100)
         found = []
-        for g, bound in overlap.items():
-            if bound >= need and any(links(s, self.sets[m], self.percent) for m in self.members[g]):
+        for g in self._candidates(s, need):
+            union = self.unions[g]
+            at = np.minimum(np.searchsorted(union, s), len(union) - 1)
+            if np.count_nonzero(union[at] == s) >= need and any(links(s, self.sets[m], self.percent) for m in reversed(self.members[g])):
                 found.append(g)
-        home = max(found, key=lambda g: len(self.members[g]), default=None)
-        if home is None:
+        if found:
+            home = max(found, key=lambda g: len(self.unions[g]))
+        else:
             home = len(self.members)
             self.members.append([])
-            self.unions.append(set())
+            self.unions.append(np.zeros(0, np.uint64))
+            self.into.append(home)
+        fresh = [s]
         for g in found:
             if g != home:
+                self.into[g] = home
                 self.members[home] += self.members[g]
-                for t in self.unions[g]:
-                    self.matrix[t].discard(g)
-                    self.matrix[t].add(home)
-                self.unions[home] |= self.unions[g]
-                self.members[g], self.unions[g] = [], set()
+                fresh.append(self.unions[g])
+                self.members[g], self.unions[g] = [], np.zeros(0, np.uint64)
         self.members[home].append(i)
-        new = set(tokens) - self.unions[home]
-        self.unions[home] |= new
-        for t in new:
-            self.matrix.setdefault(t, set()).add(home)
-
+        union = self.unions[home]
+        new = np.setdiff1d(s, union, assume_unique=True)
+        for t in new.tolist():
+            groups = self.matrix.setdefault(t, [])
+            if all(self._home(g) != home for g in groups):
+                groups.append(home)
+        self.unions[home] = np.union1d(union, np.concatenate(fresh)) if len(fresh) > 1 else np.sort(np.concatenate([union, new]), kind="stable")
 
-def _matrix_links(ids: list[int], sets: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """A forest of the links among these documents: (document, smallest of its partition)."""
-    groups = TokenGroups(percent)
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    for i in order:
-        groups.add(np.frombuffer(sets[i], np.uint64))
-    return [(ids[order[m]], low) for g in groups.members if g for low in [min(ids[order[m]] for m in g)] for m in g]
+    def forest(self, ids: list[int]) -> list[tuple[int, int]]:
+        """(document, smallest of its partition) for these documents' names."""
+        return [(ids[m], low) for g in self.members if g for low in [min(ids[m] for m in g)] for m in g]
 
 
-def _compare(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """(id, least) for every class of rows (by..., id, shingles), its partition within its task's group."""
+def _compared(rows: DataFrame, by: list[str], width: int, percent: int, tasks: int) -> DataFrame:
+    """(class, least) for every class of rows (by..., class, t): the smallest class of its partition within its group."""
+    n = len(by)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_matrix_links(frame["id"].tolist(), frame["shingles"].tolist(), percent), columns=["id", "least"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, ids, groups = None, [], None
+        out: list[tuple[int, int]] = []
 
-    return rows.groupBy(*by).applyInPandas(run, "id long, least long")
+        def flush() -> pa.RecordBatch:
+            nonlocal out
+            a, b = zip(*out, strict=True) if out else ((), ())
+            out = []
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["class", "least"])
 
+        for b in batches:
+            names = list(zip(*[b.column(i).to_pylist() for i in range(n)], strict=True))
+            classes = b.column(n).to_pylist()
+            at = 0
+            for found in shingle_sets(b.column(n + 1), width):
+                for s in found:
+                    if names[at] != name:
+                        if groups is not None:
+                            out += groups.forest(ids)
+                        name, ids, groups = names[at], [], TokenGroups(percent)
+                    if not ids or classes[at] != ids[-1]:  # rows of one class lie together
+                        ids.append(classes[at])
+                        groups.add(s)
+                    at += 1
+            if len(out) > 100_000:
+                yield flush()
+        if groups is not None:
+            out += groups.forest(ids)
+        yield flush()
+
+    dealt = rows.select(*by, "class", "t").repartition(tasks, *by).sortWithinPartitions(*by, "class")
+    return dealt.mapInArrow(run, "class long, least long")
+
+
+def _described(narrow: DataFrame, width: int, percent: int, seed: int, tasks: int) -> DataFrame:
+    """(id, n, class, more) of every row, and (class, more = null, id = smallest class it meets) of classes that share a part."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        sigs: list[np.ndarray] = []
+        who: list[np.ndarray] = []
+        held = turn = 0
+
+        def packed() -> tuple[list[int], list[bytes]]:
+            nonlocal sigs, who, held
+            sig, own = np.concatenate(sigs), np.concatenate(who)
+            sigs, who, held = [], [], 0
+            order = np.argsort(sig % np.uint64(tasks), kind="stable")
+            sig, own = sig[order], own[order]
+            cut = np.searchsorted(sig % np.uint64(tasks), np.arange(tasks + 1, dtype=np.uint64))
+            to = np.flatnonzero(np.diff(cut)).tolist()
+            return to, [np.concatenate([sig[cut[k] : cut[k + 1]], own[cut[k] : cut[k + 1]].view(np.uint64)]).tobytes() for k in to]
+
+        def rows(task, ids=None, n=None, own=None, more=None, payload=None) -> pa.RecordBatch:
+            m = len(task)
+            column = lambda x, kind: pa.nulls(m, kind) if x is None else x if isinstance(x, pa.Array) else pa.array(x, kind)
+            return pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), column(ids, pa.int64()), column(n, pa.int64()), column(own, pa.int64()), column(more, pa.int64()), column(payload, pa.binary())], ["task", "id", "n", "class", "more", "payload"])
 
-def _class_links(docs: DataFrame, text: str, key: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every row's key, set size and class digest; the roots of linked classes; each class's smallest key."""
-    bounded_batches(docs)
-    narrow = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+        for b in batches:
+            sizes, names = [], []
+            keyed = b.column(0).is_valid().to_pylist()
+            for found in shingle_sets(b.column(1), width):
+                new = []
+                for s in found:
+                    name = number(s, seed)
+                    if len(s) and keyed[len(sizes)] and name[0] not in sent:
+                        sent.add(name[0])
+                        new.append((s, name[0]))
+                    sizes.append(len(s))
+                    names.append(name)
+                if new:
+                    sig, of = part_hashes([s for s, _ in new], percent)
+                    sigs.append(sig)
+                    who.append(np.array([c for _, c in new], np.int64)[of])
+                    held += len(sig)
+                if held > PACKED:
+                    to, data = packed()
+                    yield rows(to, payload=data)
+            if len(sent) > 1_000_000:
+                sent.clear()
+            m = b.num_rows
+            yield rows([(turn + i) % tasks for i in range(m)], b.column(0), sizes, [c for c, _ in names], [x for _, x in names])
+            turn += m
+        if held:
+            to, data = packed()
+            yield rows(to, payload=data)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for b in batches:
-            n, digest = [], []
-            for t in texts(b.column(1)):
-                s = shingle(t)
-                n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], ["id", "n", "digest"])
-
-    measured = stored(narrow.mapInArrow(measure, "id long, n long, digest binary"))
-    classes = measured.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("least"))
-    classes = stored(classes)
-    chosen = narrow.join(classes.select(F.col("least").alias("id")).hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+            b = b.select(["id", "n", "class", "more", "payload"])
+            data = b.column(4)
+            if data.null_count:
+                yield b.filter(data.is_null()).select(["id", "n", "class", "more"])
+            for p in data.drop_null().to_pylist():
+                sigs.append(np.frombuffer(p, np.uint64, len(p) // 16))
+                who.append(np.frombuffer(p, np.int64, len(p) // 16, len(p) // 2))
+        sig, own = np.concatenate(sigs), np.concatenate(who)
+        order = np.argsort(sig, kind="stable")
+        sig, own = sig[order], own[order]
+        same = sig[1:] == sig[:-1]
+        a, b = local_forest(own[1:][same], own[:-1][same])
+        yield pa.RecordBatch.from_arrays([pa.array(b), pa.nulls(len(a), pa.int64()), pa.array(a), pa.nulls(len(a), pa.int64())], ["id", "n", "class", "more"])
+
+    out = narrow.mapInArrow(describe, "task int, id long, n long, class long, more long, payload binary").repartition(tasks, "task")
+    return stored(out.mapInArrow(meet, "id long, n long, class long, more long"))
+
+
+def _linked(narrow: DataFrame, groups: DataFrame, reps: DataFrame, width: int, percent: int, seed: int, tasks: int) -> DataFrame:
+    """(node, root) of the linked classes: every class but the smallest of its component."""
+    spark = narrow.sparkSession
+    members = reps.join(groups, "class")
+    sizes = members.groupBy("root").agg(F.sum("n").alias("size")).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    placed = members.join(sizes.select("root", "chunks"), "root").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+
+    def of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows that share a key, those of the class that the key stands for."""
+        for b in batches:
+            found = [number(s, seed)[0] for sets in shingle_sets(b.column(b.schema.get_field_index("t")), width) for s in sets]
+            yield b.filter(pa.array(np.array(found, np.int64) == b.column(b.schema.get_field_index("class")).to_numpy(), pa.bool_()))
+
+    inside = placed.select("id", "class", "n", "root", "chunks", "chunk").join(narrow, "id")
+    inside = stored(inside.mapInArrow(of_class, inside.schema))
+    found = stored(_compared(inside, ["root", "chunk"], width, percent, tasks))
+    wide = inside.where("chunks > 1")
+    if not wide.isEmpty():
+        before = None
+        while True:  # one document of each partition stands for it
+            so_far = components(found, "class", "least")
+            part = wide.select("class", "root").distinct().join(so_far.select(F.col("node").alias("class"), F.col("root").alias("part")), "class", "left")
+            part = stored(part.select("class", "root", F.coalesce("part", "class").alias("part")))
+            stand = wide.join(part.select(F.col("part").alias("class")).distinct(), "class")
+            counts = stand.groupBy("root").agg(F.sum("n").alias("size"), F.countDistinct("class").alias("parts")).where("parts > 1")
+            now = counts.agg(F.sum("parts")).first()[0] or 0
+            if not now or before is not None and 2 * now > before:
+                break
+            before = now
+            cut = counts.select("root", F.ceil(F.col("size") / CHUNK).cast("int").alias("cuts"))
+            again = stand.join(cut, "root").withColumn("cut", F.pmod(F.xxhash64("class", F.lit(before)), F.col("cuts")).cast("int"))
+            found = stored(found.unionByName(_compared(again, ["root", "cut"], width, percent, tasks)))
+        if now:
+            found = stored(found.unionByName(_across(wide, part, width, percent, tasks)))
+    roots = components(found, "class", "least")
+    discard(spark, inside)
+    return roots
+
+
+def _overlaps(rows: DataFrame, width: int, tasks: int) -> DataFrame:
+    """(class, overlap): how many tokens of each minor class another partition of its group has. rows: (root, part, class, minor, t)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Part hashes by task: of a hash, the batch's smallest class only; the others here link to it at once."""
-        shingle = Shingler(width)
-        sigs, ids = [], []
-        held = 0
-
-        def flush():
-            sig, who = np.concatenate(sigs), np.repeat(np.array([i for i, _ in ids]), [c for _, c in ids])
-            order = np.lexsort((who, sig))
-            sig, who = sig[order], who[order]
-            first = np.concatenate([[True], sig[1:] != sig[:-1]])
-            low = who[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-            more = low != who
-            near = np.unique(np.stack([who[more], low[more]], 1), axis=0)
-            sig, who = sig[first], who[first]
-            task = (sig % np.uint64(tasks)).astype(np.int64)
-            order = np.argsort(task, kind="stable")
-            cut = np.searchsorted(task[order], np.arange(tasks + 1))
-            t, p = [], []
-            for k in range(tasks):
-                if cut[k] < cut[k + 1]:
-                    own = order[cut[k] : cut[k + 1]]
-                    t.append(k)
-                    p.append(np.concatenate([sig[own], who[own].view(np.uint64)]).tobytes())
-            if len(near):
-                t.append(int(near[0, 0] % tasks))
-                p.append(b"links" + near.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(p, pa.binary())], ["task", "payload"])
+        held: list[tuple[np.ndarray, int, int]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            n = [len(k) for k, _, _ in held]
+            key = np.concatenate([k for k, _, _ in held])
+            part, name = np.repeat([p for _, p, _ in held], n), np.repeat([c for _, _, c in held], n)
+            order = np.lexsort((name, part, key))
+            key, part, name = key[order], part[order], name[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (name[1:] != name[:-1])  # classes that need no count are one
+            key, part, name = key[new], part[new], name[new]
+            at, shared = _shared(key, part)
+            counted, n = np.unique(name[shared & (name != 0)], return_counts=True)
+            # tokens that two partitions have here are counted here; two entries tell the others
+            end = np.zeros(len(key), bool)
+            end[at] = end[np.append(at[1:], len(key)) - 1] = True
+            name = np.where(shared, 0, name)
+            kept = ~shared | end
+            key, part, name = key[kept], part[kept], name[kept]
+            to = (key % np.uint64(tasks)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            key, part, name = key[order], part[order], name[order]
+            cut = np.searchsorted(to[order], np.arange(tasks + 1))
+            some = np.flatnonzero(np.diff(cut)).tolist()
+            data = [key[cut[k] : cut[k + 1]].tobytes() + part[cut[k] : cut[k + 1]].tobytes() + name[cut[k] : cut[k + 1]].tobytes() for k in some]
+            m = len(some)
+            tasks_of = [*some, *(counted % tasks).tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(tasks_of, pa.int32()), pa.array([*data, *[None] * len(n)], pa.binary()), pa.array([*[None] * m, *counted.tolist()], pa.int64()), pa.array([*[None] * m, *n.tolist()], pa.int64())], ["task", "payload", "class", "overlap"])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                found = signatures(shingle(t), percent)
-                sigs.append(found)
-                ids.append((i, len(found)))
-                held += len(found)
-            if held > 1 << 21:
-                yield flush()
-                sigs, ids, held = [], [], 0
+            root, part, name, minor = (b.column(i).to_pylist() for i in range(4))
+            i = 0
+            for sets in shingle_sets(b.column(4), width):
+                for s in sets:
+                    held.append((mixed(s + mixed(np.array([root[i]], np.int64).view(np.uint64))), part[i], name[i] if minor[i] else 0))
+                    size += len(s)
+                    i += 1
+                if size > PACKED:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, who, out = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-        for b in batches:
-            for p in b.column(1).to_pylist():
-                if p[:5] == b"links" and len(p) % 16 == 5:
-                    out.append(np.frombuffer(p[5:], np.int64).reshape(-1, 2))
-                else:
-                    n = len(p) // 16
-                    sig.append(np.frombuffer(p, np.uint64, n))
-                    who.append(np.frombuffer(p, np.int64, n, 8 * n))
-        s, w = np.concatenate(sig), np.concatenate(who)
-        order = np.lexsort((w, s))
-        s, w = s[order], w[order]
-        first = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-        low = w[np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))] if len(s) else w
-        out.append(np.stack([w, low], 1)[low != w])
-        pairs = np.unique(np.concatenate(out), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    packed = chosen.mapInArrow(send, "task int, payload binary").repartition(tasks, "task")
-    groups = stored(components(packed.mapInArrow(meet, "a long, b long"), "a", "b"))
-    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = [b"", b"", b""]
+        held: list[list[bytes]] = [[], [], []]
         for b in batches:
-            found = [shingle(t).tobytes() for t in texts(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["id", "root", "shingles"])
-
-    inside = narrow.join(groups.withColumnRenamed("node", "id"), "id").dropDuplicates(["id"]).select("id", "root", "t")
-    inside = stored(inside.mapInArrow(sets, "id long, root long, shingles binary"))
-    sizes = inside.groupBy("root").agg(F.count("*").alias("m")).withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
-    sizes = stored(sizes)
-    chunked = inside.join(sizes.select("root", "chunks"), "root").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    found = stored(_compare(chunked.select("root", "chunk", "id", "shingles"), ["root", "chunk"], percent))
-    # groups of several chunks: one document per partition first, then pairs of chunks where more than one part is left
-    wide = chunked.where("chunks > 1")
-    if not wide.isEmpty():
-        pivots = wide.join(found.select(F.col("least").alias("id")).distinct(), "id")
-        few = pivots.groupBy("root").agg(F.count("*").alias("p")).where(F.col("p") <= CHUNK).select("root")
-        found = stored(found.unionByName(_compare(pivots.join(few, "root").select("root", "id", "shingles"), ["root"], percent)))
-        so_far = components(found, "id", "least")
-        labelled = so_far.select(F.col("node").alias("id"), F.col("root").alias("part"))
-        part = wide.select(F.col("root").alias("grp"), "id").join(labelled, "id", "left").select("grp", F.coalesce("part", "id").alias("part"))
-        parted = part.groupBy("grp").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("grp").alias("root"))
-        rest = wide.join(parted, "root")
-        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-        paired = rest.withColumn("other", other).where("other <> chunk").select("root", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "id", "shingles")
-        found = stored(found.unionByName(_compare(paired, ["root", "x", "y"], percent)))
-    return measured, components(found, "id", "least"), classes
+            told = b.filter(b.column(1).is_null())
+            yield pa.RecordBatch.from_arrays([told.column(2), told.column(3)], ["class", "overlap"])
+            for p in b.column(1).drop_null().to_pylist():
+                for j in range(3):
+                    held[j].append(p[j * len(p) // 3 : (j + 1) * len(p) // 3])
+        data = [b"".join(x) for x in held]
+        key, part, name = np.frombuffer(data[0], np.uint64), np.frombuffer(data[1], np.int64), np.frombuffer(data[2], np.int64)
+        order = np.lexsort((part, key))
+        key, part, name = key[order], part[order], name[order]
+        _, shared = _shared(key, part)
+        counted, n = np.unique(name[shared & (name != 0)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(counted, pa.int64()), pa.array(n, pa.int64())], ["class", "overlap"])
+
+    sent = rows.select("root", "part", "class", "minor", "t").mapInArrow(send, "task int, payload binary, class long, overlap long").repartition(tasks, "task")
+    return sent.mapInArrow(add_up, "class long, overlap long").groupBy("class").agg(F.sum("overlap").alias("overlap"))
+
+
+def _shared(key: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key begins among entries in order of key and part, and which entries' keys have two parts."""
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    end = np.append(at[1:], len(key))
+    return at, np.repeat(part[at] != part[end - 1], end - at)
+
+
+def _across(wide: DataFrame, part: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
+    """(class, least) for the links between partitions of a group.
+
+    One end of such a link lies outside the group's largest partition, and its overlap with all other partitions
+    reaches the bound. Who does not reach it leaves, and with fewer rows the bound is taken again while that helps. The
+    others are compared, in chunks, with each chunk of their group's rows that are left or of the largest partition.
+    """
+    largest = part.groupBy("root", "part").agg(F.count("*").alias("m")).groupBy("root").agg(F.max_by("part", F.struct("m", "part")).alias("most"), F.count("*").alias("parts"))
+    rows = wide.select("root", "class", "n", "t").join(part.select("class", "part"), "class").join(largest.where("parts > 1").select("root", "most"), "root")
+    rows = stored(rows.withColumn("minor", F.col("part") != F.col("most")))
+    before = rows.where("minor").count()
+    while before:
+        need = F.ceil(F.col("n") * percent / 100)
+        left = rows.join(_overlaps(rows, width, tasks), "class", "left").where(~F.col("minor") | (F.col("overlap") >= need)).select(rows.columns)
+        rows = stored(left)
+        now = rows.where("minor").count()
+        if 10 * now > 9 * before:
+            break
+        before = now
+    chunks = rows.groupBy("root").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"), F.ceil(F.sum(F.when(F.col("minor"), F.col("n"))) / CHUNK).cast("int").alias("cuts")).where("cuts > 0")
+    rows = rows.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("class", F.lit(-2)), F.col("chunks")).cast("int"))
+    cut = F.pmod(F.xxhash64("class", F.lit(-1)), F.col("cuts")).cast("int")
+    minor = rows.where("minor").withColumn("cut", cut).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    others = rows.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    columns = ["root", "chunk", "cut", "class", "t"]
+    return _compared(minor.select(columns).unionByName(others.select(columns)), columns[:3], width, percent, tasks)
 
 
 def clusters(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row: key, n_shingles, component_id (the smallest key that links reach, itself included)."""
-    measured, roots, classes = _class_links(docs, text, key, width, percent)
-    labels = classes.join(roots, classes["least"] == roots["node"], "left").select("digest", F.coalesce("root", "least").alias("component"))
-    out = measured.join(labels, "digest", "left")
+    bounded_batches(docs)
+    narrow = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    tasks = tasks_for(docs, TASK_BYTES)
+    seed = 0
+    while True:
+        described = _described(narrow, width, percent, seed, tasks)
+        measured = described.where("n is not null")
+        reps = stored(measured.where("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("more").alias("lo"), F.max("more").alias("hi")))
+        if reps.where("lo <> hi").isEmpty():
+            break
+        seed += 1  # two sets have one number
+    met = components(described.where("n is null"), "class", "id")
+    groups = met.select(F.col("node").alias("class"), "root").unionByName(met.select(F.col("root").alias("class"), "root").distinct())
+    roots = _linked(narrow, groups, reps.select("class", "id", "n"), width, percent, seed, tasks)
+    named = reps.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "id", F.coalesce("root", "class").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("id").alias("component"))
+    labels = named.join(smallest, "root").select("class", "component")
+    out = measured.join(labels, "class", "left")
     own = F.when(F.col("n") > 0, F.col("component"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce(own, F.col("id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows, with all their columns, that are the smallest key of their component; of rows with equal keys all stay."""
-    gone = clusters(docs, text, key, width, percent).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
+    """The rows, with all their columns, whose key stands for a component; rows with equal keys stay or go together."""
+    gone = unused(docs, "gone")
+    found = clusters(docs, text, key, width, percent)
+    names = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias(gone)).distinct()
+    return docs.join(names, docs[key].cast("long") == F.col(gone), "left_anti")

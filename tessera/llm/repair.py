@@ -34,99 +34,9 @@ from .common import Numbered, bounded_batches, gathered, shared_dir, texts
 END = 1
 #: Tokens that one shard file holds, but for a longer single document.
 SHARD_TOKENS = 3_000_000
-#: Rounds, rules made in a round, and occurrences that a rule needs.
-ROUNDS, RULES, LEAST = 3, 8000, 12
-#: Distinct chunks whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Occurrences that a rule needs.
+LEAST = 12
 _HASH_BITS = 20
-_PUNCTUATION = ".,;:!?"
-
-
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
-class ChunkEncoder:
-    """Encodes texts with a tokenizers file whose pre-tokenizer drops white space.
-
-    No match of its pre-tokenizer, normaliser or special tokens spans ASCII white space, so a text's ids are those of
-    its chunks between such spaces; each distinct chunk is encoded by the library once and remembered. When too many
-    are remembered, those looked up once only are forgotten.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.index, self.pieces = Numbered(), Numbered()
-        self.parts, self.used = np.zeros((0, 2), np.int32), np.zeros(0, np.int64)
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    @classmethod
-    def shared(cls, path: str) -> ChunkEncoder:
-        """This worker's encoder: what one task has met serves the next one."""
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
-
-    def trim(self) -> None:
-        kept = np.flatnonzero(self.used > 1)
-        if len(kept) > REMEMBERED // 2:
-            kept = kept[:0]
-        keys = list(self.index)
-        parts = np.unique(self.parts[kept])
-        parts = parts[parts >= 0]
-        names = list(self.pieces)
-        self.flat, sizes = gathered(self.flat, self.at, parts), np.diff(self.at)[parts]
-        self.at = np.concatenate([[0], np.cumsum(sizes)])
-        self.pieces = Numbered((names[k], i) for i, k in enumerate(parts.tolist()))
-        number = np.full(len(names) + 1, -1, np.int32)
-        number[parts] = np.arange(len(parts))
-        self.parts = number[self.parts[kept]]
-        self.index, self.used = Numbered((keys[k], i) for i, k in enumerate(kept.tolist())), np.zeros(len(kept), np.int64)
-
-    def learn(self, chunks: list[bytes]) -> None:
-        """Finds the pieces of new chunks. A word with punctuation after it is two pre-tokens, encoded apart; of plain letters (below U+0300: composed, no marks) upper and lower case are the same."""
-        number = self.pieces.__getitem__
-        first, second = [], []
-        for b in chunks:
-            c = b.decode()
-            word = c.rstrip(_PUNCTUATION)
-            lower = word.lower()
-            if lower.isalpha() and (lower.isascii() or max(word) < "\u0300"):
-                first.append(number(lower))
-                second.append(number(c[len(word) :]) if len(word) < len(c) else -1)
-            else:
-                first.append(number(c))
-                second.append(-1)
-        if new := self.pieces.new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids])])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
-            self.pieces.new = []
-        self.parts = np.concatenate([self.parts, np.array([first, second], np.int32).T])
-
-    def encode(self, batch: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the batch, and each text's number of ids."""
-        if len(self.index) > REMEMBERED:
-            self.trim()
-        words: list[bytes] = []
-        ends = []
-        for t in batch:
-            words += t.split() if t else ()
-            ends.append(len(words))
-        which = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
-        if new := self.index.new:
-            self.learn(new)
-            self.index.new = []
-        seen = np.bincount(which, minlength=len(self.parts))
-        seen[: len(self.used)] += self.used
-        self.used = seen
-        parts = self.parts[which].ravel()
-        real = parts >= 0
-        sizes = np.where(real, np.diff(self.at)[parts] if len(self.at) > 1 else 0, 0)
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        return gathered(self.flat, self.at, parts[real]), np.diff(total[2 * np.array(ends, np.int64)], prepend=0)
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,30 +46,31 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[int, np.ndarray, np.nd
     last = np.zeros(len(seq), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
     rules, lengths = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST:
-            break
-        u = seq.view(np.uint32)
-        bucket = (((u[:-1] * np.uint32(0x9E3779B1)) ^ (u[1:] * np.uint32(0x85EBCA77))) >> np.uint32(32 - _HASH_BITS)).astype(np.intp)
-        code = seq[:-1].astype(np.int64) << 24
-        code |= seq[1:]
-        code[last[:-1]] = -1  # pairs across documents
-        owner = np.full(1 << _HASH_BITS, -2, np.int64)
-        owner[bucket] = code  # one pair counts in each bucket; the others wait for a later round
-        mine = (owner[bucket] == code) & (code >= 0)
-        counts = np.bincount(bucket[mine], minlength=1 << _HASH_BITS)
+    fresh = 0  # pairs of older symbols were counted before, and only lose since
+    while len(seq) > 1:
+        spots = np.flatnonzero(~last[:-1] & ((seq[:-1] >= fresh) | (seq[1:] >= fresh))) if fresh else np.flatnonzero(~last[:-1])
+        a, b = seq[spots], seq[spots + 1]
+        bucket = ((a.view(np.uint32) * np.uint32(0x9E3779B1)) ^ (b.view(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(32 - _HASH_BITS)
+        often = np.bincount(bucket, minlength=1 << _HASH_BITS)[bucket] >= LEAST  # the others' pairs are rarer still
+        spots = spots[often]
+        code, which, counts = np.unique(a[often].astype(np.int64) << 32 | b[often], return_inverse=True, return_counts=True)
         best = np.flatnonzero(counts >= LEAST)
-        best = best[np.argsort(-counts[best], kind="stable")[:RULES]]
         if not len(best):
             break
-        rank = np.full(1 << _HASH_BITS, -1, np.int32)
+        best = best[np.argsort(-counts[best], kind="stable")]
+        rank = np.full(len(code), -1, np.int64)
         rank[best] = np.arange(len(best))
-        which = rank[bucket]
-        spots = np.flatnonzero(mine & (which >= 0))
-        won, rule = settled(spots, which[spots].astype(np.int64), len(seq))
-        left, right = owner[best] >> 24, owner[best] & 0xFFFFFF
+        which = rank[which]
+        won, rule = settled(spots[which >= 0], which[which >= 0], len(seq))
+        made = np.bincount(rule, minlength=len(best))
+        kept = made >= LEAST // 2  # overlaps may have left a pair too few places to be worth a rule
+        won, rule = won[kept[rule]], (np.cumsum(kept) - 1)[rule[kept[rule]]]
+        if not len(won):
+            break
+        left, right = code[best[kept]] >> 32, code[best[kept]] & 0xFFFFFFFF
         known = np.concatenate([np.ones(terminals, np.int64), lengths])
-        seq[won] = terminals + len(rules) + rule
+        fresh = terminals + len(rules)
+        seq[won] = fresh + rule
         lengths, rules = np.concatenate([lengths, known[left] + known[right]]), np.concatenate([rules, np.stack([left, right], 1)])
         last[won] = last[won + 1]
         keep = np.ones(len(seq), bool)

@@ -1,6 +1,11 @@
 import random
 
+import numpy as np
+
 from tessera.llm import jaccard_join, suffix_dedup
+from tessera.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def brute_clusters(rows):
@@ -42,8 +47,50 @@ def test_clusters_equal_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     expected = brute_clusters(rows)
     assert {tuple(r) for r in jaccard_join.clusters(docs).collect()} == expected
-    monkeypatch.setattr(jaccard_join, "CHUNK", 4)
-    assert {tuple(r) for r in jaccard_join.clusters(docs).collect()} == expected
+    for chunk in (500, 60):  # groups of several chunks: stand-ins, then what lies outside the largest partition
+        monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+        assert {tuple(r) for r in jaccard_join.clusters(docs).collect()} == expected
+
+
+def test_registered_query_equals_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    found = QUERIES["op7_jaccard_join"](spark, SF)
+    assert found.columns == ["doc_id", "n_shingles", "component_id"]
+    assert sorted(map(tuple, found.collect())) == sorted(brute_clusters(rows))
+
+
+def test_keys_that_repeat_null_keys_long_texts_and_clashing_columns(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    long = "x y z " * 40_000
+    rows = [(1, a), (1, b), (2, a + " "), (3, b), (None, b), (None, "alone on its own here"), (4, long), (5, long + "end"), (6, long.upper()), (7, None)]
+    docs = spark.createDataFrame([(*r, 0, 0, "x") for r in rows], "doc_id long, text string, gone int, class int, t string")
+    found = sorted((tuple(r) for r in jaccard_join.clusters(docs).collect()), key=repr)
+    assert found == sorted([(1, 5, 1), (1, 5, 1), (2, 5, 1), (3, 5, 1), (None, 5, 1), (None, 2, None), (4, 3, 4), (5, 4, 5), (6, 3, 4), (7, 0, 7)], key=repr)
+    kept = jaccard_join.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([1, 1, None, None, 4, 5, 7], key=repr)
+
+
+def test_matrix_equals_comparing_all_pairs():
+    r = random.Random(4)
+    base = [r.sample(range(5000), r.choice([1, 2, 5, 30, 90])) for _ in range(12)]
+    sets = []
+    for _ in range(150):
+        s = set(r.choice(base))
+        for _ in range(r.randrange(4)):
+            s.add(r.randrange(5000))
+        sets.append(np.array(sorted(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    sets = [np.sort(s) for s in sets]
+    groups = jaccard_join.TokenGroups(85)
+    for s in sets:
+        groups.add(s)
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if jaccard_join.links(sets[a], sets[b], 85):
+                x, y = sorted((root[a], root[b]))
+                root = [x if k == y else k for k in root]
+    assert dict(groups.forest(list(range(len(sets))))) == dict(enumerate(root))
 
 
 def test_empty_table_and_kept_columns(spark):
