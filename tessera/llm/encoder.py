@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -33,7 +34,14 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _shown() -> dict[int, int]:
+    """The character that byte-level models write for a byte: itself if it is printable in Latin-1, else the next one from U+0100 on."""
+    hidden = [c for c in range(256) if c < 33 or 127 <= c < 161 or c == 173]
+    return {c: 256 + k for k, c in enumerate(hidden)}
+
+
 _CLASS = _classes()
+_SHOWN = _shown()
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -61,13 +69,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         normal, pre = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
         split = (pre.get("pretokenizers") or [{}])[0]
         self.cuts = (
             normal.get("normalizers") == _NORMALIZER and split.get("type") == "Split" and split.get("pattern") == _PATTERN and split.get("behavior") == "Removed" and split.get("invert") is True
-            and [p.get("type") for p in pre["pretokenizers"][1:]] == ["ByteLevel"] and not pre["pretokenizers"][1].get("add_prefix_space") and not pre["pretokenizers"][1].get("use_regex")
+            and not file["model"].get("dropout") and [p.get("type") for p in pre["pretokenizers"][1:]] == ["ByteLevel"] and not pre["pretokenizers"][1].get("add_prefix_space") and not pre["pretokenizers"][1].get("use_regex")
         )
         self.special = [t["content"].encode().translate(LOWER) for t in file.get("added_tokens", ())]
         self.forget()
@@ -104,8 +113,7 @@ class Encoder:
         new = np.flatnonzero(self.known[spot] != distinct)
         if len(new):
             lower = raw.tobytes().translate(LOWER)
-            texts = [lower[x:y].decode() for x, y in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = self._encoded([lower[x:y].decode() for x, y in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
             rows = len(self.at) - 1 + np.arange(len(new))
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids])])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
@@ -116,6 +124,24 @@ class Encoder:
         self.used[rows] += 1
         return rows[which]
 
+    def _encoded(self, pieces: list[str]) -> list[list[int]]:
+        """The library's ids of new pieces. Of letters below U+0300 the normaliser only lower-cases, and a run of them is one pre-token: its bytes go to the model."""
+        out: list[list[int] | None] = []
+        for piece in pieces:
+            word = piece if piece.isascii() else piece.lower()
+            if not word.isalpha():
+                out.append(None)
+            elif word.isascii():
+                out.append([t.id for t in self.model.tokenize(word)])
+            elif max(word) < "\u0300":
+                out.append([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SHOWN))])
+            else:
+                out.append(None)
+        others = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(others, self.tokenizer.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
     def _whole(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Which texts the library must see whole."""
         odd = np.full(len(at) - 1, not self.cuts)
@@ -128,16 +154,14 @@ class Encoder:
                     x = lower.find(mark, x + 1)
         return odd
 
-    def encode(self, raw: np.ndarray, at: np.ndarray, ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of texts that lie one after another (none if not asked for), and each text's number of ids."""
-        found, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    def _blocks(self, raw: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
+        """(first text, text after the last, pieces' starts, each text's first piece, rows, None), or (text, next, ..., ids) of a text that the library saw whole."""
         n, k = len(at) - 1, 0
         odd = self._whole(raw, at)
         while k < n:
             if odd[k]:
                 own = self.tokenizer.encode(raw[at[k] : at[k + 1]].tobytes().decode(), add_special_tokens=False).ids
-                found.append(np.array(own, np.uint32))
-                sizes.append(np.array([len(own)], np.int64))
+                yield k, k + 1, None, None, None, np.array(own, np.uint32)
                 k += 1
                 continue
             j = max(k + 1, int(np.searchsorted(at, at[k] + BLOCK, side="right")) - 1)
@@ -145,10 +169,32 @@ class Encoder:
                 j = k + int(odd[k:j].argmax())
             block = raw[at[k] : at[j]]
             hashes, start, end, first = pieces_of(block, at[k : j + 1] - at[k])
-            rows = self._rows(block, hashes, start, end)
-            total = np.concatenate([[0], np.cumsum(np.diff(self.at)[rows])])
-            sizes.append(np.diff(total[first]))
-            if ids:
-                found.append(gathered(self.flat, self.at, rows))
+            yield k, j, start, first, self._rows(block, hashes, start, end), None
             k = j
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts that lie one after another, and each text's number of ids."""
+        found, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for _, _, _, first, rows, own in self._blocks(raw, at):
+            if own is not None:
+                found.append(own)
+                sizes.append(np.array([len(own)], np.int64))
+                continue
+            total = np.concatenate([[0], np.cumsum(self.at[rows + 1] - self.at[rows])])
+            sizes.append(np.diff(total[first]))
+            found.append(gathered(self.flat, self.at, rows))
         return np.concatenate(found), np.concatenate(sizes)
+
+    def measured(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and number of ids of each piece of texts that lie one after another, and each text's first piece (n + 1)."""
+        starts, counts, firsts, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 0
+        for k, _, start, first, rows, own in self._blocks(raw, at):
+            if own is not None:
+                start, first, n = np.zeros(1, np.int64), np.array([0, 1]), np.array([len(own)], np.int64)
+            else:
+                n = self.at[rows + 1] - self.at[rows]
+            starts.append(start + at[k])
+            counts.append(n)
+            firsts.append(first[1:] + total)
+            total += len(start)
+        return np.concatenate(starts), np.concatenate(counts), np.concatenate(firsts)

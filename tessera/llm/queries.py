@@ -84,4 +84,5 @@ def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.coalesce(F.length("text"), F.lit(0))
     edit = lambda a, b, t: F.struct(F.floor(a).cast("int").alias("start"), F.floor(b).cast("int").alias("end"), F.lit(t).alias("text"))
     edits = F.array(edit(n / 2, n / 2, " a revised passage "), edit(n / 4, F.least(n, n / 4 + 20), ""), edit(n * 3 / 4, F.least(n, n * 3 / 4 + 1), "\n"))
-    return edit_counts.recount(documents(spark, sf_dir).withColumn("edits", edits), _tokenizer("word_bpe_49k.json"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", edits.alias("edits"))
+    return edit_counts.recount(docs, _tokenizer("word_bpe_49k.json"))

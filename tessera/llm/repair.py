@@ -17,11 +17,9 @@ are ignored. Keys are integers.
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbered, bounded_batches, gathered, shared_dir, texts
+from .common import bounded_batches, gathered, shared_dir, texts, utf8
+from .encoder import Encoder
 
 END = 1
 #: Tokens that one shard file holds, but for a longer single document.
@@ -50,17 +49,25 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[int, np.ndarray, np.nd
     while len(seq) > 1:
         spots = np.flatnonzero(~last[:-1] & ((seq[:-1] >= fresh) | (seq[1:] >= fresh))) if fresh else np.flatnonzero(~last[:-1])
         a, b = seq[spots], seq[spots + 1]
-        bucket = ((a.view(np.uint32) * np.uint32(0x9E3779B1)) ^ (b.view(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(32 - _HASH_BITS)
-        often = np.bincount(bucket, minlength=1 << _HASH_BITS)[bucket] >= LEAST  # the others' pairs are rarer still
-        spots = spots[often]
-        code, which, counts = np.unique(a[often].astype(np.int64) << 32 | b[often], return_inverse=True, return_counts=True)
+        bucket = (((a.view(np.uint32) * np.uint32(0x9E3779B1)) ^ (b.view(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(32 - _HASH_BITS)).astype(np.intp)
+        often = np.flatnonzero(np.bincount(bucket, minlength=1 << _HASH_BITS)[bucket] >= LEAST)  # the others' pairs are rarer still
+        spots, bucket = spots[often], bucket[often]
+        pair = a[often].astype(np.int64) << 32 | b[often]
+        owner = np.full(1 << _HASH_BITS, -1, np.int64)
+        owner[bucket] = pair
+        mine = owner[bucket] == pair  # one pair counts in each bucket, those that share it are sorted
+        rest = np.flatnonzero(~mine)
+        other, which_other, counts_other = np.unique(pair[rest], return_inverse=True, return_counts=True)
+        used = np.bincount(bucket[mine], minlength=1 << _HASH_BITS)
+        code, counts = np.concatenate([owner, other]), np.concatenate([used, counts_other])
         best = np.flatnonzero(counts >= LEAST)
         if not len(best):
             break
-        best = best[np.argsort(-counts[best], kind="stable")]
+        best = best[np.lexsort((code[best], -counts[best]))]
         rank = np.full(len(code), -1, np.int64)
         rank[best] = np.arange(len(best))
-        which = rank[which]
+        which = rank[bucket]
+        which[rest] = rank[len(owner) + which_other]
         won, rule = settled(spots[which >= 0], which[which >= 0], len(seq))
         made = np.bincount(rule, minlength=len(best))
         kept = made >= LEAST // 2  # overlaps may have left a pair too few places to be worth a rule
@@ -171,7 +178,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, text: str = "text", key: s
     """Writes shard files under `path`, as rows (shard, block, n_docs, n_tokens, file) in ascending key order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = ChunkEncoder.shared(tokenizer), TaskContext.get().partitionId()
+        encoder, shard = Encoder.shared(tokenizer), TaskContext.get().partitionId()
         keys, ids, sizes, held, block = [], [], [], 0, 0
 
         def flush():
@@ -183,14 +190,12 @@ def write(docs: DataFrame, tokenizer: str, path: str, text: str = "text", key: s
             return row
 
         for b in batches:
-            own, raw = b.column(0).to_pylist(), list(texts(b.column(1)))
+            own = b.column(0).to_pylist()
+            raw, ends, _ = utf8(b.column(1))
             at = 0
-            while at < len(raw):
-                stop, room = at, 0
-                while stop < len(raw) and (stop == at or room + len(raw[stop] or b"") <= 4 << 20):
-                    room += len(raw[stop] or b"")
-                    stop += 1
-                found, n = encoder.encode(raw[at:stop])
+            while at < len(own):
+                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + (4 << 20), side="right")) - 1)
+                found, n = encoder.encode(raw[ends[at] : ends[stop]], ends[at : stop + 1] - ends[at])
                 full = n + 1  # the end id after each document
                 out = np.full(int(full.sum()), end, np.uint32)
                 spots = np.ones(len(out), bool)

@@ -10,10 +10,10 @@ from tessera.llm.queries import QUERIES, _tokenizer
 SF = "/root/testdata/sf0.001"
 
 
-def brute(rows):
+def brute(rows, file="word_bpe_49k.json"):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(_tokenizer("word_bpe_49k.json"))
+    t = Tokenizer.from_file(_tokenizer(file))
     out, before = [], 0
     for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
@@ -42,6 +42,18 @@ def test_edge_cases(spark, monkeypatch):
         monkeypatch.setattr(repair, "SHARD_TOKENS", held)
         assert sorted(map(tuple, repair.round_trip(docs, _tokenizer("word_bpe_49k.json")).collect()), key=repr) == expected
     assert repair.round_trip(docs.limit(0), _tokenizer("word_bpe_49k.json")).collect() == []
+    # a file of another kind sees texts whole
+    assert sorted(map(tuple, repair.round_trip(docs, _tokenizer("byte_bpe_50k.json")).collect()), key=repr) == brute(rows, "byte_bpe_50k.json")
+
+
+def test_pairs_are_replaced_until_none_is_frequent():
+    r = np.random.default_rng(2)
+    for ids in (np.tile(r.integers(0, 50_000, 300), 400), r.integers(0, 40, 60_000), np.zeros(5000, int)):
+        terminals, rules, lengths, seq, per = repair.compress(ids.astype(np.uint32), np.array([len(ids)]))
+        pairs = np.stack([seq[:-1], seq[1:]], 1)
+        assert len(pairs) == 0 or np.unique(pairs, axis=0, return_counts=True)[1].max() < 2 * repair.LEAST
+        assert per.tolist() == [len(seq)]
+    assert lengths.max() > 100
 
 
 def test_grammar_expands_to_its_input_and_at_random_places():
