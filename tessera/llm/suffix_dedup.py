@@ -300,7 +300,6 @@ def _deal(docs: DataFrame, text: str, key: str, size: int) -> tuple[DataFrame, D
     rows = rows.join(F.broadcast(heavy), "__digest", "left")
     out = F.col("__least").isNotNull() & (F.col("__key") > F.col("__least"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-all_bytes // TASK_BYTES))
-    tasks = min(tasks, 20_000)
     parts = tasks * PARTS_PER_TASK
     light = rows.where(~F.coalesce(out, F.lit(False))).withColumn("__part", F.pmod(F.xxhash64("__digest"), F.lit(parts)).cast("int"))
     return light.drop("__digest", "__least").repartition(tasks, "__part"), rows.where(out).drop("__digest", "__least"), tasks, parts
@@ -506,13 +505,15 @@ def report(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
 
 
 def cut_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE) -> DataFrame:
-    """The rows with all their columns; the text loses the characters whose bytes are all covered. Null texts stay null."""
-    names = docs.columns
+    """The rows with all their columns, of whatever names; the text loses the characters whose bytes are all covered. Null texts stay null."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name that the work adds
+    names = plain.columns
+    own, key = names[docs.columns.index(text)], names[docs.columns.index(key)]
 
     def finish(left, texts, spans):
         columns = [left.column(c).combine_chunks() for c in names]
-        nulls = left.column(text).is_null().to_pylist()
-        columns[names.index(text)] = pa.array([None if z else kept_text(t, s) for t, s, z in zip(texts, spans, nulls, strict=True)], left.schema.field(text).type)
+        nulls = left.column(own).is_null().to_pylist()
+        columns[names.index(own)] = pa.array([None if z else kept_text(t, s) for t, s, z in zip(texts, spans, nulls, strict=True)], left.schema.field(own).type)
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return _apply(docs, text, key, size, docs.schema, finish, lambda rows: rows.withColumn(text, F.lit("")).select(*names))
+    return _apply(plain, own, key, size, plain.schema, finish, lambda rows: rows.withColumn(own, F.lit("")).select(*names)).toDF(*docs.columns)

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Numbered, bounded_batches, gathered, utf8
+from .common import Numbered, bounded_batches, gathered, unused, utf8
 
 SPACE = "▁"
 BIG = np.int64(1) << 40
@@ -336,9 +336,11 @@ def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id")
 
 
 def with_tokens(docs: DataFrame, model: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """The rows with their ids as array<int>; texts are what the ids decode to."""
+    """The rows with their ids as array<int>; texts are what the ids decode to. A table that has the ids' column gets one named with `_` after it."""
     from pyspark.sql import types as T
 
+    ids = unused(docs, ids)
+
     sent = docs.sparkSession.sparkContext.broadcast(compile_model(model))
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     names = [f.name for f in schema.fields]
