@@ -37,7 +37,7 @@ from .common import MIX, bounded_batches, mixed, stored, tasks_for, utf8, word_b
 #: Base of the counts' logarithm; bits and probes of a filter entry; weight of the base, times a word's distinct successors.
 BASE, BITS, PROBES, FORCE = 1.5, 16, 8, 3.0
 #: Bytes of text in a part; bytes of the table for a task that adds up; a word of more than one token in HOT is dealt out.
-PART_BYTES, TASK_BYTES, HOT = 4 << 20, 16 << 20, 500
+PART_BYTES, TASK_BYTES, HOT = 4 << 20, 6 << 20, 500
 BEGIN, STOP = np.uint64(0x5BE0CD19137E2179), np.uint64(0x1F83D9ABFB41BD6B)
 
 LEVELS = 120
