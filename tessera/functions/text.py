@@ -30,8 +30,9 @@ def slug(text: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """Lower-cased ASCII letters and digits with single blanks; equal ones are duplicates."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
+    """Lower-cased ASCII letters and digits with single blanks, without frontmatter and a first heading; equal ones are duplicates."""
+    rest = F.regexp_replace(F.regexp_replace(F.lower(text), r"(?s)^---.*?---\s*", ""), r"^# [^\n]*\n+", "")
+    return F.trim(F.regexp_replace(rest, r"[^a-z0-9]+", " "))
 
 
 def days_between(ts: Column, now: Column) -> Column:

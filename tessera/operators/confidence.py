@@ -19,7 +19,7 @@ _DAY = 86_400_000_000
 
 
 def state(ledger: DataFrame, now: Column, page_types: DataFrame | None = None) -> DataFrame:
-    """Per page: score, its parts, counts, last_verified_at and the anchor of decay, as seconds.
+    """Per page: score, its parts, counts, last_verified_at and the anchor of decay as seconds, superseded.
 
     A ledger with overrides has a column new_base. page_types has (page_id, page_type); without it all pages are notes.
     """
@@ -75,6 +75,7 @@ def state(ledger: DataFrame, now: Column, page_types: DataFrame | None = None) -
         (F.col("majors") + F.col("minors")).alias("contradiction_count"),
         seconds(F.greatest("last_human", "last_ci")).alias("last_verified_at"),
         seconds(anchor).alias("anchor"),
+        (F.col("superseded") > 0).alias("superseded"),
     )
 
 
@@ -84,12 +85,6 @@ def freshness(ledger: DataFrame, now: Column) -> DataFrame:
     return ledger.groupBy("page_id").agg(js_round(F.exp(-days / 180), 4).alias("freshness"), js_round(F.exp(-days / 30), 4).alias("access_recency"))
 
 
-def status(states: DataFrame) -> DataFrame:
-    """Per page: the flag of the lowest confidence, and the risk level's order."""
-    flag = F.when(F.col("score") < 0.3, "NEEDS_REVIEW").when(F.col("contradiction_count") > 0, "RECENTLY_CONTRADICTED").otherwise("ok")
-    return states.select("page_id", "score", flag.alias("flag"))
-
-
 def contradictions(ledger: DataFrame) -> DataFrame:
     """Contradictions of a page after its last human verification, and the last major one, in seconds."""
     verified = ledger.where("kind = 'verified' and actor_id like 'human:%'").groupBy("page_id").agg(F.max(F.struct("ts", "seq")).alias("v"))

@@ -1,5 +1,7 @@
 """DuckDB SQL of the registered queries."""
 
+from . import vault_oracles
+
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
 
 
@@ -103,12 +105,11 @@ SELECT item_id, relevant, coalesce(hits, 0) AS hits, floor(coalesce(hits, 0) / 1
 SELECT doc_id, count(*) AS n_terms, floor(sqrt(sum(tf * tf)) * 1e4 + 0.5) / 1e4 AS norm FROM post GROUP BY doc_id""",
     "content_hash": """SELECT 'page_' || lpad(doc_id::VARCHAR, 12, '0') AS page_id, sha256(coalesce(text, '')) AS content_hash,
 ceil((length(coalesce(text, '')) + length(regexp_replace(coalesce(text, ''), '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 4.0)::BIGINT AS tokens FROM documents""",
-    "duplicate_pages": """SELECT sha256(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'))) AS fingerprint, min(doc_id) AS first_doc, count(*) AS copies
+    "duplicate_pages": """SELECT sha256(trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '(?s)^---.*?---\\s*', ''), '^# [^\\n]*\\n+', ''), '[^a-z0-9]+', ' ', 'g'))) AS fingerprint, min(doc_id) AS first_doc, count(*) AS copies
 FROM documents GROUP BY 1 HAVING count(*) > 1""",
     "source_rollup": """SELECT source, count(*) AS pages, count(quality) AS labelled, floor(avg(quality) * 1e4 + 0.5) / 1e4 AS quality, coalesce(sum(toxic), 0)::BIGINT AS toxic
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""",
     "confidence_state": f"WITH {_LEDGER} SELECT * FROM state",
-    "confidence_status": f"WITH {_LEDGER} SELECT page_id, score, CASE WHEN score < 0.3 THEN 'NEEDS_REVIEW' WHEN contradiction_count > 0 THEN 'RECENTLY_CONTRADICTED' ELSE 'ok' END AS flag FROM state",
     "page_freshness": f"WITH {_LEDGER} SELECT * FROM fresh",
     "active_contradictions": f"""WITH {_LEDGER}, v AS (SELECT page_id, max((ts, seq)) AS v FROM led WHERE e = 'purchase' GROUP BY page_id)
 SELECT page_id, count(*) AS active, max(CASE WHEN value > 100 THEN us END) // 1000000 AS latest_major FROM led LEFT JOIN v USING (page_id) WHERE e = 'error' AND (v IS NULL OR (ts, seq) > v) GROUP BY page_id""",
@@ -122,3 +123,4 @@ SELECT href, count(*) AS in_links, href IN (SELECT url FROM pages WHERE url IS N
 FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages)""",
     "streamed_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
+ORACLES |= vault_oracles.oracles(_LEDGER)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import estimated_tokens, js_round
-from tessera.operators import confidence, graph, retrieval
+from tessera.functions import markdown as md
+from tessera.operators import confidence, graph, retrieval, vault
 from tessera.sources import tables
 from tessera.streaming import ledger as stream
 
@@ -120,12 +121,66 @@ def source_rollup(spark, d):
 
 @_register
 def confidence_state(spark, d):
-    return confidence.state(tables.ledger(spark, d), _now())
+    return confidence.state(tables.ledger(spark, d), _now()).drop("superseded")
 
 
 @_register
 def confidence_status(spark, d):
-    return confidence.status(confidence.state(tables.ledger(spark, d), _now()))
+    found = vault.flags(confidence.state(tables.ledger(spark, d), _now()), _now())
+    return found.select("page_id", "score", F.array_join("flags", ",").alias("flags"), vault.risk(F.col("flags")).alias("risk_level"))
+
+
+@_register
+def ingest_sources(spark, d):
+    path = F.col("path")
+    return tables.files(spark, d).select("doc_id", "path", md.kind(path).alias("kind"), md.language(path).alias("language"), md.target_path(path).alias("target"))
+
+
+@_register
+def page_parts(spark, d):
+    return vault.parts(tables.vault(spark, d))
+
+
+@_register
+def chunk_ranges(spark, d):
+    return vault.chunk_ranges(tables.vault(spark, d))
+
+
+@_register
+def markdown_sections(spark, d):
+    return vault.sections(tables.vault(spark, d))
+
+
+@_register
+def wiki_degrees(spark, d):
+    return vault.wiki_degrees(tables.vault(spark, d))
+
+
+@_register
+def stable_ids(spark, d):
+    return tables.files(spark, d).select("doc_id", md.stable_id(F.col("path"), "page").alias("page_id"))
+
+
+@_register
+def snippets(spark, d):
+    return tables.pages(spark, d).select("doc_id", md.snippet(F.col("body"), F.coalesce("lang", F.lit("")), 240).alias("snippet"))
+
+
+@_register
+def fallback_queries(spark, d):
+    return tables.table(spark, d, "benchmark").select("item_id", F.array_join(md.fallback_queries(F.coalesce("text", F.lit(""))), " ").alias("queries"))
+
+
+@_register
+def file_risk(spark, d):
+    found = vault.flags(confidence.state(tables.ledger(spark, d), _now()), _now())
+    return vault.by_file(tables.vault(spark, d), found, "source")
+
+
+@_register
+def lint_report(spark, d):
+    led = tables.ledger(spark, d)
+    return vault.lint(tables.vault(spark, d), confidence.state(led, _now()), confidence.contradictions(led), _now())
 
 
 @_register

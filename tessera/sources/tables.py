@@ -59,3 +59,32 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation as a page with one headed section per turn."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+
+
+#: Extensions and frontmatter that the vault's pages take in turn.
+EXTENSIONS = ["md", "markdown", "txt", "log", "pdf", "ts", "py", "cpp", "bin"]
+TYPES, SUBTYPES = ["markdown", "pdf", "webpage", "chat", "code", "letter"], ["academic", "vendor", "other"]
+
+
+def _turn(values: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod("doc_id", F.lit(len(values))) + 1).cast("int"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as source files: doc_id, path."""
+    path = F.concat(F.when(F.col("doc_id") % 3 == 0, ".inbox/").otherwise("notes/"), F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), _turn(EXTENSIONS))
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+
+
+def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as markdown pages: page_id, path, content with frontmatter, headings, a fence and wiki links around the text."""
+    n = F.col("doc_id").cast("string")
+    lit = F.lit
+    front = F.concat(lit("---\ntitle: Page "), n, lit("\nsource_type: "), _turn(TYPES), lit("\nsource_subtype: "), _turn(SUBTYPES), lit("\n---\n"))
+    links = F.concat(lit("[["), (F.col("doc_id") + 1 + F.col("doc_id") % 3).cast("string"), lit("|next]] and [[Nowhere "), (F.col("doc_id") % 7).cast("string"), lit("#part]]\n"))
+    content = F.concat(
+        F.when(F.col("doc_id") % 4 != 3, front).otherwise(""), F.when(F.col("doc_id") % 5 != 4, F.concat(lit("# Note "), n, lit("\n\n"))).otherwise(""),
+        F.coalesce("text", lit("")), lit("\n\n"), F.when(F.col("doc_id") % 6 != 5, F.concat(lit("## See also ##\n"), links, lit("```sh\n# not a heading\n```\n### See also\n  \n"))).otherwise(""),
+    )
+    path = F.concat(lit("pages/"), F.coalesce("lang", lit("none")), lit("/"), n, lit(".md"))
+    return table(spark, sf_dir, "documents").select(page_id(F.col("doc_id")).alias("page_id"), path.alias("path"), content.alias("content"), "source")
