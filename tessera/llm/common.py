@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -61,6 +63,20 @@ def texts(column: pa.Array) -> Iterator[bytes | None]:
         yield None if nulls[i] else whole[at[i] : at[i + 1]]
 
 
+def tidy(task):
+    """A task's function over batches that gives freed memory back to the system at its end, as Python workers serve many tasks."""
+
+    @functools.wraps(task)
+    def run(batches):
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 class Numbered(dict):
     """Numbers keys as they are first looked up; `new` lists those not yet encoded."""
 
@@ -171,7 +187,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     pairs = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    now = stored(pairs.mapInArrow(forest, "u long, v long").distinct())
+    now = stored(pairs.mapInArrow(tidy(forest), "u long, v long").distinct())
     mark = None
     while True:
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -40,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, bounded_batches, components, discard, local_forest, mixed, stored, tasks_for, unused, word_blocks
+from .common import MIX, bounded_batches, components, discard, local_forest, mixed, stored, tasks_for, tidy, unused, word_blocks
 
 PERCENT, WIDTH = 85, 4
 #: Shingles that one task of the matrix holds of a group, but for a larger single set.
 CHUNK = 1 << 17
 #: Bytes of the table for a task; part hashes that a task packs at a time.
-TASK_BYTES, PACKED = 8 << 20, 1 << 21
+TASK_BYTES, PACKED = 8 << 20, 1 << 20
 
 
 def shingle_sets(column: pa.Array | pa.ChunkedArray, width: int = WIDTH) -> Iterator[list[np.ndarray]]:
@@ -207,7 +207,7 @@ def _compared(rows: DataFrame, by: list[str], width: int, percent: int, tasks: i
         yield flush()
 
     dealt = rows.select(*by, "class", "t").repartition(tasks, *by).sortWithinPartitions(*by, "class")
-    return dealt.mapInArrow(run, "class long, least long")
+    return dealt.mapInArrow(tidy(run), "class long, least long")
 
 
 def _described(narrow: DataFrame, width: int, percent: int, seed: int, tasks: int) -> DataFrame:
@@ -280,8 +280,8 @@ def _described(narrow: DataFrame, width: int, percent: int, seed: int, tasks: in
         a, b = local_forest(own[1:][same], own[:-1][same])
         yield pa.RecordBatch.from_arrays([pa.array(b), pa.nulls(len(a), pa.int64()), pa.array(a), pa.nulls(len(a), pa.int64())], ["id", "n", "class", "more"])
 
-    out = narrow.mapInArrow(describe, "task int, id long, n long, class long, more long, payload binary").repartition(tasks, "task")
-    return stored(out.mapInArrow(meet, "id long, n long, class long, more long"))
+    out = narrow.mapInArrow(tidy(describe), "task int, id long, n long, class long, more long, payload binary").repartition(tasks, "task")
+    return stored(out.mapInArrow(tidy(meet), "id long, n long, class long, more long"))
 
 
 def _linked(narrow: DataFrame, groups: DataFrame, reps: DataFrame, width: int, percent: int, seed: int, tasks: int) -> DataFrame:
@@ -298,7 +298,7 @@ def _linked(narrow: DataFrame, groups: DataFrame, reps: DataFrame, width: int, p
             yield b.filter(pa.array(np.array(found, np.int64) == b.column(b.schema.get_field_index("class")).to_numpy(), pa.bool_()))
 
     inside = placed.select("id", "class", "n", "root", "chunks", "chunk").join(narrow, "id")
-    inside = stored(inside.mapInArrow(of_class, inside.schema))
+    inside = stored(inside.mapInArrow(tidy(of_class), inside.schema))
     found = stored(_compared(inside, ["root", "chunk"], width, percent, tasks))
     wide = inside.where("chunks > 1")
     if not wide.isEmpty():
@@ -388,8 +388,8 @@ def _overlaps(rows: DataFrame, width: int, tasks: int) -> DataFrame:
         counted, n = np.unique(name[shared & (name != 0)], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(counted, pa.int64()), pa.array(n, pa.int64())], ["class", "overlap"])
 
-    sent = rows.select("root", "part", "class", "minor", "t").mapInArrow(send, "task int, payload binary, class long, overlap long").repartition(tasks, "task")
-    return sent.mapInArrow(add_up, "class long, overlap long").groupBy("class").agg(F.sum("overlap").alias("overlap"))
+    sent = rows.select("root", "part", "class", "minor", "t").mapInArrow(tidy(send), "task int, payload binary, class long, overlap long").repartition(tasks, "task")
+    return sent.mapInArrow(tidy(add_up), "class long, overlap long").groupBy("class").agg(F.sum("overlap").alias("overlap"))
 
 
 def _shared(key: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_batches, utf8
+from .common import LOWER, bounded_batches, tidy, utf8
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -222,7 +222,7 @@ def predict(docs: DataFrame, model: ByteCNN | None, text: str = "text", key: str
             langs, scores = predict_texts(model, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [key, "lang_pred", "score"])
 
-    return bounded_batches(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+    return bounded_batches(docs).select(key, text).mapInArrow(tidy(run), f"`{key}` {kind}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: ByteCNN | None, text: str = "text", least: float = 0.0) -> DataFrame:
@@ -233,4 +233,4 @@ def keep_known(docs: DataFrame, model: ByteCNN | None, text: str = "text", least
             langs, scores = predict_texts(model, b.column(b.schema.get_field_index(text)))
             yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(tidy(run), docs.schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, utf8
+from .common import bounded_batches, tidy, utf8
 
 SIZE = 50
 #: Bytes of an anchor.
@@ -455,11 +455,11 @@ def _apply(docs: DataFrame, text: str, key: str, size: int, schema: T.StructType
         return pa.Table.from_batches(batches) if batches else arrow.empty_table()
 
     in_order = dealt.sortWithinPartitions("__part")
-    by_anchor = in_order.mapInArrow(anchors, message).repartition(tasks, "__part")
-    flagged = by_anchor.mapInArrow(repeated, message)
+    by_anchor = in_order.mapInArrow(tidy(anchors), message).repartition(tasks, "__part")
+    flagged = by_anchor.mapInArrow(tidy(repeated), message)
     left = dealt.groupBy("__part")
     found = left.cogroup(flagged.groupBy("__part")).applyInArrow(contexts, message).repartition(tasks, "__part")
-    smaller = found.mapInArrow(sort_contexts, message)
+    smaller = found.mapInArrow(tidy(sort_contexts), message)
     out = left.cogroup(flagged.unionByName(smaller).groupBy("__part")).applyInArrow(cut_part, schema)
     return out.unionByName(finish_heavy(heavy))
 
