@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -123,6 +124,12 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffles of finished jobs: it does so once the driver's collector has met them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, order: list[str], group: str, name: str, partitions: int | None = None) -> DataFrame:
     """Adds `name`: a gapless number from 0 within each value of `group`, in the order of `order`.
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, bounded_batches, components, discard, local_forest, mixed, stored, tasks_for, tidy, unused, word_blocks
+from .common import MIX, bounded_batches, components, discard, local_forest, mixed, stored, swept, tasks_for, tidy, unused, word_blocks
 
 PERCENT, WIDTH = 85, 4
 #: Shingles that one task of the matrix holds of a group, but for a larger single set.
@@ -300,6 +300,7 @@ def _linked(narrow: DataFrame, groups: DataFrame, reps: DataFrame, width: int, p
     inside = placed.select("id", "class", "n", "root", "chunks", "chunk").join(narrow, "id")
     inside = stored(inside.mapInArrow(tidy(of_class), inside.schema))
     found = stored(_compared(inside, ["root", "chunk"], width, percent, tasks))
+    swept(spark)
     wide = inside.where("chunks > 1")
     if not wide.isEmpty():
         before = None
@@ -316,6 +317,7 @@ def _linked(narrow: DataFrame, groups: DataFrame, reps: DataFrame, width: int, p
             cut = counts.select("root", F.ceil(F.col("size") / CHUNK).cast("int").alias("cuts"))
             again = stand.join(cut, "root").withColumn("cut", F.pmod(F.xxhash64("class", F.lit(before)), F.col("cuts")).cast("int"))
             found = stored(found.unionByName(_compared(again, ["root", "cut"], width, percent, tasks)))
+        swept(spark)
         if now:
             found = stored(found.unionByName(_across(wide, part, width, percent, tasks)))
     roots = components(found, "class", "least")
@@ -324,7 +326,11 @@ def _linked(narrow: DataFrame, groups: DataFrame, reps: DataFrame, width: int, p
 
 
 def _overlaps(rows: DataFrame, width: int, tasks: int) -> DataFrame:
-    """(class, overlap): how many tokens of each minor class another partition of its group has. rows: (root, part, class, minor, t)."""
+    """(class, overlap): at least how many tokens of each minor class another partition of its group has. rows: (root, part, class, minor, t).
+
+    A token travels as half its hash beside the task it goes to: where two meet by chance, the overlap is counted too
+    high, so a document may be compared in vain, but none is left out.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, int, int]] = []
@@ -349,10 +355,17 @@ def _overlaps(rows: DataFrame, width: int, tasks: int) -> DataFrame:
             key, part, name = key[kept], part[kept], name[kept]
             to = (key % np.uint64(tasks)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            key, part, name = key[order], part[order], name[order]
+            key = key[order]
             cut = np.searchsorted(to[order], np.arange(tasks + 1))
             some = np.flatnonzero(np.diff(cut)).tolist()
-            data = [key[cut[k] : cut[k + 1]].tobytes() + part[cut[k] : cut[k + 1]].tobytes() + name[cut[k] : cut[k + 1]].tobytes() for k in some]
+            parts, x = np.unique(part[order], return_inverse=True)
+            names, y = np.unique(name[order], return_inverse=True)
+            both, whose = np.unique(x * len(names) + y, return_inverse=True)
+            pairs = np.stack([parts[both // len(names)], names[both % len(names)]], 1)
+            data = []
+            for k in some:
+                used, at = np.unique(whose[cut[k] : cut[k + 1]], return_inverse=True)
+                data.append(np.uint32(len(used)).tobytes() + pairs[used].tobytes() + (key[cut[k] : cut[k + 1]] >> np.uint64(32)).astype("<u4").tobytes() + at.astype("<u4").tobytes())
             m = len(some)
             tasks_of = [*some, *(counted % tasks).tolist()]
             return pa.RecordBatch.from_arrays([pa.array(tasks_of, pa.int32()), pa.array([*data, *[None] * len(n)], pa.binary()), pa.array([*[None] * m, *counted.tolist()], pa.int64()), pa.array([*[None] * m, *n.tolist()], pa.int64())], ["task", "payload", "class", "overlap"])
@@ -372,16 +385,16 @@ def _overlaps(rows: DataFrame, width: int, tasks: int) -> DataFrame:
             yield flush()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = [b"", b"", b""]
-        held: list[list[bytes]] = [[], [], []]
+        keys, owners = [np.zeros(0, np.uint32)], [np.zeros((0, 2), np.int64)]
         for b in batches:
             told = b.filter(b.column(1).is_null())
             yield pa.RecordBatch.from_arrays([told.column(2), told.column(3)], ["class", "overlap"])
             for p in b.column(1).drop_null().to_pylist():
-                for j in range(3):
-                    held[j].append(p[j * len(p) // 3 : (j + 1) * len(p) // 3])
-        data = [b"".join(x) for x in held]
-        key, part, name = np.frombuffer(data[0], np.uint64), np.frombuffer(data[1], np.int64), np.frombuffer(data[2], np.int64)
+                m = int(np.frombuffer(p, "<u4", 1)[0])  # (partition, class) pairs, then keys, then each key's pair
+                n = (len(p) - 4 - 16 * m) // 8
+                keys.append(np.frombuffer(p, "<u4", n, 4 + 16 * m))
+                owners.append(np.frombuffer(p, np.int64, 2 * m, 4).reshape(m, 2)[np.frombuffer(p, "<u4", n, 4 + 16 * m + 4 * n)])
+        key, (part, name) = np.concatenate(keys), np.concatenate(owners).T
         order = np.lexsort((part, key))
         key, part, name = key[order], part[order], name[order]
         _, shared = _shared(key, part)
@@ -408,6 +421,7 @@ def _across(wide: DataFrame, part: DataFrame, width: int, percent: int, tasks: i
     reaches the bound. Who does not reach it leaves, and with fewer rows the bound is taken again while that helps. The
     others are compared, in chunks, with each chunk of their group's rows that are left or of the largest partition.
     """
+    spark = wide.sparkSession
     largest = part.groupBy("root", "part").agg(F.count("*").alias("m")).groupBy("root").agg(F.max_by("part", F.struct("m", "part")).alias("most"), F.count("*").alias("parts"))
     rows = wide.select("root", "class", "n", "t").join(part.select("class", "part"), "class").join(largest.where("parts > 1").select("root", "most"), "root")
     rows = stored(rows.withColumn("minor", F.col("part") != F.col("most")))
@@ -415,7 +429,10 @@ def _across(wide: DataFrame, part: DataFrame, width: int, percent: int, tasks: i
     while before:
         need = F.ceil(F.col("n") * percent / 100)
         left = rows.join(_overlaps(rows, width, tasks), "class", "left").where(~F.col("minor") | (F.col("overlap") >= need)).select(rows.columns)
-        rows = stored(left)
+        less = stored(left)
+        discard(spark, rows)
+        swept(spark)
+        rows = less
         now = rows.where("minor").count()
         if 10 * now > 9 * before:
             break
