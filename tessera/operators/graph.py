@@ -9,8 +9,9 @@ from tessera.functions.text import estimated_tokens, fingerprint, js_round, slug
 
 
 def links(html: DataFrame) -> DataFrame:
-    """(page_id, href) for each distinct link target of a page."""
-    return html.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
+    """(page_id, href) for each distinct link target of a page but itself."""
+    found = html.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
+    return found.where(~F.col("href").eqNullSafe(F.col("url"))).select("page_id", "href").distinct()
 
 
 def degrees(html: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def duplicates(pages: DataFrame) -> DataFrame:
 def section_lines(sections: DataFrame) -> DataFrame:
     """Each section's number in its page and its range of lines: a heading line, then the text's lines."""
     lines = F.length(F.regexp_replace("text", "[^\n]", "")).cast("long") + 2
-    order = Window.partitionBy("conv_id").orderBy("turn", "role")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     end = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
     out = sections.withColumn("n", lines).withColumn("section", F.row_number().over(order).cast("long")).withColumn("line_end", end)
     return out.select("conv_id", "turn", "role", "section", (F.col("line_end") - F.col("n") + 1).alias("line_start"), "line_end", estimated_tokens(F.col("text")).cast("long").alias("tokens"))

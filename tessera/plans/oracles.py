@@ -115,9 +115,9 @@ FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""",
 SELECT page_id, count(*) AS active, max(CASE WHEN value > 100 THEN us END) // 1000000 AS latest_major FROM led LEFT JOIN v USING (page_id) WHERE e = 'error' AND (v IS NULL OR (ts, seq) > v) GROUP BY page_id""",
     "conversation_sections": """WITH n AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
 l AS (SELECT *, length(t) - length(replace(t, chr(10), '')) + 2 AS n FROM n),
-o AS (SELECT *, row_number() OVER w AS section, (sum(n) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS line_end FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role))
+o AS (SELECT *, row_number() OVER w AS section, (sum(n) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS line_end FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, t))
 SELECT conv_id, turn, role, section, line_end - n + 1 AS line_start, line_end, ceil((length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 4.0)::BIGINT AS tokens FROM o""",
-    "link_degrees": """WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+    "link_degrees": """WITH x AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages), l AS (SELECT DISTINCT page_id, href FROM x WHERE href IS DISTINCT FROM url)
 SELECT href, count(*) AS in_links, href IN (SELECT url FROM pages WHERE url IS NOT NULL) AS resolved FROM l GROUP BY href""",
     "page_titles": """SELECT page_id, title, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug
 FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages)""",
