@@ -16,8 +16,9 @@ bits of the set's digest; a table with two sets of one number (their other 64 bi
    members compared exactly until one links.
 3. In a group of several chunks one document per partition is compared with the others of its group in rounds, while
    that at least halves their number. A link that is still missing joins two partitions, one end lies outside the
-   largest partition, and that end overlaps with the unions of its group's other partitions by what a link needs: only
-   documents that reach this bound are compared, in chunks, with each chunk of their group.
+   largest partition, and that end overlaps with the unions of its group's other partitions by what a link needs. Only
+   documents that reach this bound are dealt to blocks, each block is a matrix, and all that is left of the group
+   queries it in slices: a query opens the partitions that qualify and joins none to the matrix.
 
 Texts are shingled in one pass that gives set sizes, numbers and parts together, and travel once more for those in a
 group. The number of tasks follows the table's size.
@@ -45,6 +46,8 @@ from .common import MIX, bounded_batches, components, discard, local_forest, mix
 PERCENT, WIDTH = 85, 4
 #: Shingles that one task of the matrix holds of a group, but for a larger single set.
 CHUNK = 1 << 17
+#: Chunks of a block, and of a slice of its queries: texts travel once per block or slice of their group.
+BLOCK = 4
 #: Bytes of the table for a task; part hashes that a task packs at a time.
 TASK_BYTES, PACKED = 8 << 20, 1 << 20
 
@@ -133,17 +136,24 @@ class TokenGroups:
         held.sort(key=len)
         return {self._home(g) for groups in held[:look] for g in groups}
 
-    def add(self, s: np.ndarray) -> None:
-        """Puts a document where it links; partitions that it connects become one."""
-        i = len(self.sets)
-        self.sets.append(s)
+    def linked(self, s: np.ndarray) -> list[tuple[int, int]]:
+        """The partitions that a document links with, and one member of each that it links with."""
         need = -(-self.percent * len(s) // 100)
         found = []
         for g in self._candidates(s, need):
             union = self.unions[g]
             at = np.minimum(np.searchsorted(union, s), len(union) - 1)
-            if np.count_nonzero(union[at] == s) >= need and any(links(s, self.sets[m], self.percent) for m in reversed(self.members[g])):
-                found.append(g)
+            if np.count_nonzero(union[at] == s) >= need:
+                m = next((m for m in reversed(self.members[g]) if links(s, self.sets[m], self.percent)), None)
+                if m is not None:
+                    found.append((g, m))
+        return found
+
+    def add(self, s: np.ndarray) -> None:
+        """Puts a document where it links; partitions that it connects become one."""
+        i = len(self.sets)
+        found = [g for g, _ in self.linked(s)]
+        self.sets.append(s)
         if found:
             home = max(found, key=lambda g: len(self.unions[g]))
         else:
@@ -173,7 +183,10 @@ class TokenGroups:
 
 
 def _compared(rows: DataFrame, by: list[str], width: int, percent: int, tasks: int) -> DataFrame:
-    """(class, least) for every class of rows (by..., class, t): the smallest class of its partition within its group."""
+    """(class, least) for every class of rows (by..., query, class, t): the smallest class of its partition within its group.
+
+    Rows with `query` come after the others of their group and are not put into its matrix: (class, a class it links with).
+    """
     n = len(by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,15 +201,17 @@ def _compared(rows: DataFrame, by: list[str], width: int, percent: int, tasks: i
 
         for b in batches:
             names = list(zip(*[b.column(i).to_pylist() for i in range(n)], strict=True))
-            classes = b.column(n).to_pylist()
+            asks, classes = b.column(n).to_pylist(), b.column(n + 1).to_pylist()
             at = 0
-            for found in shingle_sets(b.column(n + 1), width):
+            for found in shingle_sets(b.column(n + 2), width):
                 for s in found:
                     if names[at] != name:
                         if groups is not None:
                             out += groups.forest(ids)
                         name, ids, groups = names[at], [], TokenGroups(percent)
-                    if not ids or classes[at] != ids[-1]:  # rows of one class lie together
+                    if asks[at]:
+                        out += [(classes[at], ids[m]) for _, m in groups.linked(s)]
+                    elif not ids or classes[at] != ids[-1]:  # rows of one class lie together
                         ids.append(classes[at])
                         groups.add(s)
                     at += 1
@@ -206,7 +221,9 @@ def _compared(rows: DataFrame, by: list[str], width: int, percent: int, tasks: i
             out += groups.forest(ids)
         yield flush()
 
-    dealt = rows.select(*by, "class", "t").repartition(tasks, *by).sortWithinPartitions(*by, "class")
+    if "query" not in rows.columns:
+        rows = rows.withColumn("query", F.lit(False))
+    dealt = rows.select(*by, "query", "class", "t").repartition(tasks, *by).sortWithinPartitions(*by, "query", "class")
     return dealt.mapInArrow(tidy(run), "class long, least long")
 
 
@@ -319,10 +336,10 @@ def _linked(narrow: DataFrame, groups: DataFrame, reps: DataFrame, width: int, p
             found = stored(found.unionByName(_compared(again, ["root", "cut"], width, percent, tasks)))
         swept(spark)
         if now:
-            found = stored(found.unionByName(_across(wide, part, width, percent, tasks)))
-    roots = components(found, "class", "least")
+            found = stored(found.unionByName(_across(inside, part, width, percent, tasks)))
     discard(spark, inside)
-    return roots
+    swept(spark)
+    return components(found, "class", "least")
 
 
 def _overlaps(rows: DataFrame, width: int, tasks: int) -> DataFrame:
@@ -414,17 +431,19 @@ def _shared(key: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.repeat(part[at] != part[end - 1], end - at)
 
 
-def _across(wide: DataFrame, part: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
-    """(class, least) for the links between partitions of a group.
+def _across(inside: DataFrame, part: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
+    """(class, least) for the links between partitions of a group; inside is deleted once its rows of such groups are kept.
 
     One end of such a link lies outside the group's largest partition, and its overlap with all other partitions
     reaches the bound. Who does not reach it leaves, and with fewer rows the bound is taken again while that helps. The
-    others are compared, in chunks, with each chunk of their group's rows that are left or of the largest partition.
+    others are held in blocks, which all rows of their group that are left or of the largest partition query in slices.
     """
-    spark = wide.sparkSession
+    spark = inside.sparkSession
     largest = part.groupBy("root", "part").agg(F.count("*").alias("m")).groupBy("root").agg(F.max_by("part", F.struct("m", "part")).alias("most"), F.count("*").alias("parts"))
-    rows = wide.select("root", "class", "n", "t").join(part.select("class", "part"), "class").join(largest.where("parts > 1").select("root", "most"), "root")
+    rows = inside.where("chunks > 1").select("root", "class", "n", "t").join(part.select("class", "part"), "class").join(largest.where("parts > 1").select("root", "most"), "root")
     rows = stored(rows.withColumn("minor", F.col("part") != F.col("most")))
+    discard(spark, inside)
+    swept(spark)
     before = rows.where("minor").count()
     while before:
         need = F.ceil(F.col("n") * percent / 100)
@@ -437,13 +456,14 @@ def _across(wide: DataFrame, part: DataFrame, width: int, percent: int, tasks: i
         if 10 * now > 9 * before:
             break
         before = now
-    chunks = rows.groupBy("root").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"), F.ceil(F.sum(F.when(F.col("minor"), F.col("n"))) / CHUNK).cast("int").alias("cuts")).where("cuts > 0")
-    rows = rows.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("class", F.lit(-2)), F.col("chunks")).cast("int"))
-    cut = F.pmod(F.xxhash64("class", F.lit(-1)), F.col("cuts")).cast("int")
-    minor = rows.where("minor").withColumn("cut", cut).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    others = rows.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    columns = ["root", "chunk", "cut", "class", "t"]
-    return _compared(minor.select(columns).unionByName(others.select(columns)), columns[:3], width, percent, tasks)
+    shingles = F.sum(F.when(F.col("minor"), F.col("n")))
+    counts = rows.groupBy("root").agg(F.ceil(F.sum("n") / (BLOCK * CHUNK)).cast("int").alias("slices"), F.ceil(shingles / (BLOCK * CHUNK)).cast("int").alias("blocks")).where("blocks > 0")
+    rows = rows.join(counts, "root").withColumn("slice", F.pmod(F.xxhash64("class", F.lit(-2)), F.col("slices")).cast("int"))
+    own = F.pmod(F.xxhash64("class", F.lit(-1)), F.col("blocks")).cast("int")
+    held = rows.where("minor").select("root", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), own.alias("block"), F.lit(False).alias("query"), "class", "t")
+    asking = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(~F.col("minor") | (own != F.col("block")))
+    asking = asking.select("root", "slice", "block", F.lit(True).alias("query"), "class", "t")
+    return _compared(held.unionByName(asking), ["root", "slice", "block"], width, percent, tasks)
 
 
 def clusters(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -454,6 +474,7 @@ def clusters(docs: DataFrame, text: str = "text", key: str = "doc_id", width: in
     seed = 0
     while True:
         described = _described(narrow, width, percent, seed, tasks)
+        swept(docs.sparkSession)  # the parts' messages have met
         measured = described.where("n is not null")
         reps = stored(measured.where("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("more").alias("lo"), F.max("more").alias("hi")))
         if reps.where("lo <> hi").isEmpty():
