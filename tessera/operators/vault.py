@@ -108,3 +108,51 @@ def lint(vault: DataFrame, state: DataFrame, contradictions: DataFrame, now: Col
         .unionByName(found(wiki_degrees(vault).where("orphan"), "orphan_page", F.lit(None)))
         .unionByName(found(wiki(vault).where("to is null"), "broken_link", F.col("target")))
     )
+
+
+#: Checks of lint(), and whether a finding fails the gate; a stale page does so only as a decision record, which the vault has none of.
+CHECKS = {"low_confidence": False, "stale": False, "unresolved_contradiction": True, "orphan_page": False, "broken_link": True}
+
+
+def gate(findings: DataFrame) -> DataFrame:
+    """(check, found, status) of every check, also of those without findings."""
+    names = F.map_from_arrays(F.array(*[F.lit(c) for c in CHECKS]), F.array(*[F.lit(h) for h in CHECKS.values()]))
+    checks = findings.sparkSession.range(1).select(F.explode(names).alias("check", "hard"))
+    rows = checks.join(findings.groupBy("check").agg(F.count("*").alias("n")), "check", "left")
+    found = F.coalesce("n", F.lit(0))
+    status = F.when(found == 0, "pass").when(F.col("hard"), "fail").otherwise("warn")
+    return rows.select("check", found.cast("long").alias("found"), status.alias("status"))
+
+
+def summaries(vault: DataFrame, state: DataFrame, now: Column) -> DataFrame:
+    """Every page with its confidence; a page without a ledger has no score and is flagged so."""
+    known = state.join(flags(state, now).select("page_id", "flags"), "page_id").select("page_id", "score", "source_count", "contradiction_count", "flags")
+    rows = vault.select("page_id", "path", md.title(md.body(F.col("content")), F.col("path")).alias("title")).join(known, "page_id", "left")
+    missing = F.array(F.lit("MISSING_LEDGER"))
+    return rows.withColumn("flags", F.array_join(F.coalesce("flags", missing), ",")).fillna(0, ["source_count", "contradiction_count"])
+
+
+def section_confidence(vault: DataFrame, state: DataFrame, now: Column) -> DataFrame:
+    """Sections with the score and flags of their page."""
+    return sections(vault).join(summaries(vault, state, now).select("page_id", "score", "flags"), "page_id")
+
+
+def to_verify(vault: DataFrame, state: DataFrame, least: float = 0.7) -> DataFrame:
+    """Pages that score below `least` or have no ledger."""
+    rows = vault.select("page_id", "path").join(state.select("page_id", "score"), "page_id", "left")
+    return rows.where(F.col("score").isNull() | (F.col("score") < least))
+
+
+def whole(vault: DataFrame) -> DataFrame:
+    """Per page: its lines and the digest of its content."""
+    c = F.col("content")
+    lines = F.when(c == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit("\n"))) + 1)
+    return vault.select("page_id", "path", lines.cast("long").alias("line_count"), F.sha2(c, 256).alias("digest"))
+
+
+def stats(vault: DataFrame) -> DataFrame:
+    """(metric, value): pages, chunks, their tokens, sections, wiki links."""
+    chunks = chunk_ranges(vault)
+    counted = lambda rows, metric, value=F.count("*"): rows.agg(F.lit(metric).alias("metric"), value.cast("long").alias("value"))
+    out = counted(vault, "pages").unionByName(counted(chunks, "chunks")).unionByName(counted(chunks, "tokens", F.coalesce(F.sum("tokens"), F.lit(0))))
+    return out.unionByName(counted(sections(vault), "sections")).unionByName(counted(wiki(vault), "links"))

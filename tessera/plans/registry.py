@@ -183,6 +183,41 @@ def lint_report(spark, d):
     return vault.lint(tables.vault(spark, d), confidence.state(led, _now()), confidence.contradictions(led), _now())
 
 
+@_register
+def lint_gate(spark, d):
+    return vault.gate(lint_report(spark, d))
+
+
+@_register
+def page_confidence(spark, d):
+    return vault.summaries(tables.vault(spark, d), confidence.state(tables.ledger(spark, d), _now()), _now())
+
+
+@_register
+def section_confidence(spark, d):
+    return vault.section_confidence(tables.vault(spark, d), confidence.state(tables.ledger(spark, d), _now()), _now())
+
+
+@_register
+def pages_to_verify(spark, d):
+    return vault.to_verify(tables.vault(spark, d), confidence.state(tables.ledger(spark, d), _now()))
+
+
+@_register
+def whole_pages(spark, d):
+    return vault.whole(tables.vault(spark, d))
+
+
+@_register
+def wiki_links(spark, d):
+    return vault.wiki(tables.vault(spark, d))
+
+
+@_register
+def vault_stats(spark, d):
+    return vault.stats(tables.vault(spark, d))
+
+
 @_register
 def page_freshness(spark, d):
     return confidence.freshness(tables.ledger(spark, d), _now())

@@ -44,7 +44,7 @@ def oracles(ledger: str) -> dict[str, str]:
     risk = lambda f: f"CASE WHEN list_contains({f}, 'MISSING_LEDGER') THEN 'missing_ledger' WHEN list_contains({f}, 'NEEDS_REVIEW') THEN 'needs_review' WHEN list_contains({f}, 'STALE') THEN 'stale' ELSE 'ok' END"
     slug = "coalesce(nullif(regexp_replace(regexp_replace(lower(heading), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'section')"
     tokens = "ceil((length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 4.0)::BIGINT"
-    return {
+    found = {
         "confidence_status": f"WITH {ledger}, {flags} SELECT page_id, score, array_to_string(flags, ',') AS flags, {risk('flags')} AS risk_level FROM flagged",
         "ingest_sources": f"""WITH {_FILES} SELECT doc_id, path, {_KIND} AS kind, CASE {_cases(_EXT, md.LANGUAGES.items())} END AS language,
 regexp_replace(path, '^\\.', '').regexp_replace('\\.markdown$', '.md') || CASE WHEN {_EXT} IN ('md', 'markdown') THEN '' ELSE '.md' END AS target FROM files""",
@@ -86,3 +86,16 @@ UNION ALL SELECT 'unresolved_contradiction', page_id, active::VARCHAR FROM con S
 UNION ALL SELECT 'orphan_page', page_id, NULL FROM deg WHERE outgoing = 0 AND incoming = 0
 UNION ALL SELECT 'broken_link', page_id, target FROM wiki WHERE "to" IS NULL""",
     }
+    summary = "summary AS (SELECT page_id, path, title, score, coalesce(source_count, 0) AS source_count, coalesce(contradiction_count, 0) AS contradiction_count, coalesce(array_to_string(flags, ','), 'MISSING_LEDGER') AS flags FROM named LEFT JOIN (SELECT page_id, source_count, contradiction_count FROM state) USING (page_id) LEFT JOIN flagged USING (page_id))"
+    return found | {
+        "lint_gate": f"""WITH lint AS ({found['lint_report']}), c("check", hard) AS (VALUES ('low_confidence', false), ('stale', false), ('unresolved_contradiction', true), ('orphan_page', false), ('broken_link', true))
+SELECT c."check", count(lint.page_id) AS found, CASE WHEN count(lint.page_id) = 0 THEN 'pass' WHEN any_value(hard) THEN 'fail' ELSE 'warn' END AS status FROM c LEFT JOIN lint ON lint."check" = c."check" GROUP BY ALL""",
+        "page_confidence": f"WITH {ledger}, {flags}, {_VAULT}, {summary} SELECT * FROM summary",
+        "section_confidence": f"WITH {ledger}, {flags}, {_VAULT}, {summary}, sec AS ({found['markdown_sections']}) SELECT sec.*, score, flags FROM sec JOIN summary USING (page_id)",
+        "pages_to_verify": f"WITH {ledger}, {_VAULT} SELECT page_id, path, score FROM vault LEFT JOIN state USING (page_id) WHERE score IS NULL OR score < 0.7",
+        "whole_pages": f"WITH {_VAULT} SELECT page_id, path, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, {_NL})) END AS line_count, sha256(content) AS digest FROM vault",
+        "wiki_links": f"WITH {_VAULT}, {_WIKI} SELECT * FROM wiki",
+        "vault_stats": f"""WITH {_VAULT}, {_WIKI}, ch AS ({found['chunk_ranges']}), sec AS ({found['markdown_sections']})
+SELECT 'pages' AS metric, count(*) AS value FROM vault UNION ALL SELECT 'chunks', count(*) FROM ch UNION ALL SELECT 'tokens', coalesce(sum(tokens), 0)::BIGINT FROM ch
+UNION ALL SELECT 'sections', count(*) FROM sec UNION ALL SELECT 'links', count(*) FROM wiki""",
+    }
