@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, decontaminate, edit_counts, jaccard_join, langid, lm_score, repair, sharding, suffix_dedup, wfst
+from . import cross_polytope, decontaminate, divergence, edit_counts, jaccard_join, langid, lm_score, oracles, quality_rules, repair, sharding, suffix_dedup, wfst
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
 
 
 def _tokenizer(name: str) -> str:
@@ -86,3 +86,13 @@ def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = F.array(edit(n / 2, n / 2, " a revised passage "), edit(n / 4, F.least(n, n / 4 + 20), ""), edit(n * 3 / 4, F.least(n, n * 3 / 4 + 1), "\n"))
     docs = documents(spark, sf_dir).select("doc_id", "text", edits.alias("edits"))
     return edit_counts.recount(docs, _tokenizer("word_bpe_49k.json"))
+
+
+@_register
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+@_register
+def op12_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(documents(spark, sf_dir))
