@@ -8,8 +8,9 @@ floor((p - q)^2 / q). It is never taken term by term over the vocabulary: with p
                   + sum over P and Q of (f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0))
 
 where P and Q are the terms that occur in either group. The first term is a constant, the sums over P and Q need only
-how many terms have each count, and the last one only terms that both groups have. All of it is exact integer
-arithmetic on built-in columns: the quotients are long divisions in steps of 1000, so N + V may reach 9 * 10^15.
+how many terms have each count, and the last one only terms that both groups have. Tasks count words in dictionaries;
+the rest is exact integer arithmetic on built-in columns: the quotients are long divisions in steps of 1000, so N + V may
+reach 9 * 10^15.
 
 Cases: null text, language and source count as ''; an empty text gives its group no term, but the group is there; a
 language without kept terms gives pairs of value 0 and no terms; repeated rows count as often as they occur; equal
@@ -23,20 +24,26 @@ only below the session's threshold.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import LOWER, bounded_batches, stored, texts, tidy
 
-#: Words: runs of ASCII letters and non-ASCII characters.
-WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words as UTF-8: runs of ASCII letters and of bytes of other characters; and what ends one.
+_WORD, _BREAK = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"), re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
+#: Bytes of a text searched at a time; terms that a task holds before it passes their counts on.
+PIECE, HELD = 1 << 20, 1 << 18
 #: Probabilities are in units of one in SCALE.
 SCALE = 1_000_000_000
 #: Documents of a language that a kept term is in, at least.
 LEAST_DOCS = 3
 #: Terms reported per group.
 TOP_TERMS = 200
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -56,13 +63,49 @@ def priced(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), q)
 
 
+def words_of(text: bytes) -> Iterator[list[bytes]]:
+    """A lower-cased text's words, from pieces of about PIECE bytes that cut no word."""
+    at = 0
+    while at < len(text):
+        end = _BREAK.search(text, at + PIECE) if len(text) - at > PIECE else None
+        end = end.start() if end else len(text)
+        yield _WORD.findall(text, at, end)
+        at = end
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, n, docs), counted in each task first: a group's term may have several rows."""
+
+    def emptied(held: dict) -> pa.RecordBatch:
+        columns: list[list] = [[], [], [], [], []]
+        for (lang, source), (n, seen) in held.items():
+            for column, values in zip(columns, ([lang] * len(n), [source] * len(n), n.keys(), n.values(), map(seen.__getitem__, n)), strict=True):
+                column.extend(values)
+        held.clear()
+        kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "source", "term", "n", "docs"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for lang, source, text in zip(*(texts(c) for c in batch.columns), strict=True):
+                n, seen = held.setdefault((lang, source), (Counter(), Counter()))
+                own: set = set()
+                for words in words_of(text.translate(LOWER)):
+                    n.update(words)
+                    own.update(words)
+                seen.update(own)
+            if sum(len(n) for n, _ in held.values()) > HELD:
+                yield emptied(held)
+        yield emptied(held)
+
+    rows = bounded_batches(docs).select("lang", "source", "text").mapInArrow(tidy(count), "lang binary, source binary, term binary, n long, docs long")
+    return rows.select(*[F.col(c).cast("string").alias(c) for c in ("lang", "source", "term")], "n", "docs")
+
+
 def kept_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, term, total, posts): the kept terms with the sources that have them, as (source, n)."""
-    words = F.regexp_extract_all(F.translate("text", _UPPER, _UPPER.lower()), F.lit(WORD), F.lit(0))
-    # each text's words twice: at 0 as often as they occur, at 1 once
-    both = docs.select("lang", "source", words.alias("words")).select("lang", "source", F.posexplode(F.array("words", F.array_distinct("words"))).alias("once", "words"))
-    rows = both.select("lang", "source", "once", F.explode("words").alias("term"))
-    counts = rows.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("docs"))
+    counts = term_counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("posts"))
     return terms.where(F.col("docs") >= least_docs).drop("docs")
 
@@ -92,8 +135,8 @@ def pair_values(kept: DataFrame, sizes: DataFrame) -> DataFrame:
 
     def both_ways(rows: DataFrame, ab: Column, ba: Column) -> None:
         sums = rows.groupBy("lang", "a_source", "b_source").agg(F.sum(ab).alias("ab"), F.sum(ba).alias("ba"))
-        parts.append(sums.select("lang", c("a_source").alias("source"), c("b_source").alias("item"), c("ab").alias("value")))
-        parts.append(sums.select("lang", c("b_source").alias("source"), c("a_source").alias("item"), c("ba").alias("value")))
+        one = lambda source, item, value: F.struct(c(source).alias("source"), c(item).alias("item"), c(value).alias("value"))
+        parts.append(sums.select("lang", F.inline(F.array(one("a_source", "b_source", "ab"), one("b_source", "a_source", "ba")))))
 
     # one-sided terms: how many terms of a group have each count, against the other group's zero
     histogram = kept.select("lang", F.inline("posts")).groupBy("lang", c("source").alias("a_source"), "n").agg(F.count("*").alias("of"))
