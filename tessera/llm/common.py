@@ -172,10 +172,14 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
+#: Links of a forest that one task finishes: 16 bytes each.
+LOCAL_LINKS = 1 << 18
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): every linked node but the smallest of each component, and that smallest node.
 
-    Each task turns its links into a forest; large-star and small-star steps then alternate until nothing changes, a
+    Each task turns its links into a forest. Where LOCAL_LINKS or fewer are left, one task joins these. Else large-star and small-star steps then alternate until nothing changes, a
     logarithmic number of rounds. Minima are aggregated before they are joined, so a hub is no single task's work.
     """
     spark = links.sparkSession
@@ -195,6 +199,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     pairs = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     now = stored(pairs.mapInArrow(tidy(forest), "u long, v long").distinct())
+    if now.count() <= LOCAL_LINKS:
+        done = stored(now.coalesce(1).mapInArrow(tidy(forest), "u long, v long"))
+        discard(spark, now)
+        return done.select(F.col("u").alias("node"), F.col("v").alias("root"))
     mark = None
     while True:
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
