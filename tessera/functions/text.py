@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,25 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def _folded() -> dict[str, str]:
+    """Letters below U+2000 that are a letter with marks, and that letter."""
+    out = {}
+    for c in map(chr, range(0xC0, 0x2000)):
+        first, *marks = unicodedata.normalize("NFD", c)
+        if marks and unicodedata.category(first)[0] in "LN" and all(unicodedata.combining(m) for m in marks):
+            out[c] = first
+    return out
+
+
+_FOLDED = _folded()
+
+
+def index_terms(text: Column) -> Column:
+    """Terms of the full-text index: without diacritics, in lower case, split at anything but letters and digits."""
+    plain = F.regexp_replace(F.translate(text, "".join(_FOLDED), "".join(_FOLDED.values())), r"[\x{300}-\x{36F}]+", "")
+    return F.regexp_extract_all(F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def estimated_tokens(text: Column) -> Column:
     """A quarter of the length in UTF-16 units, rounded up."""
     return F.ceil(F.octet_length(F.encode(text, "UTF-16BE")) / 2 / 4)

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from tessera.functions import markdown as md
 from tessera.functions.text import estimated_tokens, js_round
+from tessera.operators.chunks import sections_of
 
 
-def parts(vault: DataFrame) -> DataFrame:
-    """Per page: title, where the body starts, its frontmatter's source and that source's weight."""
+def parts(vault: DataFrame, domains: list[str] | None = None) -> DataFrame:
+    """Per page: title, where the body starts, its frontmatter's source and that source's weight; `domains` are authorities."""
     c = F.col("content")
-    kind, subtype = md.field(c, "source_type"), md.field(c, "source_subtype")
-    return vault.select("page_id", "path", md.title(md.body(c), F.col("path")).alias("title"), md.body_line(c).cast("long").alias("body_line"), kind.alias("source_type"), md.source_weight(kind, subtype).alias("weight"))
+    names = ["source_type", "source_subtype", "source_url", "source_hash", "source_path"]
+    rows = vault.select("page_id", "path", md.page_title(c, F.col("path")).alias("title"), md.body_line(c).cast("long").alias("body_line"), *[md.field(c, name).alias(name) for name in names])
+    traced = F.coalesce("source_hash", "source_path").isNotNull()
+    weight = md.source_weight(F.col("source_type"), F.col("source_subtype"), traced, md.authority(F.col("source_url"), domains or []))
+    return rows.select("page_id", "path", "title", "body_line", "source_type", weight.alias("weight"))
 
 
 def _lines(vault: DataFrame) -> DataFrame:
@@ -26,17 +30,9 @@ def chunk_ranges(vault: DataFrame) -> DataFrame:
 
     Blank lines at a chunk's end belong to none, and a chunk of blank lines is none.
     """
-    blank = "'^[ \\t]*$'"
-    rows = _lines(vault).withColumn("n", F.expr(f"aggregate(lines, named_struct('at', 0, 'n', 0), (a, x) -> named_struct('at', a.at + 1, 'n', if(x rlike {blank}, a.n, a.at + 1)), a -> a.n)"))
-    rows = rows.withColumn("lines", F.slice("lines", 1, F.col("n"))).where("n > 0")
-    starts = F.transform(md.chunk_starts("lines"), lambda h: h["at"])
-    starts = F.when((F.size(starts) == 0) | (starts[0] > 0), F.concat(F.array(F.lit(0)), starts)).otherwise(starts)
-    rows = rows.withColumn("starts", starts).select("page_id", "first", "lines", "n", "starts", F.posexplode("starts").alias("k", "x"))
-    rows = rows.withColumn("own", F.slice("lines", F.col("x") + 1, F.coalesce(F.try_element_at("starts", F.col("k") + 2), F.col("n")) - F.col("x")))
-    rows = rows.withColumn("size", F.expr(f"aggregate(own, named_struct('at', 0, 'n', 0), (a, x) -> named_struct('at', a.at + 1, 'n', if(x rlike {blank}, a.n, a.at + 1)), a -> a.n)")).where("size > 0")
-    text = F.array_join(F.slice("own", 1, F.col("size")), "\n")
-    start = F.col("first") + F.col("x")
-    return rows.select("page_id", start.cast("long").alias("line_start"), (start + F.col("size") - 1).cast("long").alias("line_end"), estimated_tokens(text).cast("long").alias("tokens"), F.sha2(text, 256).alias("digest"))
+    rows = vault.select("page_id", F.explode(sections_of(F.col("content"))).alias("s"))
+    text = F.col("s.text")
+    return rows.select("page_id", F.col("s.line_start").cast("long").alias("line_start"), F.col("s.line_end").cast("long").alias("line_end"), estimated_tokens(text).cast("long").alias("tokens"), F.sha2(text, 256).alias("digest"))
 
 
 def sections(vault: DataFrame) -> DataFrame:
@@ -56,10 +52,15 @@ def sections(vault: DataFrame) -> DataFrame:
 
 
 def wiki(vault: DataFrame) -> DataFrame:
-    """(page_id, target, to) of each wiki link; `to` is the page that has the target as id, path, stem or title, else null."""
+    """(page_id, target, to) of each wiki link; `to` is the page that the target names, else null.
+
+    A page is named by its id, title, path, path under pages/ with and without .md, file name and aliases; of pages with
+    one name the last by path is meant.
+    """
     c, path = F.col("content"), F.col("path")
-    names = F.array(F.col("page_id"), path, F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1), md.title(md.body(c), path))
-    known = vault.select("page_id", "path", F.explode(F.transform(names, md.wiki_key)).alias("key")).groupBy("key").agg(F.max_by("page_id", "path").alias("to"))
+    under = F.regexp_replace(path, "^pages/", "")
+    names = F.concat(F.array(F.col("page_id"), md.page_title(c, path), path, under, F.regexp_replace(under, r"\.md$", ""), F.regexp_extract(path, r"([^/]*?)(?:\.md)?$", 1)), md.list_field(c, "aliases"))
+    known = vault.select("page_id", "path", F.explode(F.transform(names, md.wiki_key)).alias("key")).groupBy("key").agg(F.max_by("page_id", F.struct("path", "page_id")).alias("to"))
     targets = vault.select("page_id", F.explode(md.wiki_links(md.body(c))).alias("target")).withColumn("key", md.wiki_key(F.col("target")))
     return targets.join(known, "key", "left").select("page_id", "target", "to")
 
@@ -90,7 +91,9 @@ def by_file(pages: DataFrame, flagged: DataFrame, file: str) -> DataFrame:
     rows = pages.join(flagged, "page_id", "left").withColumn("flags", F.coalesce("flags", F.array(F.lit("MISSING_LEDGER"))))
     # a file has few flags, however many pages: they are distinct before they are gathered
     names = rows.select(file, F.explode("flags").alias("flag")).groupBy(file).agg(F.array_sort(F.collect_set("flag")).alias("flags"))
-    sums = rows.groupBy(file).agg(F.count("*").alias("page_count"), F.min("score").alias("min_score"), js_round(F.avg("score"), 4).alias("avg_score"))
+    # scores have four places: as whole numbers their sum does not depend on the order of rows
+    mean = js_round(F.sum(F.round(F.col("score") * 10_000).cast("long")) / F.count("score") / 10_000, 4)
+    sums = rows.groupBy(file).agg(F.count("*").alias("page_count"), F.min("score").alias("min_score"), mean.alias("avg_score"))
     level = risk(F.coalesce("flags", F.array().cast("array<string>")))
     rank = sum((F.when(level == name, k).otherwise(0) for k, name in enumerate(["missing_ledger", "needs_review", "stale", "superseded", "ok"])), F.lit(0))
     return sums.join(names, sums[file].eqNullSafe(names[file]), "left").select(sums[file].alias("file"), "page_count", "min_score", "avg_score", F.coalesce(F.array_join("flags", ","), F.lit("")).alias("flags"), level.alias("risk_level"), rank.cast("long").alias("risk_rank"))
@@ -127,7 +130,7 @@ def gate(findings: DataFrame) -> DataFrame:
 def summaries(vault: DataFrame, state: DataFrame, now: Column) -> DataFrame:
     """Every page with its confidence; a page without a ledger has no score and is flagged so."""
     known = state.join(flags(state, now).select("page_id", "flags"), "page_id").select("page_id", "score", "source_count", "contradiction_count", "flags")
-    rows = vault.select("page_id", "path", md.title(md.body(F.col("content")), F.col("path")).alias("title")).join(known, "page_id", "left")
+    rows = vault.select("page_id", "path", md.page_title(F.col("content"), F.col("path")).alias("title")).join(known, "page_id", "left")
     missing = F.array(F.lit("MISSING_LEDGER"))
     return rows.withColumn("flags", F.array_join(F.coalesce("flags", missing), ",")).fillna(0, ["source_count", "contradiction_count"])
 

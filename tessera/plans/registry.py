@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import estimated_tokens, js_round
 from tessera.functions import markdown as md
-from tessera.operators import confidence, graph, retrieval, vault
+from tessera.operators import chunks, confidence, graph, retrieval, vault
 from tessera.sources import tables
 from tessera.streaming import ledger as stream
 
@@ -138,7 +138,7 @@ def ingest_sources(spark, d):
 
 @_register
 def page_parts(spark, d):
-    return vault.parts(tables.vault(spark, d))
+    return vault.parts(tables.vault(spark, d), tables.DOMAINS)
 
 
 @_register
@@ -146,6 +146,12 @@ def chunk_ranges(spark, d):
     return vault.chunk_ranges(tables.vault(spark, d))
 
 
+@_register
+def chunk_pieces(spark, d):
+    """chunk_ranges with sections that are too long cut into pieces, and the ids that searches and citations use."""
+    return chunks.chunks(tables.vault(spark, d)).withColumn("digest", F.sha2("text", 256)).drop("text")
+
+
 @_register
 def markdown_sections(spark, d):
     return vault.sections(tables.vault(spark, d))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.functions import markdown as md
-from tessera.sources.tables import EXTENSIONS, SUBTYPES, TYPES
+# Fixed values, written out here and not taken from the code that they check.
+EXTENSIONS = ["md", "markdown", "txt", "log", "pdf", "ts", "py", "cpp", "bin", "mts", "cc", "text", "odt", "jsx", "H", "rs", "cjs"]
+TYPES, SUBTYPES = ["markdown", "pdf", "webpage", "chat", "code", "letter"], ["academic", "vendor", "other", "vendor_whitepaper"]
+HOSTS = ["docs.example.org/a", "blog.example.org", "EXAMPLE.com/Manual/x"]
+_KINDS = "md markdown:markdown, txt text log:text, pdf docx doc html htm rtf odt:document, c cc cpp cxx h hh hpp hxx cjs cts js jsx mjs mts ts tsx:code"
+_LANGUAGES = "c h:c, cc cpp cxx hh hpp hxx:cpp, ts mts cts:ts, tsx:tsx, js mjs cjs:js, jsx:jsx"
 
 _NL = "chr(10)"
 
@@ -14,15 +18,16 @@ def _turn(values: list[str]) -> str:
 
 _FILES = f"files AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '.inbox/' ELSE 'notes/' END || coalesce(lang, 'none') || '/' || doc_id || '.' || {_turn(EXTENSIONS)} AS path FROM documents)"
 _VAULT = f"""vault AS (SELECT 'page_' || lpad(doc_id::VARCHAR, 12, '0') AS page_id, 'pages/' || coalesce(lang, 'none') || '/' || doc_id || '.md' AS path, source,
-  (CASE WHEN doc_id % 4 != 3 THEN '---' || {_NL} || 'title: Page ' || doc_id || {_NL} || 'source_type: ' || {_turn(TYPES)} || {_NL} || 'source_subtype: ' || {_turn(SUBTYPES)} || {_NL} || '---' || {_NL} ELSE '' END)
+  (CASE WHEN doc_id % 4 != 3 THEN '---' || {_NL} || 'title: ''Page ' || doc_id || '''' || {_NL} || 'aliases: [Nick ' || doc_id || ', "Also ' || doc_id || '"]' || {_NL} || 'source_type: ' || {_turn(TYPES)} || {_NL} || 'source_subtype: ' || {_turn(SUBTYPES)} || {_NL} || 'source_url: https://' || {_turn(HOSTS)} || CASE WHEN doc_id % 2 = 0 THEN {_NL} || 'source_hash: sha256:00' ELSE '' END || {_NL} || '---' || {_NL} ELSE '' END)
   || (CASE WHEN doc_id % 5 != 4 THEN '# Note ' || doc_id || {_NL} || {_NL} ELSE '' END) || coalesce(text, '') || {_NL} || {_NL}
-  || (CASE WHEN doc_id % 6 != 5 THEN '## See also ##' || {_NL} || '[[' || (doc_id + 1 + doc_id % 3) || '|next]] and [[Nowhere ' || (doc_id % 7) || '#part]]' || {_NL} || '```sh' || {_NL} || '# not a heading' || {_NL} || '```' || {_NL} || '### See also' || {_NL} || '  ' || {_NL} ELSE '' END) AS content FROM documents),
+  || (CASE WHEN doc_id % 6 != 5 THEN '## See also ##' || {_NL} || '[[' || (doc_id + 1 + doc_id % 3) || '|next]] and [[Nowhere ' || (doc_id % 7) || '#part]] [[page ' || (doc_id + 5) || ']] [[NICK ' || (doc_id + 6) || '#x]] [[Also ' || (doc_id + 7) || ']] [[' || coalesce(lang, 'none') || '\\' || (doc_id + 1) || '.md]]' || {_NL} || '```sh' || {_NL} || '# not a heading' || {_NL} || '```' || {_NL} || '### See also' || {_NL} || '  ' || {_NL} ELSE '' END) AS content FROM documents),
 fm AS (SELECT *, regexp_extract(content, '(?s)^---\\n.*?\\n(?:---|\\.\\.\\.)(?:\\n|$)', 0) AS front FROM vault),
 page AS (SELECT *, content[length(front) + 1:] AS body, length(front) - length(replace(front, {_NL}, '')) + 1 AS first FROM fm),
-named AS (SELECT *, coalesce(nullif(trim(regexp_extract(body, '(?m)^# +([^\\n]+)$', 1)), ''), regexp_extract(path, '([^/]*?)(?:\\.[^./]*)?$', 1)) AS title FROM page),
+named AS (SELECT *, coalesce(nullif(trim(regexp_extract(front, '\\ntitle: ''?([^\\n'']*)', 1)), ''), nullif(trim(regexp_extract(body, '(?m)^# +([^\\n]+)$', 1)), ''), regexp_extract(path, '([^/]*?)(?:\\.[^./]*)?$', 1)) AS title FROM page),
 lines AS (SELECT page_id, first, unnest(l) AS x, unnest(range(len(l))) AS pos, len(l) AS n FROM (SELECT page_id, first, string_split(replace(body, chr(13) || {_NL}, {_NL}), {_NL}) AS l FROM page))"""
-_WIKI = """key AS (SELECT page_id, path, unnest([page_id, path, regexp_extract(path, '([^/]*?)(?:\\.[^./]*)?$', 1), title]) AS k FROM named),
-known AS (SELECT lower(regexp_replace(replace(trim(k), '\\', '/'), '\\.md$', '')) AS k, max_by(page_id, path) AS "to" FROM key GROUP BY 1),
+_WIKI = """key AS (SELECT page_id, path, unnest([page_id, title, path, replace(path, 'pages/', ''), replace(replace(path, 'pages/', ''), '.md', ''), replace(regexp_extract(path, '[^/]*$'), '.md', ''),
+  regexp_extract(front, 'aliases: \\[([^,]*)', 1), regexp_extract(front, 'aliases: \\[[^,]*, "([^"]*)"', 1)]) AS k FROM named),
+known AS (SELECT lower(regexp_replace(replace(trim(k), '\\', '/'), '\\.md$', '')) AS k, max_by(page_id, path) AS "to" FROM key WHERE k <> '' GROUP BY 1),
 target AS (SELECT page_id, trim(split_part(split_part(unnest(regexp_extract_all(body, '\\[\\[([^\\]]+)\\]\\]', 1)), '|', 1), '#', 1)) AS target FROM page),
 wiki AS (SELECT page_id, target, "to" FROM target LEFT JOIN known ON lower(regexp_replace(replace(trim(target), '\\', '/'), '\\.md$', '')) = k WHERE target != ''),
 deg AS (SELECT page_id, coalesce(o, 0) AS outgoing, coalesce(i, 0) AS incoming, coalesce(b, 0) AS broken FROM vault
@@ -30,12 +35,64 @@ deg AS (SELECT page_id, coalesce(o, 0) AS outgoing, coalesce(i, 0) AS incoming,
   LEFT JOIN (SELECT "to" AS page_id, count(*) AS i FROM wiki WHERE "to" != page_id GROUP BY 1) USING (page_id))"""
 
 
+# White space (fixed values) for trim() and for patterns.
+_BLANKS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || " + " || ".join(f"chr({c})" for c in [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
+_SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
+def _size(t: str) -> str:
+    """Length in UTF-16 units."""
+    return f"(length({t}) + length(regexp_replace({t}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
+def _packed(units: str, most: int, over, v: str) -> str:
+    """A fold of units into pieces; `v` names its variables."""
+    solid = f"trim({v}a.c, {_BLANKS}) <> ''"
+    flush = lambda a: f"CASE WHEN trim({a}.c, {_BLANKS}) <> '' THEN list_append({a}.p, trim({a}.c, {_BLANKS})) ELSE {a}.p END"
+    fold = f"""list_reduce({units}, lambda {v}a, {v}u: CASE WHEN {_size(v + 'u')} > {most} THEN {{'p': list_concat({flush(v + 'a')}, {over(v + 'u')}), 'c': CASE WHEN {solid} THEN '' ELSE {v}a.c END}}
+  WHEN {_size(v + 'a.c')} + {_size(v + 'u')} > {most} AND {solid} THEN {{'p': {flush(v + 'a')}, 'c': {v}u}} ELSE {{'p': {v}a.p, 'c': {v}a.c || {v}u}} END, {{'p': []::VARCHAR[], 'c': ''}})"""
+    return f"list_transform([{fold}], lambda {v}z: {flush(v + 'z')})[1]"
+
+
+def _words(t: str, most: int, v: str) -> str:
+    cut = lambda w: f"list_transform(range(0, (length({w}) - 1) // {most} + 1), lambda {v}k: substr({w}, {v}k * {most} + 1, {most}))"
+    return _packed(f"regexp_extract_all({t}, '[{_SPACE}]+|[^{_SPACE}]+')", most, cut, v)
+
+
+def _pieces(t: str, most: int = 3200) -> str:
+    paragraphs = rf"string_split(regexp_replace({t}, '(\n{{2,}})', chr(1) || '\1' || chr(1), 'g'), chr(1))"
+    sentences = rf"string_split(regexp_replace({t}, '([.!?。！？])[{_SPACE}]+', '\1' || chr(1), 'g'), chr(1))"
+    units = f"list_filter(CASE WHEN contains({t}, chr(10) || chr(10)) THEN {paragraphs} ELSE {sentences} END, lambda q: q <> '')"
+    return f"CASE WHEN {_size(t)} <= {most} THEN [{t}] WHEN len({units}) <= 1 THEN {_words(t, most, 'x')} ELSE {_packed(units, most, lambda u: _words(u, most, 'x'), 'y')} END"
+
+
 def _cases(of: str, pairs) -> str:
     return " ".join(f"WHEN {of} = '{k}' THEN {v!r}" for k, v in pairs)
 
 
+_RANGES = f"""f AS (SELECT *, regexp_extract(x, '^[{_SPACE}]*(`{{3}}|~~~)', 1) AS mark FROM lines),
+gr AS (SELECT page_id, list(mark ORDER BY pos) AS marks, list(pos ORDER BY pos) AS spots FROM f WHERE mark <> '' GROUP BY page_id),
+fe AS (SELECT page_id, unnest(spots) AS pos, unnest(list_reduce(marks, lambda a, m: list_append(a, CASE WHEN a[-1] = '' THEN m WHEN a[-1] = m THEN '' ELSE a[-1] END), [''])[2:]) AS open FROM gr),
+g AS (SELECT f.*, coalesce(last_value(open IGNORE NULLS) OVER (PARTITION BY f.page_id ORDER BY f.pos), '') <> '' AS inside FROM f LEFT JOIN fe ON fe.page_id = f.page_id AND fe.pos = f.pos),
+s AS (SELECT *, sum((NOT inside AND mark = '' AND regexp_matches(x, '^#{{1,3}}[{_SPACE}]'))::INT) OVER (PARTITION BY page_id ORDER BY pos) AS chunk FROM g),
+e AS (SELECT *, max(CASE WHEN NOT regexp_full_match(x, '[{_SPACE}]*') THEN pos END) OVER (PARTITION BY page_id, chunk) AS last FROM s),
+c AS (SELECT page_id, first + min(pos) AS line_start, first + max(last) AS line_end, string_agg(x, {_NL} ORDER BY pos) AS t FROM e WHERE pos <= last GROUP BY page_id, first, chunk)"""
+_CHUNKS = f"""{_RANGES},
+pc AS (SELECT page_id, line_start, line_end, {_pieces('t')} AS pieces FROM c),
+pu AS (SELECT page_id, line_start, line_end, unnest(pieces) AS text, unnest(range(len(pieces))) AS piece FROM pc),
+chunks AS (SELECT *, page_id || ':c' || idx AS chunk_id, ceil({_size('text')} / 4.0)::BIGINT AS tokens FROM (
+  SELECT page_id, line_start, line_end, text, (row_number() OVER (PARTITION BY page_id ORDER BY line_start, piece) - 1)::INT AS idx FROM pu))"""
+
 _EXT = "lower(regexp_extract(path, '\\.([^./]+)$', 1))"
-_KIND = "CASE " + _cases(_EXT, [(e, "code") for e in md.LANGUAGES]) + " " + _cases(_EXT, [(e, k) for k, of in md.KINDS.items() for e in of]) + " ELSE 'none' END"
+
+
+def _by_extension(names: str) -> str:
+    pairs = [(ext, name) for of in names.split(", ") for exts, name in [of.split(":")] for ext in exts.split()]
+    return "CASE " + _cases(_EXT, pairs)
+
+
+_KIND = _by_extension(_KINDS) + " ELSE 'none' END"
+
 
 
 def oracles(ledger: str) -> dict[str, str]:
@@ -46,16 +103,12 @@ def oracles(ledger: str) -> dict[str, str]:
     tokens = "ceil((length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 4.0)::BIGINT"
     found = {
         "confidence_status": f"WITH {ledger}, {flags} SELECT page_id, score, array_to_string(flags, ',') AS flags, {risk('flags')} AS risk_level FROM flagged",
-        "ingest_sources": f"""WITH {_FILES} SELECT doc_id, path, {_KIND} AS kind, CASE {_cases(_EXT, md.LANGUAGES.items())} END AS language,
+        "ingest_sources": f"""WITH {_FILES} SELECT doc_id, path, {_KIND} AS kind, {_by_extension(_LANGUAGES)} END AS language,
 regexp_replace(path, '^\\.', '').regexp_replace('\\.markdown$', '.md') || CASE WHEN {_EXT} IN ('md', 'markdown') THEN '' ELSE '.md' END AS target FROM files""",
         "page_parts": f"""WITH {_VAULT}, f AS (SELECT *, nullif(regexp_extract(front, '\\nsource_type: *([^\\n]*)\\n', 1), '') AS source_type, nullif(regexp_extract(front, '\\nsource_subtype: *([^\\n]*)\\n', 1), '') AS subtype FROM named)
-SELECT page_id, path, title, first AS body_line, source_type, (CASE WHEN source_type = 'pdf' THEN CASE WHEN subtype = 'academic' THEN 0.8 ELSE 0.5 END {_cases('source_type', md.WEIGHTS.items())} ELSE 0.5 END)::DOUBLE AS weight FROM f""",
-        "chunk_ranges": f"""WITH {_VAULT}, f AS (SELECT *, regexp_matches(x, '^[ \\t]*(`{{3}}|~~~)') AS fence FROM lines),
-g AS (SELECT *, sum(fence::INT) OVER (PARTITION BY page_id ORDER BY pos) % 2 = 1 AS inside FROM f),
-s AS (SELECT *, sum((NOT inside AND NOT fence AND regexp_matches(x, '^#{{1,3}}[ \\t]'))::INT) OVER (PARTITION BY page_id ORDER BY pos) AS chunk FROM g),
-e AS (SELECT *, max(CASE WHEN NOT regexp_matches(x, '^[ \\t]*$') THEN pos END) OVER (PARTITION BY page_id, chunk) AS last FROM s),
-c AS (SELECT page_id, first + min(pos) AS line_start, first + max(last) AS line_end, string_agg(x, {_NL} ORDER BY pos) AS t FROM e WHERE pos <= last GROUP BY page_id, first, chunk)
-SELECT page_id, line_start, line_end, {tokens} AS tokens, sha256(t) AS digest FROM c""",
+SELECT page_id, path, title, first AS body_line, source_type, (CASE WHEN source_type = 'pdf' THEN CASE WHEN subtype = 'academic' THEN 0.8 WHEN subtype LIKE 'vendor%' THEN 0.5 WHEN contains(front, 'source_hash') THEN 0.8 ELSE 0.5 END
+  WHEN source_type IN ('markdown', 'code') THEN 1 WHEN source_type = 'chat' THEN 0.4 WHEN source_type = 'webpage' THEN CASE WHEN contains(front, 'blog.') THEN 0.3 ELSE 0.6 END WHEN contains(front, 'source_hash') THEN 0.8 ELSE 0.5 END)::DOUBLE AS weight FROM f""",
+        "chunk_ranges": f"""WITH {_VAULT}, {_RANGES} SELECT page_id, line_start, line_end, {tokens} AS tokens, sha256(t) AS digest FROM c""",
         "markdown_sections": f"""WITH {_VAULT}, g AS (SELECT *, sum((x LIKE '```%')::INT) OVER (PARTITION BY page_id ORDER BY pos) % 2 = 1 AS inside FROM lines),
 h AS (SELECT *, trim(regexp_extract(x, '^#{{1,6}}[ \\t]+(.+?)[ \\t]*#*[ \\t]*$', 1)) AS heading FROM g WHERE NOT inside AND regexp_matches(x, '^#{{1,6}}[ \\t]+[^ \\t]')),
 s AS (SELECT *, {slug} AS slug, lead(pos) OVER (PARTITION BY page_id ORDER BY pos) AS next FROM h),
@@ -74,7 +127,7 @@ u AS (SELECT item_id, unnest(o) AS x, unnest(range(len(o))) AS pos FROM o), f AS
 SELECT item_id, coalesce(string_agg(x, ' ' ORDER BY pos), '') AS queries FROM benchmark LEFT JOIN f USING (item_id) GROUP BY item_id""",
         "file_risk": f"""WITH {ledger}, {flags}, {_VAULT},
 r AS (SELECT source, score, coalesce(flags, ['MISSING_LEDGER']) AS flags FROM vault LEFT JOIN flagged USING (page_id)),
-a AS (SELECT source AS file, count(*) AS page_count, min(score) AS min_score, floor(avg(score) * 1e4 + 0.5) / 1e4 AS avg_score, list_sort(list_distinct(flatten(list(flags)))) AS fl FROM r GROUP BY source),
+a AS (SELECT source AS file, count(*) AS page_count, min(score) AS min_score, floor(sum(round(score * 10000)::BIGINT) / count(score) / 10000 * 1e4 + 0.5) / 1e4 AS avg_score, list_sort(list_distinct(flatten(list(flags)))) AS fl FROM r GROUP BY source),
 l AS (SELECT *, {risk('fl')} AS risk_level FROM a)
 SELECT file, page_count, min_score, avg_score, coalesce(array_to_string(fl, ','), '') AS flags, risk_level, (list_position(['missing_ledger', 'needs_review', 'stale', 'superseded', 'ok'], risk_level) - 1)::BIGINT AS risk_rank FROM l""",
         "lint_report": f"""WITH {ledger}, {_VAULT}, {_WIKI},
@@ -86,6 +139,9 @@ UNION ALL SELECT 'unresolved_contradiction', page_id, active::VARCHAR FROM con S
 UNION ALL SELECT 'orphan_page', page_id, NULL FROM deg WHERE outgoing = 0 AND incoming = 0
 UNION ALL SELECT 'broken_link', page_id, target FROM wiki WHERE "to" IS NULL""",
     }
+    found |= {
+        "chunk_pieces": f"""WITH {_VAULT}, {_CHUNKS} SELECT page_id, idx, chunk_id, line_start, line_end, tokens, sha256(text) AS digest FROM chunks""",
+    }
     summary = "summary AS (SELECT page_id, path, title, score, coalesce(source_count, 0) AS source_count, coalesce(contradiction_count, 0) AS contradiction_count, coalesce(array_to_string(flags, ','), 'MISSING_LEDGER') AS flags FROM named LEFT JOIN (SELECT page_id, source_count, contradiction_count FROM state) USING (page_id) LEFT JOIN flagged USING (page_id))"
     return found | {
         "lint_gate": f"""WITH lint AS ({found['lint_report']}), c("check", hard) AS (VALUES ('low_confidence', false), ('stale', false), ('unresolved_contradiction', true), ('orphan_page', false), ('broken_link', true))

@@ -36,6 +36,10 @@ def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger_lines(table(spark, sf_dir, "events"))
+
+
+def ledger_lines(events: DataFrame) -> DataFrame:
     """Events as ledger lines of a page each: sources, human and machine verifications, contradictions, checkpoints."""
     kind = F.col("event_type")
     named = (
@@ -44,7 +48,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "error", "contradicted_by")
         .otherwise("decay_checkpoint")
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         page_id(F.col("user_id")).alias("page_id"),
         F.col("event_id").alias("seq"),
         "ts",
@@ -62,8 +66,10 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Extensions and frontmatter that the vault's pages take in turn.
-EXTENSIONS = ["md", "markdown", "txt", "log", "pdf", "ts", "py", "cpp", "bin"]
-TYPES, SUBTYPES = ["markdown", "pdf", "webpage", "chat", "code", "letter"], ["academic", "vendor", "other"]
+EXTENSIONS = ["md", "markdown", "txt", "log", "pdf", "ts", "py", "cpp", "bin", "mts", "cc", "text", "odt", "jsx", "H", "rs", "cjs"]
+TYPES, SUBTYPES = ["markdown", "pdf", "webpage", "chat", "code", "letter"], ["academic", "vendor", "other", "vendor_whitepaper"]
+#: Web addresses that pages come from, and the domains among them that are authorities.
+HOSTS, DOMAINS = ["docs.example.org/a", "blog.example.org", "EXAMPLE.com/Manual/x"], ["docs.example.org", "example.com/manual/*"]
 
 
 def _turn(values: list[str]) -> Column:
@@ -77,14 +83,25 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vault_pages(table(spark, sf_dir, "documents"))
+
+
+def vault_pages(documents: DataFrame) -> DataFrame:
     """Documents as markdown pages: page_id, path, content with frontmatter, headings, a fence and wiki links around the text."""
     n = F.col("doc_id").cast("string")
     lit = F.lit
-    front = F.concat(lit("---\ntitle: Page "), n, lit("\nsource_type: "), _turn(TYPES), lit("\nsource_subtype: "), _turn(SUBTYPES), lit("\n---\n"))
-    links = F.concat(lit("[["), (F.col("doc_id") + 1 + F.col("doc_id") % 3).cast("string"), lit("|next]] and [[Nowhere "), (F.col("doc_id") % 7).cast("string"), lit("#part]]\n"))
+    front = F.concat(
+        lit("---\ntitle: 'Page "), n, lit("'\naliases: [Nick "), n, lit(', "Also '), n, lit('"]\nsource_type: '), _turn(TYPES), lit("\nsource_subtype: "), _turn(SUBTYPES),
+        lit("\nsource_url: https://"), _turn(HOSTS), F.when(F.col("doc_id") % 2 == 0, "\nsource_hash: sha256:00").otherwise(""), lit("\n---\n"),
+    )
+    of = lambda k: (F.col("doc_id") + k).cast("string")
+    links = F.concat(
+        lit("[["), (F.col("doc_id") + 1 + F.col("doc_id") % 3).cast("string"), lit("|next]] and [[Nowhere "), (F.col("doc_id") % 7).cast("string"), lit("#part]] [[page "), of(5), lit("]] [[NICK "), of(6),
+        lit("#x]] [[Also "), of(7), lit("]] [["), F.coalesce("lang", lit("none")), lit("\\"), of(1), lit(".md]]\n"),
+    )
     content = F.concat(
         F.when(F.col("doc_id") % 4 != 3, front).otherwise(""), F.when(F.col("doc_id") % 5 != 4, F.concat(lit("# Note "), n, lit("\n\n"))).otherwise(""),
         F.coalesce("text", lit("")), lit("\n\n"), F.when(F.col("doc_id") % 6 != 5, F.concat(lit("## See also ##\n"), links, lit("```sh\n# not a heading\n```\n### See also\n  \n"))).otherwise(""),
     )
     path = F.concat(lit("pages/"), F.coalesce("lang", lit("none")), lit("/"), n, lit(".md"))
-    return table(spark, sf_dir, "documents").select(page_id(F.col("doc_id")).alias("page_id"), path.alias("path"), content.alias("content"), "source")
+    return documents.select(page_id(F.col("doc_id")).alias("page_id"), path.alias("path"), content.alias("content"), "source")
