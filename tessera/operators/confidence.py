@@ -9,8 +9,21 @@ from tessera.functions.text import clamp01, days_between, js_round
 
 #: Base, penalties and their cap, boosts' cap, source scale, half-life and ceiling of a note.
 START, MAJOR, MINOR, MOST_PENALTY, MOST_BOOST, SCALE, HALF_LIFE, CEILING = 0.25, 0.35, 0.10, 0.6, 0.25, 1.5, 120.0, 0.30
-#: Boost and days between resets of a human and of a CI verification; days a boost lasts.
-HUMAN_BOOST, CI_BOOST, CI_DAYS, BOOST_DAYS = 0.05, 0.02, 14, 30
+#: Days that a verification's boost lasts.
+BOOST_DAYS = 30
+#: Who verifies, by the whole id or what it begins with; the boost in hundredths and the days until the like resets decay again.
+#: The first that fits counts. Others are an agent's or nobody's.
+VERIFIERS = [
+    ("human:*", "human", 5, 0),
+    ("ci:github-actions", "ci:github-actions", 3, 14),
+    ("ci:*", "ci:other", 2, 14),
+    ("agent:claude-code", "agent:claude-code", 2, 7),
+    ("agent:*", "agent:other", 1, 7),
+    ("runbook-exec", "runbook-exec", 4, 0),
+    ("test:integration", "test:integration", 4, 0),
+    ("test:unit", "test:unit", 2, 14),
+]
+OTHERS = [("agent:other", 1, 7), ("unpatterned", 1, 7)]
 #: Penalty of a superseded page and the most that its score can be.
 SUPERSEDED, SUPERSEDED_MOST = 0.6, 0.3
 #: Half-life in days and ceiling of decay by type of page; other types decay as a note.
@@ -18,48 +31,59 @@ PROFILES = {"decision": (365.0, 0.15), "architecture": (180.0, 0.20), "module":
 _DAY = 86_400_000_000
 
 
+def verifier(actor_id: Column, by_agent: Column) -> Column:
+    """(who, boost, days) of a verification: boost in hundredths, days between two that reset decay."""
+    rule = lambda who, boost, days: F.struct(F.lit(who).alias("who"), F.lit(boost).alias("boost"), F.lit(days).alias("days"))
+    actor = F.coalesce(actor_id, F.lit(""))
+    out = F.when(by_agent, rule(*OTHERS[0])).otherwise(rule(*OTHERS[1]))
+    for name, *values in reversed(VERIFIERS):
+        out = F.when(actor.startswith(name[:-1]) if name.endswith("*") else actor == name, rule(*values)).otherwise(out)
+    return out
+
+
 def state(ledger: DataFrame, now: Column, page_types: DataFrame | None = None) -> DataFrame:
     """Per page: score, its parts, counts, last_verified_at and the anchor of decay as seconds, superseded.
 
-    A ledger with overrides has a column new_base. page_types has (page_id, page_type); without it all pages are notes.
+    A ledger with overrides has a column new_base, one that says whether an agent verified verifier_type. page_types has
+    (page_id, page_type); without it all pages are notes. Events later than `now` count as of now.
     """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    verified, ci = F.col("kind") == "verified", F.col("actor_id").startswith("ci:")
+    verified = F.col("kind") == "verified"
     # sources: the last weight of each that was not removed since, then their sum
     last = F.max_by(F.struct((F.col("kind") == "source_added").alias("there"), F.col("source_weight").alias("w")), F.struct("ts", "seq"))
     weights = (
         ledger.where("kind in ('source_added', 'source_removed')").groupBy("page_id", "source_id").agg(last.alias("last")).where("last.there").select("page_id", "last.w")
         .groupBy("page_id").agg(F.sum("w").alias("weight"), F.count("*").alias("source_count"))
     )
-    # a CI verification resets the anchor only when the last one that did is old enough; one time per value is enough
-    times = ledger.where(verified & ci).select("page_id", at.alias("at")).distinct().groupBy("page_id").agg(F.array_sort(F.collect_list("at")).alias("times"))
-    last_ci = times.select("page_id", F.aggregate("times", F.lit(None).cast("long"), lambda a, x: F.when(a.isNull() | (x - a >= CI_DAYS * _DAY), x).otherwise(a)).alias("last_ci"))
-    fresh = verified & (days_between(F.col("ts"), now) <= BOOST_DAYS)
+    # a verification resets the anchor when the last one of its kind that did is old enough; one time per value is enough
+    by_agent = F.coalesce(F.col("verifier_type") == "agent", F.lit(False)) if "verifier_type" in ledger.columns else F.lit(False)
+    rules = ledger.where(verified).select("page_id", at.alias("at"), "ts", verifier(F.col("actor_id"), by_agent).alias("rule")).select("page_id", "at", "ts", "rule.*")
+    boosts = rules.groupBy("page_id").agg(F.sum(F.when(days_between(F.col("ts"), now) <= BOOST_DAYS, F.col("boost")).otherwise(0)).alias("boost"), F.max(F.when(F.col("days") == 0, F.col("at"))).alias("last_free"))
+    times = rules.where("days > 0").select("page_id", "who", "days", "at").distinct().groupBy("page_id", "who", "days").agg(F.array_sort(F.collect_list("at")).alias("times"))
+    reset = F.aggregate("times", F.lit(None).cast("long"), lambda a, x: F.when(a.isNull() | (x - a >= F.col("days") * F.lit(_DAY)), x).otherwise(a))
+    resets = times.select("page_id", reset.alias("at")).groupBy("page_id").agg(F.max("at").alias("last_spaced"))
     overrides = F.col("kind") == "manual_override"
     base = F.max_by("new_base", F.when(overrides, F.struct("ts", "seq"))) if "new_base" in ledger.columns else F.lit(None).cast("double")
     sums = ledger.groupBy("page_id").agg(
-        F.max(F.when(verified & ~ci, at)).alias("last_human"),
         F.max(F.when(~F.col("kind").isin("source_added", "source_removed", "verified"), at)).alias("last_other"),
         F.max(at).alias("last_event"),
         F.count_if(F.col("severity") == "major").alias("majors"),
         F.count_if(F.col("severity") == "minor").alias("minors"),
-        F.count_if(fresh & ~ci).alias("humans"),
-        F.count_if(fresh & ci).alias("machines"),
         F.count_if(F.col("kind") == "superseded_by").alias("superseded"),
         base.alias("base"),
     )
-    all_of = sums.join(weights, "page_id", "left").join(last_ci, "page_id", "left")
+    all_of = sums.join(weights, "page_id", "left").join(boosts, "page_id", "left").join(resets, "page_id", "left").withColumn("last_verified", F.greatest("last_free", "last_spaced"))
     half_life, ceiling = F.lit(HALF_LIFE), F.lit(CEILING)
     if page_types is not None:
         all_of = all_of.join(page_types.select("page_id", "page_type"), "page_id", "left")
         for name, (days, most) in PROFILES.items():
             half_life = F.when(F.col("page_type") == name, days).otherwise(half_life)
             ceiling = F.when(F.col("page_type") == name, most).otherwise(ceiling)
-    anchor = F.coalesce(F.greatest("last_human", "last_ci", "last_other"), F.col("last_event"))
+    anchor = F.coalesce(F.greatest("last_verified", "last_other"), F.col("last_event"))
     age = F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - anchor) / F.lit(float(_DAY)))
     strength = 1 - F.exp(-F.coalesce("weight", F.lit(0.0)) / SCALE)
     penalty = F.least(F.lit(MOST_PENALTY), F.col("majors") * MAJOR + F.col("minors") * MINOR + F.col("superseded") * SUPERSEDED)
-    boost = F.least(F.lit(MOST_BOOST), F.col("humans") * HUMAN_BOOST + F.col("machines") * CI_BOOST)
+    boost = F.least(F.lit(MOST_BOOST), F.coalesce("boost", F.lit(0)) / 100)
     decay = (1 - F.pow(F.lit(2.0), -age / half_life)) * ceiling
     seconds = lambda c: F.floor(c / 1_000_000).cast("long")
     score = clamp01(F.coalesce("base", F.lit(START)) + strength - penalty - decay + boost)
@@ -73,7 +97,7 @@ def state(ledger: DataFrame, now: Column, page_types: DataFrame | None = None) -
         js_round(boost, 4).alias("verification_boost"),
         F.coalesce("source_count", F.lit(0)).cast("long").alias("source_count"),
         (F.col("majors") + F.col("minors")).alias("contradiction_count"),
-        seconds(F.greatest("last_human", "last_ci")).alias("last_verified_at"),
+        seconds(F.col("last_verified")).alias("last_verified_at"),
         seconds(anchor).alias("anchor"),
         (F.col("superseded") > 0).alias("superseded"),
     )
@@ -86,8 +110,22 @@ def freshness(ledger: DataFrame, now: Column) -> DataFrame:
 
 
 def contradictions(ledger: DataFrame) -> DataFrame:
-    """Contradictions of a page after its last human verification, and the last major one, in seconds."""
-    verified = ledger.where("kind = 'verified' and actor_id like 'human:%'").groupBy("page_id").agg(F.max(F.struct("ts", "seq")).alias("v"))
-    rows = ledger.where("kind = 'contradicted_by'").join(verified, "page_id", "left").where(F.col("v").isNull() | (F.struct("ts", "seq") > F.col("v")))
+    """Contradictions of a page that no later verification or supersession settled, and the last major one, in seconds."""
+    settled = ledger.where("kind in ('verified', 'superseded_by')").groupBy("page_id").agg(F.max(F.struct("ts", "seq")).alias("v"))
+    rows = ledger.where("kind = 'contradicted_by'").join(settled, "page_id", "left").where(F.col("v").isNull() | (F.struct("ts", "seq") > F.col("v")))
     seconds = F.floor(F.unix_micros(F.max(F.when(F.col("severity") == "major", F.col("ts"))).cast("timestamp")) / 1_000_000).cast("long")
     return rows.groupBy("page_id").agg(F.count("*").alias("active"), seconds.alias("latest_major"))
+
+
+def latest_major(ledger: DataFrame) -> DataFrame:
+    """(page_id, major_at): a page's last major contradiction, settled or not."""
+    return ledger.where("kind = 'contradicted_by' and severity = 'major'").groupBy("page_id").agg(F.max("ts").alias("major_at"))
+
+
+def rank_flags(now: Column) -> Column:
+    """Flags of a result that is not superseded: below .5, a major contradiction in the last 30 days, not verified for 240 days."""
+    verified = (F.unix_micros(now.cast("timestamp")) / 1e6 - F.col("last_verified_at")) / 86400
+    found = F.array(
+        F.when(F.col("confidence") < 0.5, "NEEDS_REVIEW"), F.when(F.col("major_at").isNotNull() & (days_between(F.col("major_at"), now) <= 30), "RECENTLY_CONTRADICTED"), F.when(verified > 240, "STALE")
+    )
+    return F.array_compact(found)

@@ -62,20 +62,27 @@ mix AS (SELECT *, floor((0.65::DOUBLE * bm25 + 0.35::DOUBLE * cosine) * 1e3 + 0.
 hybrid AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM mix)"""
 
 _LEDGER = """
-led AS (SELECT 'page_' || lpad(user_id::VARCHAR, 12, '0') AS page_id, event_id AS seq, ts, epoch_us(ts) AS us, event_type AS e, value FROM events),
-w AS (SELECT page_id, sum(w) AS weight, count(*) AS source_count FROM (
-  SELECT page_id, seq % 5 AS s, max_by(least(1.0, greatest(0.0, value / 500)), (ts, seq)) AS w FROM led WHERE e = 'signup' GROUP BY page_id, s) GROUP BY page_id),
-ci AS (SELECT page_id, list_reduce(list(DISTINCT us ORDER BY us), lambda a, x: CASE WHEN x - a >= 14 * 86400000000 THEN x ELSE a END) AS last_ci FROM led WHERE e = 'view' GROUP BY page_id),
-s AS (SELECT page_id, max(us) FILTER (e = 'purchase') AS last_human, max(us) FILTER (e NOT IN ('signup', 'view', 'purchase')) AS last_other, max(us) AS last_event,
-  count(*) FILTER (e = 'error' AND value > 100) AS majors, count(*) FILTER (e = 'error' AND NOT value > 100) AS minors,
-  count(*) FILTER (e = 'purchase' AND ts >= TIMESTAMP '2024-01-02') AS humans, count(*) FILTER (e = 'view' AND ts >= TIMESTAMP '2024-01-02') AS machines FROM led GROUP BY page_id),
-j AS (SELECT *, coalesce(greatest(last_human, last_ci, last_other), last_event) AS anchor_us FROM s LEFT JOIN w USING (page_id) LEFT JOIN ci USING (page_id)),
-k AS (SELECT *, 1 - exp(-coalesce(weight, 0) / 1.5) AS st, least(0.6, majors * 0.35::DOUBLE + minors * 0.10::DOUBLE) AS pe, least(0.25, humans * 0.05::DOUBLE + machines * 0.02::DOUBLE) AS bo,
+led0 AS (SELECT 'page_' || lpad(user_id::VARCHAR, 12, '0') AS page_id, event_id AS seq, ts, epoch_us(ts) AS us, event_type AS e, value, event_id % 50 AS k,
+  CASE event_type WHEN 'view' THEN (['ci:github-actions', 'ci:build', 'agent:claude-code', 'agent:helper', 'test:unit', 'bot'])[event_id % 6 + 1] WHEN 'purchase' THEN (['human:reader', 'human:editor', 'runbook-exec', 'test:integration'])[event_id % 4 + 1] END AS actor FROM events),
+led AS (SELECT *, CASE e WHEN 'signup' THEN 'added' WHEN 'view' THEN 'verified' WHEN 'purchase' THEN 'verified' WHEN 'error' THEN 'contradicted' WHEN 'click' THEN CASE WHEN k = 0 THEN 'superseded' WHEN k = 1 THEN 'override' WHEN k <= 6 THEN 'removed' ELSE 'checkpoint' END ELSE 'checkpoint' END AS kind FROM led0),
+w AS (SELECT page_id, sum(l.w) AS weight, count(*) AS source_count FROM (
+  SELECT page_id, seq % 5 AS s, max_by({'there': kind = 'added', 'w': least(1.0, greatest(0.0, value / 500))}, (ts, seq)) AS l FROM led WHERE kind IN ('added', 'removed') GROUP BY page_id, s) WHERE l.there GROUP BY page_id),
+ver AS (SELECT page_id, us, ts, CASE WHEN actor LIKE 'human:%' THEN ['human', '5', '0'] WHEN actor = 'ci:github-actions' THEN [actor, '3', '14'] WHEN actor LIKE 'ci:%' THEN ['ci', '2', '14'] WHEN actor = 'agent:claude-code' THEN [actor, '2', '7'] WHEN actor LIKE 'agent:%' THEN ['agent', '1', '7']
+  WHEN actor = 'runbook-exec' THEN [actor, '4', '0'] WHEN actor = 'test:integration' THEN [actor, '4', '0'] WHEN actor = 'test:unit' THEN [actor, '2', '14'] WHEN seq % 12 = 5 THEN ['agent', '1', '7'] ELSE ['unpatterned', '1', '7'] END AS r FROM led WHERE kind = 'verified'),
+bo AS (SELECT page_id, sum(r[2]::BIGINT) FILTER (ts >= TIMESTAMP '2024-01-02') AS cents, max(us) FILTER (r[3] = '0') AS last_free FROM ver GROUP BY page_id),
+sp AS (SELECT page_id, max(last) AS last_spaced FROM (SELECT page_id, r, list_reduce(list(DISTINCT us ORDER BY us), lambda a, x: CASE WHEN x - a >= r[3]::BIGINT * 86400000000 THEN x ELSE a END) AS last FROM ver WHERE r[3] <> '0' GROUP BY page_id, r) GROUP BY page_id),
+s AS (SELECT page_id, max(us) FILTER (kind NOT IN ('added', 'removed', 'verified')) AS last_other, max(us) AS last_event,
+  count(*) FILTER (e = 'error' AND value > 100) AS majors, count(*) FILTER (e = 'error' AND NOT value > 100) AS minors, count(*) FILTER (kind = 'superseded') AS sups,
+  max_by(least(1.0, greatest(0.0, value / 100)), (ts, seq)) FILTER (kind = 'override') AS base FROM led GROUP BY page_id),
+j AS (SELECT *, greatest(last_free, last_spaced) AS ver_us, coalesce(greatest(last_free, last_spaced, last_other), last_event) AS anchor_us FROM s LEFT JOIN w USING (page_id) LEFT JOIN bo USING (page_id) LEFT JOIN sp USING (page_id)),
+k AS (SELECT *, 1 - exp(-coalesce(weight, 0) / 1.5) AS st, least(0.6, majors * 0.35::DOUBLE + minors * 0.10::DOUBLE + sups * 0.6::DOUBLE) AS pe, least(0.25, coalesce(cents, 0) / 100) AS bo,
   (1 - pow(2.0, -greatest(0, (epoch_us(TIMESTAMP '2024-02-01') - anchor_us) / 86400000000.0) / 120.0)) * 0.30 AS de FROM j),
-state AS (SELECT page_id, floor(least(1, greatest(0, 0.25 + st - pe - de + bo)) * 1e4 + 0.5) / 1e4 AS score, floor(st * 1e4 + 0.5) / 1e4 AS source_strength,
+sc AS (SELECT *, least(1, greatest(0, coalesce(base, 0.25) + st - pe - de + bo)) AS free FROM k),
+state AS (SELECT page_id, floor(CASE WHEN sups > 0 THEN least(free, 0.3) ELSE free END * 1e4 + 0.5) / 1e4 AS score, floor(st * 1e4 + 0.5) / 1e4 AS source_strength,
   floor(pe * 1e4 + 0.5) / 1e4 AS contradiction_penalty, floor(de * 1e4 + 0.5) / 1e4 AS time_decay, floor(bo * 1e4 + 0.5) / 1e4 AS verification_boost,
   coalesce(source_count, 0)::BIGINT AS source_count, (majors + minors)::BIGINT AS contradiction_count,
-  greatest(last_human, last_ci) // 1000000 AS last_verified_at, anchor_us // 1000000 AS anchor FROM k),
+  ver_us // 1000000 AS last_verified_at, anchor_us // 1000000 AS anchor, sups > 0 AS superseded FROM sc),
+major AS (SELECT page_id, max(ts) AS major_at FROM led WHERE e = 'error' AND value > 100 GROUP BY page_id),
 fresh AS (SELECT page_id, floor(exp(-d / 180) * 1e4 + 0.5) / 1e4 AS freshness, floor(exp(-d / 30) * 1e4 + 0.5) / 1e4 AS access_recency
   FROM (SELECT page_id, greatest(0, (epoch_us(TIMESTAMP '2024-02-01') - max(us)) / 86400000000.0) AS d FROM led GROUP BY page_id))"""
 
@@ -84,12 +91,14 @@ ORACLES = {
     "hybrid_search": f"WITH {_bm25(2)}, {_HYBRID} SELECT item_id, doc_id, bm25, cosine, score, rank FROM hybrid WHERE rank <= 10",
     "hybrid_any_term": f"WITH {_any_term(2)} SELECT item_id, doc_id, bm25, cosine, score, rank FROM hybrid WHERE rank <= 10",
     "ranked_search": f"""WITH {_bm25(2)}, {_HYBRID}, {_LEDGER},
-fin AS (SELECT item_id, doc_id, floor((0.55::DOUBLE * h.score + 0.25::DOUBLE * coalesce(st.score, 0.7) + 0.10::DOUBLE * coalesce(freshness, 0.5) + 0.10::DOUBLE * coalesce(access_recency, 0.5)) * 1e4 + 0.5) / 1e4 AS final_score
-  FROM hybrid h LEFT JOIN state st ON st.page_id = 'page_' || lpad(h.doc_id::VARCHAR, 12, '0') LEFT JOIN fresh f ON f.page_id = st.page_id WHERE h.rank <= 30)
+fin AS (SELECT item_id, doc_id, floor((0.55::DOUBLE * h.score + 0.25::DOUBLE * coalesce(st.score, 0.7) + 0.10::DOUBLE * coalesce(freshness, 0.5) + 0.10::DOUBLE * coalesce(access_recency, 0.5)) * 1e4 + 0.5) / 1e4 AS final_score,
+  array_to_string(list_filter([CASE WHEN st.score < 0.5 THEN 'NEEDS_REVIEW' END, CASE WHEN major_at >= TIMESTAMP '2024-01-02' THEN 'RECENTLY_CONTRADICTED' END, CASE WHEN (epoch(TIMESTAMP '2024-02-01') - last_verified_at) / 86400 > 240 THEN 'STALE' END], lambda f: f IS NOT NULL), ',') AS flags
+  FROM hybrid h LEFT JOIN state st ON st.page_id = 'page_' || lpad(h.doc_id::VARCHAR, 12, '0') LEFT JOIN fresh f ON f.page_id = st.page_id LEFT JOIN major m ON m.page_id = st.page_id WHERE NOT coalesce(superseded, false) AND h.rank <= 100)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final_score DESC, doc_id) AS rank FROM fin) WHERE rank <= 10""",
     "ranked_whole_text": f"""WITH {_any_term(None)}, {_LEDGER},
-fin AS (SELECT item_id, doc_id, floor((0.55::DOUBLE * h.score + 0.25::DOUBLE * coalesce(st.score, 0.7) + 0.10::DOUBLE * coalesce(freshness, 0.5) + 0.10::DOUBLE * coalesce(access_recency, 0.5)) * 1e4 + 0.5) / 1e4 AS final_score
-  FROM hybrid h LEFT JOIN state st ON st.page_id = 'page_' || lpad(h.doc_id::VARCHAR, 12, '0') LEFT JOIN fresh f ON f.page_id = st.page_id)
+fin AS (SELECT item_id, doc_id, floor((0.55::DOUBLE * h.score + 0.25::DOUBLE * coalesce(st.score, 0.7) + 0.10::DOUBLE * coalesce(freshness, 0.5) + 0.10::DOUBLE * coalesce(access_recency, 0.5)) * 1e4 + 0.5) / 1e4 AS final_score,
+  array_to_string(list_filter([CASE WHEN st.score < 0.5 THEN 'NEEDS_REVIEW' END, CASE WHEN major_at >= TIMESTAMP '2024-01-02' THEN 'RECENTLY_CONTRADICTED' END, CASE WHEN (epoch(TIMESTAMP '2024-02-01') - last_verified_at) / 86400 > 240 THEN 'STALE' END], lambda f: f IS NOT NULL), ',') AS flags
+  FROM hybrid h LEFT JOIN state st ON st.page_id = 'page_' || lpad(h.doc_id::VARCHAR, 12, '0') LEFT JOIN fresh f ON f.page_id = st.page_id LEFT JOIN major m ON m.page_id = st.page_id WHERE NOT coalesce(superseded, false))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final_score DESC, doc_id) AS rank FROM fin) WHERE rank <= 10""",
     "retrieval_eval": f"""WITH rel AS (WITH {_bm25(6)} SELECT item_id, doc_id FROM bm), {_bm25(2)}, {_SEARCH},
 h AS (SELECT item_id, count(*) AS hits FROM found JOIN rel USING (item_id, doc_id) WHERE rank <= 10 GROUP BY item_id),
@@ -109,9 +118,9 @@ ceil((length(coalesce(text, '')) + length(regexp_replace(coalesce(text, ''), '[^
 FROM documents GROUP BY 1 HAVING count(*) > 1""",
     "source_rollup": """SELECT source, count(*) AS pages, count(quality) AS labelled, floor(avg(quality) * 1e4 + 0.5) / 1e4 AS quality, coalesce(sum(toxic), 0)::BIGINT AS toxic
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""",
-    "confidence_state": f"WITH {_LEDGER} SELECT * FROM state",
+    "confidence_state": f"WITH {_LEDGER} SELECT * EXCLUDE (superseded) FROM state",
     "page_freshness": f"WITH {_LEDGER} SELECT * FROM fresh",
-    "active_contradictions": f"""WITH {_LEDGER}, v AS (SELECT page_id, max((ts, seq)) AS v FROM led WHERE e = 'purchase' GROUP BY page_id)
+    "active_contradictions": f"""WITH {_LEDGER}, v AS (SELECT page_id, max((ts, seq)) AS v FROM led WHERE kind IN ('verified', 'superseded') GROUP BY page_id)
 SELECT page_id, count(*) AS active, max(CASE WHEN value > 100 THEN us END) // 1000000 AS latest_major FROM led LEFT JOIN v USING (page_id) WHERE e = 'error' AND (v IS NULL OR (ts, seq) > v) GROUP BY page_id""",
     "conversation_sections": """WITH n AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
 l AS (SELECT *, length(t) - length(replace(t, chr(10), '')) + 2 AS n FROM n),

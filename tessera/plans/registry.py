@@ -50,16 +50,21 @@ def hybrid_any_term(spark, d):
 
 @_register
 def ranked_search(spark, d):
-    """Hybrid scores with the confidence of the page's ledger: .55, .25, .10, .10; unknown pages have .7, .5 and .5."""
-    return _ranked(spark, d, retrieval.hybrid(tables.pages(spark, d), tables.queries(spark, d), 30).drop("rank"))
+    """Hybrid scores with the confidence of the page's ledger: .55, .25, .10, .10; unknown pages have .7, .5 and .5.
+
+    As many candidates as the reference takes for ten results: max(10 * 10, 50).
+    """
+    return _ranked(spark, d, retrieval.hybrid(tables.pages(spark, d), tables.queries(spark, d), 100).drop("rank"))
 
 
 def _ranked(spark, d, found):
+    """With flags; superseded pages go."""
     led = tables.ledger(spark, d)
-    known = confidence.state(led, _now()).select("page_id", F.col("score").alias("confidence")).join(confidence.freshness(led, _now()), "page_id")
-    rows = found.withColumn("page_id", tables.page_id(F.col("doc_id"))).join(known, "page_id", "left")
+    known = confidence.state(led, _now()).select("page_id", F.col("score").alias("confidence"), "superseded", "last_verified_at").join(confidence.freshness(led, _now()), "page_id")
+    known = known.join(confidence.latest_major(led), "page_id", "left")
+    rows = found.withColumn("page_id", tables.page_id(F.col("doc_id"))).join(known, "page_id", "left").where(~F.coalesce("superseded", F.lit(False)))
     final = 0.55 * F.col("score") + 0.25 * F.coalesce("confidence", F.lit(0.7)) + 0.10 * F.coalesce("freshness", F.lit(0.5)) + 0.10 * F.coalesce("access_recency", F.lit(0.5))
-    rows = rows.select("item_id", "doc_id", js_round(final, 4).alias("final_score"))
+    rows = rows.select("item_id", "doc_id", js_round(final, 4).alias("final_score"), F.array_join(confidence.rank_flags(_now()), ",").alias("flags"))
     return retrieval.top(rows, 10, "final_score")
 
 

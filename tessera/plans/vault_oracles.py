@@ -97,8 +97,8 @@ _KIND = _by_extension(_KINDS) + " ELSE 'none' END"
 
 def oracles(ledger: str) -> dict[str, str]:
     """The queries' SQL; `ledger` defines led and state, with the latter's anchor in seconds."""
-    flags = """flagged AS (SELECT page_id, score, list_filter([CASE WHEN score < 0.5 THEN 'NEEDS_REVIEW' END, CASE WHEN (epoch(TIMESTAMP '2024-02-01') - last_verified_at) / 86400 > 60 THEN 'STALE' END], lambda f: f IS NOT NULL) AS flags FROM state)"""
-    risk = lambda f: f"CASE WHEN list_contains({f}, 'MISSING_LEDGER') THEN 'missing_ledger' WHEN list_contains({f}, 'NEEDS_REVIEW') THEN 'needs_review' WHEN list_contains({f}, 'STALE') THEN 'stale' ELSE 'ok' END"
+    flags = """flagged AS (SELECT page_id, score, list_filter([CASE WHEN score < 0.5 THEN 'NEEDS_REVIEW' END, CASE WHEN superseded THEN 'SUPERSEDED' END, CASE WHEN (epoch(TIMESTAMP '2024-02-01') - last_verified_at) / 86400 > 60 THEN 'STALE' END], lambda f: f IS NOT NULL) AS flags FROM state)"""
+    risk = lambda f: f"CASE WHEN list_contains({f}, 'MISSING_LEDGER') THEN 'missing_ledger' WHEN list_contains({f}, 'NEEDS_REVIEW') THEN 'needs_review' WHEN list_contains({f}, 'STALE') THEN 'stale' WHEN list_contains({f}, 'SUPERSEDED') THEN 'superseded' ELSE 'ok' END"
     slug = "coalesce(nullif(regexp_replace(regexp_replace(lower(heading), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'section')"
     tokens = "ceil((length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 4.0)::BIGINT"
     found = {
@@ -131,7 +131,7 @@ a AS (SELECT source AS file, count(*) AS page_count, min(score) AS min_score, fl
 l AS (SELECT *, {risk('fl')} AS risk_level FROM a)
 SELECT file, page_count, min_score, avg_score, coalesce(array_to_string(fl, ','), '') AS flags, risk_level, (list_position(['missing_ledger', 'needs_review', 'stale', 'superseded', 'ok'], risk_level) - 1)::BIGINT AS risk_rank FROM l""",
         "lint_report": f"""WITH {ledger}, {_VAULT}, {_WIKI},
-v AS (SELECT page_id, max((ts, seq)) AS v FROM led WHERE e = 'purchase' GROUP BY page_id),
+v AS (SELECT page_id, max((ts, seq)) AS v FROM led WHERE kind IN ('verified', 'superseded') GROUP BY page_id),
 con AS (SELECT page_id, count(*) AS active FROM led LEFT JOIN v USING (page_id) WHERE e = 'error' AND (v IS NULL OR (ts, seq) > v) GROUP BY page_id)
 SELECT 'low_confidence' AS "check", page_id, NULL::VARCHAR AS detail FROM state SEMI JOIN vault USING (page_id) WHERE score < 0.5
 UNION ALL SELECT 'stale', page_id, NULL FROM state SEMI JOIN vault USING (page_id) WHERE (epoch(TIMESTAMP '2024-02-01') - last_verified_at) / 86400 > 180

@@ -39,24 +39,31 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_lines(table(spark, sf_dir, "events"))
 
 
+#: Who verifies the pages of events of two types, in turn.
+VIEWERS, BUYERS = ["ci:github-actions", "ci:build", "agent:claude-code", "agent:helper", "test:unit", "bot"], ["human:reader", "human:editor", "runbook-exec", "test:integration"]
+
+
+def _turn(values: list[str], number: str) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
+
+
 def ledger_lines(events: DataFrame) -> DataFrame:
-    """Events as ledger lines of a page each: sources, human and machine verifications, contradictions, checkpoints."""
-    kind = F.col("event_type")
-    named = (
-        F.when(kind == "signup", "source_added")
-        .when(kind.isin("view", "purchase"), "verified")
-        .when(kind == "error", "contradicted_by")
-        .otherwise("decay_checkpoint")
-    )
-    return events.select(
+    """Events as ledger lines of a page each, of all kinds but those that concern two pages."""
+    kind, of_fifty = F.col("event_type"), F.col("event_id") % 50
+    click = F.when(of_fifty == 0, "superseded_by").when(of_fifty == 1, "manual_override").when(of_fifty <= 6, "source_removed").otherwise("decay_checkpoint")
+    named = F.when(kind == "signup", "source_added").when(kind.isin("view", "purchase"), "verified").when(kind == "error", "contradicted_by").when(kind == "click", click).otherwise("decay_checkpoint")
+    unit = lambda most: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / most))
+    return events.withColumn("named", named).select(
         page_id(F.col("user_id")).alias("page_id"),
         F.col("event_id").alias("seq"),
         "ts",
-        named.alias("kind"),
-        F.when(kind == "view", "ci:build").when(kind == "purchase", "human:reader").alias("actor_id"),
+        F.col("named").alias("kind"),
+        F.when(kind == "view", _turn(VIEWERS, "event_id")).when(kind == "purchase", _turn(BUYERS, "event_id")).alias("actor_id"),
+        F.when(F.col("named") == "verified", F.when(F.col("event_id") % 12 == 5, "agent").otherwise("human")).alias("verifier_type"),
         F.when(kind == "error", F.when(F.col("value") > 100, "major").otherwise("minor")).alias("severity"),
-        F.when(kind == "signup", F.concat(F.lit("src_"), (F.col("event_id") % 5).cast("string"))).alias("source_id"),
-        F.when(kind == "signup", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 500))).alias("source_weight"),
+        F.when(F.col("named").isin("source_added", "source_removed"), F.concat(F.lit("src_"), (F.col("event_id") % 5).cast("string"))).alias("source_id"),
+        F.when(kind == "signup", unit(500)).alias("source_weight"),
+        F.when(F.col("named") == "manual_override", unit(100)).alias("new_base"),
     )
 
 
@@ -72,13 +79,9 @@ TYPES, SUBTYPES = ["markdown", "pdf", "webpage", "chat", "code", "letter"], ["ac
 HOSTS, DOMAINS = ["docs.example.org/a", "blog.example.org", "EXAMPLE.com/Manual/x"], ["docs.example.org", "example.com/manual/*"]
 
 
-def _turn(values: list[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod("doc_id", F.lit(len(values))) + 1).cast("int"))
-
-
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as source files: doc_id, path."""
-    path = F.concat(F.when(F.col("doc_id") % 3 == 0, ".inbox/").otherwise("notes/"), F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), _turn(EXTENSIONS))
+    path = F.concat(F.when(F.col("doc_id") % 3 == 0, ".inbox/").otherwise("notes/"), F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), _turn(EXTENSIONS, "doc_id"))
     return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
 
 
@@ -91,8 +94,8 @@ def vault_pages(documents: DataFrame) -> DataFrame:
     n = F.col("doc_id").cast("string")
     lit = F.lit
     front = F.concat(
-        lit("---\ntitle: 'Page "), n, lit("'\naliases: [Nick "), n, lit(', "Also '), n, lit('"]\nsource_type: '), _turn(TYPES), lit("\nsource_subtype: "), _turn(SUBTYPES),
-        lit("\nsource_url: https://"), _turn(HOSTS), F.when(F.col("doc_id") % 2 == 0, "\nsource_hash: sha256:00").otherwise(""), lit("\n---\n"),
+        lit("---\ntitle: 'Page "), n, lit("'\naliases: [Nick "), n, lit(', "Also '), n, lit('"]\nsource_type: '), _turn(TYPES, "doc_id"), lit("\nsource_subtype: "), _turn(SUBTYPES, "doc_id"),
+        lit("\nsource_url: https://"), _turn(HOSTS, "doc_id"), F.when(F.col("doc_id") % 2 == 0, "\nsource_hash: sha256:00").otherwise(""), lit("\n---\n"),
     )
     of = lambda k: (F.col("doc_id") + k).cast("string")
     links = F.concat(

@@ -34,3 +34,75 @@ def test_decay_by_type_of_page(spark):
     rows = [(p, 1, NOW - datetime.timedelta(days=60), "decay_checkpoint", None, None, None, None, None) for p in ("run", "note")]
     found = states(spark, rows, spark.createDataFrame([("run", "runbook"), ("note", "note")], "page_id string, page_type string"))
     assert (found["run"]["time_decay"], found["note"]["time_decay"]) == (0.2, 0.0879)
+
+
+#: Who verifies, and then boost and days between resets.
+RULES = {
+    "human:a": ("human", 0.05, 0), "human:b": ("human", 0.05, 0), "ci:github-actions": ("gh", 0.03, 14), "ci:x": ("ci", 0.02, 14), "ci:y": ("ci", 0.02, 14), "agent:claude-code": ("cc", 0.02, 7), "agent:z": ("agent", 0.01, 7),
+    "runbook-exec": ("run", 0.04, 0), "test:integration": ("ti", 0.04, 0), "test:unit": ("tu", 0.02, 14), "test:other": ("none", 0.01, 7), None: ("none", 0.01, 7), "bot": ("none", 0.01, 7),
+}
+
+
+def fold(events):
+    """One page's state, event by event."""
+    import math
+
+    events = sorted(events, key=lambda e: (e["ts"], e["seq"]))
+    days = lambda a, b: max(0, (b - a).total_seconds() / 86400)
+    weights, penalty, count, boost, base, superseded, verified, resets, anchor = {}, 0, 0, 0, 0.25, False, None, {}, events[-1]["ts"]
+    for e in events:
+        kind, ts = e["kind"], e["ts"]
+        if kind == "source_added":
+            weights[e["source_id"]] = e["source_weight"]
+        elif kind == "source_removed":
+            weights.pop(e["source_id"], None)
+        elif kind == "verified":
+            who, value, window = RULES[e["actor_id"]]
+            if who == "none" and e["verifier_type"] == "agent":
+                who = "agent"
+            if days(ts, NOW) <= 30:
+                boost += value
+            if who not in resets or days(resets[who], ts) >= window:
+                verified = anchor = resets[who] = ts
+        else:
+            anchor = ts
+            count += kind == "contradicted_by"
+            penalty += {"contradicted_by": 0.35 if e["severity"] == "major" else 0.1, "superseded_by": 0.6}.get(kind, 0)
+            superseded |= kind == "superseded_by"
+            base = e["new_base"] if kind == "manual_override" else base
+    penalty, boost = min(0.6, penalty), min(0.25, boost)
+    strength, decay = 1 - math.exp(-sum(weights.values()) / 1.5), (1 - 2 ** (-days(anchor, NOW) / 120)) * 0.3
+    score = max(0, min(1, base + strength - penalty - decay + boost))
+    return (min(score, 0.3) if superseded else score), boost, penalty, decay, len(weights), count, verified, anchor, superseded
+
+
+def test_random_ledgers_equal_the_fold(spark):
+    import random
+
+    import pytest
+
+    r = random.Random(11)
+    kinds = ["source_added", "source_removed", "verified", "verified", "verified", "contradicted_by", "decay_checkpoint", "manual_override", "superseded_by"]
+    rows, pages = [], {}
+    for p in range(300):
+        for seq in range(r.randint(1, 14)):
+            kind = r.choice(kinds[: r.choice([3, 5, 7, 9])])
+            e = {"page_id": f"p{p}", "seq": seq, "ts": NOW - datetime.timedelta(hours=r.choice([-24, 0, 1, 7 * 24, r.randint(0, 2000)])), "kind": kind, "actor_id": None, "verifier_type": None, "severity": None, "source_id": None, "source_weight": None, "new_base": None}
+            if kind == "verified":
+                e["actor_id"], e["verifier_type"] = r.choice(list(RULES)), r.choice(["agent", "human", None])
+            elif kind == "contradicted_by":
+                e["severity"] = r.choice(["major", "minor"])
+            elif kind.startswith("source"):
+                e["source_id"], e["source_weight"] = r.choice("abc"), r.random() if kind == "source_added" else None
+            elif kind == "manual_override":
+                e["new_base"] = r.random()
+            rows.append(e)
+            pages.setdefault(e["page_id"], []).append(e)
+    table = spark.createDataFrame([tuple(e.values()) for e in rows], "page_id string, seq long, ts timestamp_ntz, kind string, actor_id string, verifier_type string, severity string, source_id string, source_weight double, new_base double")
+    found = confidence.state(table, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).collect()
+    assert len(found) == len(pages)
+    seconds = lambda t: None if t is None else int(t.replace(tzinfo=datetime.timezone.utc).timestamp())
+    for s in found:
+        score, boost, penalty, decay, sources, count, verified, anchor, superseded = fold(pages[s["page_id"]])
+        assert (s["score"], s["verification_boost"], s["contradiction_penalty"], s["time_decay"]) == pytest.approx((score, boost, penalty, decay), abs=6e-5)
+        assert (s["source_count"], s["contradiction_count"], s["last_verified_at"], s["anchor"], s["superseded"]) == (sources, count, seconds(verified), seconds(anchor), superseded)
