@@ -133,3 +133,6 @@ FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM
     "streamed_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
 ORACLES |= vault_oracles.oracles(_LEDGER)
+
+#: The SQL of the jobs, which are registered beside the queries.
+JOBS = {"job1_index_pages": vault_oracles.INDEX_JOB, "job2_ledger_confidence": f"WITH {_LEDGER} SELECT * FROM state"}

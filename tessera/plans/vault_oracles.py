@@ -95,6 +95,17 @@ _KIND = _by_extension(_KINDS) + " ELSE 'none' END"
 
 
 
+_FTS = r"regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')"
+_VEC = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+
+#: The job that keeps an index: pages, their chunks and the terms of these.
+INDEX_JOB = f"""WITH {_VAULT}, {_CHUNKS},
+t AS (SELECT *, {_FTS} AS fts, {_VEC} AS vec FROM chunks)
+SELECT n.page_id, n.path, n.title, sha256(n.path || {_NL} || n.content) AS content_hash, chunk_id, idx, line_start, line_end, tokens, len(fts) AS size, sha256(text) AS digest,
+  len(list_distinct(fts)) AS index_terms, len(vec) AS vector_tokens, list_sort(fts || vec)[-1] AS last_term
+FROM named n LEFT JOIN t USING (page_id)"""
+
+
 def oracles(ledger: str) -> dict[str, str]:
     """The queries' SQL; `ledger` defines led and state, with the latter's anchor in seconds."""
     flags = """flagged AS (SELECT page_id, score, list_filter([CASE WHEN score < 0.5 THEN 'NEEDS_REVIEW' END, CASE WHEN superseded THEN 'SUPERSEDED' END, CASE WHEN (epoch(TIMESTAMP '2024-02-01') - last_verified_at) / 86400 > 60 THEN 'STALE' END], lambda f: f IS NOT NULL) AS flags FROM state)"""
