@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import estimated_tokens, js_round
 from tessera.functions import markdown as md
-from tessera.operators import chunks, confidence, graph, retrieval, vault
+from tessera.operators import chunk_search as chunk_queries
+from tessera.operators import chunks, confidence, graph, index, retrieval, vault
 from tessera.sources import tables
 from tessera.streaming import ledger as stream
 
@@ -157,6 +158,31 @@ def chunk_pieces(spark, d):
     return chunks.chunks(tables.vault(spark, d)).withColumn("digest", F.sha2("text", 256)).drop("text")
 
 
+def _index(spark, d):
+    """The vault's chunks and postings, stored once for all that a query reads of them."""
+    at = stream.folder(spark, "index")
+    index.page_chunks(tables.vault(spark, d)).write.parquet(f"{at}/chunks")
+    chunk_rows = spark.read.parquet(f"{at}/chunks")
+    index.postings(chunk_rows).write.parquet(f"{at}/postings")
+    return chunk_rows, spark.read.parquet(f"{at}/postings")
+
+
+def _questions(spark, d):
+    return tables.table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
+
+
+@_register
+def chunk_search(spark, d):
+    """BM25 over chunks with all terms of the benchmark text; the best chunk of a page, with the lines to cite."""
+    return chunk_queries.search(*_index(spark, d), _questions(spark, d))
+
+
+@_register
+def chunk_hybrid(spark, d):
+    """chunk_search with the cosine of term counts, and of every page that shares a term."""
+    return chunk_queries.hybrid(*_index(spark, d), _questions(spark, d))
+
+
 @_register
 def markdown_sections(spark, d):
     return vault.sections(tables.vault(spark, d))

@@ -105,6 +105,34 @@ SELECT n.page_id, n.path, n.title, sha256(n.path || {_NL} || n.content) AS conte
   len(list_distinct(fts)) AS index_terms, len(vec) AS vector_tokens, list_sort(fts || vec)[-1] AS last_term
 FROM named n LEFT JOIN t USING (page_id)"""
 
+_SNIPPET = """CASE WHEN length(text) <= 200 THEN text ELSE trim(substr(text, greatest(0, CASE WHEN first_term = '' THEN 0 ELSE instr(lower(text), first_term) - 1 END - 66) + 1, 200)) END"""
+_SEARCHED = f"""{_VAULT}, {_CHUNKS},
+ch AS (SELECT c.*, n.path, n.title, {_FTS} AS fts, {_VEC} AS vec FROM chunks c JOIN named n USING (page_id)),
+qs AS (SELECT item_id, text, {_FTS} AS fts, {_VEC} AS vec, lower(regexp_extract(text, '[\\p{{L}}\\p{{N}}_]+', 0)) AS first_term FROM benchmark),
+qf AS (SELECT item_id, term, count(*) AS qtf, count(*) OVER (PARTITION BY item_id) AS wanted FROM (SELECT item_id, unnest(fts) AS term FROM qs) GROUP BY item_id, term),
+st AS (SELECT count(*) AS n, avg(len(fts)) AS mean FROM ch),
+po AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(fts) AS term FROM ch) GROUP BY chunk_id, term),
+df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
+idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM df CROSS JOIN st),
+sc AS (SELECT item_id, chunk_id, floor(sum(qtf * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(fts) / mean))) * 1e6 + 0.5) / 1e6 AS bm25 FROM po JOIN qf USING (term) JOIN idf USING (term) JOIN ch USING (chunk_id) CROSS JOIN st GROUP BY item_id, chunk_id HAVING count(*) = any_value(wanted)),
+fu AS (SELECT * FROM (SELECT sc.*, page_id, path, idx, row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, path, idx) AS r FROM sc JOIN ch USING (chunk_id)) WHERE r <= 200)"""
+
+_CHUNK_SEARCH = f"""WITH {_SEARCHED},
+b AS (SELECT *, row_number() OVER (PARTITION BY item_id, page_id ORDER BY bm25 DESC, path, idx) AS best FROM fu),
+t AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, path, idx))::INT AS rank FROM b WHERE best = 1)
+SELECT item_id, page_id, path, title, chunk_id, line_start, line_end, bm25 AS score, {_SNIPPET.replace('(text', '(c.text').replace('THEN text', 'THEN c.text')} AS snippet, rank FROM t JOIN (SELECT chunk_id, title, line_start, line_end, text FROM ch) c USING (chunk_id) JOIN (SELECT item_id, first_term FROM qs) USING (item_id) WHERE rank <= 10"""
+
+_CHUNK_HYBRID = f"""WITH {_SEARCHED},
+qv AS (SELECT item_id, term, count(*) AS qtf, sqrt(sum(count(*) * count(*)) OVER (PARTITION BY item_id)) AS qnorm FROM (SELECT item_id, unnest(vec) AS term FROM qs) GROUP BY item_id, term),
+pv AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(vec) AS term FROM ch) GROUP BY chunk_id, term),
+nv AS (SELECT chunk_id, sqrt(sum(tf * tf)) AS norm FROM pv GROUP BY chunk_id),
+dv AS (SELECT item_id, chunk_id, floor(least(1, greatest(0, sum(qtf * tf) / (any_value(qnorm) * any_value(norm)))) * 1e3 + 0.5) / 1e3 AS vector_score FROM pv JOIN qv USING (term) JOIN nv USING (chunk_id) GROUP BY item_id, chunk_id),
+rel AS (SELECT item_id, chunk_id, CASE WHEN m > 0 THEN floor(least(1, greatest(0, bm25 / m)) * 1e3 + 0.5) / 1e3 ELSE 0 END AS bm25_score FROM (SELECT *, max(bm25) OVER (PARTITION BY item_id) AS m FROM fu)),
+mix AS (SELECT *, floor((0.65::DOUBLE * bm25_score + 0.35::DOUBLE * vector_score) * 1e3 + 0.5) / 1e3 AS score FROM (SELECT item_id, chunk_id, vector_score, coalesce(bm25_score, 0::DOUBLE) AS bm25_score FROM dv LEFT JOIN rel USING (item_id, chunk_id))),
+b AS (SELECT mix.*, page_id, path, row_number() OVER (PARTITION BY item_id, page_id ORDER BY score DESC, idx) AS best FROM mix JOIN (SELECT chunk_id, page_id, path, idx FROM ch) USING (chunk_id) WHERE score > 0),
+t AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, page_id))::INT AS rank FROM b WHERE best = 1)
+SELECT item_id, page_id, path, title, chunk_id, line_start, line_end, score, bm25_score, vector_score, {_SNIPPET.replace('(text', '(c.text').replace('THEN text', 'THEN c.text')} AS snippet, rank FROM t JOIN (SELECT chunk_id, title, line_start, line_end, text FROM ch) c USING (chunk_id) JOIN (SELECT item_id, first_term FROM qs) USING (item_id) WHERE rank <= 10"""
+
 
 def oracles(ledger: str) -> dict[str, str]:
     """The queries' SQL; `ledger` defines led and state, with the latter's anchor in seconds."""
@@ -152,6 +180,8 @@ UNION ALL SELECT 'broken_link', page_id, target FROM wiki WHERE "to" IS NULL""",
     }
     found |= {
         "chunk_pieces": f"""WITH {_VAULT}, {_CHUNKS} SELECT page_id, idx, chunk_id, line_start, line_end, tokens, sha256(text) AS digest FROM chunks""",
+        "chunk_search": _CHUNK_SEARCH,
+        "chunk_hybrid": _CHUNK_HYBRID,
     }
     summary = "summary AS (SELECT page_id, path, title, score, coalesce(source_count, 0) AS source_count, coalesce(contradiction_count, 0) AS contradiction_count, coalesce(array_to_string(flags, ','), 'MISSING_LEDGER') AS flags FROM named LEFT JOIN (SELECT page_id, source_count, contradiction_count FROM state) USING (page_id) LEFT JOIN flagged USING (page_id))"
     return found | {
