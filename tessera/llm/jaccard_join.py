@@ -343,25 +343,26 @@ def _linked(narrow: DataFrame, groups: DataFrame, reps: DataFrame, width: int, p
 
 
 def _overlaps(rows: DataFrame, width: int, tasks: int) -> DataFrame:
-    """(class, overlap): at least how many tokens of each minor class another partition of its group has. rows: (root, part, class, minor, t).
+    """(class, overlap): at least how many tokens of each minor class another partition of its group has. rows: (root, part, class, minor, spread, t).
 
-    A token travels as half its hash beside the task it goes to: where two meet by chance, the overlap is counted too
+    A group's tokens go to as many tasks as its size asks for (`spread`), not to all, so that a class is counted in few
+    places. A token travels as half its hash beside the task it goes to: where two meet by chance, the overlap is counted too
     high, so a document may be compared in vain, but none is left out.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray, int, int]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            n = [len(k) for k, _, _ in held]
-            key = np.concatenate([k for k, _, _ in held])
-            part, name = np.repeat([p for _, p, _ in held], n), np.repeat([c for _, _, c in held], n)
+            n = [len(k) for k, *_ in held]
+            key, to = np.concatenate([k for k, *_ in held]), np.concatenate([t for _, t, *_ in held])
+            part, name = np.repeat([p for *_, p, _ in held], n), np.repeat([c for *_, c in held], n)
             order = np.lexsort((name, part, key))
-            key, part, name = key[order], part[order], name[order]
+            key, to, part, name = key[order], to[order], part[order], name[order]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (name[1:] != name[:-1])  # classes that need no count are one
-            key, part, name = key[new], part[new], name[new]
+            key, to, part, name = key[new], to[new], part[new], name[new]
             at, shared = _shared(key, part)
             counted, n = np.unique(name[shared & (name != 0)], return_counts=True)
             # tokens that two partitions have here are counted here; two entries tell the others
@@ -369,8 +370,7 @@ def _overlaps(rows: DataFrame, width: int, tasks: int) -> DataFrame:
             end[at] = end[np.append(at[1:], len(key)) - 1] = True
             name = np.where(shared, 0, name)
             kept = ~shared | end
-            key, part, name = key[kept], part[kept], name[kept]
-            to = (key % np.uint64(tasks)).astype(np.int64)
+            key, to, part, name = key[kept], to[kept], part[kept], name[kept]
             order = np.argsort(to, kind="stable")
             key = key[order]
             cut = np.searchsorted(to[order], np.arange(tasks + 1))
@@ -388,11 +388,14 @@ def _overlaps(rows: DataFrame, width: int, tasks: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(tasks_of, pa.int32()), pa.array([*data, *[None] * len(n)], pa.binary()), pa.array([*[None] * m, *counted.tolist()], pa.int64()), pa.array([*[None] * m, *n.tolist()], pa.int64())], ["task", "payload", "class", "overlap"])
 
         for b in batches:
-            root, part, name, minor = (b.column(i).to_pylist() for i in range(4))
+            root, part, name, minor, spread = (b.column(i).to_pylist() for i in range(5))
             i = 0
-            for sets in shingle_sets(b.column(4), width):
+            for sets in shingle_sets(b.column(5), width):
                 for s in sets:
-                    held.append((mixed(s + mixed(np.array([root[i]], np.int64).view(np.uint64))), part[i], name[i] if minor[i] else 0))
+                    own = mixed(np.array([root[i]], np.int64).view(np.uint64))
+                    key = mixed(s + own)
+                    to = mixed(own + key % np.uint64(spread[i]) * MIX) % np.uint64(tasks)
+                    held.append((key, to.astype(np.int32), part[i], name[i] if minor[i] else 0))
                     size += len(s)
                     i += 1
                 if size > PACKED:
@@ -418,7 +421,7 @@ def _overlaps(rows: DataFrame, width: int, tasks: int) -> DataFrame:
         counted, n = np.unique(name[shared & (name != 0)], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(counted, pa.int64()), pa.array(n, pa.int64())], ["class", "overlap"])
 
-    sent = rows.select("root", "part", "class", "minor", "t").mapInArrow(tidy(send), "task int, payload binary, class long, overlap long").repartition(tasks, "task")
+    sent = rows.select("root", "part", "class", "minor", "spread", "t").mapInArrow(tidy(send), "task int, payload binary, class long, overlap long").repartition(tasks, "task")
     return sent.mapInArrow(tidy(add_up), "class long, overlap long").groupBy("class").agg(F.sum("overlap").alias("overlap"))
 
 
@@ -440,7 +443,8 @@ def _across(inside: DataFrame, part: DataFrame, width: int, percent: int, tasks:
     """
     spark = inside.sparkSession
     largest = part.groupBy("root", "part").agg(F.count("*").alias("m")).groupBy("root").agg(F.max_by("part", F.struct("m", "part")).alias("most"), F.count("*").alias("parts"))
-    rows = inside.where("chunks > 1").select("root", "class", "n", "t").join(part.select("class", "part"), "class").join(largest.where("parts > 1").select("root", "most"), "root")
+    spread = F.ceil(F.col("chunks") * CHUNK / PACKED).cast("int").alias("spread")
+    rows = inside.where("chunks > 1").select("root", "class", "n", spread, "t").join(part.select("class", "part"), "class").join(largest.where("parts > 1").select("root", "most"), "root")
     rows = stored(rows.withColumn("minor", F.col("part") != F.col("most")))
     discard(spark, inside)
     swept(spark)
