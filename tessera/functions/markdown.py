@@ -84,6 +84,12 @@ def list_field(content: Column, name: str) -> Column:
     return F.filter(F.transform(F.concat(flow, lines), _bare), lambda x: x != "")
 
 
+def references(content: Column) -> Column:
+    """Paths of the files that a page refers to, each once, with / between folders and no ./ before them."""
+    plain = lambda p: F.regexp_replace(F.replace(p, F.lit("\\"), F.lit("/")), r"^\./", "")
+    return F.array_distinct(F.transform(list_field(content, "references"), plain))
+
+
 def title(of: Column, path: Column) -> Column:
     """The first first-level heading of a body, else the path's stem, else Untitled."""
     found = F.trim(F.regexp_extract(of, r"(?m)^# +([^\n]+)$", 1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import markdown as md
 from tessera.functions.text import estimated_tokens, js_round
+from tessera.operators import confidence, lineage, supersession
 from tessera.operators.chunks import sections_of
 
 
@@ -99,34 +100,69 @@ def by_file(pages: DataFrame, flagged: DataFrame, file: str) -> DataFrame:
     return sums.join(names, sums[file].eqNullSafe(names[file]), "left").select(sums[file].alias("file"), "page_count", "min_score", "avg_score", F.coalesce(F.array_join("flags", ","), F.lit("")).alias("flags"), level.alias("risk_level"), rank.cast("long").alias("risk_rank"))
 
 
-def lint(vault: DataFrame, state: DataFrame, contradictions: DataFrame, now: Column) -> DataFrame:
-    """(check, page_id, detail): low confidence, not verified for 180 days, contradicted, orphan pages, broken links."""
-    days = (F.unix_micros(now.cast("timestamp")) / 1e6 - F.col("last_verified_at")) / 86400
+def lint(vault: DataFrame, ledger: DataFrame, now: Column, folder: str, units: DataFrame | None = None) -> DataFrame:
+    """(check, page_id, detail) of the eight checks.
+
+    Low confidence; stale: not verified for 180 days, or, with `gate` as detail, a decision not verified (or, never
+    verified, not known) for 100 days or more; contradicted, with how often; pages without links; links to no page;
+    pages that are derived by more than half, with how many chunks of how many; lineage from nowhere; pages on a cycle
+    of supersessions, with its first page. `folder` takes the tables of the cycles' search.
+    """
+    state = confidence.state(ledger, now)
+    micros = F.unix_micros(now.cast("timestamp"))
+    kinds = vault.select("page_id", (F.lower(md.field(F.col("content"), "type")) == "decision").alias("decision"))
+    first = ledger.groupBy("page_id").agg(F.min("ts").alias("first_at"))
+    known = state.join(kinds, "page_id").join(first, "page_id")
+    days = lambda seconds: (micros / 1e6 - seconds) / 86400
+    since = F.coalesce("last_verified_at", F.unix_micros(F.col("first_at").cast("timestamp")) / 1e6)
+    gate_days = F.coalesce(F.col("decision") & (days(since) >= 100), F.lit(False))
+    stale = known.withColumn("gate", gate_days).where(F.col("gate") | (days(F.col("last_verified_at")) > 180))
+    chunk_rows = lineage.derived_chunks(vault)
+    ratio = lineage.derived_ratio(chunk_rows).where(F.col("derived") / F.col("total") > 0.5)
+    cycles = supersession.cycles(supersession.edges(vault), folder)
     found = lambda rows, check, detail: rows.select(F.lit(check).alias("check"), "page_id", detail.cast("string").alias("detail"))
-    known = state.join(vault.select("page_id"), "page_id", "left_semi")
+    none = F.lit(None)
     return (
-        found(known.where("score < 0.5"), "low_confidence", F.lit(None))
-        .unionByName(found(known.where(days > 180), "stale", F.lit(None)))
-        .unionByName(found(contradictions.join(vault.select("page_id"), "page_id", "left_semi"), "unresolved_contradiction", F.col("active")))
-        .unionByName(found(wiki_degrees(vault).where("orphan"), "orphan_page", F.lit(None)))
+        found(known.where("score < 0.5"), "low_confidence", none)
+        .unionByName(found(stale, "stale", F.when(F.col("gate"), "gate")))
+        .unionByName(found(confidence.contradictions(ledger).join(vault.select("page_id"), "page_id", "left_semi"), "unresolved_contradiction", F.col("active")))
+        .unionByName(found(wiki_degrees(vault).where("orphan"), "orphan_page", none))
         .unionByName(found(wiki(vault).where("to is null"), "broken_link", F.col("target")))
+        .unionByName(found(ratio, "high_derived_ratio", F.concat("derived", F.lit("/"), "total")))
+        .unionByName(found(lineage.orphaned(lineage.lineage(chunk_rows), chunk_rows, units), "orphaned_lineage", F.col("source")))
+        .unionByName(found(cycles, "supersession_cycle", F.col("cycle")))
     )
 
 
-#: Checks of lint(), and whether a finding fails the gate; a stale page does so only as a decision record, which the vault has none of.
-CHECKS = {"low_confidence": False, "stale": False, "unresolved_contradiction": True, "orphan_page": False, "broken_link": True}
+#: Checks of lint(), and whether a finding fails the gate; a stale page does so only as a decision.
+CHECKS = {
+    "low_confidence": False, "stale": False, "unresolved_contradiction": True, "orphan_page": False, "broken_link": True, "high_derived_ratio": False, "orphaned_lineage": False, "supersession_cycle": True,
+}
 
 
 def gate(findings: DataFrame) -> DataFrame:
     """(check, found, status) of every check, also of those without findings."""
     names = F.map_from_arrays(F.array(*[F.lit(c) for c in CHECKS]), F.array(*[F.lit(h) for h in CHECKS.values()]))
     checks = findings.sparkSession.range(1).select(F.explode(names).alias("check", "hard"))
-    rows = checks.join(findings.groupBy("check").agg(F.count("*").alias("n")), "check", "left")
+    gated = F.count_if((F.col("check") == "stale") & F.col("detail").eqNullSafe("gate"))
+    rows = checks.join(findings.groupBy("check").agg(F.count("*").alias("n"), gated.alias("gated")), "check", "left")
     found = F.coalesce("n", F.lit(0))
-    status = F.when(found == 0, "pass").when(F.col("hard"), "fail").otherwise("warn")
+    status = F.when(found == 0, "pass").when(F.col("hard") | (F.col("gated") > 0), "fail").otherwise("warn")
     return rows.select("check", found.cast("long").alias("found"), status.alias("status"))
 
 
+def file_pages(vault: DataFrame) -> DataFrame:
+    """(page_id, path, file) for every file that a page refers to."""
+    return vault.select("page_id", "path", F.explode(md.references(F.col("content"))).alias("file"))
+
+
+def changed_file_issues(vault: DataFrame, state: DataFrame, changed: DataFrame, now: Column) -> DataFrame:
+    """(file, page_id, path, score, flags) of pages that refer to a changed file and have no ledger or a flag."""
+    rows = file_pages(vault).join(changed.select(F.regexp_replace(F.replace("file", F.lit("\\"), F.lit("/")), r"^\./", "").alias("file")).distinct(), "file", "left_semi")
+    of = rows.join(flags(state, now), "page_id", "left").withColumn("flags", F.coalesce("flags", F.array(F.lit("MISSING_LEDGER"))))
+    return of.where("size(flags) > 0").select("file", "page_id", "path", "score", F.array_join("flags", ",").alias("flags"))
+
+
 def summaries(vault: DataFrame, state: DataFrame, now: Column) -> DataFrame:
     """Every page with its confidence; a page without a ledger has no score and is flagged so."""
     known = state.join(flags(state, now).select("page_id", "flags"), "page_id").select("page_id", "score", "source_count", "contradiction_count", "flags")

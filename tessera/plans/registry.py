@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import estimated_tokens, js_round
 from tessera.functions import markdown as md
 from tessera.operators import chunk_search as chunk_queries
-from tessera.operators import chunks, confidence, graph, index, retrieval, vault
+from tessera.operators import chunks, confidence, graph, index, lineage, retrieval, supersession, vault
 from tessera.sources import tables
 from tessera.streaming import ledger as stream
 
@@ -19,8 +19,8 @@ from . import oracles
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = oracles.ORACLES
 
-#: The time that reports are made for.
-NOW = "2024-02-01 00:00:00"
+#: The time that reports are made for, and a later one for lint.
+NOW, LATER = "2024-02-01 00:00:00", "2024-07-15 00:00:00"
 
 
 def _now():
@@ -211,13 +211,48 @@ def fallback_queries(spark, d):
 @_register
 def file_risk(spark, d):
     found = vault.flags(confidence.state(tables.ledger(spark, d), _now()), _now())
-    return vault.by_file(tables.vault(spark, d), found, "source")
+    return vault.by_file(vault.file_pages(tables.vault(spark, d)), found, "file")
+
+
+@_register
+def changed_file_issues(spark, d):
+    """The gate's check of pages that refer to changed files; the changed files are those named after three sources and one document in ten."""
+    docs = tables.table(spark, d, "documents")
+    some = docs.where(F.col("source").isin("src1", "src2", "src3")).select(F.concat(F.lit("./src/"), "source", F.lit(".ts")).alias("file"))
+    changed = some.unionByName(docs.where("doc_id % 10 = 3").select(F.concat(F.lit("docs\\d"), "doc_id", F.lit(".md")).alias("file")))
+    return vault.changed_file_issues(tables.vault(spark, d), confidence.state(tables.ledger(spark, d), _now()), changed, _now())
+
+
+@_register
+def chunk_lineage(spark, d):
+    """Where derived chunks come from, with the lines of the chunks that they name."""
+    rows = lineage.derived_chunks(tables.vault(spark, d))
+    return lineage.with_source_lines(lineage.lineage(rows), rows)
+
+
+@_register
+def lineage_uses(spark, d):
+    """What comes from each page, from each page's first chunk and from its first unit."""
+    pages = tables.vault(spark, d)
+    rows = lineage.lineage(lineage.derived_chunks(pages))
+    ends = F.array(F.lit(""), F.lit(":c0"), F.lit(":su0"))
+    return lineage.uses(rows, pages.select(F.explode(F.transform(ends, lambda e: F.concat("page_id", e))).alias("asked")))
+
+
+@_register
+def derived_ratios(spark, d):
+    return lineage.derived_ratio(lineage.derived_chunks(tables.vault(spark, d)))
+
+
+@_register
+def supersession_cycles(spark, d):
+    return supersession.cycles(supersession.edges(tables.vault(spark, d)), stream.folder(spark, "cycles"))
 
 
 @_register
 def lint_report(spark, d):
-    led = tables.ledger(spark, d)
-    return vault.lint(tables.vault(spark, d), confidence.state(led, _now()), confidence.contradictions(led), _now())
+    """All eight checks, at a time when some decisions and some other pages are stale."""
+    return vault.lint(tables.vault(spark, d), tables.ledger(spark, d), F.lit(LATER).cast("timestamp_ntz"), stream.folder(spark, "lint"))
 
 
 @_register

@@ -16,10 +16,18 @@ def _turn(values: list[str]) -> str:
     return f"([{', '.join(repr(v) for v in values)}])[doc_id % {len(values)} + 1]"
 
 
+def _page(number: str) -> str:
+    return f"'page_' || lpad(({number})::VARCHAR, 12, '0')"
+
+
 _FILES = f"files AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '.inbox/' ELSE 'notes/' END || coalesce(lang, 'none') || '/' || doc_id || '.' || {_turn(EXTENSIONS)} AS path FROM documents)"
 _VAULT = f"""vault AS (SELECT 'page_' || lpad(doc_id::VARCHAR, 12, '0') AS page_id, 'pages/' || coalesce(lang, 'none') || '/' || doc_id || '.md' AS path, source,
-  (CASE WHEN doc_id % 4 != 3 THEN '---' || {_NL} || 'title: ''Page ' || doc_id || '''' || {_NL} || 'aliases: [Nick ' || doc_id || ', "Also ' || doc_id || '"]' || {_NL} || 'source_type: ' || {_turn(TYPES)} || {_NL} || 'source_subtype: ' || {_turn(SUBTYPES)} || {_NL} || 'source_url: https://' || {_turn(HOSTS)} || CASE WHEN doc_id % 2 = 0 THEN {_NL} || 'source_hash: sha256:00' ELSE '' END || {_NL} || '---' || {_NL} ELSE '' END)
-  || (CASE WHEN doc_id % 5 != 4 THEN '# Note ' || doc_id || {_NL} || {_NL} ELSE '' END) || coalesce(text, '') || {_NL} || {_NL}
+  (CASE WHEN doc_id % 4 != 3 THEN '---' || {_NL} || 'title: ''Page ' || doc_id || '''' || {_NL} || 'aliases: [Nick ' || doc_id || ', "Also ' || doc_id || '"]' || {_NL} || 'source_type: ' || {_turn(TYPES)} || {_NL} || 'source_subtype: ' || {_turn(SUBTYPES)} || {_NL} || 'source_url: https://' || {_turn(HOSTS)} || {_NL} || 'type: ' || (['note', 'Decision', 'concept'])[doc_id % 3 + 1]
+    || CASE WHEN doc_id % 9 <= 2 THEN {_NL} || 'supersedes: ' || {_page("CASE WHEN doc_id % 9 = 0 THEN doc_id - doc_id % 27 + (doc_id + 9) % 27 WHEN doc_id % 9 = 1 THEN doc_id - 1 ELSE 999999999999 END")} ELSE '' END
+    || {_NL} || 'references: [src/' || coalesce(source, 'none') || '.ts, ''.\\docs\\d' || (doc_id % 50) || '.md'']' || CASE WHEN doc_id % 2 = 0 THEN {_NL} || 'source_hash: sha256:00' ELSE '' END || {_NL} || '---' || {_NL} ELSE '' END)
+  || (CASE WHEN doc_id % 5 != 4 THEN '# Note ' || doc_id || {_NL} || {_NL} ELSE '' END) || (CASE WHEN doc_id % 10 = 7 THEN '<!-- kb:derived  source=' || {_page('doc_id + 1')} || ':su0 method=new patch=patch_7 -->' || {_NL} ELSE '' END) || coalesce(text, '') || {_NL} || {_NL}
+  || (CASE WHEN doc_id % 5 = 2 THEN '## Derived' || {_NL} || '<!-- kb:derived source="' || {_page('doc_id + 2')} || ':c0, ' || {_page('doc_id + 1')} || ', ' || {_page('doc_id + 2')} || ':c99,lost:su1,' || {_page('doc_id + 1')} || ':su2" method=merge' || {_NL}
+    || ' patch=p promptHash=h modelId="m 1" patch=patch_8 compiledAt=2024-01-01T00:00:00Z-->' || {_NL} || 'summed up' || {_NL} ELSE '' END)
   || (CASE WHEN doc_id % 6 != 5 THEN '## See also ##' || {_NL} || '[[' || (doc_id + 1 + doc_id % 3) || '|next]] and [[Nowhere ' || (doc_id % 7) || '#part]] [[page ' || (doc_id + 5) || ']] [[NICK ' || (doc_id + 6) || '#x]] [[Also ' || (doc_id + 7) || ']] [[' || coalesce(lang, 'none') || '\\' || (doc_id + 1) || '.md]]' || {_NL} || '```sh' || {_NL} || '# not a heading' || {_NL} || '```' || {_NL} || '### See also' || {_NL} || '  ' || {_NL} ELSE '' END) AS content FROM documents),
 fm AS (SELECT *, regexp_extract(content, '(?s)^---\\n.*?\\n(?:---|\\.\\.\\.)(?:\\n|$)', 0) AS front FROM vault),
 page AS (SELECT *, content[length(front) + 1:] AS body, length(front) - length(replace(front, {_NL}, '')) + 1 AS first FROM fm),
@@ -74,13 +82,13 @@ _RANGES = f"""f AS (SELECT *, regexp_extract(x, '^[{_SPACE}]*(`{{3}}|~~~)', 1) A
 gr AS (SELECT page_id, list(mark ORDER BY pos) AS marks, list(pos ORDER BY pos) AS spots FROM f WHERE mark <> '' GROUP BY page_id),
 fe AS (SELECT page_id, unnest(spots) AS pos, unnest(list_reduce(marks, lambda a, m: list_append(a, CASE WHEN a[-1] = '' THEN m WHEN a[-1] = m THEN '' ELSE a[-1] END), [''])[2:]) AS open FROM gr),
 g AS (SELECT f.*, coalesce(last_value(open IGNORE NULLS) OVER (PARTITION BY f.page_id ORDER BY f.pos), '') <> '' AS inside FROM f LEFT JOIN fe ON fe.page_id = f.page_id AND fe.pos = f.pos),
-s AS (SELECT *, sum((NOT inside AND mark = '' AND regexp_matches(x, '^#{{1,3}}[{_SPACE}]'))::INT) OVER (PARTITION BY page_id ORDER BY pos) AS chunk FROM g),
-e AS (SELECT *, max(CASE WHEN NOT regexp_full_match(x, '[{_SPACE}]*') THEN pos END) OVER (PARTITION BY page_id, chunk) AS last FROM s),
-c AS (SELECT page_id, first + min(pos) AS line_start, first + max(last) AS line_end, string_agg(x, {_NL} ORDER BY pos) AS t FROM e WHERE pos <= last GROUP BY page_id, first, chunk)"""
+hd AS (SELECT *, sum((NOT inside AND mark = '' AND regexp_matches(x, '^#{{1,3}}[{_SPACE}]'))::INT) OVER (PARTITION BY page_id ORDER BY pos) AS chunk FROM g),
+e AS (SELECT *, max(CASE WHEN NOT regexp_full_match(x, '[{_SPACE}]*') THEN pos END) OVER (PARTITION BY page_id, chunk) AS last FROM hd),
+c AS MATERIALIZED (SELECT page_id, first + min(pos) AS line_start, first + max(last) AS line_end, string_agg(x, {_NL} ORDER BY pos) AS t FROM e WHERE pos <= last GROUP BY page_id, first, chunk)"""
 _CHUNKS = f"""{_RANGES},
-pc AS (SELECT page_id, line_start, line_end, {_pieces('t')} AS pieces FROM c),
+pc AS MATERIALIZED (SELECT page_id, line_start, line_end, {_pieces('t')} AS pieces FROM c),
 pu AS (SELECT page_id, line_start, line_end, unnest(pieces) AS text, unnest(range(len(pieces))) AS piece FROM pc),
-chunks AS (SELECT *, page_id || ':c' || idx AS chunk_id, ceil({_size('text')} / 4.0)::BIGINT AS tokens FROM (
+chunks AS MATERIALIZED (SELECT *, page_id || ':c' || idx AS chunk_id, ceil({_size('text')} / 4.0)::BIGINT AS tokens FROM (
   SELECT page_id, line_start, line_end, text, (row_number() OVER (PARTITION BY page_id ORDER BY line_start, piece) - 1)::INT AS idx FROM pu))"""
 
 _EXT = "lower(regexp_extract(path, '\\.([^./]+)$', 1))"
@@ -133,6 +141,21 @@ b AS (SELECT mix.*, page_id, path, row_number() OVER (PARTITION BY item_id, page
 t AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, page_id))::INT AS rank FROM b WHERE best = 1)
 SELECT item_id, page_id, path, title, chunk_id, line_start, line_end, score, bm25_score, vector_score, {_SNIPPET.replace('(text', '(c.text').replace('THEN text', 'THEN c.text')} AS snippet, rank FROM t JOIN (SELECT chunk_id, title, line_start, line_end, text FROM ch) c USING (chunk_id) JOIN (SELECT item_id, first_term FROM qs) USING (item_id) WHERE rank <= 10"""
 
+_FILES_OF = """(SELECT page_id, unnest(['src/' || coalesce(source, 'none') || '.ts', regexp_extract(replace(front, chr(92), '/'), '(docs/d[0-9]*[.]md)', 1)]) AS file FROM fm WHERE front <> '')"""
+_LINEAGE = f"""{_CHUNKS},
+dch AS (SELECT chunks.*, path, regexp_extract(c.t, '<!--[{_SPACE}]*[a-z]+:derived[{_SPACE}]+([^>]+)-->', 1) AS marker FROM chunks JOIN c USING (page_id, line_start) JOIN named USING (page_id)),
+att AS (SELECT chunk_id, list_zip(regexp_extract_all(marker, '([A-Za-z][A-Za-z0-9_-]*)=("[^"]*"|[^{_SPACE}]+)', 1), regexp_extract_all(marker, '([A-Za-z][A-Za-z0-9_-]*)=("[^"]*"|[^{_SPACE}]+)', 2)) AS kv FROM dch WHERE marker <> ''),
+val AS (SELECT chunk_id, {', '.join(f"regexp_replace(list_filter(kv, lambda z: z[1] = '{k}')[-1][2], '^" + '"|"$' + f"', '', 'g') AS {k}" for k in ('source', 'method', 'patch', 'promptHash', 'modelId', 'compiledAt'))} FROM att),
+src AS (SELECT *, list_filter(list_transform(string_split(coalesce(source, ''), ','), lambda x: trim(x)), lambda x: x <> '') AS s FROM val),
+so AS (SELECT *, list_filter(s, lambda x: NOT contains(x, ':c')) || list_filter(s, lambda x: contains(x, ':c')) AS o FROM src),
+ln AS (SELECT *, unnest(o) AS one, unnest(range(len(o))) AS nth FROM so),
+lin AS (SELECT chunk_id || ':l' || nth AS id, chunk_id, CASE WHEN NOT contains(one, ':c') THEN one END AS source_unit_id, CASE WHEN contains(one, ':c') THEN one END AS source_chunk_id,
+  CASE WHEN method IN ('segment', 'merge', 'contradict', 'supersede', 'summary') THEN method ELSE 'extend' END AS method, coalesce(patch, '') AS patch_id, coalesce(promptHash, '') AS prompt_hash, coalesce(modelId, '') AS model_id, coalesce(compiledAt, '1970-01-01T00:00:00.000Z') AS compiled_at FROM ln)"""
+_CYCLES = """edge AS (SELECT page_id, nullif(regexp_extract(front, 'supersedes: (page_[0-9]*)', 1), '') AS "to" FROM fm),
+es AS (SELECT * FROM edge WHERE "to" IN (SELECT page_id FROM vault)),
+walk AS (SELECT page_id AS start, "to" AS cur, [page_id] AS way FROM es UNION ALL SELECT start, es."to", list_append(way, cur) FROM walk JOIN es ON es.page_id = cur WHERE NOT list_contains(way, cur)),
+ring AS (SELECT start, unnest(way) AS page_id, unnest(range(len(way))) AS position, len(way) AS length FROM walk WHERE cur = start AND start = list_min(way))"""
+
 
 def oracles(ledger: str) -> dict[str, str]:
     """The queries' SQL; `ledger` defines led and state, with the latter's anchor in seconds."""
@@ -165,28 +188,40 @@ o AS (SELECT item_id, list_filter(w, lambda x: regexp_matches(x, '[A-Z]')) || li
 u AS (SELECT item_id, unnest(o) AS x, unnest(range(len(o))) AS pos FROM o), f AS (SELECT item_id, min_by(x, pos) AS x, min(pos) AS pos FROM u GROUP BY item_id, lower(x))
 SELECT item_id, coalesce(string_agg(x, ' ' ORDER BY pos), '') AS queries FROM benchmark LEFT JOIN f USING (item_id) GROUP BY item_id""",
         "file_risk": f"""WITH {ledger}, {flags}, {_VAULT},
-r AS (SELECT source, score, coalesce(flags, ['MISSING_LEDGER']) AS flags FROM vault LEFT JOIN flagged USING (page_id)),
-a AS (SELECT source AS file, count(*) AS page_count, min(score) AS min_score, floor(sum(round(score * 10000)::BIGINT) / count(score) / 10000 * 1e4 + 0.5) / 1e4 AS avg_score, list_sort(list_distinct(flatten(list(flags)))) AS fl FROM r GROUP BY source),
+r AS (SELECT file, score, coalesce(flags, ['MISSING_LEDGER']) AS flags FROM {_FILES_OF} LEFT JOIN flagged USING (page_id)),
+a AS (SELECT file, count(*) AS page_count, min(score) AS min_score, floor(sum(round(score * 10000)::BIGINT) / count(score) / 10000 * 1e4 + 0.5) / 1e4 AS avg_score, list_sort(list_distinct(flatten(list(flags)))) AS fl FROM r GROUP BY file),
 l AS (SELECT *, {risk('fl')} AS risk_level FROM a)
 SELECT file, page_count, min_score, avg_score, coalesce(array_to_string(fl, ','), '') AS flags, risk_level, (list_position(['missing_ledger', 'needs_review', 'stale', 'superseded', 'ok'], risk_level) - 1)::BIGINT AS risk_rank FROM l""",
-        "lint_report": f"""WITH {ledger}, {_VAULT}, {_WIKI},
+        "lint_report": f"""WITH RECURSIVE {ledger.replace('2024-02-01', '2024-07-15').replace('2024-01-02', '2024-06-15')}, {_VAULT}, {_WIKI}, {_LINEAGE}, {_CYCLES},
 v AS (SELECT page_id, max((ts, seq)) AS v FROM led WHERE kind IN ('verified', 'superseded') GROUP BY page_id),
-con AS (SELECT page_id, count(*) AS active FROM led LEFT JOIN v USING (page_id) WHERE e = 'error' AND (v IS NULL OR (ts, seq) > v) GROUP BY page_id)
+con AS (SELECT page_id, count(*) AS active FROM led LEFT JOIN v USING (page_id) WHERE e = 'error' AND (v IS NULL OR (ts, seq) > v) GROUP BY page_id),
+age AS (SELECT page_id, contains(front, 'type: Decision') AS decision, (epoch(TIMESTAMP '2024-07-15') - last_verified_at) / 86400 AS days, (epoch(TIMESTAMP '2024-07-15') - coalesce(last_verified_at, (SELECT min(us) FROM led WHERE led.page_id = state.page_id) / 1e6)) / 86400 AS old FROM state JOIN fm USING (page_id))
 SELECT 'low_confidence' AS "check", page_id, NULL::VARCHAR AS detail FROM state SEMI JOIN vault USING (page_id) WHERE score < 0.5
-UNION ALL SELECT 'stale', page_id, NULL FROM state SEMI JOIN vault USING (page_id) WHERE (epoch(TIMESTAMP '2024-02-01') - last_verified_at) / 86400 > 180
+UNION ALL SELECT 'stale', page_id, CASE WHEN decision AND old >= 100 THEN 'gate' END FROM age WHERE decision AND old >= 100 OR days > 180
 UNION ALL SELECT 'unresolved_contradiction', page_id, active::VARCHAR FROM con SEMI JOIN vault USING (page_id)
 UNION ALL SELECT 'orphan_page', page_id, NULL FROM deg WHERE outgoing = 0 AND incoming = 0
-UNION ALL SELECT 'broken_link', page_id, target FROM wiki WHERE "to" IS NULL""",
+UNION ALL SELECT 'broken_link', page_id, target FROM wiki WHERE "to" IS NULL
+UNION ALL SELECT 'high_derived_ratio', page_id, count(*) FILTER (marker <> '') || '/' || count(*) FROM dch GROUP BY page_id HAVING count(*) FILTER (marker <> '') * 2 > count(*)
+UNION ALL SELECT 'orphaned_lineage', split_part(chunk_id, ':', 1), source_chunk_id FROM lin WHERE source_chunk_id IS NOT NULL AND source_chunk_id NOT IN (SELECT chunk_id FROM chunks)
+UNION ALL SELECT 'orphaned_lineage', split_part(chunk_id, ':', 1), source_unit_id FROM lin WHERE source_unit_id IS NOT NULL AND split_part(source_unit_id, ':', 1) NOT IN (SELECT page_id FROM vault)
+UNION ALL SELECT 'supersession_cycle', page_id, start FROM ring""",
     }
     found |= {
+        "chunk_lineage": f"""WITH {_VAULT}, {_LINEAGE} SELECT lin.*, d.path AS source_path, d.line_start AS source_line_start, d.line_end AS source_line_end FROM lin LEFT JOIN dch d ON d.chunk_id = lin.source_chunk_id""",
+        "lineage_uses": f"""WITH {_VAULT}, {_LINEAGE}, asked AS (SELECT page_id || unnest(['', ':c0', ':su0']) AS asked FROM vault)
+SELECT asked, id, chunk_id FROM lin JOIN asked ON CASE WHEN contains(asked, ':c') THEN source_chunk_id = asked ELSE source_unit_id = asked OR starts_with(source_unit_id, asked || ':') OR starts_with(source_chunk_id, asked || ':') END""",
+        "derived_ratios": f"WITH {_VAULT}, {_LINEAGE} SELECT page_id, count(*) FILTER (marker <> '') AS derived, count(*) AS total FROM dch GROUP BY page_id",
+        "supersession_cycles": f"WITH RECURSIVE {_VAULT}, {_CYCLES} SELECT start AS cycle, position, page_id, length FROM ring",
+        "changed_file_issues": f"""WITH {ledger}, {flags}, {_VAULT}, changed AS (SELECT 'src/' || source || '.ts' AS file FROM documents WHERE source IN ('src1', 'src2', 'src3') UNION SELECT 'docs/d' || doc_id || '.md' FROM documents WHERE doc_id % 10 = 3)
+SELECT file, page_id, path, score, array_to_string(coalesce(flags, ['MISSING_LEDGER']), ',') AS flags FROM (SELECT * FROM {_FILES_OF} SEMI JOIN changed USING (file)) JOIN vault USING (page_id) LEFT JOIN flagged USING (page_id) WHERE coalesce(len(flags), 1) > 0""",
         "chunk_pieces": f"""WITH {_VAULT}, {_CHUNKS} SELECT page_id, idx, chunk_id, line_start, line_end, tokens, sha256(text) AS digest FROM chunks""",
         "chunk_search": _CHUNK_SEARCH,
         "chunk_hybrid": _CHUNK_HYBRID,
     }
     summary = "summary AS (SELECT page_id, path, title, score, coalesce(source_count, 0) AS source_count, coalesce(contradiction_count, 0) AS contradiction_count, coalesce(array_to_string(flags, ','), 'MISSING_LEDGER') AS flags FROM named LEFT JOIN (SELECT page_id, source_count, contradiction_count FROM state) USING (page_id) LEFT JOIN flagged USING (page_id))"
     return found | {
-        "lint_gate": f"""WITH lint AS ({found['lint_report']}), c("check", hard) AS (VALUES ('low_confidence', false), ('stale', false), ('unresolved_contradiction', true), ('orphan_page', false), ('broken_link', true))
-SELECT c."check", count(lint.page_id) AS found, CASE WHEN count(lint.page_id) = 0 THEN 'pass' WHEN any_value(hard) THEN 'fail' ELSE 'warn' END AS status FROM c LEFT JOIN lint ON lint."check" = c."check" GROUP BY ALL""",
+        "lint_gate": f"""WITH lint AS ({found['lint_report']}), c("check", hard) AS (VALUES ('low_confidence', false), ('stale', false), ('unresolved_contradiction', true), ('orphan_page', false), ('broken_link', true), ('high_derived_ratio', false), ('orphaned_lineage', false), ('supersession_cycle', true))
+SELECT c."check", count(lint.page_id) AS found, CASE WHEN count(lint.page_id) = 0 THEN 'pass' WHEN any_value(hard) OR bool_or(c."check" = 'stale' AND detail IS NOT DISTINCT FROM 'gate') THEN 'fail' ELSE 'warn' END AS status FROM c LEFT JOIN lint ON lint."check" = c."check" GROUP BY ALL""",
         "page_confidence": f"WITH {ledger}, {flags}, {_VAULT}, {summary} SELECT * FROM summary",
         "section_confidence": f"WITH {ledger}, {flags}, {_VAULT}, {summary}, sec AS ({found['markdown_sections']}) SELECT sec.*, score, flags FROM sec JOIN summary USING (page_id)",
         "pages_to_verify": f"WITH {ledger}, {_VAULT} SELECT page_id, path, score FROM vault LEFT JOIN state USING (page_id) WHERE score IS NULL OR score < 0.7",

@@ -93,18 +93,29 @@ def vault_pages(documents: DataFrame) -> DataFrame:
     """Documents as markdown pages: page_id, path, content with frontmatter, headings, a fence and wiki links around the text."""
     n = F.col("doc_id").cast("string")
     lit = F.lit
+    # rings of three pages, pages that lead to one, and pages that name none
+    d = F.col("doc_id")
+    ring = d - d % 27 + (d + 9) % 27
+    superseded = F.when(d % 9 == 0, ring).when(d % 9 == 1, d - 1).when(d % 9 == 2, lit(999_999_999_999))
+    supersedes = F.coalesce(F.concat(lit("\nsupersedes: "), page_id(superseded)), lit(""))
     front = F.concat(
         lit("---\ntitle: 'Page "), n, lit("'\naliases: [Nick "), n, lit(', "Also '), n, lit('"]\nsource_type: '), _turn(TYPES, "doc_id"), lit("\nsource_subtype: "), _turn(SUBTYPES, "doc_id"),
-        lit("\nsource_url: https://"), _turn(HOSTS, "doc_id"), F.when(F.col("doc_id") % 2 == 0, "\nsource_hash: sha256:00").otherwise(""), lit("\n---\n"),
+        lit("\nsource_url: https://"), _turn(HOSTS, "doc_id"),
+        lit("\ntype: "), _turn(["note", "Decision", "concept"], "doc_id"), supersedes, lit("\nreferences: [src/"), F.coalesce("source", lit("none")), lit(".ts, '.\\docs\\d"), (F.col("doc_id") % 50).cast("string"), lit(".md']"), F.when(F.col("doc_id") % 2 == 0, "\nsource_hash: sha256:00").otherwise(""), lit("\n---\n"),
     )
     of = lambda k: (F.col("doc_id") + k).cast("string")
     links = F.concat(
         lit("[["), (F.col("doc_id") + 1 + F.col("doc_id") % 3).cast("string"), lit("|next]] and [[Nowhere "), (F.col("doc_id") % 7).cast("string"), lit("#part]] [[page "), of(5), lit("]] [[NICK "), of(6),
         lit("#x]] [[Also "), of(7), lit("]] [["), F.coalesce("lang", lit("none")), lit("\\"), of(1), lit(".md]]\n"),
     )
+    near = lambda k: page_id(d + k)
+    whole = F.concat(lit("<!-- kb:derived  source="), near(1), lit(':su0 method=new patch=patch_7 -->\n'))
+    below = F.concat(
+        lit('## Derived\n<!-- kb:derived source="'), near(2), lit(":c0, "), near(1), lit(", "), near(2), lit(":c99,lost:su1,"), near(1), lit(':su2" method=merge\n patch=p promptHash=h modelId="m 1" patch=patch_8 compiledAt=2024-01-01T00:00:00Z-->\nsummed up\n'),
+    )
     content = F.concat(
-        F.when(F.col("doc_id") % 4 != 3, front).otherwise(""), F.when(F.col("doc_id") % 5 != 4, F.concat(lit("# Note "), n, lit("\n\n"))).otherwise(""),
-        F.coalesce("text", lit("")), lit("\n\n"), F.when(F.col("doc_id") % 6 != 5, F.concat(lit("## See also ##\n"), links, lit("```sh\n# not a heading\n```\n### See also\n  \n"))).otherwise(""),
+        F.when(F.col("doc_id") % 4 != 3, front).otherwise(""), F.when(F.col("doc_id") % 5 != 4, F.concat(lit("# Note "), n, lit("\n\n"))).otherwise(""), F.when(d % 10 == 7, whole).otherwise(""),
+        F.coalesce("text", lit("")), lit("\n\n"), F.when(d % 5 == 2, below).otherwise(""), F.when(F.col("doc_id") % 6 != 5, F.concat(lit("## See also ##\n"), links, lit("```sh\n# not a heading\n```\n### See also\n  \n"))).otherwise(""),
     )
     path = F.concat(lit("pages/"), F.coalesce("lang", lit("none")), lit("/"), n, lit(".md"))
     return documents.select(page_id(F.col("doc_id")).alias("page_id"), path.alias("path"), content.alias("content"), "source")
