@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import estimated_tokens, js_round
 from tessera.functions import markdown as md
 from tessera.operators import chunk_search as chunk_queries
-from tessera.operators import chunks, confidence, graph, index, lineage, retrieval, supersession, vault
+from tessera.operators import chunks, compiling, confidence, graph, index, lineage, retrieval, supersession, vault
 from tessera.sources import tables
 from tessera.streaming import ledger as stream
 
@@ -244,6 +244,13 @@ def derived_ratios(spark, d):
     return lineage.derived_ratio(lineage.derived_chunks(tables.vault(spark, d)))
 
 
+@_register
+def compile_relations(spark, d):
+    """What becomes of every twentieth page if it is compiled into the vault: target, relation and change."""
+    sources = tables.table(spark, d, "documents").where("doc_id % 20 = 0").select(tables.page_id(F.col("doc_id")).alias("page_id"))
+    return compiling.relations(tables.vault(spark, d), sources)
+
+
 @_register
 def supersession_cycles(spark, d):
     return supersession.cycles(supersession.edges(tables.vault(spark, d)), stream.folder(spark, "cycles"))

@@ -25,7 +25,7 @@ _VAULT = f"""vault AS (SELECT 'page_' || lpad(doc_id::VARCHAR, 12, '0') AS page_
   (CASE WHEN doc_id % 4 != 3 THEN '---' || {_NL} || 'title: ''Page ' || doc_id || '''' || {_NL} || 'aliases: [Nick ' || doc_id || ', "Also ' || doc_id || '"]' || {_NL} || 'source_type: ' || {_turn(TYPES)} || {_NL} || 'source_subtype: ' || {_turn(SUBTYPES)} || {_NL} || 'source_url: https://' || {_turn(HOSTS)} || {_NL} || 'type: ' || (['note', 'Decision', 'concept'])[doc_id % 3 + 1]
     || CASE WHEN doc_id % 9 <= 2 THEN {_NL} || 'supersedes: ' || {_page("CASE WHEN doc_id % 9 = 0 THEN doc_id - doc_id % 27 + (doc_id + 9) % 27 WHEN doc_id % 9 = 1 THEN doc_id - 1 ELSE 999999999999 END")} ELSE '' END
     || {_NL} || 'references: [src/' || coalesce(source, 'none') || '.ts, ''.\\docs\\d' || (doc_id % 50) || '.md'']' || CASE WHEN doc_id % 2 = 0 THEN {_NL} || 'source_hash: sha256:00' ELSE '' END || {_NL} || '---' || {_NL} ELSE '' END)
-  || (CASE WHEN doc_id % 5 != 4 THEN '# Note ' || doc_id || {_NL} || {_NL} ELSE '' END) || (CASE WHEN doc_id % 10 = 7 THEN '<!-- kb:derived  source=' || {_page('doc_id + 1')} || ':su0 method=new patch=patch_7 -->' || {_NL} ELSE '' END) || coalesce(text, '') || {_NL} || {_NL}
+  || (CASE WHEN doc_id % 5 != 4 THEN '# Note ' || doc_id || {_NL} || {_NL} ELSE '' END) || (CASE WHEN doc_id % 10 = 7 THEN '<!-- kb:derived  source=' || {_page('doc_id + 1')} || ':su0 method=new patch=patch_7 -->' || {_NL} ELSE '' END) || (CASE doc_id % 60 WHEN 20 THEN 'This replaces what was.' || {_NL} WHEN 40 THEN 'It conflicts with others: page 3.' || {_NL} ELSE '' END) || coalesce(text, '') || {_NL} || {_NL}
   || (CASE WHEN doc_id % 5 = 2 THEN '## Derived' || {_NL} || '<!-- kb:derived source="' || {_page('doc_id + 2')} || ':c0, ' || {_page('doc_id + 1')} || ', ' || {_page('doc_id + 2')} || ':c99,lost:su1,' || {_page('doc_id + 1')} || ':su2" method=merge' || {_NL}
     || ' patch=p promptHash=h modelId="m 1" patch=patch_8 compiledAt=2024-01-01T00:00:00Z-->' || {_NL} || 'summed up' || {_NL} ELSE '' END)
   || (CASE WHEN doc_id % 6 != 5 THEN '## See also ##' || {_NL} || '[[' || (doc_id + 1 + doc_id % 3) || '|next]] and [[Nowhere ' || (doc_id % 7) || '#part]] [[page ' || (doc_id + 5) || ']] [[NICK ' || (doc_id + 6) || '#x]] [[Also ' || (doc_id + 7) || ']] [[' || coalesce(lang, 'none') || '\\' || (doc_id + 1) || '.md]]' || {_NL} || '```sh' || {_NL} || '# not a heading' || {_NL} || '```' || {_NL} || '### See also' || {_NL} || '  ' || {_NL} ELSE '' END) AS content FROM documents),
@@ -157,6 +157,32 @@ walk AS (SELECT page_id AS start, "to" AS cur, [page_id] AS way FROM es UNION AL
 ring AS (SELECT start, unnest(way) AS page_id, unnest(range(len(way))) AS position, len(way) AS length FROM walk WHERE cur = start AND start = list_min(way))"""
 
 
+def _stable(of: str, name: str) -> str:
+    """A hash of `of`, which ends as name.id."""
+    return f"""{name}h AS (SELECT k, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(of, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (xor(a, c) * 16777619) & 4294967295) AS h FROM {of}),
+{name}v AS (SELECT k, CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END AS v FROM {name}h),
+{name} AS (SELECT k, 'page_' || lpad(array_to_string(list_transform(range(6, -1, -1), lambda k: substr('0123456789abcdefghijklmnopqrstuvwxyz', ((v // (36 ** k)::BIGINT) % 36 + 1)::INT, 1)), ''), 12, '0') AS id FROM {name}v)"""
+
+
+#: Every source is held against every page.
+_COMPILED = f"""WITH {_VAULT}, {_RANGES}, {_CHUNKS.split(_RANGES + ',', 1)[1].strip()},
+pg AS (SELECT page_id, title, lower(title || {_NL} || body) AS text, list_distinct(list_filter(string_split_regex(lower(title || ' ' || regexp_extract(front, 'aliases: \\[([^,]*)', 1) || ' ' || regexp_extract(front, 'aliases: \\[[^,]*, "([^"]*)"', 1) || ' ' || body), '[^a-z0-9]+'), lambda w: length(w) > 3)) AS terms,
+  trim(regexp_replace(regexp_replace(regexp_replace(lower(body), '(?s)^---.*?---\\s*', ''), '^# [^\\n]*\\n+', ''), '[^a-z0-9]+', ' ', 'g')) AS print FROM named),
+so AS (SELECT * FROM pg WHERE page_id IN (SELECT {_page('doc_id')} FROM documents WHERE doc_id % 20 = 0)),
+pr AS (SELECT s.page_id AS source, t.page_id AS target, len(list_intersect(s.terms, t.terms)) + CASE WHEN contains(s.text, lower(t.title)) THEN 100 ELSE 0 END AS score, s.print <> '' AND s.print = t.print AS copy,
+  CASE WHEN regexp_matches(s.text, '\\b(supersedes|supersede|replaces|replacement)\\b') THEN 'supersede' WHEN regexp_matches(s.text, '\\b(contradicts|contradict|conflicts|conflict)\\b') THEN 'contradict' END AS said FROM so s JOIN pg t ON s.page_id <> t.page_id),
+ra AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN said IS NOT NULL THEN 0 WHEN copy THEN 1 ELSE 2 END, CASE WHEN said IS NULL AND copy THEN 0 ELSE score END DESC, target) AS r FROM pr WHERE score > 0),
+be AS (SELECT so.page_id AS source, title, target, coalesce(score, 0) AS score, coalesce(said, CASE WHEN copy OR copy IS NULL THEN 'duplicate' ELSE 'extend' END) AS relation FROM so LEFT JOIN (SELECT * FROM ra WHERE r = 1) ra ON ra.source = so.page_id),
+na AS (SELECT source AS k, source || ':supersedes:' || target AS of FROM be WHERE relation = 'supersede'),
+{_stable('na', 'st')},
+cn AS (SELECT page_id AS target, count(*) AS n FROM chunks GROUP BY page_id)
+SELECT source, target, score::INT AS score, relation, CASE relation WHEN 'duplicate' THEN 'confidence_only' WHEN 'supersede' THEN 'create' ELSE 'modify' END AS change, CASE WHEN relation = 'supersede' THEN id ELSE coalesce(target, source) END AS page_id,
+  CASE WHEN relation = 'supersede' THEN 'pages/compiled/' || coalesce(nullif(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'compiled-page') || '.md' END AS path,
+  CASE relation WHEN 'duplicate' THEN 0.7::DOUBLE WHEN 'extend' THEN 0.8::DOUBLE END AS source_weight, CASE relation WHEN 'extend' THEN 0.7::DOUBLE WHEN 'contradict' THEN 0.68::DOUBLE WHEN 'supersede' THEN 0.72::DOUBLE END AS confidence,
+  CASE WHEN relation = 'supersede' THEN id || ':c0' WHEN relation <> 'duplicate' THEN target || ':c' || coalesce(n, 0) END AS derived_chunk
+FROM be LEFT JOIN st ON st.k = source LEFT JOIN cn USING (target)"""
+
+
 def oracles(ledger: str) -> dict[str, str]:
     """The queries' SQL; `ledger` defines led and state, with the latter's anchor in seconds."""
     flags = """flagged AS (SELECT page_id, score, list_filter([CASE WHEN score < 0.5 THEN 'NEEDS_REVIEW' END, CASE WHEN superseded THEN 'SUPERSEDED' END, CASE WHEN (epoch(TIMESTAMP '2024-02-01') - last_verified_at) / 86400 > 60 THEN 'STALE' END], lambda f: f IS NOT NULL) AS flags FROM state)"""
@@ -207,6 +233,7 @@ UNION ALL SELECT 'orphaned_lineage', split_part(chunk_id, ':', 1), source_unit_i
 UNION ALL SELECT 'supersession_cycle', page_id, start FROM ring""",
     }
     found |= {
+        "compile_relations": _COMPILED,
         "chunk_lineage": f"""WITH {_VAULT}, {_LINEAGE} SELECT lin.*, d.path AS source_path, d.line_start AS source_line_start, d.line_end AS source_line_end FROM lin LEFT JOIN dch d ON d.chunk_id = lin.source_chunk_id""",
         "lineage_uses": f"""WITH {_VAULT}, {_LINEAGE}, asked AS (SELECT page_id || unnest(['', ':c0', ':su0']) AS asked FROM vault)
 SELECT asked, id, chunk_id FROM lin JOIN asked ON CASE WHEN contains(asked, ':c') THEN source_chunk_id = asked ELSE source_unit_id = asked OR starts_with(source_unit_id, asked || ':') OR starts_with(source_chunk_id, asked || ':') END""",

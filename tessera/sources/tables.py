@@ -114,7 +114,7 @@ def vault_pages(documents: DataFrame) -> DataFrame:
         lit('## Derived\n<!-- kb:derived source="'), near(2), lit(":c0, "), near(1), lit(", "), near(2), lit(":c99,lost:su1,"), near(1), lit(':su2" method=merge\n patch=p promptHash=h modelId="m 1" patch=patch_8 compiledAt=2024-01-01T00:00:00Z-->\nsummed up\n'),
     )
     content = F.concat(
-        F.when(F.col("doc_id") % 4 != 3, front).otherwise(""), F.when(F.col("doc_id") % 5 != 4, F.concat(lit("# Note "), n, lit("\n\n"))).otherwise(""), F.when(d % 10 == 7, whole).otherwise(""),
+        F.when(F.col("doc_id") % 4 != 3, front).otherwise(""), F.when(F.col("doc_id") % 5 != 4, F.concat(lit("# Note "), n, lit("\n\n"))).otherwise(""), F.when(d % 10 == 7, whole).otherwise(""), F.when(d % 60 == 20, "This replaces what was.\n").when(d % 60 == 40, "It conflicts with others: page 3.\n").otherwise(""),
         F.coalesce("text", lit("")), lit("\n\n"), F.when(d % 5 == 2, below).otherwise(""), F.when(F.col("doc_id") % 6 != 5, F.concat(lit("## See also ##\n"), links, lit("```sh\n# not a heading\n```\n### See also\n  \n"))).otherwise(""),
     )
     path = F.concat(lit("pages/"), F.coalesce("lang", lit("none")), lit("/"), n, lit(".md"))
