@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tessera.functions.text import estimated_tokens, js_round
 from tessera.functions import markdown as md
 from tessera.operators import chunk_search as chunk_queries
-from tessera.operators import chunks, compiling, confidence, graph, index, lineage, retrieval, supersession, vault
-from tessera.sources import tables
+from tessera.operators import chunks, code_graph, compiling, confidence, converting, graph, index, lineage, retrieval, supersession, vault
+from tessera.sources import raw, tables
 from tessera.streaming import ledger as stream
 
 from . import oracles
@@ -142,6 +142,29 @@ def ingest_sources(spark, d):
     return tables.files(spark, d).select("doc_id", "path", md.kind(path).alias("kind"), md.language(path).alias("language"), md.target_path(path).alias("target"))
 
 
+@_register
+def ingest_conversion(spark, d):
+    """Files of all kinds as markdown pages, and why those that are none are not."""
+    files = raw.discover(tables.raw_files(tables.table(spark, d, "documents")), hidden=True)
+    found = converting.converted(files.where("skipped is null"))
+    lists = [F.array_join(c, ",").alias(c) for c in ("includes", "imports", "functions")]
+    return found.select("path", "target", "error", "title", "source_type", "source_subtype", "line_count", *lists, "export_count", "raw_hash", F.sha2("markdown", 256).alias("digest"))
+
+
+def _code(spark, d):
+    return tables.raw_files(tables.table(spark, d, "documents")).select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
+
+
+@_register
+def code_files(spark, d):
+    return code_graph.code_files(_code(spark, d))
+
+
+@_register
+def code_imports(spark, d):
+    return code_graph.code_imports(_code(spark, d))
+
+
 @_register
 def page_parts(spark, d):
     return vault.parts(tables.vault(spark, d), tables.DOMAINS)

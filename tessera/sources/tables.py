@@ -85,6 +85,27 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
 
 
+#: Extensions of the made-up source files, in turn.
+CODE = ["ts", "tsx", "js", "mjs", "cpp", "c", "mts", "log", "pdf", "txt", "md"]
+
+
+def raw_files(documents: DataFrame) -> DataFrame:
+    """Documents as files of code and others: doc_id, path, content as bytes, the text in a comment; one in thirteen is no UTF-8."""
+    lit, d = F.lit, F.col("doc_id")
+    of = lambda k: (d + k).cast("string")
+    folder = F.concat(F.when(d % 17 == 0, "node_modules/").when(d % 19 == 0, ".inbox/").otherwise("src/"), F.coalesce("lang", lit("none")), lit("/"))
+    path = F.concat(folder, F.when(d % 23 == 0, F.concat(lit("d"), of(0), lit("/index"))).otherwise(F.concat(lit("f"), of(0))), lit("."), _turn(CODE, "doc_id"))
+    text = F.coalesce(F.replace(F.replace("text", lit("*/")), lit("'")), lit(""))
+    modules = F.concat(
+        lit("import { a } from './f"), of(11), lit("';\nexport * from \"../"), F.coalesce("lang", lit("none")), lit("/./f"), of(22), lit(".mjs\"\n  export const x = require( './d"), of(23), lit("' );\nimport type { T } from \"pkg\";\nimport './f"), of(11),
+        lit("'\nimport x from '../../../up';\n/* "), text, lit(" */\n"),
+    )
+    c = F.concat(lit("#include <stdio.h>\n  # include \"f"), of(1), lit('.h"\n#include <stdio.h>\n/* '), text, lit(" */;\nstatic int run_"), of(0), lit("(int a)\n{\n  if (a) {\n  }\n}\nint main() { ```` }\n\n"))
+    ext = d % len(CODE)
+    whole = F.when(ext.isin(4, 5), c).when(ext.isin(7, 8, 9, 10), F.concat(lit("#  Title "), of(0), lit("  \r\n"), text, lit("  \n"))).otherwise(modules).cast("binary")
+    return documents.select("doc_id", path.alias("path"), F.when(d % 13 == 5, F.concat(whole, F.unhex(lit("FFFE")))).otherwise(whole).alias("content"))
+
+
 def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vault_pages(table(spark, sf_dir, "documents"))
 
