@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.markdown import stable_id
 from tessera.functions.text import clamp01, days_between, js_round
 
 #: Base, penalties and their cap, boosts' cap, source scale, half-life and ceiling of a note.
@@ -45,8 +46,10 @@ def state(ledger: DataFrame, now: Column, page_types: DataFrame | None = None) -
     """Per page: score, its parts, counts, last_verified_at and the anchor of decay as seconds, superseded.
 
     A ledger with overrides has a column new_base, one that says whether an agent verified verifier_type. page_types has
-    (page_id, page_type); without it all pages are notes. Events later than `now` count as of now.
+    (page_id, page_type); without it all pages are notes. Events later than `now` count as of now. `now` is a time, or a
+    column of the ledger that is the same in all rows of a page.
     """
+    ledger = ledger.withColumn("as_of", now)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     verified = F.col("kind") == "verified"
     # sources: the last weight of each that was not removed since, then their sum
@@ -57,8 +60,8 @@ def state(ledger: DataFrame, now: Column, page_types: DataFrame | None = None) -
     )
     # a verification resets the anchor when the last one of its kind that did is old enough; one time per value is enough
     by_agent = F.coalesce(F.col("verifier_type") == "agent", F.lit(False)) if "verifier_type" in ledger.columns else F.lit(False)
-    rules = ledger.where(verified).select("page_id", at.alias("at"), "ts", verifier(F.col("actor_id"), by_agent).alias("rule")).select("page_id", "at", "ts", "rule.*")
-    boosts = rules.groupBy("page_id").agg(F.sum(F.when(days_between(F.col("ts"), now) <= BOOST_DAYS, F.col("boost")).otherwise(0)).alias("boost"), F.max(F.when(F.col("days") == 0, F.col("at"))).alias("last_free"))
+    rules = ledger.where(verified).select("page_id", at.alias("at"), "ts", "as_of", verifier(F.col("actor_id"), by_agent).alias("rule")).select("page_id", "at", "ts", "as_of", "rule.*")
+    boosts = rules.groupBy("page_id").agg(F.sum(F.when(days_between(F.col("ts"), F.col("as_of")) <= BOOST_DAYS, F.col("boost")).otherwise(0)).alias("boost"), F.max(F.when(F.col("days") == 0, F.col("at"))).alias("last_free"))
     times = rules.where("days > 0").select("page_id", "who", "days", "at").distinct().groupBy("page_id", "who", "days").agg(F.array_sort(F.collect_list("at")).alias("times"))
     reset = F.aggregate("times", F.lit(None).cast("long"), lambda a, x: F.when(a.isNull() | (x - a >= F.col("days") * F.lit(_DAY)), x).otherwise(a))
     resets = times.select("page_id", reset.alias("at")).groupBy("page_id").agg(F.max("at").alias("last_spaced"))
@@ -71,6 +74,7 @@ def state(ledger: DataFrame, now: Column, page_types: DataFrame | None = None) -
         F.count_if(F.col("severity") == "minor").alias("minors"),
         F.count_if(F.col("kind") == "superseded_by").alias("superseded"),
         base.alias("base"),
+        F.max("as_of").alias("as_of"),
     )
     all_of = sums.join(weights, "page_id", "left").join(boosts, "page_id", "left").join(resets, "page_id", "left").withColumn("last_verified", F.greatest("last_free", "last_spaced"))
     half_life, ceiling = F.lit(HALF_LIFE), F.lit(CEILING)
@@ -80,7 +84,7 @@ def state(ledger: DataFrame, now: Column, page_types: DataFrame | None = None) -
             half_life = F.when(F.col("page_type") == name, days).otherwise(half_life)
             ceiling = F.when(F.col("page_type") == name, most).otherwise(ceiling)
     anchor = F.coalesce(F.greatest("last_verified", "last_other"), F.col("last_event"))
-    age = F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - anchor) / F.lit(float(_DAY)))
+    age = F.greatest(F.lit(0.0), (F.unix_micros(F.col("as_of").cast("timestamp")) - anchor) / F.lit(float(_DAY)))
     strength = 1 - F.exp(-F.coalesce("weight", F.lit(0.0)) / SCALE)
     penalty = F.least(F.lit(MOST_PENALTY), F.col("majors") * MAJOR + F.col("minors") * MINOR + F.col("superseded") * SUPERSEDED)
     boost = F.least(F.lit(MOST_BOOST), F.coalesce("boost", F.lit(0)) / 100)
@@ -129,3 +133,47 @@ def rank_flags(now: Column) -> Column:
         F.when(F.col("confidence") < 0.5, "NEEDS_REVIEW"), F.when(F.col("major_at").isNotNull() & (days_between(F.col("major_at"), now) <= 30), "RECENTLY_CONTRADICTED"), F.when(verified > 240, "STALE")
     )
     return F.array_compact(found)
+
+
+#: Days between two checkpoints, and scores whose crossing downwards is one sooner.
+CHECKPOINT_DAYS, THRESHOLDS = 14, (0.7, 0.5, 0.3)
+
+
+def decay_checkpoints(ledger: DataFrame, now: str, page_types: DataFrame | None = None) -> DataFrame:
+    """Ledger lines to add for pages whose last checkpoint is 14 days old or missing, or whose score fell below a threshold since their last event.
+
+    (id, page_id, ts, kind, days_since_last_event, applied_decay). When they are added, the same call gives none.
+    """
+    then = F.lit(now).cast("timestamp_ntz")
+    last = ledger.groupBy("page_id").agg(F.max("ts").alias("last_at"), F.max(F.when(F.col("kind") == "decay_checkpoint", F.col("ts"))).alias("checkpoint_at"))
+    before = state(ledger.join(last.select("page_id", "last_at"), "page_id"), F.col("last_at"), page_types).select("page_id", F.col("score").alias("before"))
+    after = state(ledger, then, page_types).select("page_id", F.col("score").alias("after"))
+    rows = last.join(before, "page_id").join(after, "page_id")
+    crossed = F.lit(False)
+    for threshold in THRESHOLDS:
+        crossed = crossed | ((F.col("before") >= threshold) & (F.col("after") < threshold))
+    due = F.col("checkpoint_at").isNull() | (days_between(F.col("checkpoint_at"), then) >= CHECKPOINT_DAYS)
+    name = F.concat("page_id", F.lit(":decay:"), F.date_format(F.lit(now).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    return rows.where(due | crossed).select(
+        stable_id(name, "evt").alias("id"), "page_id", then.alias("ts"), F.lit("decay_checkpoint").alias("kind"), days_between(F.col("last_at"), then).alias("days_since_last_event"),
+        js_round(F.greatest(F.lit(0.0), F.col("before") - F.col("after")), 4).alias("applied_decay"),
+    )
+
+
+def united(ledger: DataFrame, projected: DataFrame) -> DataFrame:
+    """Lines of the ledger and of its projection; a line that both have, by page and number, counts once, as the ledger has it."""
+    return ledger.unionByName(projected.join(ledger.select("page_id", "seq"), ["page_id", "seq"], "left_anti").select(ledger.columns))
+
+
+def freshest(ledger: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
+    """(page_id, score, last_event_at, folded): the stored state of a page unless its ledger is newer, and then a new one.
+
+    stored: (page_id, score, last_event_at). Only ledgers that are newer are folded; a stored page without a ledger stays.
+    """
+    last = ledger.groupBy("page_id").agg(F.max("ts").alias("ledger_at"))
+    both = last.join(stored.select("page_id", "score", "last_event_at"), "page_id", "full_outer")
+    newer = F.col("ledger_at").isNotNull() & (F.col("last_event_at").isNull() | (F.col("ledger_at") > F.col("last_event_at")))
+    marked = both.withColumn("folded", newer)
+    fresh = state(ledger.join(marked.where("folded").select("page_id"), "page_id", "left_semi"), now).select("page_id", F.col("score").alias("fresh"))
+    rows = marked.join(fresh, "page_id", "left")
+    return rows.select("page_id", F.when(F.col("folded"), F.col("fresh")).otherwise(F.col("score")).alias("score"), F.when(F.col("folded"), F.col("ledger_at")).otherwise(F.col("last_event_at")).alias("last_event_at"), "folded")

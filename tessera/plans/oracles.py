@@ -86,7 +86,27 @@ major AS (SELECT page_id, max(ts) AS major_at FROM led WHERE e = 'error' AND val
 fresh AS (SELECT page_id, floor(exp(-d / 180) * 1e4 + 0.5) / 1e4 AS freshness, floor(exp(-d / 30) * 1e4 + 0.5) / 1e4 AS access_recency
   FROM (SELECT page_id, greatest(0, (epoch_us(TIMESTAMP '2024-02-01') - max(us)) / 86400000000.0) AS d FROM led GROUP BY page_id))"""
 
+_AT_LAST = (
+    _LEDGER.replace("led AS (SELECT *, CASE e", "led AS (SELECT *, max(ts) OVER (PARTITION BY page_id) AS lts, CASE e").replace("SELECT page_id, us, ts, CASE WHEN actor", "SELECT page_id, us, ts, lts, CASE WHEN actor")
+    .replace("ts >= TIMESTAMP '2024-01-02'", "ts >= lts - INTERVAL 30 DAY").replace("(epoch_us(TIMESTAMP '2024-02-01') - anchor_us)", "(last_event - anchor_us)")
+)
+_OLD = _LEDGER.replace("FROM events)", "FROM events WHERE ts < TIMESTAMP '2024-01-15')", 1).replace("2024-01-02", "2023-12-16").replace("2024-02-01", "2024-01-15")
+_LATE = _LEDGER.replace("FROM events)", "FROM events WHERE event_id % 3 <> 0)", 1)
+_UNITED = _LEDGER.replace("FROM events)", "FROM events WHERE event_id % 3 = 0 OR event_id % 2 = 0)", 1)
+
 ORACLES = {
+    "decay_checkpoints": f"""WITH be AS (WITH {_AT_LAST} SELECT page_id, score AS be FROM state), af AS (WITH {_LEDGER} SELECT page_id, score AS af FROM state),
+la AS (WITH {_LEDGER} SELECT page_id, max(us) AS last_us, max(us) FILTER (kind = 'checkpoint') AS cp FROM led GROUP BY page_id),
+du AS (SELECT *, page_id || ':decay:2024-02-01T00:00:00.000Z' AS name FROM la JOIN be USING (page_id) JOIN af USING (page_id)
+  WHERE cp IS NULL OR epoch_us(TIMESTAMP '2024-02-01') - cp >= 14 * 86400000000 OR (be >= 0.7 AND af < 0.7) OR (be >= 0.5 AND af < 0.5) OR (be >= 0.3 AND af < 0.3)),
+h AS (SELECT *, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(name, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (xor(a, c) * 16777619) & 4294967295) AS h FROM du),
+v AS (SELECT *, CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END AS v FROM h)
+SELECT 'evt_' || lpad(array_to_string(list_transform(range(6, -1, -1), lambda k: substr('0123456789abcdefghijklmnopqrstuvwxyz', ((v // (36 ** k)::BIGINT) % 36 + 1)::INT, 1)), ''), 12, '0') AS id, page_id, TIMESTAMP '2024-02-01' AS ts, 'decay_checkpoint' AS kind,
+  (epoch_us(TIMESTAMP '2024-02-01') - last_us) / 86400000000.0::DOUBLE AS days_since_last_event, floor(greatest(0, be - af) * 1e4 + 0.5) / 1e4 AS applied_decay FROM v""",
+    "freshest_confidence": f"""WITH st AS (WITH {_OLD} SELECT state.page_id, score, s.last_event FROM state JOIN s USING (page_id)), nw AS (WITH {_LATE} SELECT page_id, score AS fresh, s.last_event AS ledger_us FROM state JOIN s USING (page_id)),
+j AS (SELECT *, ledger_us IS NOT NULL AND (last_event IS NULL OR ledger_us > last_event) AS folded FROM st FULL JOIN nw USING (page_id))
+SELECT page_id, CASE WHEN folded THEN fresh ELSE score END AS score, make_timestamp(CASE WHEN folded THEN ledger_us ELSE last_event END) AS last_event_at, folded FROM j""",
+    "united_confidence": f"WITH {_UNITED} SELECT * FROM state",
     "bm25_search": f"WITH {_bm25(2)}, {_SEARCH} SELECT item_id, doc_id, score, rank FROM found WHERE rank <= 10",
     "hybrid_search": f"WITH {_bm25(2)}, {_HYBRID} SELECT item_id, doc_id, bm25, cosine, score, rank FROM hybrid WHERE rank <= 10",
     "hybrid_any_term": f"WITH {_any_term(2)} SELECT item_id, doc_id, bm25, cosine, score, rank FROM hybrid WHERE rank <= 10",

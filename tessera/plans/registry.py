@@ -130,6 +130,29 @@ def confidence_state(spark, d):
     return confidence.state(tables.ledger(spark, d), _now()).drop("superseded")
 
 
+@_register
+def decay_checkpoints(spark, d):
+    """The lines that a decay run adds."""
+    return confidence.decay_checkpoints(tables.ledger(spark, d), NOW)
+
+
+@_register
+def freshest_confidence(spark, d):
+    """States stored on January 15, folded again where the ledger has later events."""
+    led = tables.ledger(spark, d)
+    old = led.where("ts < '2024-01-15'")
+    then = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    stored = confidence.state(old, then).join(old.groupBy("page_id").agg(F.max("ts").alias("last_event_at")), "page_id")
+    return confidence.freshest(led.where("seq % 3 <> 0"), stored, _now())
+
+
+@_register
+def united_confidence(spark, d):
+    """States of a ledger and a projection of it that overlap."""
+    led = tables.ledger(spark, d)
+    return confidence.state(confidence.united(led.where("seq % 3 = 0"), led.where("seq % 2 = 0")), _now())
+
+
 @_register
 def confidence_status(spark, d):
     found = vault.flags(confidence.state(tables.ledger(spark, d), _now()), _now())

@@ -106,3 +106,31 @@ def test_random_ledgers_equal_the_fold(spark):
         score, boost, penalty, decay, sources, count, verified, anchor, superseded = fold(pages[s["page_id"]])
         assert (s["score"], s["verification_boost"], s["contradiction_penalty"], s["time_decay"]) == pytest.approx((score, boost, penalty, decay), abs=6e-5)
         assert (s["source_count"], s["contradiction_count"], s["last_verified_at"], s["anchor"], s["superseded"]) == (sources, count, seconds(verified), seconds(anchor), superseded)
+
+
+def test_decay_checkpoints_once(spark):
+    import pytest
+
+    day = datetime.timedelta(days=1)
+    old = lambda p, seq, days, kind, **more: (p, seq, NOW - days * day, kind, None, None, more.get("source"), more.get("weight"), more.get("base"))
+    rows = [old("never", 1, 1, "manual_override", base=0.6), old("recent", 1, 13, "decay_checkpoint"), old("due", 1, 14, "decay_checkpoint"), old("due", 2, 2, "source_added", source="a", weight=0.0)]
+    rows += [old("crossed", 1, 10, "decay_checkpoint"), old("crossed", 2, 10, "manual_override", base=0.51)]
+    ledger = spark.createDataFrame(rows, COLUMNS)
+    found = {r["page_id"]: r for r in confidence.decay_checkpoints(ledger, str(NOW)).collect()}
+    assert set(found) == {"never", "due", "crossed"}
+    assert found["crossed"]["days_since_last_event"] == 10 and found["crossed"]["applied_decay"] == pytest.approx(0.3 * (1 - 2 ** (-10 / 120)), abs=1e-3)
+    added = [(p, 99, NOW, "decay_checkpoint", None, None, None, None, None) for p in found]
+    assert confidence.decay_checkpoints(ledger.unionByName(spark.createDataFrame(added, COLUMNS)), str(NOW)).collect() == []
+
+
+def test_freshest_and_united(spark):
+    rows = [line("old", 1, "manual_override", base=0.9), line("new", 1, "manual_override", base=0.9), line("fresh", 1, "manual_override", base=0.8)]
+    ledger = spark.createDataFrame(rows, COLUMNS)
+    day = datetime.timedelta(days=1)
+    stored = spark.createDataFrame([("old", 0.1, NOW), ("new", 0.1, NOW - day), ("alone", 0.4, NOW)], "page_id string, score double, last_event_at timestamp_ntz")
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    found = {r["page_id"]: (r["score"], r["folded"]) for r in confidence.freshest(ledger, stored, now).collect()}
+    assert found == {"old": (0.1, False), "new": (0.9, True), "alone": (0.4, False), "fresh": (0.8, True)}
+    projected = spark.createDataFrame([line("old", 1, "manual_override", base=0.2), line("old", 2, "source_added", "a", 0.0)], COLUMNS)
+    both = confidence.united(ledger, projected)
+    assert both.count() == 4 and both.where("page_id = 'old' and seq = 1").first()["new_base"] == 0.9
