@@ -7,7 +7,7 @@ language wins. Training is plain numpy with Adam on a bounded sample of labelled
 
 Cases: a null text, an empty one, or one without any letter gets ``und`` and score 0; rows whose label is null
 never train; an empty or label-free training fold gives ``und`` for every row; ties go to the first language in
-string order; repeated rows are each predicted; extra columns are ignored by predict() and kept by keep_known().
+string order; repeated rows are each predicted; a null key is no part of a fold that its hash names; extra columns are ignored by predict() and kept by keep_known().
 """
 
 from __future__ import annotations
@@ -225,12 +225,12 @@ def predict(docs: DataFrame, model: ByteCNN | None, text: str = "text", key: str
     return bounded_batches(docs).select(key, text).mapInArrow(tidy(run), f"`{key}` {kind}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: ByteCNN | None, text: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows, with all their columns, whose language is known with a score of `least` or more."""
+def keep_known(docs: DataFrame, model: ByteCNN | None, text: str = "text", languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows, with all their columns, whose predicted language is one of `languages`; without these, any that is known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = predict_texts(model, b.column(b.schema.get_field_index(text)))
-            yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+            found, _ = predict_texts(model, b.column(b.schema.get_field_index(text)))
+            yield b.filter(pa.array([x != UNKNOWN and (languages is None or x in languages) for x in found], pa.bool_()))
 
     return bounded_batches(docs).mapInArrow(tidy(run), docs.schema)

@@ -11,7 +11,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     found = langid.predict(docs, langid.fit(docs, ~_fold(4))).collect()
-    good = {r["doc_id"] for r in found if r["lang_pred"] != "und"}
+    good = {r["doc_id"] for r in found if r["lang_pred"] in corpus_pipeline.LANGUAGES}
     return [r for r in rows if r[0] in good]
 
 
@@ -120,3 +120,13 @@ def test_stages_on_odd_rows(spark):
         assert name != "sentencepiece" or out.columns[-1] == "token_ids_"
         assert listed(out) == sorted(wanted[name], key=repr), name
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_the_network_removes_texts_of_other_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*COLUMNS)
+    other = [(10_000 + k, f"vjaku ozmi pketu zzuva hnoq {k} " + "yqaz ujvo kzmi xuwu qofz " * (3 + k % 5), "zz", "src1", 0) for k in range(60)]
+    both = docs.unionByName(spark.createDataFrame(other, docs.schema))
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.predict(both, langid.fit(both, ~_fold(4))).collect()}
+    stay = {r["doc_id"] for r in corpus_pipeline.known_language(spark, both, SF).collect()}
+    assert stay == {i for i, lang in found.items() if lang in corpus_pipeline.LANGUAGES}
+    assert sum(i >= 10_000 for i in stay) <= 3 and sum(i < 10_000 for i in stay) >= 190
