@@ -1,6 +1,6 @@
 """DuckDB SQL of the registered queries."""
 
-from . import file_oracles, vault_oracles
+from . import file_oracles, patch_oracles, vault_oracles
 
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
 
@@ -152,7 +152,7 @@ SELECT href, count(*) AS in_links, href IN (SELECT url FROM pages WHERE url IS N
 FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages)""",
     "streamed_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
-ORACLES |= vault_oracles.oracles(_LEDGER) | file_oracles.ORACLES
+ORACLES |= vault_oracles.oracles(_LEDGER) | file_oracles.ORACLES | patch_oracles.oracles(_LEDGER)
 
 #: The SQL of the jobs, which are registered beside the queries.
 JOBS = {"job1_index_pages": vault_oracles.INDEX_JOB, "job2_ledger_confidence": f"WITH {_LEDGER} SELECT * FROM state"}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import estimated_tokens, js_round
 from tessera.functions import markdown as md
 from tessera.operators import chunk_search as chunk_queries
-from tessera.operators import chunks, code_graph, compiling, confidence, converting, graph, index, lineage, retrieval, supersession, vault
+from tessera.operators import chunks, code_graph, compiling, confidence, converting, graph, index, lineage, patching, retrieval, supersession, vault
 from tessera.sources import raw, tables
 from tessera.streaming import ledger as stream
 
@@ -297,6 +297,32 @@ def compile_relations(spark, d):
     return compiling.relations(tables.vault(spark, d), sources)
 
 
+def _patches(spark, d):
+    pages = tables.vault(spark, d)
+    changes, units = tables.patches(tables.table(spark, d, "documents"))
+    superseded = confidence.state(tables.ledger(spark, d), _now()).where("superseded")
+    return changes, patching.errors(changes, units, pages, chunks.chunks(pages), superseded), pages
+
+
+@_register
+def patch_errors(spark, d):
+    """Why patches cannot be applied."""
+    return _patches(spark, d)[1]
+
+
+@_register
+def patched_pages(spark, d):
+    """The pages that the patches without an error change or make."""
+    after = patching.applied(*_patches(spark, d)).where("patches is not null")
+    return after.select("page_id", "path", F.sha2("content", 256).alias("digest"), F.array_join("patches", ",").alias("patches"))
+
+
+@_register
+def patch_ledger(spark, d):
+    """What the patches without an error add to the ledger."""
+    return patching.ledger_lines(*_patches(spark, d)[:2])
+
+
 @_register
 def supersession_cycles(spark, d):
     return supersession.cycles(supersession.edges(tables.vault(spark, d)), stream.folder(spark, "cycles"))

@@ -140,3 +140,24 @@ def vault_pages(documents: DataFrame) -> DataFrame:
     )
     path = F.concat(lit("pages/"), F.coalesce("lang", lit("none")), lit("/"), n, lit(".md"))
     return documents.select(page_id(F.col("doc_id")).alias("page_id"), path.alias("path"), content.alias("content"), "source")
+
+
+def patches(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A patch of one change for every tenth document, in turn of each kind: the changes, and the units that they come from."""
+    d, lit = F.col("doc_id"), F.lit
+    rows = documents.where(d.isNotNull() & (d % 10 == 0)).withColumn("k", (F.floor(d / 10) % 5).cast("int"))
+    k, none = F.col("k"), lit(None).cast("string")
+    next_page, made, old = page_id(d + 1), page_id(d + 900_000_000_000), page_id(d + 2)
+    target = F.when((k == 4) & (d % 4 == 0), page_id(d + 1_000_000)).when(k == 3, made).otherwise(next_page)
+    content = (
+        F.when(k == 0, F.concat(lit("## Added\n<!-- kb:derived source="), page_id(d), lit(":su0,"), page_id(d), F.when(d % 3 == 0, ":c999").otherwise(":c0"), lit(" -->\nmore\n"))).when(k == 1, "## See also ##\nnone\n\n").when(k == 2, "inserted  ")
+        .when(k == 3, F.concat(lit("---\ntitle: Made\n---\nin place of "), old))
+    )
+    changes = rows.select(
+        F.concat(lit("patch_"), F.lpad(d.cast("string"), 12, "0")).alias("patch_id"), lit(0).alias("n"), F.when(k == 4, "confidence_only").when(k == 3, "create").otherwise("modify").alias("type"), target.alias("page_id"),
+        F.when(k == 0, "append_section").when(k == 1, "replace_section").when(k == 2, "insert_after_section").alias("operation"), F.when(k == 1, "See also ##").when(k == 2, F.concat(lit("# note "), (d + 1).cast("string"))).alias("section"), content.alias("content"),
+        F.when(k == 4, "duplicate").when(k == 3, "supersede").otherwise("extend").alias("relation"), none.alias("path"), F.when(k == 3, old).alias("supersedes"), F.when(k == 0, "source_added").when(k == 3, "supersedes").when(k == 1, "contradicted_by").alias("impact"),
+        F.when(k == 0, (d % 700) / 500).alias("weight"), F.when(k == 1, F.when(d % 60 == 10, "huge").otherwise("minor")).alias("severity"), F.when(k == 3, old).alias("other"),
+    )
+    units = rows.select(F.concat(lit("patch_"), F.lpad(d.cast("string"), 12, "0")).alias("patch_id"), F.concat(page_id(d), lit(":su0")).alias("unit_id"), page_id(d).alias("source_page_id"), F.array(F.concat(page_id(d), lit(":c0"))).alias("source_chunks"))
+    return changes, units
