@@ -58,3 +58,24 @@ def fingerprint(text: Column) -> Column:
 
 def days_between(ts: Column, now: Column) -> Column:
     return F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / F.lit(86_400_000_000.0))
+
+
+def counted(words: Column) -> Column:
+    """(terms, squares): how many distinct words there are, and the sum of the squares of their counts.
+
+    Equal words lie together when sorted, and the nth of them adds 2 n - 1.
+    """
+    state = lambda word, run, terms_of, squares: F.struct(word.alias("word"), run.alias("run"), terms_of.alias("terms"), squares.alias("squares"))
+
+    def step(a: Column, w: Column) -> Column:
+        same = a["word"] == w
+        run = F.when(same, a["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return state(w, run, F.when(same, a["terms"]).otherwise(a["terms"] + 1), a["squares"] + 2 * run - 1)
+
+    zero = F.lit(0).cast("long")
+    return F.aggregate(F.sort_array(words), state(F.lit(""), zero, zero, zero), step, lambda a: F.struct(a["terms"].alias("terms"), a["squares"].alias("squares")))
+
+
+def vector_norm(words: Column) -> Column:
+    """The length of the vector of term counts."""
+    return F.sqrt(counted(words)["squares"])

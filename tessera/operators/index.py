@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import markdown as md
-from tessera.functions.text import index_terms, terms
+from tessera.functions.text import index_terms, terms, vector_norm
 from tessera.operators.chunks import MAX_TOKENS, chunks
 
 BUCKETS = 64
@@ -41,24 +41,12 @@ def hashed(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "path", content.alias("content"), content_hash(F.col("path"), content).alias("content_hash"))
 
 
-def norm(words: Column) -> Column:
-    """The length of the vector of term counts: the nth of equal words, which are sorted together, adds 2 n - 1 to its square."""
-    state = lambda word, run, sum_of: F.struct(word.alias("word"), run.alias("run"), sum_of.alias("sum"))
-
-    def step(a: Column, w: Column) -> Column:
-        run = F.when(a["word"] == w, a["run"] + 1).otherwise(F.lit(1).cast("long"))
-        return state(w, run, a["sum"] + 2 * run - 1)
-
-    zero = F.lit(0).cast("long")
-    return F.sqrt(F.aggregate(F.array_sort(words), state(F.lit(""), zero, zero), step, lambda a: a["sum"]))
-
-
 def page_chunks(pages: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Chunks with the path and title of their page, their length in index terms and the norm of their term counts."""
     named = pages.withColumn("title", md.page_title(F.col("content"), F.col("path")))
     rows = chunks(named, max_tokens, keep=("path", "title"))
     text = F.col("text")
-    return rows.select("page_id", "path", "title", "idx", "chunk_id", "line_start", "line_end", "text", "tokens", F.size(index_terms(text)).cast("long").alias("size"), norm(terms(text)).alias("norm"))
+    return rows.select("page_id", "path", "title", "idx", "chunk_id", "line_start", "line_end", "text", "tokens", F.size(index_terms(text)).cast("long").alias("size"), vector_norm(terms(text)).alias("norm"))
 
 
 def postings(chunk_rows: DataFrame) -> DataFrame:

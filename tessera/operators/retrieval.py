@@ -5,22 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import clamp01, js_round, terms
+from tessera.functions.text import clamp01, counted, js_round, terms, vector_norm
 
 K1, B = 1.2, 0.75
 
 
-def postings(pages: DataFrame) -> DataFrame:
-    """(doc_id, term, tf)."""
-    return pages.select("doc_id", F.explode(terms(F.col("body"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-
-
 def lengths(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", F.size(terms(F.col("body"))).cast("long").alias("dl"))
 
 
 def norms(pages: DataFrame) -> DataFrame:
-    return postings(pages).groupBy("doc_id").agg(F.count("*").alias("n_terms"), js_round(F.sqrt(F.sum(F.col("tf") * F.col("tf"))), 4).alias("norm"))
+    """Per page with terms: how many distinct ones, and the norm of their counts, in the page's own row."""
+    # a filter on what the fold gives would run it twice: an empty array gives no row
+    rows = pages.select("doc_id", F.inline(F.filter(F.array(counted(terms(F.col("body")))), lambda c: c["terms"] > 0)))
+    return rows.select("doc_id", F.col("terms").alias("n_terms"), js_round(F.sqrt("squares"), 4).alias("norm"))
 
 
 def bm25(pages: DataFrame, queries: DataFrame) -> DataFrame:
@@ -59,7 +57,7 @@ def hybrid(pages: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """0.65 BM25 relative to the query's best, 0.35 cosine of term counts; each rounded to three places."""
     found = bm25(pages, queries)
     best = found.groupBy("item_id").agg(F.max("score").alias("best"))
-    norm = postings(pages).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+    norm = pages.select("doc_id", vector_norm(terms(F.col("body"))).alias("norm"))
     both = found.join(best, "item_id").join(norm, "doc_id")
     relative = js_round(clamp01(F.col("score") / F.col("best")), 3)
     cosine = js_round(clamp01(F.col("dot") / (F.col("norm") * F.sqrt(F.col("wanted")))), 3)
@@ -71,7 +69,7 @@ def _asked(pages: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(item_id, term, qtf, wanted, qnorm, idf, avgdl, rarest) of the queries' terms that a page has; the terms asked for."""
     counted = queries.select("item_id", F.explode("terms").alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
     sizes = counted.groupBy("item_id").agg(F.count("*").alias("wanted"), F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
-    known = F.broadcast(counted.select("term", F.lit(True).alias("known")).distinct())
+    known = counted.select("term").distinct()
     df = pages.select(F.explode(F.array_distinct(terms(F.col("body")))).alias("term")).join(known, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths(pages).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -82,11 +80,11 @@ def _asked(pages: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _page_hits(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, norm, dl, hits): a page's terms are counted where the page is, so its text alone is shuffled."""
-    counts = pages.select("doc_id", "body").repartition("doc_id").select("doc_id", F.explode(terms(F.col("body"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return counts.join(known, "term", "left").groupBy("doc_id").agg(
-        F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"), F.sum("tf").alias("dl"), F.collect_list(F.when(F.col("known"), F.struct("term", "tf"))).alias("hits")
-    )
+    """(doc_id, norm, dl, hits) of pages with a term that is asked for; counts of these terms alone are shuffled."""
+    words = pages.select("doc_id", terms(F.col("body")).alias("words"))
+    hits = words.select("doc_id", F.explode("words").alias("term")).join(known.select("term"), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    sizes = words.select("doc_id", vector_norm(F.col("words")).alias("norm"), F.size("words").cast("long").alias("dl"))
+    return sizes.join(hits.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("hits")), "doc_id")
 
 
 def _score() -> Column:
@@ -96,8 +94,8 @@ def _score() -> Column:
 
 def _full(page: DataFrame, asked: DataFrame) -> DataFrame:
     """(item_id, doc_id, score) of pages with every term; only those with the query's rarest term are looked at."""
-    likely = page.select("doc_id", "dl", "hits", F.explode("hits.term").alias("term")).join(F.broadcast(asked.where("rarest").select("item_id", "term")), "term").drop("term")
-    rows = likely.select("item_id", "doc_id", "dl", F.inline("hits")).join(F.broadcast(asked), ["item_id", "term"])
+    likely = page.select("doc_id", "dl", "hits", F.explode("hits.term").alias("term")).join(asked.where("rarest").select("item_id", "term"), "term").drop("term")
+    rows = likely.select("item_id", "doc_id", "dl", F.inline("hits")).join(asked, ["item_id", "term"])
     return rows.groupBy("item_id", "doc_id").agg(_score().alias("score")).where("score is not null")
 
 
@@ -115,8 +113,8 @@ def matches(pages: DataFrame, queries: DataFrame) -> DataFrame:
     asked, known = _asked(pages, queries)
     page = _page_hits(pages, known)
     best = _full(page, asked).groupBy("item_id").agg(F.max("score").alias("best"))
-    rows = page.select("doc_id", "norm", "dl", F.inline("hits")).join(F.broadcast(asked), "term").groupBy("item_id", "doc_id")
-    found = rows.agg(_score().alias("score"), F.sum(F.col("qtf") * F.col("tf")).alias("dot"), F.max("norm").alias("norm"), F.max("qnorm").alias("qnorm")).join(F.broadcast(best), "item_id", "left")
+    rows = page.select("doc_id", "norm", "dl", F.inline("hits")).join(asked, "term").groupBy("item_id", "doc_id")
+    found = rows.agg(_score().alias("score"), F.sum(F.col("qtf") * F.col("tf")).alias("dot"), F.max("norm").alias("norm"), F.max("qnorm").alias("qnorm")).join(best, "item_id", "left")
     relative = js_round(clamp01(F.coalesce(F.col("score") / F.col("best"), F.lit(0.0))), 3)
     return found.select("item_id", "doc_id", relative.alias("bm25"), js_round(clamp01(F.col("dot") / (F.col("norm") * F.col("qnorm"))), 3).alias("cosine"))
 
