@@ -19,6 +19,11 @@ def trimmed(text: Column) -> Column:
     return F.trim(text, F.lit(BLANKS))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def units16(text: Column) -> Column:
     """Length in UTF-16 units."""
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
@@ -49,9 +54,19 @@ def packed(units: Column, most: int, overlong: Callable[[Column], Column]) -> Co
 
 
 def words(text: Column, most: int) -> Column:
-    """Pieces of words and the blanks between them; a longer word is cut every `most` characters."""
+    """Pieces of words and the blanks between them; a longer word is cut every `most` characters.
+
+    Where no word or run of blanks comes near half of `most` and all characters are single UTF-16 units, a pattern takes the
+    longest stretch that ends at a word's edge, again and again, which is what the fold over words gives.
+    """
+    solid = f"[^{SPACE[1:-1]}]"
     cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.char_length(w) - 1) / most).cast("int")), lambda k: F.substring(w, k * most + 1, F.lit(most)))
-    return packed(F.regexp_extract_all(text, F.lit(f"{SPACE}+|[^{SPACE[1:-1]}]+"), F.lit(0)), most, cut)
+    folded = packed(F.regexp_extract_all(text, F.lit(f"{SPACE}+|{solid}+"), F.lit(0)), most, cut)
+    edge = f"(?:(?<={SPACE})(?={solid})|(?<={solid})(?={SPACE})|\\z)"
+    stretches = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{most}}}{edge}"), F.lit(0)), lambda p: trimmed(p))
+    half = most // 2  # of characters without a space a word is a part; classes of all blanks are slow over every word
+    plain = (units16(text) == F.char_length(text)) & ~text.rlike(f"[^ ]{{{half}}}") & ~text.rlike(f"{SPACE}{{{min(half, 64)}}}") if half else F.lit(False)
+    return F.when(plain, F.filter(stretches, lambda p: p != "")).otherwise(folded)
 
 
 def pieces(text: Column, max_tokens: int) -> Column:
@@ -63,5 +78,5 @@ def pieces(text: Column, max_tokens: int) -> Column:
     paragraphs = F.split(text, r"(?<=\n\n)(?!\n)|(?<!\n)(?=\n\n)")
     sentences = F.split(text, rf"(?<=[{SENTENCE_ENDS}]){SPACE}+")
     units = F.filter(F.when(F.contains(text, F.lit("\n\n")), paragraphs).otherwise(sentences), lambda u: u != "")
-    many = F.when(F.size(units) <= 1, words(text, most)).otherwise(packed(units, most, lambda u: words(u, most)))
+    many = let(units, lambda us: F.when(F.size(us) <= 1, words(text, most)).otherwise(packed(us, most, lambda u: words(u, most))))
     return F.when(units16(text) <= most, F.array(text)).otherwise(many)

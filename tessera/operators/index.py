@@ -49,15 +49,24 @@ def page_chunks(pages: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     return rows.select("page_id", "path", "title", "idx", "chunk_id", "line_start", "line_end", "text", "tokens", F.size(index_terms(text)).cast("long").alias("size"), vector_norm(terms(text)).alias("norm"))
 
 
-def postings(chunk_rows: DataFrame) -> DataFrame:
-    """(kind, term, page_id, chunk_id, tf): index terms as `fts`, terms of the vectors as `vec`."""
+def postings(chunk_rows: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(kind, term, page_id, chunk_id, tf): index terms as `fts`, terms of the vectors as `vec`; of `only` (kind, term), if given."""
     text = F.col("text")
     both = F.array(F.struct(F.lit("fts").alias("kind"), index_terms(text).alias("terms")), F.struct(F.lit("vec").alias("kind"), terms(text).alias("terms")))
     keep = [c for c in ("bucket",) if c in chunk_rows.columns]
     rows = chunk_rows.select("page_id", "chunk_id", *keep, F.inline(both)).select("page_id", "chunk_id", *keep, "kind", F.explode("terms").alias("term"))
+    if only is not None:  # before anything is counted or shuffled
+        rows = rows.join(only.select("kind", "term").distinct(), ["kind", "term"], "left_semi")
     return rows.groupBy("kind", "term", "page_id", "chunk_id", *keep).agg(F.count("*").alias("tf"))
 
 
+def asked(queries: DataFrame) -> DataFrame:
+    """(kind, term) of queries' texts."""
+    text = F.coalesce("query", F.lit(""))
+    both = F.array(F.struct(F.lit("fts").alias("kind"), index_terms(text).alias("terms")), F.struct(F.lit("vec").alias("kind"), terms(text).alias("terms")))
+    return queries.select(F.inline(both)).select("kind", F.explode("terms").alias("term")).distinct()
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the index; a table not written yet is empty."""
     try:

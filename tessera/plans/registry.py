@@ -205,11 +205,11 @@ def chunk_pieces(spark, d):
 
 
 def _index(spark, d):
-    """The vault's chunks and postings, stored once for all that a query reads of them."""
+    """The vault's chunks and the postings of what is asked for, stored once for all that a query reads of them."""
     at = stream.folder(spark, "index")
     index.page_chunks(tables.vault(spark, d)).write.parquet(f"{at}/chunks")
     chunk_rows = spark.read.parquet(f"{at}/chunks")
-    index.postings(chunk_rows).write.parquet(f"{at}/postings")
+    index.postings(chunk_rows, index.asked(_questions(spark, d))).write.parquet(f"{at}/postings")
     return chunk_rows, spark.read.parquet(f"{at}/postings")
 
 
