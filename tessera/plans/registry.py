@@ -209,7 +209,9 @@ def _index(spark, d):
     at = stream.folder(spark, "index")
     index.page_chunks(tables.vault(spark, d)).write.parquet(f"{at}/chunks")
     chunk_rows = spark.read.parquet(f"{at}/chunks")
-    index.postings(chunk_rows, index.asked(_questions(spark, d))).write.parquet(f"{at}/postings")
+    # a stored table has a size by which a join with it is planned
+    index.asked(_questions(spark, d)).write.parquet(f"{at}/asked")
+    index.postings(chunk_rows, spark.read.parquet(f"{at}/asked")).write.parquet(f"{at}/postings")
     return chunk_rows, spark.read.parquet(f"{at}/postings")
 
 
@@ -294,7 +296,7 @@ def derived_ratios(spark, d):
 def compile_relations(spark, d):
     """What becomes of every twentieth page if it is compiled into the vault: target, relation and change."""
     sources = tables.table(spark, d, "documents").where("doc_id % 20 = 0").select(tables.page_id(F.col("doc_id")).alias("page_id"))
-    return compiling.relations(tables.vault(spark, d), sources)
+    return compiling.relations(tables.vault(spark, d), sources, stream.folder(spark, "compile"))
 
 
 def _patches(spark, d):
