@@ -65,24 +65,29 @@ def hybrid(pages: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return top(both.withColumn("score", js_round(0.65 * F.col("bm25") + 0.35 * F.col("cosine"), 3)), k).select("item_id", "doc_id", "bm25", "cosine", "score", "rank")
 
 
+#: Terms of all queries together up to which what is asked for is broadcast; more are joined as any table is.
+BROADCAST_TERMS = 1 << 19
+
+
 def _asked(pages: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(item_id, term, qtf, wanted, qnorm, idf, avgdl, rarest) of the queries' terms that a page has; the terms asked for."""
     counted = queries.select("item_id", F.explode("terms").alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
     sizes = counted.groupBy("item_id").agg(F.count("*").alias("wanted"), F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
-    known = counted.select("term").distinct()
+    near = F.broadcast if counted.count() <= BROADCAST_TERMS else lambda df: df  # neither has more rows
+    known = near(counted.select("term").distinct())
     df = pages.select(F.explode(F.array_distinct(terms(F.col("body")))).alias("term")).join(known, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths(pages).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
     rarest = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "term")) == 1
     asked = counted.join(df, "term").join(sizes, "item_id").crossJoin(F.broadcast(stats))
-    return asked.select("item_id", "term", "qtf", "wanted", "qnorm", idf.alias("idf"), "avgdl", rarest.alias("rarest")), known
+    return near(asked.select("item_id", "term", "qtf", "wanted", "qnorm", idf.alias("idf"), "avgdl", rarest.alias("rarest"))), known
 
 
 def _page_hits(pages: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, norm, dl, hits) of pages with a term that is asked for; counts of these terms alone are shuffled."""
     words = pages.select("doc_id", terms(F.col("body")).alias("words"))
-    hits = words.select("doc_id", F.explode("words").alias("term")).join(known.select("term"), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    hits = words.select("doc_id", F.explode("words").alias("term")).join(known, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     sizes = words.select("doc_id", vector_norm(F.col("words")).alias("norm"), F.size("words").cast("long").alias("dl"))
     return sizes.join(hits.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("hits")), "doc_id")
 
