@@ -74,7 +74,7 @@ def _asked(pages: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     counted = queries.select("item_id", F.explode("terms").alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
     sizes = counted.groupBy("item_id").agg(F.count("*").alias("wanted"), F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
     near = F.broadcast if counted.count() <= BROADCAST_TERMS else lambda df: df  # neither has more rows
-    known = near(counted.select("term").distinct())
+    known = near(counted.select("term", F.lit(True).alias("known")).distinct())
     df = pages.select(F.explode(F.array_distinct(terms(F.col("body")))).alias("term")).join(known, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths(pages).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -85,11 +85,11 @@ def _asked(pages: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _page_hits(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, norm, dl, hits) of pages with a term that is asked for; counts of these terms alone are shuffled."""
-    words = pages.select("doc_id", terms(F.col("body")).alias("words"))
-    hits = words.select("doc_id", F.explode("words").alias("term")).join(known, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    sizes = words.select("doc_id", vector_norm(F.col("words")).alias("norm"), F.size("words").cast("long").alias("dl"))
-    return sizes.join(hits.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("hits")), "doc_id")
+    """(doc_id, norm, dl, hits): a page's terms are counted where the page is, so its text alone is shuffled."""
+    counts = pages.select("doc_id", "body").repartition("doc_id").select("doc_id", F.explode(terms(F.col("body"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return counts.join(known, "term", "left").groupBy("doc_id").agg(
+        F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"), F.sum("tf").alias("dl"), F.collect_list(F.when(F.col("known"), F.struct("term", "tf"))).alias("hits")
+    )
 
 
 def _score() -> Column:
