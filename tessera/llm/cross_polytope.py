@@ -6,6 +6,10 @@ there are several tables of them. Multiprobe: a vector enters its own bucket and
 second nearest axis stands in; vectors that share a bucket are candidates, and each candidate pair is verified by its
 cosine in double precision. K grows with the logarithm of the number of distinct vectors, and the tables with K.
 
+Hashing alone misses some pairs near the bound. An exact check follows: all classes are dealt into blocks of at most
+EXACT bytes, every pair of blocks is one task's matrix products, and a pair that shares no bucket counts there. This is
+quadratic work in floats (BLAS) and ships each vector once a block, but a task holds two blocks and no more.
+
 Equal vectors are one class with a multiplicity. Buckets of one class end before vectors travel; a bucket of more
 than BLOCK classes is compared in pairs of blocks, so no task holds more than two, and nothing is capped. A pair that
 meets in several buckets counts in the smallest of them. Tasks give counts and forests of links, never all pairs.
@@ -25,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, bounded_batches, components, mixed, stored
+from .common import MIX, bounded_batches, components, local_forest, mixed, stored
 
 LEAST = 0.95
 #: Rotations that name a bucket, and tables, for up to a few million vectors; rounds of signs and transform in a rotation.
 ROTATIONS, TABLES, ROUNDS = 3, 8, 2
 #: Classes that a task compares with as many others at a time.
 BLOCK = 1024
+#: Bytes of vectors in a block of the exact check, and blocks that share its work at least.
+EXACT, SPREAD = 1 << 25, 4
+#: No bucket has this name.
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -93,6 +101,35 @@ def _unit(data: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def shared_bucket(a: np.ndarray, b: np.ndarray, tables: int) -> np.ndarray:
+    """The smallest bucket that both rows of codes have in a table; NONE without one."""
+    out = np.full(len(a), NONE)
+    each = a.shape[1] // tables
+    for t in range(0, a.shape[1], each):
+        for i in range(t, t + each):
+            for j in range(t, t + each):
+                np.minimum(out, np.where(a[:, i] == b[:, j], a[:, i], NONE), out=out)
+    return out
+
+
+def linked(unit: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows with the cosine `least` or more, BLOCK rows by BLOCK at a time: single precision finds where they are, double decides."""
+    low = least - 1e-5 - 1e-6 * unit.shape[1]
+    single = unit.astype(np.float32)
+    same = left is right
+    for i in range(0, len(left), BLOCK):
+        for j in range(i if same else 0, len(right), BLOCK):
+            x, y = left[i : i + BLOCK], right[j : j + BLOCK]
+            near = single[x] @ single[y].T >= low
+            if same and i == j:
+                near &= np.tri(len(x), k=-1, dtype=bool).T
+            if near.any():
+                rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                sure = (unit[x[rows]] @ unit[y[columns]].T >= least) & near[np.ix_(rows, columns)]
+                a, b = np.nonzero(sure)
+                yield x[rows[a]], y[columns[b]]
+
+
 def near_duplicates(vectors: DataFrame, embedding: str = "embedding", key: str = "vec_id", least: float = LEAST) -> DataFrame:
     """Per row: key, n_links, component_id, kept."""
     spark = vectors.sparkSession
@@ -132,51 +169,47 @@ def near_duplicates(vectors: DataFrame, embedding: str = "embedding", key: str =
     members = members.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "c")
     full = members.join(classes.select("c", "v", "m"), "c").repartition(tasks, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held = None, []
-
-        def pairs() -> pa.RecordBatch:
-            bucket, x, y = name
-            own, c, m, data = (list(z) for z in zip(*held, strict=True))
-            own, c, m = np.array(own), np.array(c, np.int64), np.array(m, np.int64)
-            counts, forest = np.zeros(len(c), np.int64), np.full(len(c), np.iinfo(np.int64).max)
-            for rows in by_length(data):
-                unit = _unit([data[i] for i in rows])
-                left, right = (rows, rows) if x == y else (rows[own[rows] == x], rows[own[rows] == y])
-                at = np.zeros(len(c), np.int64)
-                at[rows] = np.arange(len(rows))
-                a, b = np.nonzero(unit[at[left]] @ unit[at[right]].T >= least)
-                a, b = left[a], right[b]
-                keep = (c[a] < c[b]) if x == y else (c[a] != c[b])
-                a, b = a[keep], b[keep]
-                if not len(a):
-                    continue
+    def compared(held: list[tuple], x: int, y: int, bucket: np.uint64) -> pa.RecordBatch:
+        """Counts of links and a forest of them, of pairs whose smallest common bucket is this one."""
+        own, c, m, data = (list(z) for z in zip(*held, strict=True))
+        own, c, m = np.array(own), np.array(c, np.int64), np.array(m, np.int64)
+        counts, forest = np.zeros(len(c), np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for rows in by_length(data):
+            unit = _unit([data[i] for i in rows])
+            here = np.arange(len(rows))
+            left, right = (here, here) if x == y else (here[own[rows] == x], here[own[rows] == y])
+            for a, b in linked(unit, left, right, least):
                 used, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-                named = codes(unit[at[used]], rotations, tables)
-                # the pair counts here only if no smaller bucket has both
-                small = [np.unique(row[row < np.uint64(bucket & 0xFFFFFFFFFFFFFFFF)]) for row in named]
-                first = {k: set(s.tolist()) for k, s in enumerate(small)}
-                ok = np.array([first[i].isdisjoint(first[j]) for i, j in zip(where[: len(a)].tolist(), where[len(a) :].tolist(), strict=True)], bool)
+                named = codes(unit[used], rotations, tables)
+                ok = shared_bucket(named[where[: len(a)]], named[where[len(a) :]], tables) == bucket
+                a, b = rows[a[ok]], rows[b[ok]]
+                ok = c[a] != c[b]
                 a, b = a[ok], b[ok]
                 np.add.at(counts, a, m[b])
                 np.add.at(counts, b, m[a])
-                low = np.minimum(c[a], c[b])
-                np.minimum.at(forest, a, low)
-                np.minimum.at(forest, b, low)
-            hit = counts > 0
-            return pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(counts[hit]), pa.array(forest[hit])], ["c", "links", "to"])
+                forest = local_forest(np.concatenate([forest[0], c[a]]), np.concatenate([forest[1], c[b]]))
+        hit, none = counts > 0, np.zeros(len(forest[0]), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in ((c[hit], forest[0]), (counts[hit], none), (c[hit], forest[1]))], ["c", "links", "to"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
         for b in batches:
             for bucket, x, y, own, c, m, v in zip(*[b.column(b.schema.get_field_index(k)).to_pylist() for k in ("bucket", "x", "y", "own", "c", "m", "v")], strict=True):
                 if (bucket, x, y) != name:
                     if len(held) > 1:
-                        yield pairs()
+                        yield compared(held, *name[1:], np.uint64(name[0] & 0xFFFFFFFFFFFFFFFF))
                     name, held = (bucket, x, y), []
                 held.append((own, c, m, v))
         if len(held) > 1:
-            yield pairs()
-
-    found = stored(full.mapInArrow(compare, "c long, links long, to long"))
+            yield compared(held, *name[1:], np.uint64(name[0] & 0xFFFFFFFFFFFFFFFF))
+
+    # bucket -1 is NONE: pairs without a bucket
+    blocks = max(min(SPREAD, n // BLOCK + 1), math.ceil(n * top / EXACT))
+    every = classes.withColumn("own", F.pmod(F.xxhash64("c", F.lit(5)), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    every = every.select(F.lit(-1).cast("long").alias("bucket"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "c", "v", "m")
+    every = every.repartition(max(tasks, blocks * (blocks + 1) // 2), "x", "y").sortWithinPartitions("x", "y")
+    outcome = "c long, links long, to long"
+    found = stored(full.mapInArrow(compare, outcome).unionByName(every.mapInArrow(compare, outcome)))
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     roots = components(found, "c", "to")
     label = classes.select("digest", "least", "m", "c").join(links, "c", "left").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))

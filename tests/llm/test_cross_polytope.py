@@ -39,3 +39,27 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(cross_polytope, "BLOCK", 8)
     assert {tuple(x) for x in cross_polytope.near_duplicates(docs).collect()} == expected
     assert cross_polytope.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_pairs_that_share_no_bucket_are_linked(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = []
+    for k in range(0, 600, 2):
+        x, y = np.linalg.qr(r.normal(size=(64, 2)))[0].T
+        rows += [(k, x.tolist()), (k + 1, (0.951 * x + np.sqrt(1 - 0.951**2) * y).tolist())]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    expected = brute(rows)
+    assert sum(x[1] for x in expected) == 600
+    assert {tuple(x) for x in cross_polytope.near_duplicates(docs).collect()} == expected
+    monkeypatch.setattr(cross_polytope, "EXACT", 64 * 8 * 50)
+    monkeypatch.setattr(cross_polytope, "TABLES", 1)
+    assert {tuple(x) for x in cross_polytope.near_duplicates(docs).collect()} == expected
+
+
+def test_chains_stay_whole(spark):
+    """Every link of a bucket counts, not only a vector's link to its least neighbour."""
+    for seed in range(3):
+        order = np.random.default_rng(seed).permutation(120)
+        rows = sorted((int(i), [float(np.cos(k * 0.05)), float(np.sin(k * 0.05)), 0.0, 0.0]) for k, i in enumerate(order))
+        docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert {tuple(x) for x in cross_polytope.near_duplicates(docs).collect()} == brute(rows)
