@@ -216,17 +216,6 @@ def chunk_pieces(spark, d):
     return chunks.chunks(tables.vault(spark, d)).withColumn("digest", F.sha2("text", 256)).drop("text")
 
 
-def _index(spark, d):
-    """The vault's chunks and the postings of what is asked for, stored once for all that a query reads of them."""
-    at = stream.folder(spark, "index")
-    index.page_chunks(tables.vault(spark, d)).write.parquet(f"{at}/chunks")
-    chunk_rows = spark.read.parquet(f"{at}/chunks")
-    # a stored table has a size by which a join with it is planned
-    index.asked(_questions(spark, d)).write.parquet(f"{at}/asked")
-    index.postings(chunk_rows, spark.read.parquet(f"{at}/asked")).write.parquet(f"{at}/postings")
-    return chunk_rows, spark.read.parquet(f"{at}/postings")
-
-
 def _questions(spark, d):
     return tables.table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
 
@@ -234,13 +223,13 @@ def _questions(spark, d):
 @_register
 def chunk_search(spark, d):
     """BM25 over chunks with all terms of the benchmark text; the best chunk of a page, with the lines to cite."""
-    return chunk_queries.search(*_index(spark, d), _questions(spark, d))
+    return chunk_queries.search_pages(tables.vault(spark, d), _questions(spark, d))
 
 
 @_register
 def chunk_hybrid(spark, d):
     """chunk_search with the cosine of term counts, and of every page that shares a term."""
-    return chunk_queries.hybrid(*_index(spark, d), _questions(spark, d))
+    return chunk_queries.hybrid_pages(tables.vault(spark, d), _questions(spark, d))
 
 
 @_register

@@ -51,3 +51,15 @@ def test_hybrid(spark, tables):
     assert [r["bm25_score"] for r in found if r["item_id"] == 0] == [1.0, 0.0]
     assert len({r["page_id"] for r in found if r["item_id"] == 1}) == 2 and not [r for r in found if r["item_id"] == 2]
     assert len(ask(spark, tables, chunk_search.hybrid, "filler", k=1)) == 1
+
+
+def test_pages_give_what_a_kept_index_gives(spark, tables, monkeypatch):
+    """Chunks counted as they are cut, without postings of them; in groups and slices, too."""
+    pages = spark.createDataFrame(PAGES, "page_id string, path string, content string")
+    asked = spark.createDataFrame(list(enumerate(["garbage collection", "CREME cache", "", None, "map_table", "filler words", "result zzz"])), "item_id int, query string")
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    found, mixed = rows(chunk_search.search(*tables, asked)), rows(chunk_search.hybrid(*tables, asked))
+    assert found and mixed and rows(chunk_search.search_pages(pages, asked)) == found
+    monkeypatch.setattr(chunk_search.scoring, "MOST_TERMS", 4)
+    monkeypatch.setattr(chunk_search.scoring, "CELLS", 4)
+    assert rows(chunk_search.hybrid_pages(pages, asked)) == mixed
