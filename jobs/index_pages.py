@@ -31,9 +31,7 @@ def run(spark: SparkSession, documents: str, index: str, work: str, buckets: int
 
 def output(spark: SparkSession, index: str) -> DataFrame:
     """The index as it stands: every page with its chunks, how many terms they have, and a page without chunks once."""
-    counts = pages_index.read(spark, index, "postings").groupBy("chunk_id").agg(
-        F.count_if(F.col("kind") == "fts").alias("index_terms"), F.sum(F.when(F.col("kind") == "vec", F.col("tf"))).alias("vector_tokens"), F.max("term").alias("last_term")
-    )
+    counts = pages_index.term_counts(pages_index.read(spark, index, "postings"))
     chunks = pages_index.read(spark, index, "chunks").select("page_id", "chunk_id", "idx", "line_start", "line_end", "tokens", "size", F.sha2("text", 256).alias("digest"))
     counted = chunks.join(counts, "chunk_id", "left").fillna(0, ["index_terms", "vector_tokens"])
     return pages_index.read(spark, index, "pages").select("page_id", "path", "title", "content_hash").join(counted, "page_id", "left")

@@ -103,3 +103,22 @@ def test_index_terms(spark):
     texts = ["Crème BRÛLÉE foo_bar", "Crème", "日本語 x1", "", "Ǆ Ελλάδα"]
     found = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(index_terms(F.col("t"))).collect()]
     assert found == [["creme", "brulee", "foo", "bar"], ["creme"], ["日本語", "x1"], [], ["ǆ", "ελλαδα"]]
+
+
+def test_postings_and_their_counts_are_made_where_the_chunks_are(spark):
+    rows = [("p", f"p:c{k}", t) for k, t in enumerate(["b a b A_b été", "", None, "x", "日本 z 日本 z z"])]
+    found = index.postings(spark.createDataFrame(rows, "page_id string, chunk_id string, text string"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    expected = {("vec", "b", 0): 2, ("vec", "a", 0): 1, ("vec", "a_b", 0): 1, ("vec", "été", 0): 1, ("fts", "b", 0): 3, ("fts", "a", 0): 2, ("fts", "ete", 0): 1}
+    expected |= {(kind, *rest): n for kind in ("vec", "fts") for *rest, n in [("x", 3, 1), ("日本", 4, 2), ("z", 4, 3)]}
+    assert {(r["kind"], r["term"], int(r["chunk_id"][3:])): r["tf"] for r in found.collect()} == expected and found.count() == len(expected)
+    counts = {r["chunk_id"]: tuple(r)[1:] for r in index.term_counts(found.repartition(3)).collect()}
+    assert counts == {"p:c0": (3, 5, "été"), "p:c3": (1, 1, "x"), "p:c4": (2, 5, "日本")}
+
+
+def test_buckets_are_written_without_a_sort_and_the_setting_is_given_back(spark, tmp_path, monkeypatch):
+    seen, counted = [], index.postings
+    monkeypatch.setattr(index, "postings", lambda *a: seen.append(spark.conf.get(index.WRITERS)) or counted(*a))
+    was = spark.conf.get(index.WRITERS)
+    index.update(frame(spark, FIRST), str(tmp_path / "index"), str(tmp_path / "work"), BUCKETS, 5)
+    assert seen == [was] == [spark.conf.get(index.WRITERS)] and was != str(index.OPEN)
