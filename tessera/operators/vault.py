@@ -66,9 +66,9 @@ def wiki(vault: DataFrame) -> DataFrame:
     return targets.join(known, "key", "left").select("page_id", "target", "to")
 
 
-def wiki_degrees(vault: DataFrame) -> DataFrame:
-    """Per page: links out and in (repeated ones counted, those to itself not), broken links, and whether it is an orphan."""
-    found = wiki(vault)
+def wiki_degrees(vault: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Per page: links out and in (repeated ones counted, those to itself not), broken links, and whether it is an orphan. links: wiki()'s rows, if known."""
+    found = wiki(vault) if links is None else links
     out = found.groupBy("page_id").agg(F.count_if(F.col("to") != F.col("page_id")).alias("outgoing"), F.count_if(F.col("to").isNull()).alias("broken"))
     into = found.where("to <> page_id").groupBy(F.col("to").alias("page_id")).agg(F.count("*").alias("incoming"))
     rows = vault.select("page_id").join(out, "page_id", "left").join(into, "page_id", "left").fillna(0, ["outgoing", "broken", "incoming"])
@@ -106,18 +106,24 @@ def lint(vault: DataFrame, ledger: DataFrame, now: Column, folder: str, units: D
     Low confidence; stale: not verified for 180 days, or, with `gate` as detail, a decision not verified (or, never
     verified, not known) for 100 days or more; contradicted, with how often; pages without links; links to no page;
     pages that are derived by more than half, with how many chunks of how many; lineage from nowhere; pages on a cycle
-    of supersessions, with its first page. `folder` takes the tables of the cycles' search.
+    of supersessions, with its first page. `folder` takes the tables of the cycles' search, and the chunks, links and
+    states that several checks read, so that each is made once.
     """
+    def once(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
     state = confidence.state(ledger, now)
     micros = F.unix_micros(now.cast("timestamp"))
     kinds = vault.select("page_id", (F.lower(md.field(F.col("content"), "type")) == "decision").alias("decision"))
     first = ledger.groupBy("page_id").agg(F.min("ts").alias("first_at"))
-    known = state.join(kinds, "page_id").join(first, "page_id")
+    known = once(state.join(kinds, "page_id").join(first, "page_id"), "known")
     days = lambda seconds: (micros / 1e6 - seconds) / 86400
     since = F.coalesce("last_verified_at", F.unix_micros(F.col("first_at").cast("timestamp")) / 1e6)
     gate_days = F.coalesce(F.col("decision") & (days(since) >= 100), F.lit(False))
     stale = known.withColumn("gate", gate_days).where(F.col("gate") | (days(F.col("last_verified_at")) > 180))
-    chunk_rows = lineage.derived_chunks(vault)
+    chunk_rows = once(lineage.derived_chunks(vault).select("page_id", "chunk_id", "marker"), "chunks")
+    links = once(wiki(vault), "links")
     ratio = lineage.derived_ratio(chunk_rows).where(F.col("derived") / F.col("total") > 0.5)
     cycles = supersession.cycles(supersession.edges(vault), folder)
     found = lambda rows, check, detail: rows.select(F.lit(check).alias("check"), "page_id", detail.cast("string").alias("detail"))
@@ -126,8 +132,8 @@ def lint(vault: DataFrame, ledger: DataFrame, now: Column, folder: str, units: D
         found(known.where("score < 0.5"), "low_confidence", none)
         .unionByName(found(stale, "stale", F.when(F.col("gate"), "gate")))
         .unionByName(found(confidence.contradictions(ledger).join(vault.select("page_id"), "page_id", "left_semi"), "unresolved_contradiction", F.col("active")))
-        .unionByName(found(wiki_degrees(vault).where("orphan"), "orphan_page", none))
-        .unionByName(found(wiki(vault).where("to is null"), "broken_link", F.col("target")))
+        .unionByName(found(wiki_degrees(vault, links).where("orphan"), "orphan_page", none))
+        .unionByName(found(links.where("to is null"), "broken_link", F.col("target")))
         .unionByName(found(ratio, "high_derived_ratio", F.concat("derived", F.lit("/"), "total")))
         .unionByName(found(lineage.orphaned(lineage.lineage(chunk_rows), chunk_rows, units), "orphaned_lineage", F.col("source")))
         .unionByName(found(cycles, "supersession_cycle", F.col("cycle")))

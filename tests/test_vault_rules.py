@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import markdown as md
-from tessera.operators import vault
+from tessera.operators import lineage, vault
 
 
 @pytest.mark.parametrize(
@@ -49,3 +49,16 @@ def test_titles(spark):
 def test_source_weights(spark, front, weight):
     rows = spark.createDataFrame([page(1, front, "")], "page_id string, path string, content string")
     assert vault.parts(rows, ["docs.example.org", "example.com/manual/*"]).first()["weight"] == pytest.approx(weight)
+
+
+def test_lint_cuts_pages_up_once(spark, tmp_path):
+    from tessera.plans import registry
+    from tessera.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    pages, now = tables.vault(spark, sf), F.lit(registry.LATER).cast("timestamp_ntz")
+    found = vault.lint(pages, tables.ledger(spark, sf), now, str(tmp_path / "lint"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ":derived" not in plan
+    kept = spark.read.parquet(f"{tmp_path}/lint/chunks")
+    assert kept.count() == lineage.derived_chunks(pages).count() > 0
