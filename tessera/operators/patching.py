@@ -42,8 +42,18 @@ def _sources(changes: DataFrame) -> DataFrame:
     return changes.where("type in ('create', 'modify')").select("patch_id", "n", F.explode(each).alias("source"))
 
 
+def _unit_chunks(units: DataFrame) -> DataFrame:
+    return units.select("patch_id", F.lit(None).cast("int").alias("n"), F.explode("source_chunks").alias("source"))
+
+
+def named_pages(changes: DataFrame, units: DataFrame) -> DataFrame:
+    """page_id of the pages whose chunks the patches name: no others have to be cut up for errors()."""
+    named = _sources(changes).select("source").unionByName(_unit_chunks(units).select("source"))
+    return named.where(F.contains("source", F.lit(":c"))).select(F.regexp_replace("source", r"(?s):c[^:]*\z", "").alias("page_id")).distinct()
+
+
 def errors(changes: DataFrame, units: DataFrame, pages: DataFrame, chunks: DataFrame, superseded: DataFrame) -> DataFrame:
-    """(patch_id, n, error); n is null for what concerns the whole patch. superseded: page_id of pages that have been superseded."""
+    """(patch_id, n, error); n is null for what concerns the whole patch. superseded: page_id of pages that have been superseded; chunks: at least those of named_pages()."""
     ids, paths, chunk_ids = pages.select("page_id").distinct(), pages.select("path").distinct(), chunks.select(F.col("chunk_id").alias("source")).distinct()
     found = lambda rows, error: rows.select("patch_id", "n", error.alias("error"))
     say = lambda text, column: F.concat(F.lit(text + " "), F.coalesce(F.col(column), F.lit("undefined")))
@@ -66,7 +76,9 @@ def errors(changes: DataFrame, units: DataFrame, pages: DataFrame, chunks: DataF
     own_id = md.field(F.col("content"), "id")
     sections = edits.where((F.col("type") == "modify") & F.col("operation").isin(*SECTIONED)).join(pages.select("page_id", md.body(F.col("content")).alias("body")), "page_id")
     source_pages = units.where(F.col("source_page_id").isNotNull() & ~F.col("source_page_id").rlike(PAGE_ID))
-    unit_chunks = units.select("patch_id", F.lit(None).cast("int").alias("n"), F.explode("source_chunks").alias("source"))
+    # both kinds of names meet the chunks at once
+    both = sources.where(F.contains("source", F.lit(":c"))).withColumn("what", F.lit("unresolved derived source")).unionByName(_unit_chunks(units).withColumn("what", F.lit("unresolved lineage source")))
+    no_chunk = both.join(chunk_ids, "source", "left_anti")
     whole = source_pages.withColumn("n", F.lit(None).cast("int"))
     parts = [
         found(taken.join(old, "was"), F.concat("was", F.lit(" is already superseded"))),
@@ -82,10 +94,9 @@ def errors(changes: DataFrame, units: DataFrame, pages: DataFrame, chunks: DataF
         found(edits.join(ids, "page_id", "left_anti"), say("target page not found", "page_id")),
         found(changes.where("type = 'modify'").withColumn("bad", bad_impact).where("bad is not null"), F.col("bad")),
         found(sections.where(~has_section(F.col("body"), F.coalesce("section", F.lit("")))), say("target section not found", "section")),
-        found(sources.where(F.contains("source", F.lit(":c"))).join(chunk_ids, "source", "left_anti"), say("unresolved derived source", "source")),
+        found(no_chunk, F.concat("what", F.lit(" "), F.coalesce("source", F.lit("undefined")))),
         found(sources.where(~F.contains("source", F.lit(":c"))).join(units.select("patch_id", F.col("unit_id").alias("source")), ["patch_id", "source"], "left_anti"), say("unresolved derived source", "source")),
         found(whole, F.lit("invalid lineage sourcePageId")),
-        found(unit_chunks.join(chunk_ids, "source", "left_anti"), say("unresolved lineage source", "source")),
     ]
     out = parts[0]
     for part in parts[1:]:

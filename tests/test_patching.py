@@ -121,3 +121,15 @@ def test_random_edits(spark, seed):
     table = spark.createDataFrame(rows, "k int, body string, op string, name string, content string")
     found = table.select("k", edited(F.col("body"), F.col("op"), F.col("name"), F.col("content")).alias("out"), has_section(F.col("body"), F.col("name")).alias("has")).orderBy("k").collect()
     assert [(x["out"], x["has"]) for x in found] == want
+
+
+def test_errors_need_only_the_chunks_of_pages_that_patches_name(spark):
+    from tessera.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    pages, (changes, units) = tables.vault(spark, sf), tables.patches(tables.table(spark, sf, "documents"))
+    ids = patching.named_pages(changes, units)
+    assert 0 < ids.count() < pages.count() / 5
+    none = spark.createDataFrame([], "page_id string")
+    some, whole = (chunks.chunks(p) for p in (pages.join(ids, "page_id", "left_semi"), pages))
+    assert sorted(map(repr, patching.errors(changes, units, pages, some, none).collect())) == sorted(map(repr, patching.errors(changes, units, pages, whole, none).collect()))
