@@ -4,11 +4,14 @@ A document's set holds its distinct shingles of `width` words, as 64-bit hashes;
 documents link when PERCENT * |union| <= 100 * |intersection|. Documents with equal sets are one class, numbered by 64
 bits of the set's digest; a table with two sets of one number (their other 64 bits tell) is numbered anew.
 
-1. Partitions of similar documents: sets are cut by hash into k parts, more than the number of elements in which linked
-   sets of that size may differ, so linked sets agree on a part. Each class sends its parts' hashes, packed, to where
-   equal ones meet; what meets is joined to the smallest class there (no pairs are made), and connected classes are one
-   group, outside which no set reaches the bound. A part without elements is sent only where so many are empty that
-   they could be all the agreement there is.
+1. Partitions of similar documents: sets are cut by hash into k parts, more than the number d of elements in which linked
+   sets of that size may differ, so linked sets agree on k - d parts. Each class sends its parts' hashes, packed, to where
+   equal ones meet, and counts how many another class has: with fewer than k - d, but for its empty parts, it links with
+   none. Of the classes that are left, those whose shingles other classes have (any of them, together) do not reach the
+   bound leave, too. So documents that only share passages go before groups are made. The parts of what is left meet
+   again; what meets is joined to the smallest class there (no pairs are made), and connected classes are one group,
+   outside which no set reaches the bound. A part without elements is sent only where so many are empty that they could
+   be all the agreement there is.
 2. A group is cut into chunks of about CHUNK shingles. In a chunk documents are taken one by one; each partition found
    so far has its token union as a row of the matrix. Of a set that reaches the bound on a row, one of any
    |set| - need + 1 tokens lies in that row, so the rarest tokens name the rows to look at; how much of the set lies in
@@ -20,8 +23,9 @@ bits of the set's digest; a table with two sets of one number (their other 64 bi
    documents that reach this bound are dealt to blocks, each block is a matrix, and all that is left of the group
    queries it in slices: a query opens the partitions that qualify and joins none to the matrix.
 
-Texts are shingled in one pass that gives set sizes, numbers and parts together, and travel once more for those in a
-group. The number of tasks follows the table's size.
+Texts are shingled in one pass that gives set sizes, numbers and parts together, and travel once more to find those that
+may link, which are stored. What tasks count for a class goes packed to the task that sums it up. The number of tasks
+follows the table's size.
 
 Cases: null, empty and word-free texts have an empty set and link with nothing; repeated rows and equal texts share a
 class; rows that share a key with different texts are compared each, and may be of different components; ties and very
@@ -76,14 +80,18 @@ def number(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16, key=b"%d" % seed).digest(), np.int64).tolist())
 
 
-def part_hashes(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the parts that any linked set shares one of, and whose they are; the sets have elements."""
+def part_hashes(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the parts, whose they are, whether of the set's next band, and each set's need; the sets have elements.
+
+    Of a set's hashes of one of its two bands (own, next), any linked set has at least as many as the set needs there:
+    the lower and the upper 32 bits of `need`.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     high, element = flat >> np.uint64(32), mixed(flat + MIX)
     own = np.floor(np.log(np.maximum(sizes, 1)) / math.log(100 / percent) + 1e-9).astype(np.int64)
-    found, whose = [], []
-    for band in (own, own + 1):  # of two sets that may link, one's own band is one of both
+    found, whose, later, need = [], [], [], np.zeros(len(sets), np.int64)
+    for nth, band in enumerate((own, own + 1)):  # of two sets that may link, one's own band is one of both
         most = (100 / percent) ** (band + 1) + 1
         d = ((100 - percent) / (100 + percent) * 2 * most).astype(np.int64)
         k = d + 3 + d // 10
@@ -98,7 +106,76 @@ def part_hashes(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nd
         sent = (count > 0) | (empty >= k - d)[of]
         found.append(sig[sent])
         whose.append(of[sent])
-    return np.concatenate(found), np.concatenate(whose)
+        later.append(np.full(len(whose[-1]), bool(nth)))
+        need += np.maximum(1, k - d - empty) << (32 * nth)  # an empty part may agree unseen
+    return np.concatenate(found), np.concatenate(whose), np.concatenate(later), need
+
+
+class _Mail:
+    """Part hashes, held until they are packed by the task where equal ones meet."""
+
+    def __init__(self, tasks: int):
+        self.tasks, self.held, self.size = tasks, [], 0
+
+    def add(self, sig: np.ndarray, own: np.ndarray, later: np.ndarray) -> None:
+        self.held.append((sig, own, later))
+        self.size += len(sig)
+
+    def packed(self) -> tuple[list[int], list[bytes]]:
+        sig, own, later = map(np.concatenate, zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        to = (sig % np.uint64(self.tasks)).astype(np.int64)
+        order, cut, some = _dealt(to, self.tasks)
+        sig, own, later = sig[order], own[order], later[order]
+        return some, [sig[x:y].tobytes() + own[x:y].tobytes() + np.packbits(later[x:y]).tobytes() for k in some for x, y in [(cut[k], cut[k + 1])]]
+
+    @staticmethod
+    def opened(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct (hash, class, whether of the next band), in order of hash and class."""
+        sig, own, later = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for p in payloads:
+            m = len(p) * 8 // 129
+            sig.append(np.frombuffer(p, np.uint64, m))
+            own.append(np.frombuffer(p, np.int64, m, 8 * m))
+            later.append(np.unpackbits(np.frombuffer(p, np.uint8, -1, 16 * m), count=m).astype(bool) if m else later[0])
+        sig, own, later = np.concatenate(sig), np.concatenate(own), np.concatenate(later)
+        order = np.lexsort((own, sig))
+        sig, own, later = sig[order], own[order], later[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
+        return sig[new], own[new], later[new]
+
+
+def _dealt(to: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The order by task, where each task's entries begin in it, and the tasks that have any."""
+    order = np.argsort(to, kind="stable")
+    cut = np.searchsorted(to[order], np.arange(tasks + 1))
+    return order, cut, np.flatnonzero(np.diff(cut)).tolist()
+
+
+def _tallies(name: np.ndarray, count: np.ndarray, tasks: int) -> tuple[list[int], list[bytes]]:
+    """Counts of classes, packed for the tasks that sum them up."""
+    order, cut, some = _dealt(name % tasks, tasks)
+    name, count = name[order], count[order]
+    return some, [name[cut[k] : cut[k + 1]].tobytes() + count[cut[k] : cut[k + 1]].tobytes() for k in some]
+
+
+def _totals(sent: DataFrame, tasks: int) -> DataFrame:
+    """(class, count) of the tallies (task, payload)."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for b in batches:
+            for p in b.column(1).to_pylist():
+                both = np.frombuffer(p, np.int64).reshape(2, -1)
+                names.append(both[0])
+                counts.append(both[1])
+        name, at = np.unique(np.concatenate(names), return_inverse=True)
+        count = np.zeros(len(name), np.int64)
+        np.add.at(count, at, np.concatenate(counts))
+        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(count)], ["class", "count"])
+
+    return sent.select("task", "payload").repartition(tasks, "task").mapInArrow(tidy(total), "class long, count long")
 
 
 def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -228,31 +305,21 @@ def _compared(rows: DataFrame, by: list[str], width: int, percent: int, tasks: i
 
 
 def _described(narrow: DataFrame, width: int, percent: int, seed: int, tasks: int) -> DataFrame:
-    """(id, n, class, more) of every row, and (class, more = null, id = smallest class it meets) of classes that share a part."""
+    """(id, n, class, more) of every row, with `need` of part_hashes in one row of a class at least; and tallies (task, payload) of the parts that another class has."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        sigs: list[np.ndarray] = []
-        who: list[np.ndarray] = []
-        held = turn = 0
-
-        def packed() -> tuple[list[int], list[bytes]]:
-            nonlocal sigs, who, held
-            sig, own = np.concatenate(sigs), np.concatenate(who)
-            sigs, who, held = [], [], 0
-            order = np.argsort(sig % np.uint64(tasks), kind="stable")
-            sig, own = sig[order], own[order]
-            cut = np.searchsorted(sig % np.uint64(tasks), np.arange(tasks + 1, dtype=np.uint64))
-            to = np.flatnonzero(np.diff(cut)).tolist()
-            return to, [np.concatenate([sig[cut[k] : cut[k + 1]], own[cut[k] : cut[k + 1]].view(np.uint64)]).tobytes() for k in to]
-
-        def rows(task, ids=None, n=None, own=None, more=None, payload=None) -> pa.RecordBatch:
+        mail = _Mail(tasks)
+        turn = 0
+
+        def rows(task, ids=None, n=None, own=None, more=None, need=None, payload=None) -> pa.RecordBatch:
             m = len(task)
             column = lambda x, kind: pa.nulls(m, kind) if x is None else x if isinstance(x, pa.Array) else pa.array(x, kind)
-            return pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), column(ids, pa.int64()), column(n, pa.int64()), column(own, pa.int64()), column(more, pa.int64()), column(payload, pa.binary())], ["task", "id", "n", "class", "more", "payload"])
+            longs = [column(x, pa.int64()) for x in (ids, n, own, more, need)]
+            return pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), *longs, column(payload, pa.binary())], ["task", "id", "n", "class", "more", "need", "payload"])
 
         for b in batches:
-            sizes, names = [], []
+            sizes, names, needs = [], [], []
             keyed = b.column(0).is_valid().to_pylist()
             for found in shingle_sets(b.column(1), width):
                 new = []
@@ -260,62 +327,108 @@ def _described(narrow: DataFrame, width: int, percent: int, seed: int, tasks: in
                     name = number(s, seed)
                     if len(s) and keyed[len(sizes)] and name[0] not in sent:
                         sent.add(name[0])
-                        new.append((s, name[0]))
+                        new.append((s, name[0], len(sizes)))
                     sizes.append(len(s))
                     names.append(name)
+                    needs.append(None)
                 if new:
-                    sig, of = part_hashes([s for s, _ in new], percent)
-                    sigs.append(sig)
-                    who.append(np.array([c for _, c in new], np.int64)[of])
-                    held += len(sig)
-                if held > PACKED:
-                    to, data = packed()
+                    sig, of, later, need = part_hashes([s for s, _, _ in new], percent)
+                    mail.add(sig, np.array([c for _, c, _ in new], np.int64)[of], later)
+                    for (_, _, i), x in zip(new, need.tolist(), strict=True):
+                        needs[i] = x
+                if mail.size > PACKED:
+                    to, data = mail.packed()
                     yield rows(to, payload=data)
             if len(sent) > 1_000_000:
                 sent.clear()
             m = b.num_rows
-            yield rows([(turn + i) % tasks for i in range(m)], b.column(0), sizes, [c for c, _ in names], [x for _, x in names])
+            yield rows([(turn + i) % tasks for i in range(m)], b.column(0), sizes, [c for c, _ in names], [x for _, x in names], needs)
             turn += m
-        if held:
-            to, data = packed()
+        if mail.size:
+            to, data = mail.packed()
             yield rows(to, payload=data)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        payloads: list[bytes] = []
+        names = ["id", "n", "class", "more", "need", "task", "payload"]
+        for b in batches:
+            b = b.select(names)
+            if b.column(6).null_count:
+                own = b.filter(b.column(6).is_null())
+                yield pa.RecordBatch.from_arrays([*own.columns[:5], pa.nulls(own.num_rows, pa.int32()), own.column(6)], names)
+            payloads += b.column(6).drop_null().to_pylist()
+        sig, own, later = _Mail.opened(payloads)
+        _, shared = _shared(sig, own)
+        name, at = np.unique(own[shared], return_inverse=True)
+        later = later[shared]
+        met = [np.bincount(at[x], minlength=len(name)).astype(np.int64) for x in (~later, later)]
+        to, data = _tallies(name, met[0] + (met[1] << 32), tasks)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(to), pa.int64())] * 5, pa.array(to, pa.int32()), pa.array(data, pa.binary())], names)
+
+    out = narrow.mapInArrow(tidy(describe), "task int, id long, n long, class long, more long, need long, payload binary").repartition(tasks, "task")
+    return stored(out.mapInArrow(tidy(count), "id long, n long, class long, more long, need long, task int, payload binary"))
+
+
+def _likely(narrow: DataFrame, reps: DataFrame, tallies: DataFrame, width: int, percent: int, seed: int, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """(id, class, n, t) of the classes that have as many parts in common with others as a link asks for; (class) of those whose shingles others have as it asks for, too."""
+
+    def of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows that share a key, those of the class that the key stands for."""
+        for b in batches:
+            found = [number(s, seed)[0] for sets in shingle_sets(b.column(b.schema.get_field_index("t")), width) for s in sets]
+            yield b.filter(pa.array(np.array(found, np.int64) == b.column(b.schema.get_field_index("class")).to_numpy(), pa.bool_()))
+
+    half = lambda c: F.struct(F.col(c).bitwiseAND((1 << 32) - 1).alias("own"), F.shiftright(c, 32).alias("next"))
+    both = reps.join(_totals(tallies, tasks), "class").withColumn("has", half("count")).withColumn("asks", half("need"))
+    rows = both.where("has.own >= asks.own or has.next >= asks.next").select("id", "class", "n").join(narrow, "id")
+    rows = stored(rows.mapInArrow(tidy(of_class), rows.schema))
+    size = rows.agg(F.sum("n")).first()[0] or 0
+    spread = F.lit(max(1, -(-size // PACKED))).alias("spread")
+    one = rows.select(F.lit(0).cast("long").alias("root"), F.col("class").alias("part"), "class", F.lit(True).alias("minor"), spread, "t")
+    enough = rows.select("class", "n").distinct().join(_overlaps(one, width, tasks), "class").where(F.col("overlap") >= F.ceil(F.col("n") * percent / 100))
+    return rows, stored(enough.select("class"))
+
+
+def _met(rows: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
+    """(class, least): classes of rows (class, t) that share a part, each with the smallest class that it meets in a task."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mail = _Mail(tasks)
+
+        def flush() -> pa.RecordBatch:
+            to, data = mail.packed()
+            return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(data, pa.binary())], ["task", "payload"])
+
         for b in batches:
-            b = b.select(["id", "n", "class", "more", "payload"])
-            data = b.column(4)
-            if data.null_count:
-                yield b.filter(data.is_null()).select(["id", "n", "class", "more"])
-            for p in data.drop_null().to_pylist():
-                sigs.append(np.frombuffer(p, np.uint64, len(p) // 16))
-                who.append(np.frombuffer(p, np.int64, len(p) // 16, len(p) // 2))
-        sig, own = np.concatenate(sigs), np.concatenate(who)
-        order = np.argsort(sig, kind="stable")
-        sig, own = sig[order], own[order]
+            own, at = b.column(0).to_numpy(), 0
+            for sets in shingle_sets(b.column(1), width):
+                sig, of, later, _ = part_hashes(sets, percent)
+                mail.add(sig, own[at + of], later)
+                at += len(sets)
+                if mail.size > PACKED:
+                    yield flush()
+        if mail.size:
+            yield flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, own, _ = _Mail.opened([p for b in batches for p in b.column(1).to_pylist()])
         same = sig[1:] == sig[:-1]
         a, b = local_forest(own[1:][same], own[:-1][same])
-        yield pa.RecordBatch.from_arrays([pa.array(b), pa.nulls(len(a), pa.int64()), pa.array(a), pa.nulls(len(a), pa.int64())], ["id", "n", "class", "more"])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["class", "least"])
 
-    out = narrow.mapInArrow(tidy(describe), "task int, id long, n long, class long, more long, payload binary").repartition(tasks, "task")
-    return stored(out.mapInArrow(tidy(meet), "id long, n long, class long, more long"))
+    sent = rows.select("class", "t").mapInArrow(tidy(send), "task int, payload binary").repartition(tasks, "task")
+    return sent.mapInArrow(tidy(meet), "class long, least long")
 
 
-def _linked(narrow: DataFrame, groups: DataFrame, reps: DataFrame, width: int, percent: int, seed: int, tasks: int) -> DataFrame:
-    """(node, root) of the linked classes: every class but the smallest of its component."""
-    spark = narrow.sparkSession
+def _linked(likely: DataFrame, groups: DataFrame, reps: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
+    """(node, root) of the linked classes: every class but the smallest of its component. likely: (id, class, n, t), deleted once its rows of groups are kept."""
+    spark = likely.sparkSession
     members = reps.join(groups, "class")
     sizes = members.groupBy("root").agg(F.sum("n").alias("size")).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
     placed = members.join(sizes.select("root", "chunks"), "root").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
 
-    def of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows that share a key, those of the class that the key stands for."""
-        for b in batches:
-            found = [number(s, seed)[0] for sets in shingle_sets(b.column(b.schema.get_field_index("t")), width) for s in sets]
-            yield b.filter(pa.array(np.array(found, np.int64) == b.column(b.schema.get_field_index("class")).to_numpy(), pa.bool_()))
-
-    inside = placed.select("id", "class", "n", "root", "chunks", "chunk").join(narrow, "id")
-    inside = stored(inside.mapInArrow(tidy(of_class), inside.schema))
+    inside = stored(placed.select("class", "root", "chunks", "chunk").join(likely, "class").select("id", "class", "n", "root", "chunks", "chunk", "t"))
+    discard(spark, likely)
     found = stored(_compared(inside, ["root", "chunk"], width, percent, tasks))
     swept(spark)
     wide = inside.where("chunks > 1")
@@ -406,9 +519,11 @@ def _overlaps(rows: DataFrame, width: int, tasks: int) -> DataFrame:
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners = [np.zeros(0, np.uint32)], [np.zeros((0, 2), np.int64)]
+        names, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for b in batches:
             told = b.filter(b.column(1).is_null())
-            yield pa.RecordBatch.from_arrays([told.column(2), told.column(3)], ["class", "overlap"])
+            names.append(told.column(2).to_numpy())
+            counts.append(told.column(3).to_numpy())
             for p in b.column(1).drop_null().to_pylist():
                 m = int(np.frombuffer(p, "<u4", 1)[0])  # (partition, class) pairs, then keys, then each key's pair
                 n = (len(p) - 4 - 16 * m) // 8
@@ -419,10 +534,11 @@ def _overlaps(rows: DataFrame, width: int, tasks: int) -> DataFrame:
         key, part, name = key[order], part[order], name[order]
         _, shared = _shared(key, part)
         counted, n = np.unique(name[shared & (name != 0)], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(counted, pa.int64()), pa.array(n, pa.int64())], ["class", "overlap"])
+        to, data = _tallies(np.concatenate([*names, counted]), np.concatenate([*counts, n]), tasks)
+        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(data, pa.binary())], ["task", "payload"])
 
     sent = rows.select("root", "part", "class", "minor", "spread", "t").mapInArrow(tidy(send), "task int, payload binary, class long, overlap long").repartition(tasks, "task")
-    return sent.mapInArrow(tidy(add_up), "class long, overlap long").groupBy("class").agg(F.sum("overlap").alias("overlap"))
+    return _totals(sent.mapInArrow(tidy(add_up), "task int, payload binary"), tasks).withColumnRenamed("count", "overlap")
 
 
 def _shared(key: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -480,13 +596,15 @@ def clusters(docs: DataFrame, text: str = "text", key: str = "doc_id", width: in
         described = _described(narrow, width, percent, seed, tasks)
         swept(docs.sparkSession)  # the parts' messages have met
         measured = described.where("n is not null")
-        reps = stored(measured.where("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("more").alias("lo"), F.max("more").alias("hi")))
+        reps = stored(measured.where("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("need").alias("need"), F.min("more").alias("lo"), F.max("more").alias("hi")))
         if reps.where("lo <> hi").isEmpty():
             break
         seed += 1  # two sets have one number
-    met = components(described.where("n is null"), "class", "id")
+    likely, enough = _likely(narrow, reps, described.where("n is null"), width, percent, seed, tasks)
+    swept(docs.sparkSession)
+    met = components(_met(likely.join(enough, "class", "left_semi"), width, percent, tasks), "class", "least")
     groups = met.select(F.col("node").alias("class"), "root").unionByName(met.select(F.col("root").alias("class"), "root").distinct())
-    roots = _linked(narrow, groups, reps.select("class", "id", "n"), width, percent, seed, tasks)
+    roots = _linked(likely, groups, reps.select("class", "id", "n"), width, percent, tasks)
     named = reps.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "id", F.coalesce("root", "class").alias("root"))
     smallest = named.groupBy("root").agg(F.min("id").alias("component"))
     labels = named.join(smallest, "root").select("class", "component")

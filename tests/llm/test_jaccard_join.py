@@ -117,3 +117,50 @@ def test_suffix_dedup_equals_brute_force(spark):
         expected[i] = (len(b), sum(gone), len(gone.decode("latin1").replace("\0", " ").split()))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"]) for x in suffix_dedup.report(docs).collect()} == expected
+
+
+def test_texts_that_only_share_passages_are_in_no_group(spark, monkeypatch):
+    """A passage that many texts have makes up .6 of each; links ask for .8."""
+    r = random.Random(8)
+    fresh = lambda n: [f"x{r.randrange(10**9)}" for _ in range(n)]
+    passages = [fresh(124) for _ in range(2)]
+    rows = [(i, " ".join(passages[i % 2] + fresh(80))) for i in range(60)]
+    alone = fresh(184)
+    rows += [(60, " ".join(alone)), (61, " ".join(alone[:170] + fresh(14))), (62, " ".join(passages[0] + fresh(20))), (63, " ".join(passages[0] + fresh(20)))]
+    seen, linked = [], jaccard_join._linked
+
+    def spied(likely, groups, *rest):
+        seen.append(groups.count())
+        return linked(likely, groups, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_linked", spied)
+    found = jaccard_join.clusters(spark.createDataFrame(rows, "doc_id long, text string"), width=5, percent=80)
+    assert {x["doc_id"]: x["component_id"] for x in found.collect() if x["doc_id"] != x["component_id"]} == {61: 60}
+    assert seen[0] <= 4  # before, all 64: each has a part in common with some other
+
+
+def test_rows_of_counts_do_not_follow_classes_times_tasks(spark):
+    """What tasks count for a class is packed: rows follow the tasks."""
+    rows = [(0, c, c, True, 8, " ".join(f"w{k}" for k in range(60)) + f" own{c}") for c in range(1, 301)]
+    frame = spark.createDataFrame(rows, "root long, part long, class long, minor boolean, spread int, t string")
+    got = {x["class"]: x["overlap"] for x in jaccard_join._overlaps(frame, 4, 8).collect()}
+    assert got == {c: 57 for c in range(1, 301)}
+    sent = spark.createDataFrame([(t, p) for t, p in zip(*jaccard_join._tallies(np.arange(-150, 150), np.full(300, 5), 8), strict=True)], "task int, payload binary")
+    assert sent.count() == 8
+    assert {tuple(x) for x in jaccard_join._totals(sent.unionByName(sent), 8).collect()} == {(c, 10) for c in range(-150, 150)}
+
+
+def test_linked_sets_have_as_many_parts_in_common_as_they_need():
+    r = np.random.default_rng(9)
+    for percent in (80, 85):
+        for n in [1, 2, 3, 5, 8, 9, 13, 40, 150, 700]:
+            for _ in range(30):
+                a = r.integers(0, 1 << 63, n, dtype=np.uint64)
+                cut, more = int(r.integers(0, n // 5 + 1)), int(r.integers(0, n // 5 + 2))
+                a, b = np.unique(a), np.unique(np.concatenate([a[cut:], r.integers(0, 1 << 63, more, dtype=np.uint64)]))
+                if not jaccard_join.links(a, b, percent):
+                    continue
+                sig, of, later, need = jaccard_join.part_hashes([a, b], percent)
+                for me in (0, 1):
+                    met = np.isin(sig, sig[of != me]) & (of == me)
+                    assert any(np.count_nonzero(met & (later == bool(k))) >= int(need[me]) >> (32 * k) & 0xFFFFFFFF for k in (0, 1))
