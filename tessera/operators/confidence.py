@@ -50,6 +50,26 @@ def state(ledger: DataFrame, now: Column, page_types: DataFrame | None = None) -
     column of the ledger that is the same in all rows of a page.
     """
     ledger = ledger.withColumn("as_of", now)
+    facts = _facts(ledger, page_types)
+    score, strength, penalty, decay, boost, anchor = _score("as_of", "boost")
+    seconds = lambda c: F.floor(c / 1_000_000).cast("long")
+    return facts.select(
+        "page_id",
+        js_round(score, 4).alias("score"),
+        js_round(strength, 4).alias("source_strength"),
+        js_round(penalty, 4).alias("contradiction_penalty"),
+        js_round(decay, 4).alias("time_decay"),
+        js_round(boost, 4).alias("verification_boost"),
+        F.coalesce("source_count", F.lit(0)).cast("long").alias("source_count"),
+        (F.col("majors") + F.col("minors")).alias("contradiction_count"),
+        seconds(F.col("last_verified")).alias("last_verified_at"),
+        seconds(anchor).alias("anchor"),
+        (F.col("superseded") > 0).alias("superseded"),
+    )
+
+
+def _facts(ledger: DataFrame, page_types: DataFrame | None, ends: DataFrame | None = None) -> DataFrame:
+    """Per page what its ledger, which has a column as_of, says: weights, counts, last times, the boost as of then and, with `ends` (page_id, last_at), at the last event."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     verified = F.col("kind") == "verified"
     # sources: the last weight of each that was not removed since, then their sum
@@ -61,10 +81,12 @@ def state(ledger: DataFrame, now: Column, page_types: DataFrame | None = None) -
     # a verification resets the anchor when the last one of its kind that did is old enough; one time per value is enough
     by_agent = F.coalesce(F.col("verifier_type") == "agent", F.lit(False)) if "verifier_type" in ledger.columns else F.lit(False)
     rules = ledger.where(verified).select("page_id", at.alias("at"), "ts", "as_of", verifier(F.col("actor_id"), by_agent).alias("rule")).select("page_id", "at", "ts", "as_of", "rule.*")
-    boosts = rules.groupBy("page_id").agg(F.sum(F.when(days_between(F.col("ts"), F.col("as_of")) <= BOOST_DAYS, F.col("boost")).otherwise(0)).alias("boost"), F.max(F.when(F.col("days") == 0, F.col("at"))).alias("last_free"))
-    times = rules.where("days > 0").select("page_id", "who", "days", "at").distinct().groupBy("page_id", "who", "days").agg(F.array_sort(F.collect_list("at")).alias("times"))
+    lasting = lambda t: F.sum(F.when(days_between(F.col("ts"), F.col(t)) <= BOOST_DAYS, F.col("boost")).otherwise(0))
+    boosted, then = (rules, []) if ends is None else (rules.join(ends, "page_id"), [lasting("last_at").alias("boost_at_last")])
+    boosts = boosted.groupBy("page_id").agg(lasting("as_of").alias("boost"), *then, F.max(F.when(F.col("days") == 0, F.col("at"))).alias("last_free"))
+    spaced = rules.where("days > 0").select("page_id", "who", "days", "at").distinct().groupBy("page_id", "who", "days").agg(F.array_sort(F.collect_list("at")).alias("times"))
     reset = F.aggregate("times", F.lit(None).cast("long"), lambda a, x: F.when(a.isNull() | (x - a >= F.col("days") * F.lit(_DAY)), x).otherwise(a))
-    resets = times.select("page_id", reset.alias("at")).groupBy("page_id").agg(F.max("at").alias("last_spaced"))
+    resets = spaced.select("page_id", reset.alias("at")).groupBy("page_id").agg(F.max("at").alias("last_spaced"))
     overrides = F.col("kind") == "manual_override"
     base = F.max_by("new_base", F.when(overrides, F.struct("ts", "seq"))) if "new_base" in ledger.columns else F.lit(None).cast("double")
     sums = ledger.groupBy("page_id").agg(
@@ -75,36 +97,30 @@ def state(ledger: DataFrame, now: Column, page_types: DataFrame | None = None) -
         F.count_if(F.col("kind") == "superseded_by").alias("superseded"),
         base.alias("base"),
         F.max("as_of").alias("as_of"),
+        F.max("ts").alias("last_at"),
+        F.max(F.when(F.col("kind") == "decay_checkpoint", F.col("ts"))).alias("checkpoint_at"),
     )
     all_of = sums.join(weights, "page_id", "left").join(boosts, "page_id", "left").join(resets, "page_id", "left").withColumn("last_verified", F.greatest("last_free", "last_spaced"))
+    if page_types is None:
+        return all_of.withColumn("page_type", F.lit(None).cast("string"))
+    return all_of.join(page_types.select("page_id", "page_type"), "page_id", "left")
+
+
+def _score(as_of: str, boosts: str) -> tuple[Column, ...]:
+    """(score, strength, penalty, decay, boost, anchor) of rows of _facts, by its columns of a time and of the boosts that last until then."""
     half_life, ceiling = F.lit(HALF_LIFE), F.lit(CEILING)
-    if page_types is not None:
-        all_of = all_of.join(page_types.select("page_id", "page_type"), "page_id", "left")
-        for name, (days, most) in PROFILES.items():
-            half_life = F.when(F.col("page_type") == name, days).otherwise(half_life)
-            ceiling = F.when(F.col("page_type") == name, most).otherwise(ceiling)
+    for name, (days, most) in PROFILES.items():
+        half_life = F.when(F.col("page_type") == name, days).otherwise(half_life)
+        ceiling = F.when(F.col("page_type") == name, most).otherwise(ceiling)
     anchor = F.coalesce(F.greatest("last_verified", "last_other"), F.col("last_event"))
-    age = F.greatest(F.lit(0.0), (F.unix_micros(F.col("as_of").cast("timestamp")) - anchor) / F.lit(float(_DAY)))
+    age = F.greatest(F.lit(0.0), (F.unix_micros(F.col(as_of).cast("timestamp")) - anchor) / F.lit(float(_DAY)))
     strength = 1 - F.exp(-F.coalesce("weight", F.lit(0.0)) / SCALE)
     penalty = F.least(F.lit(MOST_PENALTY), F.col("majors") * MAJOR + F.col("minors") * MINOR + F.col("superseded") * SUPERSEDED)
-    boost = F.least(F.lit(MOST_BOOST), F.coalesce("boost", F.lit(0)) / 100)
+    boost = F.least(F.lit(MOST_BOOST), F.coalesce(boosts, F.lit(0)) / 100)
     decay = (1 - F.pow(F.lit(2.0), -age / half_life)) * ceiling
-    seconds = lambda c: F.floor(c / 1_000_000).cast("long")
     score = clamp01(F.coalesce("base", F.lit(START)) + strength - penalty - decay + boost)
     score = F.when(F.col("superseded") > 0, F.least(score, F.lit(SUPERSEDED_MOST))).otherwise(score)
-    return all_of.select(
-        "page_id",
-        js_round(score, 4).alias("score"),
-        js_round(strength, 4).alias("source_strength"),
-        js_round(penalty, 4).alias("contradiction_penalty"),
-        js_round(decay, 4).alias("time_decay"),
-        js_round(boost, 4).alias("verification_boost"),
-        F.coalesce("source_count", F.lit(0)).cast("long").alias("source_count"),
-        (F.col("majors") + F.col("minors")).alias("contradiction_count"),
-        seconds(F.col("last_verified")).alias("last_verified_at"),
-        seconds(anchor).alias("anchor"),
-        (F.col("superseded") > 0).alias("superseded"),
-    )
+    return score, strength, penalty, decay, boost, anchor
 
 
 def freshness(ledger: DataFrame, now: Column) -> DataFrame:
@@ -145,10 +161,11 @@ def decay_checkpoints(ledger: DataFrame, now: str, page_types: DataFrame | None
     (id, page_id, ts, kind, days_since_last_event, applied_decay). When they are added, the same call gives none.
     """
     then = F.lit(now).cast("timestamp_ntz")
-    last = ledger.groupBy("page_id").agg(F.max("ts").alias("last_at"), F.max(F.when(F.col("kind") == "decay_checkpoint", F.col("ts"))).alias("checkpoint_at"))
-    before = state(ledger.join(last.select("page_id", "last_at"), "page_id"), F.col("last_at"), page_types).select("page_id", F.col("score").alias("before"))
-    after = state(ledger, then, page_types).select("page_id", F.col("score").alias("after"))
-    rows = last.join(before, "page_id").join(after, "page_id")
+    last = ledger.groupBy("page_id").agg(F.max("ts").alias("last_at"))
+    # the ledger is folded once; the two scores differ in their time and the boosts that last until then
+    facts = _facts(ledger.withColumn("as_of", then), page_types, last)
+    before, after = (js_round(_score(*at)[0], 4) for at in (("last_at", "boost_at_last"), ("as_of", "boost")))
+    rows = facts.select("page_id", "last_at", "checkpoint_at", before.alias("before"), after.alias("after"))
     crossed = F.lit(False)
     for threshold in THRESHOLDS:
         crossed = crossed | ((F.col("before") >= threshold) & (F.col("after") < threshold))

@@ -134,3 +134,25 @@ def test_freshest_and_united(spark):
     projected = spark.createDataFrame([line("old", 1, "manual_override", base=0.2), line("old", 2, "source_added", "a", 0.0)], COLUMNS)
     both = confidence.united(ledger, projected)
     assert both.count() == 4 and both.where("page_id = 'old' and seq = 1").first()["new_base"] == 0.9
+
+
+def test_decay_checkpoints_fold_the_ledger_once(spark):
+    """Both scores come from one fold, and are those of two."""
+    import random
+
+    r = random.Random(15)
+    rows = []
+    for p in range(60):
+        for seq in range(r.randint(1, 9)):
+            kind = r.choice(["source_added", "verified", "verified", "contradicted_by", "manual_override"])
+            ts = NOW - datetime.timedelta(hours=r.randint(0, 4000))
+            rows.append((f"p{p}", seq, ts, kind, r.choice(list(RULES)) if kind == "verified" else None, "minor" if kind == "contradicted_by" else None, "s" if kind == "source_added" else None, 1.0 if kind == "source_added" else None, 0.7 if kind == "manual_override" else None))
+    ledger = spark.createDataFrame(rows, COLUMNS)
+    types = spark.createDataFrame([(f"p{p}", ["runbook", "note", "api"][p % 3]) for p in range(0, 60, 2)], "page_id string, page_type string")
+    found = confidence.decay_checkpoints(ledger, str(NOW), types)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
+    then = F.lit(str(NOW)).cast("timestamp_ntz")
+    last = ledger.groupBy("page_id").agg(F.max("ts").alias("last_at"))
+    before = {x["page_id"]: x["score"] for x in confidence.state(ledger.join(last, "page_id"), F.col("last_at"), types).collect()}
+    after = {x["page_id"]: x["score"] for x in confidence.state(ledger, then, types).collect()}
+    assert {x["page_id"]: x["applied_decay"] for x in found.collect()} == {p: round(max(0.0, before[p] - after[p]), 4) for p in before}
