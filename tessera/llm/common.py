@@ -70,14 +70,19 @@ def tidy(task):
     @functools.wraps(task)
     def run(batches):
         yield from task(batches)
-        pa.default_memory_pool().release_unused()
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "malloc_trim"):
-            libc.malloc_trim(0)
+        given_back()
 
     return run
 
 
+def given_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 class Numbered(dict):
     """Numbers keys as they are first looked up; `new` lists those not yet encoded."""
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, tidy, utf8
+from .common import bounded_batches, given_back, tidy, utf8
 
 SIZE = 50
 #: Bytes of an anchor.
@@ -178,7 +178,9 @@ def runs_of(raw: np.ndarray, at: np.ndarray, size: int = SIZE) -> Iterator[tuple
             end = np.minimum(end, at[doc[start] + 1] - size - x)
             ok = fits[start]
             start, end = start[ok], end[ok]
-            yield doc[start], start + x, end + x, h[start]
+            found = doc[start], start + x, end + x, h[start]
+            del block, word, h, doc, fits, new
+            yield found
         k = j
 
 
@@ -191,6 +193,35 @@ def _split(by: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(by[order], np.arange(n + 1))
 
 
+def _least_of_block(contexts: list[bytes], keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings of these contexts with one smallest key: (context, first string, last string, key). What it sorts by is freed with it."""
+    text = np.frombuffer(b"".join(contexts), np.uint8)
+    lengths = np.array([len(c) for c in contexts])
+    strings = lengths - size + 1
+    first = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(contexts)), strings)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
+    sorter = SuffixSorter(text)
+    slot = np.zeros(len(text), np.int64)
+    slot[first[owner] + nth] = np.arange(len(owner))
+    found = keys[owner]
+    for bucket in sorter.order(first[owner] + nth):
+        a, b = bucket[:-1], bucket[1:]
+        same = np.ones(len(a), bool)
+        for d in [*range(0, size - 7, 8), size - 8]:
+            same &= sorter.word[a + d] == sorter.word[b + d]
+        group = np.concatenate([[0], np.cumsum(~same)])
+        s = slot[bucket]
+        least = np.full(group[-1] + 1, LAST)
+        np.minimum.at(least, group, found[s])
+        found[s] = least[group]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(found)) - 1
+    return owner[start], nth[start], nth[end], found[start]
+
+
 def smallest_keys(contexts: list[bytes], anchors: np.ndarray, keys: np.ndarray, size: int) -> list[list[tuple[int, int, int]]]:
     """For distinct contexts with the smallest key that has each: runs (first string, last string, smallest key) of its strings."""
     out = [[(0, len(c) - size, int(k))] for c, k in zip(contexts, keys, strict=True)]
@@ -205,33 +236,10 @@ def smallest_keys(contexts: list[bytes], anchors: np.ndarray, keys: np.ndarray,
             held += sum(len(contexts[i]) for i in shared[k])
             k += 1
         members = np.concatenate(chosen)
-        text = np.frombuffer(b"".join(contexts[i] for i in members), np.uint8)
-        lengths = np.array([len(contexts[i]) for i in members])
-        strings = lengths - size + 1
-        first = np.cumsum(lengths) - lengths
-        owner = np.repeat(np.arange(len(members)), strings)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
-        sorter = SuffixSorter(text)
-        slot = np.zeros(len(text), np.int64)
-        slot[first[owner] + nth] = np.arange(len(owner))
-        found = keys[members][owner].copy()
-        for bucket in sorter.order(first[owner] + nth):
-            a, b = bucket[:-1], bucket[1:]
-            same = np.ones(len(a), bool)
-            for d in [*range(0, size - 7, 8), size - 8]:
-                same &= sorter.word[a + d] == sorter.word[b + d]
-            group = np.concatenate([[0], np.cumsum(~same)])
-            s = slot[bucket]
-            least = np.full(group[-1] + 1, LAST)
-            np.minimum.at(least, group, found[s])
-            found[s] = least[group]
-        new = np.ones(len(found), bool)
-        new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-        start = np.flatnonzero(new)
-        end = np.append(start[1:], len(found)) - 1
+        owner, first, last, found = _least_of_block([contexts[i] for i in members], keys[members], size)
         for i in members:
             out[i] = []
-        for o, a, b, m in zip(members[owner[start]].tolist(), nth[start].tolist(), nth[end].tolist(), found[start].tolist(), strict=True):
+        for o, a, b, m in zip(members[owner].tolist(), first.tolist(), last.tolist(), found.tolist(), strict=True):
             out[o].append((a, b, m))
     return out
 
@@ -373,7 +381,10 @@ def _apply(docs: DataFrame, text: str, key: str, size: int, schema: T.StructType
                 own = order[cut[b] : cut[b + 1]]
                 texts = [found[i] for i in own]
                 rows.append((b, part, np.uint32(len(own)).tobytes() + own.astype(np.uint32).tobytes() + anchor[own].tobytes() + least[own].tobytes() + np.array([len(t) for t in texts], np.uint32).tobytes() + b"".join(texts)))
-        return pa.Table.from_batches([send(rows)])
+        out = pa.Table.from_batches([send(rows)])
+        del found, anchor, least, order, rows
+        given_back()
+        return out
 
     def sort_contexts(batches):
         number: dict[bytes, int] = {}
@@ -443,7 +454,10 @@ def _apply(docs: DataFrame, text: str, key: str, size: int, schema: T.StructType
             elif p.at[i + 1] - p.at[i] >= size:
                 spans[i] = [(0, int(p.at[i + 1] - p.at[i]))]
         whole = p.raw.tobytes()
-        return schema_table([finish(left, [whole[p.at[i] : p.at[i + 1]] for i in range(len(p.keys))], spans)])
+        out = schema_table([finish(left, [whole[p.at[i] : p.at[i + 1]] for i in range(len(p.keys))], spans)])
+        del p, whole, found, rows, row, told
+        given_back()
+        return out
 
     arrow = None
 
