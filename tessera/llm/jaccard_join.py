@@ -4,14 +4,15 @@ A document's set holds its distinct shingles of `width` words, as 64-bit hashes;
 documents link when PERCENT * |union| <= 100 * |intersection|. Documents with equal sets are one class, numbered by 64
 bits of the set's digest; a table with two sets of one number (their other 64 bits tell) is numbered anew.
 
-1. Partitions of similar documents: sets are cut by hash into k parts, more than the number d of elements in which linked
-   sets of that size may differ, so linked sets agree on k - d parts. Each class sends its parts' hashes, packed, to where
-   equal ones meet, and counts how many another class has: with fewer than k - d, but for its empty parts, it links with
-   none. Of the classes that are left, those whose shingles other classes have (any of them, together) do not reach the
-   bound leave, too. So documents that only share passages go before groups are made. The parts of what is left meet
-   again; what meets is joined to the smallest class there (no pairs are made), and connected classes are one group,
-   outside which no set reaches the bound. A part without elements is sent only where so many are empty that they could
-   be all the agreement there is.
+1. Partitions of similar documents: each class sends the least of its shingles (its head, see heads()) to where equal ones
+   meet, and counts how many another class has sent, too: linked sets have a share of their heads in common, so a class
+   with fewer links with none. A shingle travels in eight bytes however many tasks there are: half its hash and half its
+   class; classes of one half stay without a count. Of the classes that are left, those whose shingles other classes have
+   (any of them, together) do not reach the bound leave, too. So documents that only share passages go before groups are
+   made. What is left is cut by hash into k parts, more than the number d of elements in which linked sets of that size
+   may differ, so linked sets agree on a part. Where parts meet, a class is joined to the smallest class there (no pairs
+   are made), and connected classes are one group, outside which no set reaches the bound. A part without elements is
+   sent only where so many are empty that they could be all the agreement there is.
 2. A group is cut into chunks of about CHUNK shingles. In a chunk documents are taken one by one; each partition found
    so far has its token union as a row of the matrix. Of a set that reaches the bound on a row, one of any
    |set| - need + 1 tokens lies in that row, so the rarest tokens name the rows to look at; how much of the set lies in
@@ -21,9 +22,10 @@ bits of the set's digest; a table with two sets of one number (their other 64 bi
    that at least halves their number. A link that is still missing joins two partitions, one end lies outside the
    largest partition, and that end overlaps with the unions of its group's other partitions by what a link needs. Only
    documents that reach this bound are dealt to blocks, each block is a matrix, and all that is left of the group
-   queries it in slices: a query opens the partitions that qualify and joins none to the matrix.
+   queries it in slices: a query opens the partitions that qualify and joins none to the matrix. Blocks come in rounds,
+   so that not all copies of the texts lie on disk at once.
 
-Texts are shingled in one pass that gives set sizes, numbers and parts together, and travel once more to find those that
+Texts are shingled in one pass that gives set sizes, numbers and heads together, and travel once more to find those that
 may link, which are stored. What tasks count for a class goes packed to the task that sums it up. The number of tasks
 follows the table's size.
 
@@ -39,6 +41,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +55,12 @@ PERCENT, WIDTH = 85, 4
 CHUNK = 1 << 17
 #: Chunks of a block, and of a slice of its queries: texts travel once per block or slice of their group.
 BLOCK = 4
-#: Bytes of the table for a task; part hashes that a task packs at a time.
+#: Blocks that a row is sent to, and slices that a block is sent to, at a time.
+COPIES = 4
+#: Bytes of the table for a task; hashes that a task packs at a time.
 TASK_BYTES, PACKED = 8 << 20, 1 << 20
+#: How a head's hashes and their classes travel.
+HALF = "<u4"
 
 
 def shingle_sets(column: pa.Array | pa.ChunkedArray, width: int = WIDTH) -> Iterator[list[np.ndarray]]:
@@ -80,6 +87,20 @@ def number(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16, key=b"%d" % seed).digest(), np.int64).tolist())
 
 
+def heads(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of its least elements a set of n sends, its head, and how many of these any set that it links with sends, too.
+
+    Sets of n and m link by at least o = percent (n + m) / (100 + percent) common elements. The l least of these are among the
+    first n - o + l of the one and m - o + l of the other. A head is one and a half times what all sets may differ by.
+    """
+    q, r = 100 - percent, 100 + percent
+    head = np.minimum(n, 3 * q * n // 200 + 1)
+    low, high = -(-percent * n // 100), 100 * n // percent  # sizes of sets that may link with one of n
+    own = head - n - (-percent * (n + low) // r)
+    other = [(3 * q * r * m - 200 * r * m + 200 * percent * (n + m)) // (200 * r) + 1 for m in (low, high)]  # linear in m but for rounding
+    return head, np.maximum(1, np.minimum(own, np.minimum(*other)))
+
+
 def part_hashes(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the parts, whose they are, whether of the set's next band, and each set's need; the sets have elements.
 
@@ -112,38 +133,35 @@ def part_hashes(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nd
 
 
 class _Mail:
-    """Part hashes, held until they are packed by the task where equal ones meet."""
+    """Hashes with their classes, held until they are packed for the task where equal ones meet; `kind` is that of both as they travel.
 
-    def __init__(self, tasks: int):
-        self.tasks, self.held, self.size = tasks, [], 0
+    Of a hash or class that travels as four bytes, these are the upper half of the hash and the lower half of the class.
+    """
+
+    def __init__(self, tasks: int, kind: str = "<u8"):
+        self.tasks, self.kind, self.held, self.size = tasks, np.dtype(kind), [], 0
 
-    def add(self, sig: np.ndarray, own: np.ndarray, later: np.ndarray) -> None:
-        self.held.append((sig, own, later))
+    def add(self, sig: np.ndarray, own: np.ndarray) -> None:
+        self.held.append((sig, own))
         self.size += len(sig)
 
     def packed(self) -> tuple[list[int], list[bytes]]:
-        sig, own, later = map(np.concatenate, zip(*self.held, strict=True))
+        sig, own = map(np.concatenate, zip(*self.held, strict=True))
         self.held, self.size = [], 0
-        to = (sig % np.uint64(self.tasks)).astype(np.int64)
-        order, cut, some = _dealt(to, self.tasks)
-        sig, own, later = sig[order], own[order], later[order]
-        return some, [sig[x:y].tobytes() + own[x:y].tobytes() + np.packbits(later[x:y]).tobytes() for k in some for x, y in [(cut[k], cut[k + 1])]]
-
-    @staticmethod
-    def opened(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct (hash, class, whether of the next band), in order of hash and class."""
-        sig, own, later = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        for p in payloads:
-            m = len(p) * 8 // 129
-            sig.append(np.frombuffer(p, np.uint64, m))
-            own.append(np.frombuffer(p, np.int64, m, 8 * m))
-            later.append(np.unpackbits(np.frombuffer(p, np.uint8, -1, 16 * m), count=m).astype(bool) if m else later[0])
-        sig, own, later = np.concatenate(sig), np.concatenate(own), np.concatenate(later)
+        order, cut, some = _dealt((sig % np.uint64(self.tasks)).astype(np.int64), self.tasks)
+        sig = (sig[order] >> np.uint64(64 - 8 * self.kind.itemsize)).astype(self.kind)
+        own = own[order].astype(self.kind)
+        return some, [sig[x:y].tobytes() + own[x:y].tobytes() for k in some for x, y in [(cut[k], cut[k + 1])]]
+
+    def opened(self, payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct (hash, class), in order of both as they travelled."""
+        both = [np.frombuffer(p, self.kind).reshape(2, -1) for p in payloads]
+        sig, own = np.concatenate([np.zeros((2, 0), self.kind), *both], axis=1)
         order = np.lexsort((own, sig))
-        sig, own, later = sig[order], own[order], later[order]
+        sig, own = sig[order], own[order]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
-        return sig[new], own[new], later[new]
+        return sig[new], own[new].astype(np.int64)
 
 
 def _dealt(to: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -305,11 +323,11 @@ def _compared(rows: DataFrame, by: list[str], width: int, percent: int, tasks: i
 
 
 def _described(narrow: DataFrame, width: int, percent: int, seed: int, tasks: int) -> DataFrame:
-    """(id, n, class, more) of every row, with `need` of part_hashes in one row of a class at least; and tallies (task, payload) of the parts that another class has."""
+    """(id, n, class, more, need) of every row, `need` being that of heads(); and tallies (task, payload), by the lower half of a class, of what another class has of heads."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        mail = _Mail(tasks)
+        mail = _Mail(tasks, HALF)
         turn = 0
 
         def rows(task, ids=None, n=None, own=None, more=None, need=None, payload=None) -> pa.RecordBatch:
@@ -319,7 +337,7 @@ def _described(narrow: DataFrame, width: int, percent: int, seed: int, tasks: in
             return pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), *longs, column(payload, pa.binary())], ["task", "id", "n", "class", "more", "need", "payload"])
 
         for b in batches:
-            sizes, names, needs = [], [], []
+            sizes, names = [], []
             keyed = b.column(0).is_valid().to_pylist()
             for found in shingle_sets(b.column(1), width):
                 new = []
@@ -327,22 +345,19 @@ def _described(narrow: DataFrame, width: int, percent: int, seed: int, tasks: in
                     name = number(s, seed)
                     if len(s) and keyed[len(sizes)] and name[0] not in sent:
                         sent.add(name[0])
-                        new.append((s, name[0], len(sizes)))
+                        new.append((s, name[0]))
                     sizes.append(len(s))
                     names.append(name)
-                    needs.append(None)
                 if new:
-                    sig, of, later, need = part_hashes([s for s, _, _ in new], percent)
-                    mail.add(sig, np.array([c for _, c, _ in new], np.int64)[of], later)
-                    for (_, _, i), x in zip(new, need.tolist(), strict=True):
-                        needs[i] = x
+                    m = heads(np.array([len(s) for s, _ in new]), percent)[0]
+                    mail.add(mixed(np.concatenate([s[:k] for (s, _), k in zip(new, m.tolist(), strict=True)])), np.repeat(np.array([c for _, c in new], np.int64), m))
                 if mail.size > PACKED:
                     to, data = mail.packed()
                     yield rows(to, payload=data)
             if len(sent) > 1_000_000:
                 sent.clear()
             m = b.num_rows
-            yield rows([(turn + i) % tasks for i in range(m)], b.column(0), sizes, [c for c, _ in names], [x for _, x in names], needs)
+            yield rows([(turn + i) % tasks for i in range(m)], b.column(0), sizes, [c for c, _ in names], [x for _, x in names], heads(np.array(sizes, np.int64), percent)[1])
             turn += m
         if mail.size:
             to, data = mail.packed()
@@ -357,12 +372,9 @@ def _described(narrow: DataFrame, width: int, percent: int, seed: int, tasks: in
                 own = b.filter(b.column(6).is_null())
                 yield pa.RecordBatch.from_arrays([*own.columns[:5], pa.nulls(own.num_rows, pa.int32()), own.column(6)], names)
             payloads += b.column(6).drop_null().to_pylist()
-        sig, own, later = _Mail.opened(payloads)
+        sig, own = _Mail(tasks, HALF).opened(payloads)
         _, shared = _shared(sig, own)
-        name, at = np.unique(own[shared], return_inverse=True)
-        later = later[shared]
-        met = [np.bincount(at[x], minlength=len(name)).astype(np.int64) for x in (~later, later)]
-        to, data = _tallies(name, met[0] + (met[1] << 32), tasks)
+        to, data = _tallies(*np.unique(own[shared], return_counts=True), tasks)
         yield pa.RecordBatch.from_arrays([*[pa.nulls(len(to), pa.int64())] * 5, pa.array(to, pa.int32()), pa.array(data, pa.binary())], names)
 
     out = narrow.mapInArrow(tidy(describe), "task int, id long, n long, class long, more long, need long, payload binary").repartition(tasks, "task")
@@ -370,7 +382,7 @@ def _described(narrow: DataFrame, width: int, percent: int, seed: int, tasks: in
 
 
 def _likely(narrow: DataFrame, reps: DataFrame, tallies: DataFrame, width: int, percent: int, seed: int, tasks: int) -> tuple[DataFrame, DataFrame]:
-    """(id, class, n, t) of the classes that have as many parts in common with others as a link asks for; (class) of those whose shingles others have as it asks for, too."""
+    """(id, class, n, t) of the classes that have as much of their heads in common with others as a link asks for; (class) of those whose shingles others have as it asks for, too."""
 
     def of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows that share a key, those of the class that the key stands for."""
@@ -378,9 +390,10 @@ def _likely(narrow: DataFrame, reps: DataFrame, tallies: DataFrame, width: int,
             found = [number(s, seed)[0] for sets in shingle_sets(b.column(b.schema.get_field_index("t")), width) for s in sets]
             yield b.filter(pa.array(np.array(found, np.int64) == b.column(b.schema.get_field_index("class")).to_numpy(), pa.bool_()))
 
-    half = lambda c: F.struct(F.col(c).bitwiseAND((1 << 32) - 1).alias("own"), F.shiftright(c, 32).alias("next"))
-    both = reps.join(_totals(tallies, tasks), "class").withColumn("has", half("count")).withColumn("asks", half("need"))
-    rows = both.where("has.own >= asks.own or has.next >= asks.next").select("id", "class", "n").join(narrow, "id")
+    halves = reps.withColumn("half", F.col("class").bitwiseAND((1 << 32) - 1))
+    alike = halves.groupBy("half").agg(F.count("*").alias("alike")).where("alike > 1")
+    both = halves.join(_totals(tallies, tasks).withColumnRenamed("class", "half"), "half", "left").join(alike, "half", "left")
+    rows = both.where("count >= need or alike > 1").select("id", "class", "n").join(narrow, "id")
     rows = stored(rows.mapInArrow(tidy(of_class), rows.schema))
     size = rows.agg(F.sum("n")).first()[0] or 0
     spread = F.lit(max(1, -(-size // PACKED))).alias("spread")
@@ -402,8 +415,8 @@ def _met(rows: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
         for b in batches:
             own, at = b.column(0).to_numpy(), 0
             for sets in shingle_sets(b.column(1), width):
-                sig, of, later, _ = part_hashes(sets, percent)
-                mail.add(sig, own[at + of], later)
+                sig, of, *_ = part_hashes(sets, percent)
+                mail.add(sig, own[at + of])
                 at += len(sets)
                 if mail.size > PACKED:
                     yield flush()
@@ -411,7 +424,7 @@ def _met(rows: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, own, _ = _Mail.opened([p for b in batches for p in b.column(1).to_pylist()])
+        sig, own = _Mail(tasks).opened([p for b in batches for p in b.column(1).to_pylist()])
         same = sig[1:] == sig[:-1]
         a, b = local_forest(own[1:][same], own[:-1][same])
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["class", "least"])
@@ -555,7 +568,8 @@ def _across(inside: DataFrame, part: DataFrame, width: int, percent: int, tasks:
 
     One end of such a link lies outside the group's largest partition, and its overlap with all other partitions
     reaches the bound. Who does not reach it leaves, and with fewer rows the bound is taken again while that helps. The
-    others are held in blocks, which all rows of their group that are left or of the largest partition query in slices.
+    others are held in blocks, which all rows of their group that are left or of the largest partition query in slices, some
+    blocks at a time: the work grows with the square of what is left, the disk does not.
     """
     spark = inside.sparkSession
     largest = part.groupBy("root", "part").agg(F.count("*").alias("m")).groupBy("root").agg(F.max_by("part", F.struct("m", "part")).alias("most"), F.count("*").alias("parts"))
@@ -580,10 +594,16 @@ def _across(inside: DataFrame, part: DataFrame, width: int, percent: int, tasks:
     counts = rows.groupBy("root").agg(F.ceil(F.sum("n") / (BLOCK * CHUNK)).cast("int").alias("slices"), F.ceil(shingles / (BLOCK * CHUNK)).cast("int").alias("blocks")).where("blocks > 0")
     rows = rows.join(counts, "root").withColumn("slice", F.pmod(F.xxhash64("class", F.lit(-2)), F.col("slices")).cast("int"))
     own = F.pmod(F.xxhash64("class", F.lit(-1)), F.col("blocks")).cast("int")
-    held = rows.where("minor").select("root", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), own.alias("block"), F.lit(False).alias("query"), "class", "t")
-    asking = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(~F.col("minor") | (own != F.col("block")))
-    asking = asking.select("root", "slice", "block", F.lit(True).alias("query"), "class", "t")
-    return _compared(held.unionByName(asking), ["root", "slice", "block"], width, percent, tasks)
+    rounds = -(-(counts.agg(F.max(F.greatest("slices", "blocks"))).first()[0] or 1) // COPIES)
+    found = []
+    for k in range(rounds):  # some blocks at a time: the copies of texts that lie in shuffles follow the rows, not their square
+        held = rows.where(F.col("minor") & (own % rounds == k)).select("root", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), own.alias("block"), F.lit(False).alias("query"), "class", "t")
+        blocks = F.sequence(F.lit(k), F.col("blocks") - 1, F.lit(rounds))
+        asking = rows.where(F.col("blocks") > k).withColumn("block", F.explode(blocks)).where(~F.col("minor") | (own != F.col("block")))
+        asking = asking.select("root", "slice", "block", F.lit(True).alias("query"), "class", "t")
+        found.append(stored(_compared(held.unionByName(asking), ["root", "slice", "block"], width, percent, tasks)))
+        swept(spark)
+    return reduce(DataFrame.unionByName, found)
 
 
 def clusters(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -594,7 +614,7 @@ def clusters(docs: DataFrame, text: str = "text", key: str = "doc_id", width: in
     seed = 0
     while True:
         described = _described(narrow, width, percent, seed, tasks)
-        swept(docs.sparkSession)  # the parts' messages have met
+        swept(docs.sparkSession)  # the heads' messages have met
         measured = described.where("n is not null")
         reps = stored(measured.where("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("need").alias("need"), F.min("more").alias("lo"), F.max("more").alias("hi")))
         if reps.where("lo <> hi").isEmpty():

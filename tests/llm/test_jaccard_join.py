@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import jaccard_join, suffix_dedup
 from tessera.llm.queries import QUERIES
@@ -164,3 +165,75 @@ def test_linked_sets_have_as_many_parts_in_common_as_they_need():
                 for me in (0, 1):
                     met = np.isin(sig, sig[of != me]) & (of == me)
                     assert any(np.count_nonzero(met & (later == bool(k))) >= int(need[me]) >> (32 * k) & 0xFFFFFFFF for k in (0, 1))
+
+
+def test_linked_sets_have_as_much_of_their_heads_in_common_as_they_need():
+    r = np.random.default_rng(10)
+    for percent in (50, 80, 85):
+        for n in [1, 2, 3, 5, 8, 9, 13, 40, 150, 700]:
+            for _ in range(30):
+                a = r.integers(0, 1 << 63, n, dtype=np.uint64)
+                cut, more = int(r.integers(0, n // 5 + 1)), int(r.integers(0, n // 5 + 2))
+                a, b = np.unique(a), np.unique(np.concatenate([a[cut:], r.integers(0, 1 << 63, more, dtype=np.uint64)]))
+                if not jaccard_join.links(a, b, percent):
+                    continue
+                head, need = jaccard_join.heads(np.array([len(a), len(b)]), percent)
+                assert len(np.intersect1d(a[: head[0]], b[: head[1]])) >= max(need) and (need >= 1).all()
+
+
+def test_classes_that_travel_as_one_are_compared(spark):
+    """A class travels as half its number: two that share this half, and of which each is all that the other links with, meet."""
+    base = [f"b{k}" for k in range(12)]
+    rows = [" ".join([*base, f"x{k}"]) for k in range(400_000)]
+    met = {}
+    for at in range(0, len(rows), 5000):
+        sets = [s for found in jaccard_join.shingle_sets(pa.array(rows[at : at + 5000])) for s in found]
+        for k, s in enumerate(sets, at):
+            half = jaccard_join.number(s)[0] & 0xFFFFFFFF
+            if half in met:
+                break
+            met[half] = k
+        else:
+            continue
+        break
+    pair = [rows[met[half]], rows[k]]
+    docs = spark.createDataFrame([(1, pair[0] + " " + pair[0]), (2, pair[0]), (3, pair[1])], "doc_id long, text string")
+    assert {(x["doc_id"], x["component_id"]) for x in jaccard_join.clusters(docs, percent=80).collect()} == {(1, 1), (2, 2), (3, 2)}
+    assert {(x["doc_id"], x["component_id"]) for x in jaccard_join.clusters(docs.where("doc_id > 1"), percent=80).collect()} == {(2, 2), (3, 2)}
+
+
+def _written(spark):
+    """Bytes of all shuffles so far."""
+    store = spark._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_what_a_shingle_sends_does_not_grow_with_the_tasks(spark):
+    r = random.Random(11)
+    rows = [(i, " ".join(f"x{r.randrange(10**9)}" for _ in range(1503))) for i in range(300)]
+    narrow = spark.createDataFrame(rows, "id long, t string").coalesce(1)
+    before = _written(spark)
+    described = jaccard_join._described(narrow, 4, 80, 0, 200)
+    assert described.where("n = 1500").count() == 300
+    assert _written(spark) - before < 3.5 * 1500 * 300  # 6.5 bytes a shingle when parts travelled with whole classes
+
+
+def test_blocks_come_in_rounds(spark, monkeypatch):
+    """Texts of two common passages and words of their own, which all reach the bound on the others together: blocks are compared some at a time."""
+    r = random.Random(12)
+    pool = [[f"p{k}_{j}" for j in range(30)] for k in range(12)]
+    rows = [(i, " ".join(w for k in sorted(r.sample(range(12), 6)) for w in pool[k])) for i in range(90)]
+    rows += [(90 + i, rows[i][1] + f" end{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes, compared = [], jaccard_join._compared
+
+    def spied(sent, by, *rest):
+        if by == ["root", "slice", "block"]:
+            sizes.append((sent.count(), sent.select("class").distinct().count()))
+        return compared(sent, by, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_compared", spied)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 300)
+    assert {tuple(x) for x in jaccard_join.clusters(docs).collect()} == brute_clusters(rows)
+    assert len(sizes) > 1 and max(n for n, _ in sizes) < 9 * max(m for _, m in sizes)
