@@ -1,5 +1,7 @@
 """The index that is kept between runs: what a run takes, what it leaves alone, and that it equals one made at once."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +124,26 @@ def test_buckets_are_written_without_a_sort_and_the_setting_is_given_back(spark,
     was = spark.conf.get(index.WRITERS)
     index.update(frame(spark, FIRST), str(tmp_path / "index"), str(tmp_path / "work"), BUCKETS, 5)
     assert seen == [was] == [spark.conf.get(index.WRITERS)] and was != str(index.OPEN)
+
+
+def test_texts_are_shuffled_twice_and_postings_never(spark, tmp_path, monkeypatch):
+    """Words that no two pages share, so that nothing packs: what a first run shuffles follows the texts, not the postings."""
+    monkeypatch.setattr(index, "OPEN", 3)  # postings of three buckets at a time
+    words = lambda k: " ".join(hashlib.sha256(f"{k} {i}".encode()).hexdigest()[:12] for i in range(1500))
+    pages = [(f"p{k}", words(k)) for k in range(40)]
+    frame(spark, pages).write.parquet(str(tmp_path / "pages"))
+    rows = spark.read.parquet(str(tmp_path / "pages"))
+
+    def written():
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    folder, work, before = str(tmp_path / "index"), str(tmp_path / "work"), written()
+    assert index.update(rows, folder, work, BUCKETS) == {"inserted": 40}
+    assert written() - before < 2.5 * sum(len(v) for _, v in pages)
+    assert index.read(spark, folder, "postings").count() == 2 * 1500 * 40
+    assert spark.read.parquet(f"{work}/changed").count() == 0  # cut up, so not kept
+    second = [(k, v + " changed" if k == "p3" else v) for k, v in pages if k != "p5"] + [("q", "new")]
+    assert index.update(frame(spark, second), folder, work, BUCKETS) == {"inserted": 1, "updated": 1, "deleted": 1, "unchanged": 38}
+    index.update(frame(spark, second), str(tmp_path / "whole"), str(tmp_path / "work2"), BUCKETS)
+    assert contents(spark, folder) == contents(spark, str(tmp_path / "whole"))
